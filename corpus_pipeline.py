@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphweave.llm import decontaminate, hilbert_packing, quality_gam
+from glyphweave.llm import decontaminate, hilbert_packing, jaccard_join, quality_gam, secret_scan
 from glyphweave.llm.labelled import fold_of
 from glyphweave.llm.queries import table
 from glyphweave.llm.workspace import written
@@ -26,12 +26,25 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality_gam.score(docs, model).where("predicted = 1").select(*docs.columns)
 
 
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document, of the smallest doc_id, of each group that the Jaccard join links."""
+    return jaccard_join.one_of_each(docs)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents of which a twentieth or more lies under benchmark windows."""
     found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
     return found.where(~F.col("contaminated")).select(*docs.columns)
 
 
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replace found secrets in texts; no document is dropped, and n_chars follows where there is one."""
+    clean = secret_scan.masked(docs, secret_scan.train(secret_scan.sample_findings(spark)))
+    if "n_chars" not in docs.columns:
+        return clean
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pack what is left into sequences; a row for each piece."""
     return hilbert_packing.piece_digest(hilbert_packing.pack(docs.select("doc_id", "text")))
@@ -39,7 +52,9 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality", keep_quality),
+    ("jaccard", keep_one_of_each),
     ("decontamination", drop_contaminated),
+    ("secrets", mask_secrets),
     ("packing", pack_sequences),
 ]
 

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphweave.llm import decontaminate, hilbert_packing, quality_gam, reshard, token_counts, toxicity
+from glyphweave.llm import (
+    ann_postings,
+    decontaminate,
+    hilbert_packing,
+    jaccard_join,
+    quality_gam,
+    reshard,
+    secret_scan,
+    token_counts,
+    toxicity,
+    url_filter,
+)
 from glyphweave.llm.labelled import fold_of
 
 
@@ -15,11 +26,93 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return secret_scan.findings(docs, secret_scan.train(secret_scan.sample_findings(spark)))
+
+
 def op2_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return hilbert_packing.piece_digest(hilbert_packing.pack(docs))
 
 
+#: Dated entries of made-up lists: (list, pattern, category, action, day of 2024, order within a day).
+LIST_ENTRIES = [
+    ("gambling", "casino-win.example.com", "gambling", "add", "2023-06-01", 1),
+    ("gambling", "casino-win.example.net", "gambling", "add", "2024-02-10", 1),
+    ("gambling", "casino-win.example.org", "gambling", "add", "2024-05-01", 1),
+    ("gambling", "free-bets.example.com", "gambling", "add", "2024-01-15", 1),
+    ("gambling", "free-bets.example.com", "gambling", "remove", "2024-07-01", 1),
+    ("gambling", "free-bets.example.com", "gambling", "add", "2024-10-01", 1),
+    ("gambling", "free-bets.example.net", "gambling", "add", "2024-03-01", 1),
+    ("gambling", "free-bets.example.org", "gambling", "add", "2024-03-01", 1),
+    ("adult", "adult-x.example.com", "adult", "add", "2022-01-01", 1),
+    ("adult", "adult-x.example.net", "adult", "add", "2024-04-01", 1),
+    ("adult", "adult-x.example.net", "adult", "remove", "2024-04-01", 2),
+    ("adult", "adult-x.example.org", "adult", "add", "2024-08-20", 1),
+    ("spam", "spam-farm.example.com", "spam", "add", "2024-01-02", 1),
+    ("spam", "spam-farm.example.net", "spam", "add", "2024-06-15", 1),
+    ("spam", "*.spam-farm.example.org", "spam", "add", "2023-11-11", 1),
+    ("spam", "cheap-pills.example.com", "spam", "add", "2024-01-20", 1),
+    ("spam", "cheap-pills.example.net", "spam", "add", "2023-01-20", 1),
+    ("spam", "cheap-pills.example.net", "spam", "remove", "2024-09-09", 1),
+    ("spam", "cheap-pills.example.org", "spam", "add", "2024-01-20", 1),
+    ("ads", "ads-track.example.com", "ads", "add", "2024-02-01", 1),
+    ("ads", "ads-track.example.net", "ads", "add", "2024-02-01", 1),
+    ("ads", "ads-track.example.org", "ads", "add", "2024-12-01", 1),
+    ("review", "example.org", "untrusted", "add", "2024-06-01", 1),
+    ("review", "example.org", "untrusted", "remove", "2024-06-15", 1),
+    ("review", "tionsh.example.com", "untrusted", "add", "2024-03-10", 1),
+    ("review", "tionsh.example.com", "untrusted", "remove", "2024-04-10", 1),
+    ("review", "blog.tionsh.example.com", "allow", "add", "2024-03-20", 1),
+    ("review", "tionble.example.org/de", "untrusted", "add", "2024-05-05", 1),
+]
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`pages` has no fetch times, so page_id stands for the day of 2024 on which a page was fetched."""
+    day = F.make_dt_interval((F.col("page_id") % 366).cast("int"))
+    captures = table(spark, sf_dir, "pages").select("page_id", "url", (F.lit("2024-01-01").cast("timestamp") + day).alias("fetched_at"))
+    names = "list_name string, pattern string, category string, action string, day string, seq int"
+    entries = spark.createDataFrame(LIST_ENTRIES, names).withColumn("dated", F.col("day").cast("timestamp"))
+    return url_filter.judge(captures, entries).withColumn("fetched_at", F.date_format("fetched_at", "yyyy-MM-dd"))
+
+
+def _entry_values() -> str:
+    return ", ".join(f"('{a}', '{b}', '{c}', '{d}', TIMESTAMP '{e}', {f})" for a, b, c, d, e, f in LIST_ENTRIES)
+
+
+def op3_sql() -> str:
+    return rf"""
+WITH entries(list_name, raw, category, action, dated, seq) AS (VALUES {_entry_values()}),
+named AS (SELECT list_name, regexp_replace(lower(trim(raw)), '^(\*\.|www\.)', '') AS pattern, category, action, dated, seq FROM entries),
+last AS (SELECT * FROM named QUALIFY row_number() OVER (PARTITION BY list_name, pattern, dated ORDER BY seq DESC) = 1),
+turns AS (SELECT *, lead(dated) OVER (PARTITION BY list_name, pattern ORDER BY dated) AS valid_to FROM last),
+active AS (SELECT list_name, pattern, category, dated AS valid_from, valid_to FROM turns WHERE action = 'add'),
+caps AS (
+  SELECT page_id, TIMESTAMP '2024-01-01' + to_days(CAST(page_id % 366 AS INTEGER)) AS fetched_at,
+    lower(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1), '^.*@', ''), '\.?(:[0-9]*)?$', '')) AS host,
+    list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '') AS parts
+  FROM pages),
+keyed AS (
+  SELECT DISTINCT page_id, fetched_at, unnest(list_concat(
+    list_transform(range(1, len(string_split(host, '.')) + 1), lambda i: array_to_string(string_split(host, '.')[i:], '.')),
+    list_transform(range(1, len(parts) + 1), lambda i: regexp_replace(host, '^www\.', '') || '/' || array_to_string(parts[1:i], '/')))) AS pattern
+  FROM caps WHERE host <> ''),
+met AS (
+  SELECT k.page_id, a.category, a.pattern, length(a.pattern) AS k FROM keyed k JOIN active a ON k.pattern = a.pattern
+   AND k.fetched_at >= a.valid_from AND (a.valid_to IS NULL OR k.fetched_at < a.valid_to)),
+hits AS (
+  SELECT page_id, count(*) AS n, array_to_string(list_sort(list(DISTINCT category)), ',') AS found,
+    arg_min(pattern, lpad(CAST(1000000 - k AS VARCHAR), 8, '0') || pattern) AS longest,
+    max(CASE WHEN category = 'allow' THEN k END) AS exempt_size, max(CASE WHEN category <> 'allow' THEN k END) AS blocked_size
+  FROM met GROUP BY page_id)
+SELECT c.page_id, c.host, strftime(c.fetched_at, '%Y-%m-%d') AS fetched_at, coalesce(h.n, 0) AS n_active, coalesce(h.found, '') AS categories,
+  h.longest AS pattern, coalesce(h.blocked_size IS NOT NULL AND coalesce(h.exempt_size, -1) < h.blocked_size, FALSE) AS blocked
+FROM caps c LEFT JOIN hits h USING (page_id)
+"""
+
+
 def held_out(folds: int, fold: int) -> Column:
     return F.coalesce(fold_of("doc_id", folds) == fold, F.lit(False))
 
@@ -72,16 +165,29 @@ def op8_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped, _ = jaccard_join.linked_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return grouped.select("doc_id", "n_shingles", "component_id")
+
+
+def op10_ann_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann_postings.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_secret_scan,
         op2_hilbert_packing,
+        op3_url_filter,
         op4_quality_gam,
         op5_token_counts,
         op6_toxicity,
         op7_decontaminate,
         op8_reshard,
+        op9_jaccard_join,
+        op10_ann_postings,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_url_filter": op3_sql()}
