@@ -1,14 +1,376 @@
-"""Registered layout queries and their DuckDB SQL."""
+"""Registered layout queries and their DuckDB SQL.
+
+Every query reads whole tables. Coordinates are rounded to four decimals on both
+sides; offsets and ordinals count from 0.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from glyphweave.functions import fontmetrics, geometry, text
+from glyphweave.operators import blocks, lines, pageops, records, regions, search, vector, words
+from glyphweave.plans import sql
+from glyphweave.plans.bridge import bridge_glyphs, bridge_words, layout, page_list, strokes, table, table_words
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
+def register(oracle: str | None = None) -> Callable[[Query], Query]:
+    def add(query: Query) -> Query:
+        QUERIES[query.__name__] = query
+        if oracle is not None:
+            ORACLE_SQL[query.__name__] = oracle
+        return query
+
+    return add
+
+
+def rounded(*names: str) -> list[Column]:
+    return [F.round(n, 4).alias(n) for n in names]
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def the_layout(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return layout(bridge_words(documents(spark, sf_dir)))
+
+
+# the core pipeline
+
+
+@register(sql.WORDS + "SELECT doc_id, page, word_ord, text, round(x, 4) AS x, round(y, 4) AS y, round(w, 4) AS w FROM words")
+def bridge_layout_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bridge_words(documents(spark, sf_dir)).select("doc_id", "page", "word_ord", "text", *rounded("x", "y", "w"))
+
+
+@register(sql.WORDS + "SELECT doc_id, page, word_ord, text, round(x, 4) AS x, round(y, 4) AS y, round(w, 4) AS w, round(h, 4) AS h, round(baseline, 4) AS baseline FROM words")
+def detect_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words found again from single glyphs."""
+    found = words.detect_words(bridge_glyphs(documents(spark, sf_dir)))
+    return found.select("doc_id", "page", "word_ord", "text", *rounded("x", "y", "w", "h", "baseline"))
+
+
+@register(sql.BLOCKS + "SELECT doc_id, page, line_ord, n_words, text, column_gaps, round(x, 4) AS x, round(y, 4) AS y, round(w, 4) AS w, round(h, 4) AS h, round(baseline, 4) AS baseline FROM lines")
+def detect_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.detect_lines(lines.place_words(bridge_words(documents(spark, sf_dir))))
+    return found.select("doc_id", "page", "line_ord", "n_words", "text", "column_gaps", *rounded("x", "y", "w", "h", "baseline"))
+
+
+@register(sql.BLOCKS + "SELECT doc_id, page, line_ord, block_ord FROM blocked")
+def detect_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return the_layout(spark, sf_dir)[1].select("doc_id", "page", "line_ord", "block_ord")
+
+
+@register(sql.BLOCKS + "SELECT doc_id, page, block_ord, kind, line_lo, line_hi, n_lines, n_words, round(x, 4) AS x, round(y, 4) AS y, round(w, 4) AS w, round(h, 4) AS h FROM blocks")
+def classify_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return the_layout(spark, sf_dir)[2].select("doc_id", "page", "block_ord", "kind", "line_lo", "line_hi", "n_lines", "n_words", *rounded("x", "y", "w", "h"))
+
+
+@register(sql.BLOCKS + "SELECT doc_id, page, block_ord, round(coalesce(abs(min(baseline) FILTER (k = 1) - min(baseline) FILTER (k = 2)), 12.5), 4) AS leading FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page, block_ord ORDER BY line_ord) AS k FROM blocked) GROUP BY ALL")
+def block_leading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.leading(the_layout(spark, sf_dir)[1]).select("doc_id", "page", "block_ord", *rounded("leading"))
+
+
+@register(sql.TABLE_LINES + "SELECT doc_id, page, line_ord, cell, text, n_words, round(x, 4) AS x FROM cells")
+def group_cells_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = blocks.group_cells(lines.place_words(table_words(table(spark, sf_dir, "lineitem"))))
+    return found.select("doc_id", "page", "line_ord", "cell", "text", "n_words", *rounded("x"))
+
+
+@register(sql.TABLE_LINES + "SELECT doc_id, page, 0 AS block_ord, CASE WHEN count(*) < 2 THEN 'lines' ELSE 'table' END AS kind, count(*) AS n_lines FROM (SELECT DISTINCT doc_id, page, line_ord FROM cells) GROUP BY ALL")
+def classify_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = layout(table_words(table(spark, sf_dir, "lineitem")))[2]
+    return found.select("doc_id", "page", "block_ord", "kind", "n_lines")
+
+
+# search and reading
+
+
+def _search(spark: SparkSession, sf_dir: str, phrase: str, **how: bool) -> DataFrame:
+    found = search.find_phrase(search.search_units(*the_layout(spark, sf_dir)), phrase, **how)
+    return found.select("doc_id", "page", "block_ord", "unit", "offset", "matched", F.col("n_words").cast("long").alias("n_words"), *rounded("x", "y", "w", "h"))
+
+
+@register(sql.search("of the", False, False))
+def search_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(spark, sf_dir, " of the ")
+
+
+@register(sql.search("The", True, False))
+def search_cs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(spark, sf_dir, "The", case_sensitive=True)
+
+
+@register(sql.search("that", False, True))
+def search_whole_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _search(spark, sf_dir, "that", whole_word=True)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Matches of a word by document and kind of block."""
+    parts = the_layout(spark, sf_dir)
+    found = search.find_phrase(search.search_units(*parts), "the", whole_word=True)
+    kinds = parts[2].select("doc_id", "page", "block_ord", "kind")
+    return found.join(kinds, ["doc_id", "page", "block_ord"]).groupBy("doc_id", "kind").agg(F.count("*").alias("n_matches")).orderBy("doc_id", "kind")
+
+
+@register(sql.WORDS + "SELECT doc_id, count(*) AS n_words FROM words GROUP BY doc_id")
+def word_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.word_count(bridge_words(documents(spark, sf_dir)))
+
+
+@register(sql.WORDS + sql.RSVP)
+def rsvp_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = lines.place_words(bridge_words(documents(spark, sf_dir)))
+    return search.reading_feed(placed).select("doc_id", "feed_pos", "page", "text", "pivot", F.round("shown_at", 3).alias("shown_at"), F.round("shown_for", 3).alias("shown_for"))
+
+
+@register(sql.WORDS + sql.ORP)
+def orp_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    distinct = bridge_words(documents(spark, sf_dir)).select("text").distinct()
+    return distinct.select("text", *(c.alias(n) for n, c in text.pivot_split(F.col("text")).items()))
+
+
+@register()
+def wrap_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy wrapping of whole texts at 80 characters; a fold, compared with a loop in tests."""
+    wrapped = documents(spark, sf_dir).select("doc_id", F.posexplode(text.wrap_text(F.col("text"), 80)).alias("line_no", "line"))
+    return wrapped.select("doc_id", "line_no", F.length("line").alias("n_chars"), F.md5("line").alias("line_md5"))
+
+
+# points and regions
+
+
+@register(sql.BLOCKS + sql.HIT_TEST)
+def hit_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies at the middle of the first line of each document's first page, and how much of it a click selects."""
+    placed, found_lines, found_blocks = the_layout(spark, sf_dir)
+    points = documents(spark, sf_dir).select(F.col("doc_id").alias("point_id"), "doc_id", F.lit(0).alias("page"), F.lit(100.0).alias("px"), F.lit(720.0).alias("py"))
+    homed = placed.join(found_lines.select("doc_id", "page", "line_ord", "block_ord"), ["doc_id", "page", "line_ord"])
+    hit = regions.hit_test(points, found_blocks, homed)
+    word = [F.coalesce("word_ord", F.lit(-1)).alias("word_ord"), F.coalesce("text", F.lit("")).alias("text")]
+    return hit.select("point_id", "block_ord", "kind", *word, regions.granularity(F.col("kind")).alias("selects"))
+
+
+def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    box = zip(("rx", "ry", "rw", "rh"), (150.0, 690.0, 120.0, 25.0), strict=True)
+    return documents(spark, sf_dir).select(F.col("doc_id").alias("region_id"), "doc_id", F.lit(0).alias("page"), *(F.lit(v).alias(n) for n, v in box))
+
+
+@register(sql.BLOCKS + sql.BARS)
+def region_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = lines.place_words(bridge_words(documents(spark, sf_dir)))
+    bars = regions.redaction_bars(placed, _regions(spark, sf_dir))
+    return bars.select("region_id", "page", F.coalesce("line_ord", F.lit(-1)).alias("line_ord"), *rounded("x", "y", "w", "h"))
+
+
+@register(sql.GLYPHS + sql.REDACT)
+def redact_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = regions.redaction_spans(bridge_glyphs(documents(spark, sf_dir)), _regions(spark, sf_dir))
+    return spans.select("region_id", "page", "op_index", "span_start", "span_end", "n_glyphs")
+
+
+@register(sql.GLYPHS + "SELECT doc_id, page, op_index, min(spot_no) AS span_start, max(spot_no) + 1 AS span_end, count(*) AS n_glyphs FROM glyphs GROUP BY ALL")
+def source_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = regions.source_groups(bridge_glyphs(documents(spark, sf_dir)))
+    return spans.select("doc_id", "page", "op_index", "span_start", "span_end", "n_glyphs")
+
+
+@register(sql.SPLICES)
+def splice_overlap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_linenumber") * 10).alias("start"), (F.col("l_linenumber") * 10 + F.col("l_quantity")).alias("end"))
+    return regions.overlapping_splices(items, ["l_orderkey"])
+
+
+# page lists
+
+
+@register(sql.PAGES + "SELECT doc_id, CAST(CASE WHEN n <= 2 THEN page WHEN page = 0 THEN 2 WHEN page <= 2 THEN page - 1 ELSE page END AS INTEGER) AS page, role, text FROM pl")
+def page_move(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pageops.move_page(page_list(spark, sf_dir), 0, 2)
+
+
+@register(sql.PAGES + "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page) - 1 AS page, role, text FROM pl WHERE role <> 'user' OR doc_id NOT IN (SELECT doc_id FROM pl WHERE role <> 'user')")
+def page_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = page_list(spark, sf_dir)
+    return pageops.delete_pages(pages, pages.where("role = 'user'"))
+
+
+@register(sql.PAGES + "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, c) - 1 AS page, role, text FROM (SELECT *, 0 AS c FROM pl UNION ALL SELECT *, 1 AS c FROM pl WHERE page = 1)")
+def page_duplicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pageops.duplicate_page(page_list(spark, sf_dir), 1)
+
+
+@register("SELECT c_custkey, c_nationkey * 90 - 360 AS rotation, CAST(((c_nationkey * 90 - 360 - 90) % 360 + 360) % 360 AS INTEGER) AS turned FROM customer")
+def page_rotate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rotation = F.col("c_nationkey") * 90 - 360
+    return table(spark, sf_dir, "customer").select("c_custkey", rotation.alias("rotation"), pageops.rotated(rotation, -90).alias("turned"))
+
+
+@register(sql.PAGES + "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY h, page) - 1 AS page, role, text FROM (SELECT *, CASE WHEN page >= 1 THEN 2 ELSE 0 END AS h FROM pl UNION ALL SELECT doc_id, page, 'system' AS role, lower(text) AS text, n, 1 AS h FROM pl WHERE role = 'assistant')")
+def page_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = page_list(spark, sf_dir)
+    other = pages.where("role = 'assistant'").select("doc_id", "page", F.lit("system").alias("role"), F.lower("text").alias("text"))
+    return pageops.merge_documents(pages, other, 1)
+
+
+@register(sql.PAGES + "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS page, role, text FROM pl JOIN (VALUES (2, 0), (0, 1), (1, 2), (0, 3)) o(p, k) ON page = p")
+def page_extract_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pageops.extract_pages(page_list(spark, sf_dir), [2, 0, 1, 0])
+
+
+@register(sql.PAGES + "SELECT doc_id, CASE WHEN n > 1 AND page >= 1 THEN 1 ELSE 0 END AS part, CAST(CASE WHEN n > 1 AND page >= 1 THEN page - 1 ELSE page END AS INTEGER) AS page, role, text FROM pl")
+def page_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pageops.split_documents(page_list(spark, sf_dir), 1)
+
+
+@register("SELECT l_orderkey, array_to_string(range(lo, hi + 1), ',') AS selected FROM (SELECT l_orderkey, min(l_linenumber) AS lo, max(l_linenumber) AS hi FROM lineitem GROUP BY 1)")
+def page_select_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_linenumber").alias("lo"), F.max("l_linenumber").alias("hi"))
+    return ends.select("l_orderkey", F.array_join(pageops.select_range(F.col("hi"), F.col("lo")), ",").alias("selected"))
+
+
+# fields, comments, images, versions
+
+
+@register("SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value, arg_max(props, (ts, event_id)) AS props FROM events GROUP BY ALL")
+def form_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.last_values(table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"], ["value", "props"])
+
+
+@register(sql.COMMENTS)
+def comment_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A comment on each document; labels delete it (toxic), change it (quality 0) or add another (quality 1)."""
+    place = [F.lit(v).alias(n) for n, v in (("x", 10.0), ("y", 20.0))]
+    docs = table(spark, sf_dir, "documents")
+    comments = docs.select("doc_id", F.lit(0).alias("page"), F.lit("c0").alias("id"), *place, F.lit(18.0).alias("w"), F.lit(18.0).alias("h"), F.col("lang").alias("contents"))
+    writes = table(spark, sf_dir, "labels").select(
+        "doc_id",
+        F.when(F.col("toxic") == 1, "c0").otherwise(F.concat(F.lit("c"), F.col("quality"))).alias("id"),
+        F.when(F.col("toxic") == 1, "delete").otherwise("set").alias("action"),
+        F.concat(F.lit("quality "), F.col("quality")).alias("contents"),
+        F.lit(1).alias("seq"),
+        F.lit(0).alias("page"),
+        *place,
+    )
+    return records.upsert_comments(comments, writes).select("doc_id", "id", "contents", "x", "y", "w", "h")
+
+
+@register("SELECT source, md5(text) AS ref, min(doc_id) AS first_page, count(*) AS n_uses FROM documents GROUP BY ALL")
+def image_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    images = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.md5("text").alias("ref"), F.col("doc_id").alias("page"), F.octet_length("text").alias("n_bytes"))
+    return records.distinct_images(images).select(F.col("doc_id").alias("source"), "ref", "first_page", "n_uses")
+
+
+@register("SELECT source, sum(b) AS before, sum(a) AS after, count(*) AS n_images, CAST(floor((sum(b) - sum(a)) / sum(b) * 100 + 0.5) AS BIGINT) AS saved_percent FROM (SELECT source, strlen(text) AS b, strlen(replace(text, ' ', '')) AS a FROM documents) WHERE a < b GROUP BY source")
+def size_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before, after = F.octet_length("text").cast("long"), F.octet_length(F.replace(F.col("text"), F.lit(" "), F.lit(""))).cast("long")
+    images = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), before.alias("before"), after.alias("after"))
+    return records.savings(images).withColumnRenamed("doc_id", "source")
+
+
+@register("SELECT doc_id, version, o_orderkey FROM (SELECT o_custkey AS doc_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS back FROM orders) WHERE back <= 30")
+def history_top30(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    versions = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), "o_orderkey", F.row_number().over(order).alias("version"))
+    return records.history(versions).select("doc_id", "version", "o_orderkey")
+
+
+# strokes
+
+
+@register(sql.OTSU)
+def otsu_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels = table(spark, sf_dir, "events").where("value is not null").select(F.col("user_id").alias("img_id"), F.greatest(F.lit(0), F.least(F.lit(255), F.floor("value"))).cast("int").alias("bin"))
+    return vector.otsu(vector.histogram(pixels))
+
+
+@register(sql.STROKES + "SELECT img_id, round(coalesce(sum(sqrt(dx * dx + dy * dy)), 0), 4) AS length FROM (SELECT img_id, x - lag(x) OVER o AS dx, y - lag(y) OVER o AS dy FROM s WINDOW o AS (PARTITION BY img_id ORDER BY ord)) GROUP BY img_id")
+def path_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector.path_length(strokes(spark, sf_dir)).select("img_id", *rounded("length"))
+
+
+@register(sql.SMOOTH)
+def smooth3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector.smooth(strokes(spark, sf_dir), 0.5).select("img_id", "ord", *rounded("x", "y"))
+
+
+@register(sql.BEZIER)
+def bezier_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector.bezier_segments(strokes(spark, sf_dir)).select("img_id", "ord", *rounded("x1", "y1", "x2", "y2", "x3", "y3"))
+
+
+@register(sql.CUTS)
+def segment_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = strokes(spark, sf_dir)
+    cuts = points.groupBy("img_id").agg(F.lit(-1.5).alias("ax"), F.lit(20.25).alias("ay"), (F.max("x") + 1.5).alias("bx"), F.lit(60.75).alias("by"))
+    return vector.crossings(points, cuts).select("img_id", "ord", *rounded("t", "cx", "cy"))
+
+
+@register(sql.STROKES + sql.NEAREST)
+def nearest_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = strokes(spark, sf_dir)
+    spots = points.groupBy("img_id").agg((F.max("x") / 2).alias("px"), F.lit(50.0).alias("py")).withColumn("spot_id", F.col("img_id"))
+    return vector.nearest_end(points, spots, 1e9).select("spot_id", "chain", "which", *rounded("d"))
+
+
+# scalars
+
+
+@register(sql.RECT_CSS)
+def affine_rect_css(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda k: F.element_at("embedding", k).cast("double")
+    box = geometry.rect_to_css(geometry.matrix([at(k) for k in range(1, 7)]), *(F.lit(v) for v in (10.0, 20.0, 30.0, 40.0)))
+    return table(spark, sf_dir, "embeddings").select("vec_id", *(F.round(c, 4).alias(n) for n, c in box.items()))
+
+
+@register(sql.INVERSE)
+def affine_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda k: F.element_at("embedding", k).cast("double")
+    m = geometry.matrix([at(k) for k in range(1, 7)])
+    x, y = geometry.apply(F.col("m"), F.lit(10.0), F.lit(20.0))
+    back = table(spark, sf_dir, "embeddings").withColumn("m", m).withColumn("px", x).withColumn("py", y).withColumn("inv", geometry.invert(F.col("m")))
+    bx, by = geometry.apply(F.col("inv"), F.col("px"), F.col("py"))
+    sx, sy = geometry.scale_of(F.col("m"))
+    return back.select("vec_id", F.round(bx, 3).alias("x"), F.round(by, 3).alias("y"), F.round(sx, 4).alias("sx"), F.round(sy, 4).alias("sy"))
+
+
+@register(sql.VIEWPORT)
+def viewport_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    width, height = F.col("c_nationkey") + 600.0, F.col("c_nationkey") * 2 + 700.0
+    view = geometry.viewport(width, height, F.col("c_nationkey") * 45 - 450, F.lit(1.5))
+    shown = table(spark, sf_dir, "customer").select("c_custkey", view["transform"].alias("m"), view["css_width"].alias("css_width"), view["css_height"].alias("css_height"))
+    return shown.select("c_custkey", *(F.round(F.col(f"m.{n}"), 4).alias(f"m_{n}") for n in "abcdef"), *rounded("css_width", "css_height"))
+
+
+@register(sql.widths())
+def std_font_width(spark: SparkSession, sf_dir: str) -> DataFrame:
+    font = F.element_at(F.array(*map(F.lit, sql.FONTS)), (F.col("p_size") % len(sql.FONTS) + 1).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", font.alias("font"), fontmetrics.measure_column(font, F.col("p_name")).alias("width"))
+
+
+@register("SELECT doc_id, upper(substr(md5(text), 1, 7) || '0') AS decoded, CAST(('0x' || substr(md5(text), 1, 4)) AS BIGINT) AS code FROM documents")
+def hex_string_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digits = F.concat(F.lit("<"), F.substring(F.md5("text"), 1, 3), F.lit(" "), F.substring(F.md5("text"), 4, 4), F.lit(">"))
+    data = text.hex_string(digits)
+    return table(spark, sf_dir, "documents").select("doc_id", F.hex(data).alias("decoded"), text.bytes_to_code(F.substring(data, 1, 2)).alias("code"))
+
+
+@register("SELECT doc_id, CASE WHEN n < 1024 THEN printf('%d B', n) WHEN n < 1048576 THEN printf('%.1f KB', floor(n / 1024 * 10 + 0.5) / 10) ELSE printf('%.1f MB', floor(n / 1048576 * 10 + 0.5) / 10) END AS shown FROM (SELECT doc_id, strlen(text) * (1 + doc_id % 400) AS n FROM documents)")
+def format_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.octet_length("text").cast("long") * (1 + F.col("doc_id") % 400)
+    return table(spark, sf_dir, "documents").select("doc_id", text.format_bytes(n).alias("shown"))
+
+
+@register(sql.FILENAMES)
+def filename_from_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = text.filename_from_url(F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", named.alias("name"), text.export_name(named).alias("export_name"))
