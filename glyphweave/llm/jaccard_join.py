@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from glyphweave.llm import texthash
 from glyphweave.llm.components import components
-from glyphweave.llm.workspace import written
+from glyphweave.llm.workspace import release, written
 
 #: Links need OVER * |union| <= UNDER * |intersection|.
 OVER, UNDER = 85, 100
@@ -141,8 +141,15 @@ def bounded(pairs: DataFrame, signed: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, signed: DataFrame, label: str) -> DataFrame:
-    """Written: the pairs (a, b) that link, by their texts' exact sets."""
-    texts = signed.select("row_no", F.col("doc.text").cast("string").alias("text"))
+    """Written: the pairs (a, b) that link, by their texts' exact sets.
+
+    Texts of the documents in question are written once, so that both joins move
+    only those and not the whole corpus.
+    """
+    pairs = written(pairs, f"{label}-pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("row_no")).distinct()
+    texts = written(signed.select("row_no", F.col("doc.text").cast("string").alias("text")).join(asked, "row_no", "left_semi"), f"{label}-texts")
+    release(signed.sparkSession)
     left = texts.select(F.col("row_no").alias("a"), F.col("text").alias("t_a"))
     right = texts.select(F.col("row_no").alias("b"), F.col("text").alias("t_b"))
 
@@ -156,8 +163,10 @@ def verified(pairs: DataFrame, signed: DataFrame, label: str) -> DataFrame:
                     links.append(UNDER * both >= OVER * (len(x) + len(y) - both))
                 yield batch.select(["a", "b"]).filter(pa.array(links, pa.bool_()))
 
-    found = bounded(pairs, signed).join(left, "a").join(right, "b").select("a", "b", "t_a", "t_b")
-    return written(found.mapInArrow(check, "a long, b long"), label)
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", "t_a", "t_b")
+    found = written(met.mapInArrow(check, "a long, b long"), label)
+    release(signed.sparkSession)
+    return found
 
 
 def fits_in_size(n_a, n_b):
@@ -312,7 +321,7 @@ def linked_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     slim = written(reps.select("row_no", F.col("n_shingles").alias("n"), "groups"), "jaccard-points")
 
     first = slim.select("row_no", "n", F.explode(F.slice("groups", 1, FIRST)).alias("node"))
-    links = verified(pivot_pairs(with_roots(first, None)), signed, "jaccard-links")
+    links = verified(bounded(pivot_pairs(with_roots(first, None)), signed), signed, "jaccard-links")
     roots = components(links, "jaccard-first")
 
     nodes = with_roots(slim, roots).select("row_no", "n", "root", F.explode("groups").alias("node"))
@@ -323,8 +332,9 @@ def linked_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         "jaccard-nodes",
     )
     two = met.where("n_rows = 2").where(fits_in_size(F.col("n_low"), F.col("n_high"))).select("a", "b").distinct()
+    release(signed.sparkSession)
     shared = written(nodes.join(met.where("n_rows > 2").select("node"), "node", "left_semi"), "jaccard-shared")
-    more = verified(two.union(pivot_pairs(shared)).distinct(), signed, "jaccard-more")
+    more = verified(bounded(two.union(pivot_pairs(shared)).distinct(), signed), signed, "jaccard-more")
     links = links.union(more)
     roots = components(links, "jaccard-second")
     rest = with_roots(shared, roots)
