@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from glyphweave.llm import texthash
 from glyphweave.llm.components import components
-from glyphweave.llm.workspace import release, written
+from glyphweave.llm.workspace import release, sized, written
 
 #: Links need OVER * |union| <= UNDER * |intersection|.
 OVER, UNDER = 85, 100
@@ -147,8 +147,8 @@ def verified(pairs: DataFrame, signed: DataFrame, label: str) -> DataFrame:
     only those and not the whole corpus.
     """
     pairs = written(pairs, f"{label}-pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("row_no")).distinct()
-    texts = written(signed.select("row_no", F.col("doc.text").cast("string").alias("text")).join(asked, "row_no", "left_semi"), f"{label}-texts")
+    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("row_no")).distinct(), f"{label}-asked")
+    texts = written(signed.select("row_no", F.col("doc.text").cast("string").alias("text")).join(sized(asked), "row_no", "left_semi"), f"{label}-texts")
     release(signed.sparkSession)
     left = texts.select(F.col("row_no").alias("a"), F.col("text").alias("t_a"))
     right = texts.select(F.col("row_no").alias("b"), F.col("text").alias("t_b"))
@@ -196,7 +196,7 @@ def with_roots(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is None:
         return rows.withColumn("root", F.col("row_no"))
     named = roots.select(F.col("node").alias("row_no"), F.col("root").alias("found_root"))
-    return rows.drop("root").join(named, "row_no", "left").withColumn("root", F.coalesce("found_root", "row_no")).drop("found_root")
+    return rows.drop("root").join(sized(named), "row_no", "left").withColumn("root", F.coalesce("found_root", "row_no")).drop("found_root")
 
 
 class BoxTree:
@@ -317,7 +317,7 @@ def linked_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         keyed.where("n_shingles > 0").groupBy("set_key").agg(F.min("row_no").alias("rep"), F.min(F.struct("id", "row_no")).alias("best")),
         "jaccard-classes",
     )
-    reps = signed.join(classes.select(F.col("rep").alias("row_no")), "row_no", "left_semi")
+    reps = signed.join(sized(classes.select(F.col("rep").alias("row_no"))), "row_no", "left_semi")
     slim = written(reps.select("row_no", F.col("n_shingles").alias("n"), "groups"), "jaccard-points")
 
     first = slim.select("row_no", "n", F.explode(F.slice("groups", 1, FIRST)).alias("node"))
@@ -325,19 +325,15 @@ def linked_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     roots = components(links, "jaccard-first")
 
     nodes = with_roots(slim, roots).select("row_no", "n", "root", F.explode("groups").alias("node"))
-    met = written(
-        nodes.groupBy("node")
-        .agg(F.count("*").alias("n_rows"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("row_no").alias("a"), F.max("row_no").alias("b"), F.min("n").alias("n_low"), F.max("n").alias("n_high"))
-        .where("low < high"),
-        "jaccard-nodes",
-    )
-    two = met.where("n_rows = 2").where(fits_in_size(F.col("n_low"), F.col("n_high"))).select("a", "b").distinct()
+    split = nodes.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    mixed = written(split.select("node"), "jaccard-nodes")
+    shared = written(nodes.join(sized(mixed), "node", "left_semi"), "jaccard-shared")
     release(signed.sparkSession)
-    shared = written(nodes.join(met.where("n_rows > 2").select("node"), "node", "left_semi"), "jaccard-shared")
-    more = verified(bounded(two.union(pivot_pairs(shared)).distinct(), signed), signed, "jaccard-more")
+    more = verified(bounded(pivot_pairs(shared), signed), signed, "jaccard-more")
     links = links.union(more)
     roots = components(links, "jaccard-second")
-    rest = with_roots(shared, roots)
+    larger = shared.groupBy("node").agg(F.count("*").alias("n_rows")).where("n_rows > 2").select("node")  # two rows have met
+    rest = with_roots(shared.join(larger, "node", "left_semi"), roots)
     last = verified(tree_pairs(rest, signed), signed, "jaccard-last")
     roots = components(links.union(last), "jaccard-roots")
 

@@ -45,6 +45,11 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def sized(small: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A written table of a few numbers a row, as a broadcast side if its rows are counted and few; else as it is, to be shuffled."""
+    return F.broadcast(small) if small.count() <= rows else small
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
