@@ -35,7 +35,8 @@ from glyphweave.llm.workspace import release, sized, written
 #: Links need OVER * |union| <= UNDER * |intersection|.
 OVER, UNDER = 85, 100
 WIDTH = 4
-COARSE = 32
+#: Groups of a point, and of the boxes over points; a coarse group is FINE / COARSE of them.
+FINE, COARSE = 256, 32
 CELL_BITS = 22
 #: A fine group is common if so many different documents of one task hold it.
 COMMON = 24
@@ -61,6 +62,18 @@ def least_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return -(-OVER * (a + b) // (OVER + UNDER))
 
 
+def packed_counts(found: np.ndarray) -> bytes:
+    """A set's counts per group, one byte each; 255 stands for that many or more."""
+    counts = np.bincount((found % np.uint64(FINE)).astype(np.int64), minlength=FINE)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def unpacked_counts(packed: list[bytes], sizes: np.ndarray) -> np.ndarray:
+    """Counts per group, never below the true ones: a full byte stands for the set's whole size."""
+    counts = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, FINE).astype(np.int32)
+    return np.where(counts == 255, np.maximum(sizes, 255)[:, None], counts)
+
+
 def common_cells(docs: DataFrame) -> np.ndarray:
     """A bit for each cell of fine groups that is common somewhere in the corpus.
 
@@ -102,7 +115,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 n = len(found)
                 sizes.append(n)
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                counts.append(np.bincount((found % np.uint64(COARSE)).astype(np.int64), minlength=COARSE).astype("<u4").tobytes())
+                counts.append(packed_counts(found))
                 last = common[(found >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
                 take = n - -(-OVER * n // UNDER) + 1 if n else 0
                 groups.append(np.concatenate([found[~last], found[last]])[:take].view(np.int64))
@@ -133,8 +146,9 @@ def bounded(pairs: DataFrame, signed: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, COARSE) for c in ("c_a", "c_b"))
-            fits = np.minimum(x, y).sum(1) >= least_overlap(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
+            n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+            x, y = unpacked_counts(batch.column("c_a").to_pylist(), n_a), unpacked_counts(batch.column("c_b").to_pylist(), n_b)
+            fits = np.minimum(x, y).sum(1) >= least_overlap(n_a, n_b)
             yield batch.select(["a", "b"]).filter(pa.array(fits))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "c_a", "c_b").mapInArrow(check, "a long, b long")
@@ -200,14 +214,15 @@ def with_roots(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 class BoxTree:
-    """Points packed into boxes, level over level. A box knows its upper corner, its least size and its only root, if it has just one."""
+    """Points packed into boxes, level over level. A box knows its upper corner over coarse groups, its least size and its only root, if it has just one."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, roots: np.ndarray):
-        heavy = np.argmax(points, axis=1) if len(points) else np.zeros(0, int)
+        coarse = points.astype(np.int32).reshape(len(points), COARSE, -1).sum(2)
+        heavy = np.argmax(coarse, axis=1) if len(points) else np.zeros(0, int)
         self.order = np.lexsort((heavy, roots, sizes))
-        self.points, self.sizes, self.roots = points[self.order].astype(np.int32), sizes[self.order], roots[self.order]
+        self.points, self.coarse, self.sizes, self.roots = points[self.order].astype(np.int32), coarse[self.order], sizes[self.order], roots[self.order]
         self.levels = []
-        corner, low, high, first, last = self.points, self.sizes, self.sizes, self.roots, self.roots
+        corner, low, high, first, last = self.coarse, self.sizes, self.sizes, self.roots, self.roots
         step = LEAF
         while True:
             at = np.arange(0, len(corner), step)
@@ -235,8 +250,9 @@ class BoxTree:
                 good = (i < below) & (j < below) & ((i < j) if not depth else (i <= j))
                 i, j = i[good], j[good]
                 if not depth:
-                    good = self._may(self.points, self.sizes, self.sizes, self.roots, self.roots, i, j)
-                    i, j = i[good], j[good]
+                    for points in (self.coarse, self.points):  # most pairs fail on the shorter one
+                        good = self._may(points, self.sizes, self.sizes, self.roots, self.roots, i, j)
+                        i, j = i[good], j[good]
                 parts.append((i, j))
             x = np.concatenate([np.zeros(0, np.int64), *(p[0] for p in parts)])
             y = np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)])
@@ -295,8 +311,9 @@ def tree_pairs(rows: DataFrame, signed: DataFrame) -> DataFrame:
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, keys):
             ids = group["row_no"].to_numpy()
-            points = np.frombuffer(b"".join(group["counts"].to_pylist()), "<u4").reshape(-1, COARSE)
-            x, y = BoxTree(points, group["n"].to_numpy(), group["root"].to_numpy()).pairs()
+            sizes = group["n"].to_numpy()
+            points = unpacked_counts(group["counts"].to_pylist(), sizes)
+            x, y = BoxTree(points, sizes, group["root"].to_numpy()).pairs()
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], names=["a", "b"])
 
     return dealt.mapInArrow(join, "a long, b long").distinct()

@@ -334,7 +334,7 @@ def test_jaccard_of_near_copies(spark, monkeypatch):
 
 def test_box_tree_loses_no_pair():
     rng = np.random.default_rng(4)
-    points = rng.poisson(1.2, (400, jaccard_join.COARSE)).astype(np.uint32)
+    points = rng.poisson(0.2, (400, jaccard_join.FINE)).astype(np.uint32)
     points[200:] = points[:200]
     points[200:, 0] += 1
     n, roots = points.sum(1).astype(np.int64), np.arange(400)
@@ -348,6 +348,12 @@ def test_box_tree_loses_no_pair():
     assert got == want and len(x) == len(got)
 
 
+def test_packed_counts_are_upper_bounds():
+    few, many = np.arange(1000, dtype=np.uint64), np.arange(300, dtype=np.uint64) * np.uint64(jaccard_join.FINE)
+    got = jaccard_join.unpacked_counts([jaccard_join.packed_counts(few), jaccard_join.packed_counts(many)], np.array([1000, 300]))
+    assert got[0].sum() == 1000 and got[1].tolist() == [300] + [0] * (jaccard_join.FINE - 1)
+
+
 def test_jaccard_of_odd_rows(spark):
     df = tricky(spark)
     grouped, _ = jaccard_join.linked_groups(df)
