@@ -42,6 +42,8 @@ CELL_BITS = 22
 COMMON = 24
 #: Rank below which a group is used for the first pivots.
 FIRST = 4
+#: Times that every mixed node tries another pivot before its box trees are joined.
+TURNS = 2
 LEAF, FAN, TILE = 24, 8, 2048
 #: Size classes are a little wider than the linking ratio, so partners are in the same or the next class.
 CLASS_RATIO = 1 / 0.84
@@ -188,13 +190,13 @@ def fits_in_size(n_a, n_b):
     return (F.least(n_a, n_b) * UNDER) >= (F.greatest(n_a, n_b) * OVER)
 
 
-def pivot_pairs(rows: DataFrame) -> DataFrame:
+def pivot_pairs(rows: DataFrame, turn: int = 0) -> DataFrame:
     """(a, b) between each node's pivot and its other documents of another root and fitting size.
 
-    The pivot is the document with the least hash of itself and the node, so nodes
-    that hold the same documents try different ones. `rows`: node, row_no, n, root.
+    The pivot is the document with the least hash of itself, the node and the turn, so
+    nodes that hold the same documents try different ones. `rows`: node, row_no, n, root.
     """
-    luck = F.xxhash64("row_no", "node")
+    luck = F.xxhash64("row_no", "node", F.lit(turn))
     pivots = rows.groupBy("node").agg(
         F.count("*").alias("n_rows"),
         F.min_by("row_no", luck).alias("pivot"),
@@ -290,8 +292,8 @@ def tree_pairs(rows: DataFrame, signed: DataFrame) -> DataFrame:
     """Distinct pairs (a, b) of different roots within nodes, by box trees of at most two tiles each.
 
     `rows`: node, row_no, n, root. A node's documents are split by size class, the
-    smaller class visiting the next; a large class is split into tiles, and every two
-    tiles meet in a task of their own.
+    smaller class visiting the next, where visitors don't meet each other; a large class
+    is split into tiles, and every two tiles meet in a task of their own.
     """
     spark: SparkSession = rows.sparkSession
     home = F.floor(F.log(F.col("n").cast("double")) / float(np.log(CLASS_RATIO)))
@@ -301,7 +303,7 @@ def tree_pairs(rows: DataFrame, signed: DataFrame) -> DataFrame:
     tiled = placed.join(useful, ["node", "class"]).withColumn("tile", F.pmod(F.xxhash64("row_no"), F.col("tiles")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
     spread = tiled.withColumn("other", other).select(
-        "node", "class", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "row_no", "n", "root"
+        "node", "class", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "row_no", "n", "root", (F.col("home") < F.col("class")).alias("visits")
     )
     keys = ["node", "class", "i", "j"]
     counts = signed.select("row_no", "counts")
@@ -314,6 +316,8 @@ def tree_pairs(rows: DataFrame, signed: DataFrame) -> DataFrame:
             sizes = group["n"].to_numpy()
             points = unpacked_counts(group["counts"].to_pylist(), sizes)
             x, y = BoxTree(points, sizes, group["root"].to_numpy()).pairs()
+            visits = group["visits"].to_numpy()
+            x, y = x[~(visits[x] & visits[y])], y[~(visits[x] & visits[y])]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], names=["a", "b"])
 
     return dealt.mapInArrow(join, "a long, b long").distinct()
@@ -346,9 +350,10 @@ def linked_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     mixed = written(split.select("node"), "jaccard-nodes")
     shared = written(nodes.join(sized(mixed), "node", "left_semi"), "jaccard-shared")
     release(signed.sparkSession)
-    more = verified(bounded(pivot_pairs(shared), signed), signed, "jaccard-more")
-    links = links.union(more)
-    roots = components(links, "jaccard-second")
+    for turn in range(TURNS):
+        asked = pivot_pairs(with_roots(shared, roots) if turn else shared, turn)
+        links = links.union(verified(bounded(asked, signed), signed, f"jaccard-more-{turn}"))
+        roots = components(links, f"jaccard-turn-{turn}")
     larger = shared.groupBy("node").agg(F.count("*").alias("n_rows")).where("n_rows > 2").select("node")  # two rows have met
     rest = with_roots(shared.join(larger, "node", "left_semi"), roots)
     last = verified(tree_pairs(rest, signed), signed, "jaccard-last")
