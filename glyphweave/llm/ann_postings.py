@@ -2,8 +2,9 @@
 
 Centroids come from a balanced split of a bounded sample; every vector is indexed.
 A vector near a boundary is copied to several lists, centroids are searched through
-an in-memory neighbour graph, and a query reads the lists whose centroid is not
-much further than its nearest one. Equal vectors are one point with its smallest
+an in-memory neighbour graph, and a query reads all lists whose centroid is not
+much further than its nearest one, however many. Lists are dealt in groups, so a
+query is moved once for each group and not for each list. Equal vectors are one point with its smallest
 ids, since ties go to the smaller id anyway, so a flood of copies fills no list.
 """
 
@@ -32,7 +33,8 @@ class AnnSpec:
     copies: int = 6
     #: A query reads lists within this distance ratio of its nearest centroid.
     probe_ratio: float = 1.25
-    #: Graph degree, and candidates kept while a query or a point walks the graph.
+    #: Graph degree, and candidates kept while a query or a point walks the graph. A query
+    #: whose beam ends inside probe_ratio is compared with all centroids instead.
     degree: int = 24
     probe_beam: int = 128
     index_beam: int = 24
@@ -96,6 +98,10 @@ def balanced_centroids(sample: np.ndarray, lists: int) -> np.ndarray:
     return np.stack([sample[p].mean(0) for p in parts if len(p)])
 
 
+#: Most lists of a group; a bit of a long stands for each.
+GROUP_LISTS = 32
+
+
 class CentroidGraph:
     """Each centroid's nearest others; a walk keeps the best few seen and expands the best not yet expanded."""
 
@@ -147,7 +153,11 @@ def choose_lists(graph: CentroidGraph, x: np.ndarray, beam: int, ratio: float, c
     """Lists of each row: within `ratio` of the nearest; for index rows, one closer to a chosen list than to the row is left out."""
     best, far = graph.search(x, beam)
     out = []
-    for lists, d in zip(best, far, strict=True):
+    for row, (lists, d) in enumerate(zip(best, far, strict=True)):
+        if not copies and len(d) < len(graph.centroids) and d[-1] <= d[0] * ratio + 1e-9:
+            d = np.sqrt(graph._distances(x[row : row + 1].astype(np.float32))[0])
+            lists = np.argsort(d, kind="stable")
+            d = d[lists]
         near = lists[(d <= d[0] * ratio + 1e-9) & np.isfinite(d)]
         if copies:
             chosen: list[int] = []
@@ -161,26 +171,31 @@ def choose_lists(graph: CentroidGraph, x: np.ndarray, beam: int, ratio: float, c
 
 
 def placed_in(points: DataFrame, graph, spec: AnnSpec, dim: int, beam: int, ratio: float, copies: int | None) -> DataFrame:
-    """(list_no, point_no, vec) for each list a point belongs to."""
+    """(group_no, bits, point_no, vec) for each group with lists that a point belongs to; a bit for each of those lists."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups = -(-len(graph.value.centroids) // GROUP_LISTS)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 lists = choose_lists(graph.value, unit_rows(batch.column("vec").to_pylist(), dim), beam, ratio, copies)
-                row = np.repeat(np.arange(batch.num_rows), [len(x) for x in lists])
+                row, flat = np.repeat(np.arange(batch.num_rows), [len(x) for x in lists]), np.concatenate(lists)
+                met, place_of = np.unique(row * groups + flat % groups, return_inverse=True)
+                bits = np.zeros(len(met), np.int64)
+                np.bitwise_or.at(bits, place_of, np.int64(1) << (flat // groups))
+                row = pa.array(met // groups)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(lists)), batch.column("point_no").take(pa.array(row)), batch.column("vec").take(pa.array(row))],
-                    names=["list_no", "point_no", "vec"],
+                    [pa.array(met % groups), pa.array(bits), batch.column("point_no").take(row), batch.column("vec").take(row)],
+                    names=["group_no", "bits", "point_no", "vec"],
                 )
 
-    return points.select("point_no", "vec").mapInArrow(place, "list_no long, point_no long, vec binary")
+    return points.select("point_no", "vec").mapInArrow(place, "group_no long, bits long, point_no long, vec binary")
 
 
 def _tiled(rows: DataFrame, name: str, size: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with a tile number in their list, and the tiles of each list."""
-    tiles = rows.groupBy("list_no").agg(F.ceil(F.count("*") / size).alias("tiles"))
-    return rows.join(tiles, "list_no").withColumn(name, F.pmod(F.xxhash64("point_no"), F.col("tiles"))).drop("tiles"), tiles
+    """Rows with a tile number in their group, and the tiles of each group."""
+    tiles = rows.groupBy("group_no").agg(F.ceil(F.count("*") / size).alias("tiles"))
+    return rows.join(tiles, "group_no").withColumn(name, F.pmod(F.xxhash64("point_no"), F.col("tiles"))).drop("tiles"), tiles
 
 
 def nearest(vectors: DataFrame, is_query, spec: AnnSpec | None = None) -> DataFrame:
@@ -220,13 +235,13 @@ def nearest(vectors: DataFrame, is_query, spec: AnnSpec | None = None) -> DataFr
 
     stored = written(placed_in(points, graph, spec, dim, spec.index_beam, spec.spill_ratio, spec.copies), "ann-lists")
     probes = written(placed_in(wanted, graph, spec, dim, spec.probe_beam, spec.probe_ratio, None), "ann-probes")
-    stored, list_tiles = _tiled(stored, "tile", spec.block)
+    stored, group_tiles = _tiled(stored, "tile", spec.block)
     probes, probe_tiles = _tiled(probes, "probe_tile", spec.block)
     over = lambda tiles, name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(tiles) - 1)).alias(name)
-    left = probes.join(list_tiles, "list_no").select("list_no", "probe_tile", over("tiles", "tile"), "point_no", "vec")
+    left = probes.join(group_tiles, "group_no").select("group_no", "probe_tile", over("tiles", "tile"), "bits", "point_no", "vec")
     firsts = points.select("point_no", F.element_at("ids", 1).alias("first_id"))
-    right = stored.join(probe_tiles, "list_no").select("list_no", over("tiles", "probe_tile"), "tile", "point_no", "vec").join(firsts, "point_no")
-    keys = ["list_no", "probe_tile", "tile"]
+    right = stored.join(probe_tiles, "group_no").select("group_no", over("tiles", "probe_tile"), "tile", "bits", "point_no", "vec").join(firsts, "point_no")
+    keys = ["group_no", "probe_tile", "tile"]
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
         empty = pa.table({"query_no": pa.array([], pa.int64()), "point_no": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
@@ -234,18 +249,20 @@ def nearest(vectors: DataFrame, is_query, spec: AnnSpec | None = None) -> DataFr
             return empty
         x, y = (np.frombuffer(b"".join(t["vec"].to_pylist()), np.float64).reshape(-1, dim) for t in (a, b))
         ids, first = b["point_no"].to_numpy(), b["first_id"].to_numpy()
+        asked_bits, held_bits = a["bits"].to_numpy(), b["bits"].to_numpy()
         qs, ps, ss = [], [], []
         lx, ly = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-        for q, row in enumerate(x):
-            s = np.einsum("ij,j->i", y, row) / (ly * lx[q])
-            if len(s) > k:
-                some = np.flatnonzero(s >= np.partition(s, -k)[-k] - 1e-12)
-            else:
-                some = np.arange(len(s))
-            some = some[np.lexsort((first[some], -s[some]))][:k]
-            qs.append(np.full(len(some), a["point_no"][q].as_py()))
-            ps.append(ids[some])
-            ss.append(np.array([np.dot(y[j], row) / (ly[j] * lx[q]) for j in some]))
+        for at in range(0, len(x), 256):
+            met = (asked_bits[at : at + 256, None] & held_bits[None]) != 0
+            rough = np.where(met, x[at : at + 256] @ y.T / (lx[at : at + 256, None] * ly), -np.inf)
+            least = np.partition(rough, -k, axis=1)[:, -k] if len(y) > k else np.full(len(rough), -np.inf)
+            for q, row in enumerate(x[at : at + 256], at):
+                some = np.flatnonzero(met[q - at] & (rough[q - at] >= least[q - at] - 1e-12))
+                s = np.einsum("ij,j->i", y[some], row) / (ly[some] * lx[q])
+                some = some[np.lexsort((first[some], -s))][:k]
+                qs.append(np.full(len(some), a["point_no"][q].as_py()))
+                ps.append(ids[some])
+                ss.append(np.array([np.dot(y[j], row) / (ly[j] * lx[q]) for j in some]))
         return pa.table({"query_no": np.concatenate(qs), "point_no": np.concatenate(ps), "score": np.concatenate(ss)})
 
     hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "query_no long, point_no long, score double")

@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -393,6 +394,21 @@ def test_nearest_recall(spark, sf):
     assert hits / total >= 0.95
 
 
+def test_nearest_recall_on_many_random_vectors(spark, tmp_path):
+    n = 100_000  # 521 lists
+    x = np.random.default_rng(3).normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = x.astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": list(x)}), tmp_path / "x.parquet")
+    got = ann_postings.nearest(spark.read.parquet(str(tmp_path / "x.parquet")), F.col("vec_id") % 1000 == 0).toPandas()
+    hits = 0
+    for q in range(0, n, 1000):
+        scores = x @ x[q]
+        scores[q] = -2
+        hits += len(set(got[got.query_id == q].vec_id) & set(np.argsort(-scores)[:5]))
+    assert len(got) == 500 and hits / 500 >= 0.9, hits
+
+
 def test_nearest_of_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (3, [2.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (None, [1.0, 1.0]), (8, [0.0, 1.0]), (8, [0.0, 1.0]), (9, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("label", F.lit(1))
