@@ -203,8 +203,8 @@ def nearest(vectors: DataFrame, is_query, spec: AnnSpec | None = None) -> DataFr
 
     Returns query_id, rank (from 1), vec_id, score: nearest first, ties to the smaller
     vec_id, all candidates if fewer. Vectors that are null, only zeros, of another
-    length than most of the table's widest, or with null or non-finite components
-    take no part, nor do rows without vec_id. Repeated rows count once; rows that
+    length than most usable ones (of two such, the longer), or with null or non-finite
+    components take no part, nor do rows without vec_id. Repeated rows count once; rows that
     share the query's vec_id aren't its neighbours. No usable vectors give no rows.
     """
     spec = spec or AnnSpec()
@@ -212,7 +212,9 @@ def nearest(vectors: DataFrame, is_query, spec: AnnSpec | None = None) -> DataFr
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(
         "vec_id is not null and embedding is not null"
     )
-    dim = rows.agg(F.max(F.size("embedding"))).first()[0]
+    fine = rows.where(F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0))
+    lengths = fine.groupBy(F.size("embedding").alias("length")).count()
+    dim = lengths.agg(F.max_by("length", F.struct("count", "length"))).first()[0]
     k = spec.neighbours + 1
     if not dim:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

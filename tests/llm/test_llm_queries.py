@@ -420,6 +420,13 @@ def test_nearest_of_odd_rows(spark):
     assert ann_postings.nearest(df.where("vec_id in (4, 5)"), F.lit(True)).count() == 0
 
 
+def test_nearest_beside_longer_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0, 1.0]), (4, [1.0, None, 1.0, 1.0]), *((k, [0.0] * 5) for k in range(5, 9)), *((k, [float("nan")] * 6) for k in range(9, 13))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann_postings.nearest(df, F.col("vec_id").isin(0, 3)).orderBy("rank").collect()
+    assert [(r.query_id, r.vec_id) for r in got] == [(0, 1), (0, 2)]
+
+
 # secrets, URLs, token counts
 
 
