@@ -17,6 +17,9 @@ from glyphweave.llm.labelled import fold_of
 from glyphweave.llm.queries import table
 from glyphweave.llm.workspace import written
 
+#: Near copies share four fifths of their runs of five words; op9_jaccard_join has its own rule.
+NEAR_COPIES = jaccard_join.Rule(width=5, over=80, under=100)
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -27,8 +30,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, of the smallest doc_id, of each group that the Jaccard join links."""
-    return jaccard_join.one_of_each(docs)
+    """Keep one document, of the smallest doc_id, of each group that the Jaccard join links by NEAR_COPIES."""
+    return jaccard_join.one_of_each(docs, NEAR_COPIES)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,23 @@ from glyphweave.llm import texthash
 from glyphweave.llm.components import components
 from glyphweave.llm.workspace import release, sized, written
 
-#: Links need OVER * |union| <= UNDER * |intersection|.
-OVER, UNDER = 85, 100
-WIDTH = 4
+
+@dataclass(frozen=True)
+class Rule:
+    """Sets of shingles of `width` words link if over * |union| <= under * |intersection|."""
+
+    width: int = 4
+    over: int = 85
+    under: int = 100
+
+    @property
+    def class_ratio(self) -> float:
+        """Size classes are a little wider than the linking ratio, so partners are in the same or the next class."""
+        return 1 / (self.over / self.under - 0.01)
+
+
+#: The rule of op9_jaccard_join.
+RULE = Rule()
 #: Groups of a point, and of the boxes over points; a coarse group is FINE / COARSE of them.
 FINE, COARSE = 256, 32
 CELL_BITS = 22
@@ -45,11 +60,9 @@ FIRST = 4
 #: Times that every mixed node tries another pivot before its box trees are joined.
 TURNS = 2
 LEAF, FAN, TILE = 24, 8, 2048
-#: Size classes are a little wider than the linking ratio, so partners are in the same or the next class.
-CLASS_RATIO = 1 / 0.84
 
 
-def sets_of(texts: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
+def sets_of(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text; empty for null or wordless texts."""
     for row, end, buf, offs in texthash.chunks(texts):
         starts, ends, before = texthash.spans(buf, offs, texthash.NOT_SPACE)
@@ -59,9 +72,9 @@ def sets_of(texts: pa.Array, width: int = WIDTH) -> Iterator[np.ndarray]:
             yield found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found
 
 
-def least_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def least_overlap(a: np.ndarray, b: np.ndarray, rule: Rule = RULE) -> np.ndarray:
     """The smallest intersection with which sets of these sizes link."""
-    return -(-OVER * (a + b) // (OVER + UNDER))
+    return -(-rule.over * (a + b) // (rule.over + rule.under))
 
 
 def packed_counts(found: np.ndarray) -> bytes:
@@ -76,7 +89,7 @@ def unpacked_counts(packed: list[bytes], sizes: np.ndarray) -> np.ndarray:
     return np.where(counts == 255, np.maximum(sizes, 255)[:, None], counts)
 
 
-def common_cells(docs: DataFrame) -> np.ndarray:
+def common_cells(docs: DataFrame, rule: Rule) -> np.ndarray:
     """A bit for each cell of fine groups that is common somewhere in the corpus.
 
     Every document is read and counts are exact within a task, where equal sets count
@@ -87,7 +100,7 @@ def common_cells(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, seen = np.zeros(1 << CELL_BITS, np.uint32), set()
         for batch in batches:
-            for found in sets_of(batch.column(0)):
+            for found in sets_of(batch.column(0), rule.width):
                 if not len(found) or (key := hash(found.tobytes())) in seen:
                     continue
                 seen.add(key)
@@ -100,9 +113,9 @@ def common_cells(docs: DataFrame) -> np.ndarray:
     return np.packbits(bits)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
     """Written: row_no, n_shingles, set_key, counts, groups (the short list), doc (the row itself)."""
-    shared = docs.sparkSession.sparkContext.broadcast(common_cells(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(common_cells(docs, rule))
     rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.struct("*").alias("doc"))
     made = rows.selectExpr(
         "row_no", "0L as n_shingles", "cast('' as binary) as set_key", "cast('' as binary) as counts", "cast(array() as array<bigint>) as groups", "doc"
@@ -113,13 +126,13 @@ def signatures(docs: DataFrame) -> DataFrame:
         common = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             sizes, keys, counts, groups = [], [], [], []
-            for found in sets_of(pc.struct_field(batch.column("doc"), "text")):
+            for found in sets_of(pc.struct_field(batch.column("doc"), "text"), rule.width):
                 n = len(found)
                 sizes.append(n)
                 keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
                 counts.append(packed_counts(found))
                 last = common[(found >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-                take = n - -(-OVER * n // UNDER) + 1 if n else 0
+                take = n - -(-rule.over * n // rule.under) + 1 if n else 0
                 groups.append(np.concatenate([found[~last], found[last]])[:take].view(np.int64))
             ends = np.cumsum([0, *map(len, groups)]).astype(np.int32)
             flat = pa.array(np.concatenate([np.zeros(0, np.int64), *groups]))
@@ -132,14 +145,14 @@ def signatures(docs: DataFrame) -> DataFrame:
     return written(slim, "jaccard-signatures")
 
 
-def _set_column(texts: pa.Array) -> list[np.ndarray]:
+def _set_column(texts: pa.Array, width: int) -> list[np.ndarray]:
     """Sets of texts, each text of a run of equal ones hashed once."""
     codes = texts.dictionary_encode()
-    sets = list(sets_of(codes.dictionary))
+    sets = list(sets_of(codes.dictionary, width))
     return [sets[k] for k in codes.indices.to_pylist()]
 
 
-def bounded(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+def bounded(pairs: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) whose points' summed minima still allow a link."""
     left = signed.select(F.col("row_no").alias("a"), F.col("n_shingles").alias("n_a"), F.col("counts").alias("c_a"))
     right = signed.select(F.col("row_no").alias("b"), F.col("n_shingles").alias("n_b"), F.col("counts").alias("c_b"))
@@ -150,13 +163,13 @@ def bounded(pairs: DataFrame, signed: DataFrame) -> DataFrame:
                 continue
             n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
             x, y = unpacked_counts(batch.column("c_a").to_pylist(), n_a), unpacked_counts(batch.column("c_b").to_pylist(), n_b)
-            fits = np.minimum(x, y).sum(1) >= least_overlap(n_a, n_b)
+            fits = np.minimum(x, y).sum(1) >= least_overlap(n_a, n_b, rule)
             yield batch.select(["a", "b"]).filter(pa.array(fits))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "c_a", "c_b").mapInArrow(check, "a long, b long")
 
 
-def verified(pairs: DataFrame, signed: DataFrame, label: str) -> DataFrame:
+def verified(pairs: DataFrame, signed: DataFrame, rule: Rule, label: str) -> DataFrame:
     """Written: the pairs (a, b) that link, by their texts' exact sets.
 
     Texts of the documents in question are written once, so that both joins move
@@ -174,9 +187,9 @@ def verified(pairs: DataFrame, signed: DataFrame, label: str) -> DataFrame:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 links = []
-                for x, y in zip(_set_column(batch.column("t_a")), _set_column(batch.column("t_b")), strict=True):
+                for x, y in zip(_set_column(batch.column("t_a"), rule.width), _set_column(batch.column("t_b"), rule.width), strict=True):
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                    links.append(UNDER * both >= OVER * (len(x) + len(y) - both))
+                    links.append(rule.under * both >= rule.over * (len(x) + len(y) - both))
                 yield batch.select(["a", "b"]).filter(pa.array(links, pa.bool_()))
 
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "t_a", "t_b")
@@ -185,12 +198,12 @@ def verified(pairs: DataFrame, signed: DataFrame, label: str) -> DataFrame:
     return found
 
 
-def fits_in_size(n_a, n_b):
-    """Neither size under OVER / UNDER of the other."""
-    return (F.least(n_a, n_b) * UNDER) >= (F.greatest(n_a, n_b) * OVER)
+def fits_in_size(n_a, n_b, rule: Rule):
+    """Neither size under over / under of the other."""
+    return (F.least(n_a, n_b) * rule.under) >= (F.greatest(n_a, n_b) * rule.over)
 
 
-def pivot_pairs(rows: DataFrame, turn: int = 0) -> DataFrame:
+def pivot_pairs(rows: DataFrame, rule: Rule, turn: int = 0) -> DataFrame:
     """(a, b) between each node's pivot and its other documents of another root and fitting size.
 
     The pivot is the document with the least hash of itself, the node and the turn, so
@@ -203,7 +216,7 @@ def pivot_pairs(rows: DataFrame, turn: int = 0) -> DataFrame:
         F.min_by("n", luck).alias("pivot_n"),
         F.min_by("root", luck).alias("pivot_root"),
     ).where("n_rows > 1")
-    met = rows.join(pivots, "node").where((F.col("root") != F.col("pivot_root")) & fits_in_size(F.col("n"), F.col("pivot_n")))
+    met = rows.join(pivots, "node").where((F.col("root") != F.col("pivot_root")) & fits_in_size(F.col("n"), F.col("pivot_n"), rule))
     return met.select(F.least("pivot", "row_no").alias("a"), F.greatest("pivot", "row_no").alias("b")).distinct()
 
 
@@ -218,7 +231,8 @@ def with_roots(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
 class BoxTree:
     """Points packed into boxes, level over level. A box knows its upper corner over coarse groups, its least size and its only root, if it has just one."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, roots: np.ndarray):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, roots: np.ndarray, rule: Rule = RULE):
+        self.rule = rule
         coarse = points.astype(np.int32).reshape(len(points), COARSE, -1).sum(2)
         heavy = np.argmax(coarse, axis=1) if len(points) else np.zeros(0, int)
         self.order = np.lexsort((heavy, roots, sizes))
@@ -260,14 +274,13 @@ class BoxTree:
             y = np.concatenate([np.zeros(0, np.int64), *(p[1] for p in parts)])
         return self.order[x], self.order[y]
 
-    @staticmethod
-    def _may(corner, low, high, first, last, x, y) -> np.ndarray:
-        ok = (np.minimum(high[x], high[y]) * UNDER >= np.maximum(low[x], low[y]) * OVER)
+    def _may(self, corner, low, high, first, last, x, y) -> np.ndarray:
+        ok = (np.minimum(high[x], high[y]) * self.rule.under >= np.maximum(low[x], low[y]) * self.rule.over)
         ok &= ~((first[x] == last[x]) & (first[y] == last[y]) & (first[x] == first[y]))
         at = np.flatnonzero(ok)
         for cut in range(0, len(at), 1 << 15):
             k = at[cut : cut + (1 << 15)]
-            ok[k] = np.minimum(corner[x[k]], corner[y[k]]).sum(1) >= least_overlap(low[x[k]], low[y[k]])
+            ok[k] = np.minimum(corner[x[k]], corner[y[k]]).sum(1) >= least_overlap(low[x[k]], low[y[k]], self.rule)
         return ok
 
 
@@ -288,7 +301,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield held
 
 
-def tree_pairs(rows: DataFrame, signed: DataFrame) -> DataFrame:
+def tree_pairs(rows: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
     """Distinct pairs (a, b) of different roots within nodes, by box trees of at most two tiles each.
 
     `rows`: node, row_no, n, root. A node's documents are split by size class, the
@@ -296,7 +309,7 @@ def tree_pairs(rows: DataFrame, signed: DataFrame) -> DataFrame:
     is split into tiles, and every two tiles meet in a task of their own.
     """
     spark: SparkSession = rows.sparkSession
-    home = F.floor(F.log(F.col("n").cast("double")) / float(np.log(CLASS_RATIO)))
+    home = F.floor(F.log(F.col("n").cast("double")) / float(np.log(rule.class_ratio)))
     placed = rows.withColumn("home", home).withColumn("class", F.explode(F.array(F.col("home"), F.col("home") + 1)))
     met = placed.groupBy("node", "class").agg(F.count("*").alias("n_rows"), F.min("root").alias("low"), F.max("root").alias("high"), F.max((F.col("home") == F.col("class")).cast("int")).alias("lived"))
     useful = met.where("low < high and lived = 1").select("node", "class", F.ceil(F.col("n_rows") / TILE).alias("tiles"))
@@ -315,7 +328,7 @@ def tree_pairs(rows: DataFrame, signed: DataFrame) -> DataFrame:
             ids = group["row_no"].to_numpy()
             sizes = group["n"].to_numpy()
             points = unpacked_counts(group["counts"].to_pylist(), sizes)
-            x, y = BoxTree(points, sizes, group["root"].to_numpy()).pairs()
+            x, y = BoxTree(points, sizes, group["root"].to_numpy(), rule).pairs()
             visits = group["visits"].to_numpy()
             x, y = x[~(visits[x] & visits[y])], y[~(visits[x] & visits[y])]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], names=["a", "b"])
@@ -323,7 +336,7 @@ def tree_pairs(rows: DataFrame, signed: DataFrame) -> DataFrame:
     return dealt.mapInArrow(join, "a long, b long").distinct()
 
 
-def linked_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def linked_groups(docs: DataFrame, rule: Rule = RULE) -> tuple[DataFrame, DataFrame]:
     """One row for each row of `docs` (doc_id, text): what it is linked with, directly or over others.
 
     Returns two tables: row_no, doc_id, n_shingles, component_id (the smallest doc_id reachable),
@@ -332,7 +345,7 @@ def linked_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     Rows with equal sets are linked; null and wordless texts are linked with nothing
     and are first. A null doc_id sorts after all others. An empty table gives no rows.
     """
-    signed = signatures(docs)
+    signed = signatures(docs, rule)
     keyed = signed.select("row_no", "n_shingles", "set_key", F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"))
     classes = written(
         keyed.where("n_shingles > 0").groupBy("set_key").agg(F.min("row_no").alias("rep"), F.min(F.struct("id", "row_no")).alias("best")),
@@ -342,7 +355,7 @@ def linked_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     slim = written(reps.select("row_no", F.col("n_shingles").alias("n"), "groups"), "jaccard-points")
 
     first = slim.select("row_no", "n", F.explode(F.slice("groups", 1, FIRST)).alias("node"))
-    links = verified(bounded(pivot_pairs(with_roots(first, None)), signed), signed, "jaccard-links")
+    links = verified(bounded(pivot_pairs(with_roots(first, None), rule), signed, rule), signed, rule, "jaccard-links")
     roots = components(links, "jaccard-first")
 
     nodes = with_roots(slim, roots).select("row_no", "n", "root", F.explode("groups").alias("node"))
@@ -351,12 +364,12 @@ def linked_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = written(nodes.join(sized(mixed), "node", "left_semi"), "jaccard-shared")
     release(signed.sparkSession)
     for turn in range(TURNS):
-        asked = pivot_pairs(with_roots(shared, roots) if turn else shared, turn)
-        links = links.union(verified(bounded(asked, signed), signed, f"jaccard-more-{turn}"))
+        asked = pivot_pairs(with_roots(shared, roots) if turn else shared, rule, turn)
+        links = links.union(verified(bounded(asked, signed, rule), signed, rule, f"jaccard-more-{turn}"))
         roots = components(links, f"jaccard-turn-{turn}")
     larger = shared.groupBy("node").agg(F.count("*").alias("n_rows")).where("n_rows > 2").select("node")  # two rows have met
     rest = with_roots(shared.join(larger, "node", "left_semi"), roots)
-    last = verified(tree_pairs(rest, signed), signed, "jaccard-last")
+    last = verified(tree_pairs(rest, signed, rule), signed, rule, "jaccard-last")
     roots = components(links.union(last), "jaccard-roots")
 
     rooted = with_roots(classes.select(F.col("rep").alias("row_no"), "set_key", "best"), roots)
@@ -374,8 +387,8 @@ def linked_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ), signed
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """The rows of `docs` that come first in their component, with their columns."""
-    grouped, signed = linked_groups(docs)
+    grouped, signed = linked_groups(docs, rule)
     kept = grouped.where("is_first").select("row_no")
     return signed.join(kept, "row_no", "left_semi").select("doc.*")

@@ -333,6 +333,31 @@ def test_jaccard_of_near_copies(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept) == sorted({w[2] for w in want})
 
 
+def test_jaccard_by_other_rules(spark):
+    rng = np.random.default_rng(7)
+    base = [[f"w{rng.integers(1e6)}" for _ in range(80)] for _ in range(8)]
+    rows = []
+    for k in range(160):
+        words = list(base[k % 8])
+        for _ in range(int(rng.integers(0, 3))):
+            words[int(rng.integers(len(words)))] = f"e{rng.integers(1e6)}"
+        rows.append((k, " ".join(words[: int(rng.integers(66, 81))])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    links = {}
+    for rule in (jaccard_join.RULE, jaccard_join.Rule(5, 80, 100), jaccard_join.Rule(3, 1, 2)):
+        sets = [{tuple(w[k : k + rule.width]) for k in range(len(w) - rule.width + 1)} for w in (t.split() for _, t in rows)]
+        root = list(range(len(sets)))
+        for i in range(len(sets)):
+            for j in range(i):
+                if rule.under * len(sets[i] & sets[j]) >= rule.over * len(sets[i] | sets[j]) and root[i] != root[j]:
+                    low, high = sorted((root[i], root[j]))
+                    root = [low if r == high else r for r in root]
+        got = {r.doc_id: r.component_id for r in jaccard_join.linked_groups(df, rule)[0].collect()}
+        assert [got[k] for k in range(len(rows))] == root
+        links[rule] = tuple(root)
+    assert len(set(links.values())) == 3
+
+
 def test_box_tree_loses_no_pair():
     rng = np.random.default_rng(4)
     points = rng.poisson(0.2, (400, jaccard_join.FINE)).astype(np.uint32)

@@ -43,6 +43,15 @@ def test_one_of_each_group_stays(stages):
     assert sorted(stages[1].doc_id) == sorted({c for _, _, c in found})
 
 
+def test_near_copies_share_four_fifths_of_five_words(spark, sf):
+    rows = []
+    for first, n in ((1, 49), (3, 48)):  # one word of 49 changed leaves 40 of 50 runs of five in common, one of 48 leaves 39 of 49
+        words = [f"w{first}x{k}" for k in range(n)]
+        rows += [(first, " ".join(words)), (first + 1, " ".join([*words[:20], "other", *words[21:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, sf).collect()) == [1, 3, 4]
+
+
 def test_contaminated_documents_go(sf, stages):
     items = pq.read_table(f"{sf}/benchmark.parquet").to_pandas()
     judged = brute_contamination(zip(stages[1].doc_id, stages[1].text, strict=True), list(zip(items.item_id, items.text, strict=True)))
