@@ -8,6 +8,7 @@ than the entries they excuse, and the sum is set against the text's length.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -33,8 +34,8 @@ _FOLD[ord("ｌ")] = "i"
 _WORD = re.compile(r"[^\W_]+")
 _EDGE_SIGNS = re.compile(r"(?<!\w)[@$!|]+|[@$!|]+(?!\w)")
 PREFIXES = range(3, 11)
-#: At most so many candidate entries are weighed.
-CANDIDATES = 20_000
+#: Bits of the cells that candidate entries are hashed to, to leave other entries of clean texts out early.
+CELL_BITS = 22
 
 
 def folded_words(text: str | None) -> list[str]:
@@ -87,21 +88,32 @@ def matches(words: list[str], automaton) -> float:
     return float(sum(w for _, w in automaton.iter_long(laid)))
 
 
-def _gather(sample: DataFrame, label: int, known: frozenset[str] | None) -> DataFrame:
+def _cells(entries: DataFrame) -> np.ndarray:
+    """A bit for each cell that holds one of the entries."""
+    cells = entries.select(F.crc32(F.col("entry").cast("binary")).bitwiseAND(F.lit((1 << CELL_BITS) - 1)).alias("cell")).distinct()
+    bits = np.zeros(1 << CELL_BITS, bool)
+    bits[cells.toArrow()["cell"].to_numpy()] = True
+    return np.packbits(bits)
+
+
+def _gather(sample: DataFrame, label: int, cells: np.ndarray | None = None) -> DataFrame:
     """(entry, contexts): in how many distinct neighbourhoods each entry stands in texts of one label.
 
-    Copies repeat their neighbourhoods, so groups of near copies count once.
+    Copies repeat their neighbourhoods, so groups of near copies count once. With `cells`,
+    entries of other cells are left out.
     """
+    shared = sample.sparkSession.sparkContext.broadcast(cells)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None if shared.value is None else np.unpackbits(shared.value).tobytes()
         for batch in batches:
-            found = set()
+            found, cut = set(), {}
             for text in batch.column("text").to_pylist():
                 words = folded_words(text)
                 for before, word in zip([""] + words, words, strict=False):
-                    for e in _entries(word):
-                        if known is None or e in known:
-                            found.add((e, before))
+                    if word not in cut:
+                        cut[word] = [e for e in _entries(word) if held is None or held[zlib.crc32(e.encode()) & ((1 << CELL_BITS) - 1)]]
+                    found.update((e, before) for e in cut[word])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([e for e, _ in found], pa.string()), pa.array([b for _, b in found], pa.string())], names=["entry", "before"]
             )
@@ -118,28 +130,23 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = SAMPLE
     commoner in clean texts become exceptions. Without both labels the lexicon is empty.
     """
     sample = written(labelled_sample(docs, labels, "toxic", usable, rows), "toxicity-sample")
-    toxic = (
-        _gather(sample, 1, None).where("contexts >= 3").orderBy(F.desc("contexts"), "entry").limit(CANDIDATES).collect()
-    )
-    if not toxic:
+    toxic = written(_gather(sample, 1).where("contexts >= 3"), "toxicity-candidates")
+    if toxic.isEmpty():
         return Lexicon({}, (), (-4.0, 0.0, 0.0))
-    ones = {r["entry"]: r["contexts"] for r in toxic}
-    zeros = {r["entry"]: r["contexts"] for r in _gather(sample, 0, frozenset(ones)).collect()}
+    clean = _gather(sample, 0, _cells(toxic)).withColumnRenamed("contexts", "clean")
     sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.sum(F.length("text")).alias("n")).collect()}
     n1, n0 = sizes.get(1, 0) + 1, sizes.get(0, 0) + 1
-    weights: dict[str, float] = {}
-    for e, a in ones.items():
-        b = zeros.get(e, 0)
-        odds = np.log((a + 0.5) / n1) - np.log((b + 0.5) / n0)
-        if odds - 1.64 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)) > 1.5:
-            weights[e] = float(odds)
-    excused = tuple(
-        sorted(
-            e
-            for e, a in ones.items()
-            if not e.endswith("*") and e not in weights and zeros.get(e, 0) >= 3 and zeros[e] / n0 > a / n1 and any(p in weights for p in _entries(e)[1:])
-        )
-    )
+    a, b = F.col("contexts") + 0.5, F.col("clean") + 0.5
+    bound = F.log(a / n1) - F.log(b / n0) - 1.64 * F.sqrt(1 / a + 1 / b)
+    counted = toxic.join(clean, "entry", "left").fillna(0, ["clean"]).withColumn("telling", bound > 1.5)
+    whole = F.col("contexts") / n1 < F.col("clean") / n0
+    counted = written(counted.withColumn("excusable", ~F.col("telling") & ~F.col("entry").endswith("*") & (F.col("clean") >= 3) & whole), "toxicity-counted")
+    telling = counted.where("telling").orderBy(F.desc("contexts"), "entry").collect()
+    weights = {r["entry"]: float(np.log((r["contexts"] + 0.5) / n1) - np.log((r["clean"] + 0.5) / n0)) for r in telling}
+    begins = F.transform(F.sequence(F.lit(PREFIXES[0]), F.least(F.length("entry"), F.lit(PREFIXES[-1]))), lambda k: F.concat(F.col("entry").substr(F.lit(1), k), F.lit("*")))
+    words = counted.where(F.col("excusable") & (F.length("entry") >= PREFIXES[0])).select(F.col("entry").alias("word"), F.explode(begins).alias("entry"))
+    under = words.join(counted.where("telling").select("entry"), "entry", "left_semi").select("word").distinct()
+    excused = tuple(sorted(r["word"] for r in under.collect()))
     measured = _measured(sample, weights, excused).collect()
     x = np.array([(r["total"], r["words"]) for r in measured], float).reshape(-1, 2)
     y = np.array([r["label"] for r in measured], float)

@@ -182,6 +182,20 @@ def test_toxicity_folding_and_exceptions(spark):
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
+def test_toxicity_weighs_rare_entries(spark):
+    rng = np.random.default_rng(9)
+    vocabulary = ["".join(w) for w in rng.choice(list("abcdefghkmnopqrstuvwxyz"), (4000, 12))]
+    rows = []
+    for k in range(56):  # every word and beginning stands in about 8 neighbourhoods of toxic texts and 48 of clean ones
+        words = rng.permutation(vocabulary).tolist()
+        if k < 6:
+            words.insert(2000, "grobian")
+        rows.append((k, " ".join(words), int(k < 8)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    lexicon = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.lit(True))
+    assert "grobian" in lexicon.weights
+
+
 def words_of(text):
     return WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
 
