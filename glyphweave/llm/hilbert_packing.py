@@ -65,14 +65,15 @@ def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def curve_keys(ids: list[np.ndarray], spec: PackingSpec) -> np.ndarray:
-    """Hilbert keys of token-id lists; an empty list sits at the middle of the cube."""
-    if not ids:
-        return np.zeros(0, np.int64)
-    sizes = np.array([len(x) for x in ids])
-    hashed = np.concatenate([np.zeros(0, np.int64), *ids]).astype(np.int64) * 2654435761 >> 7
-    where = np.repeat(np.arange(len(ids)), sizes) * spec.buckets + hashed % spec.buckets
-    counts = np.bincount(where, minlength=len(ids) * spec.buckets).reshape(len(ids), -1)
+def curve_keys(ids: np.ndarray, ends: np.ndarray, spec: PackingSpec) -> np.ndarray:
+    """Hilbert keys of documents whose token ids lie end to end, from `ends[k]` to `ends[k + 1]`.
+
+    A document without ids sits at the middle of the cube.
+    """
+    rows = len(ends) - 1
+    hashed = (ids.astype(np.int64) * 2654435761 >> 7) % spec.buckets
+    where = np.repeat(np.arange(rows) * spec.buckets, np.diff(ends)) + hashed
+    counts = np.bincount(where, minlength=rows * spec.buckets).reshape(rows, spec.buckets)
     vectors = np.sqrt(counts)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     rng = np.random.default_rng(7)
@@ -83,25 +84,30 @@ def curve_keys(ids: list[np.ndarray], spec: PackingSpec) -> np.ndarray:
     return hilbert_key(np.clip(cells, 0, (1 << spec.bits) - 1), spec.bits)
 
 
+#: Rows that are encoded at once.
+ROWS = 1000
+
+
 def tokenised(docs: DataFrame, spec: PackingSpec) -> DataFrame:
     """(row_no, doc_id, curve_key, doc_tokens, ids): a row for each row of `docs`, written."""
     path, end = spec.vocabulary_path(), spec.end_id
     schema = pa.schema(
-        [("row_no", pa.int64()), ("doc_id", pa.int64()), ("curve_key", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.binary())]
+        [("row_no", pa.int64()), ("doc_id", pa.int64()), ("curve_key", pa.int64()), ("doc_tokens", pa.int64()), ("ids", pa.large_binary())]
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        kind = "<u2" if enc.size <= 1 << 16 else "<u4"
+        kind = np.dtype("<u2" if max(enc.size, end + 1) <= 1 << 16 else "<u4")
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = enc.ids_of(part.column("text").to_pylist())
-                keys = curve_keys(ids, spec)
-                packed = [np.append(x, end).astype(kind).tobytes() for x in ids]
-                counts = [len(x) + 1 for x in ids]
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                ids, ends = enc.encode(part.column("text"))
+                closed = ends + np.arange(len(ends))
+                packed = np.full(closed[-1], end, kind)
+                packed[np.arange(len(ids)) + np.repeat(np.arange(part.num_rows), np.diff(ends))] = ids
+                binary = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(closed * kind.itemsize), pa.py_buffer(packed)])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("row_no"), part.column("doc_id"), pa.array(keys), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())],
+                    [part.column("row_no"), part.column("doc_id"), pa.array(curve_keys(ids, ends, spec)), pa.array(np.diff(closed)), binary],
                     schema=schema,
                 )
 
@@ -114,53 +120,48 @@ def tokenised(docs: DataFrame, spec: PackingSpec) -> DataFrame:
     return written(made, "packing-ids")
 
 
+PIECE = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32"]
+
+
 def pack(docs: DataFrame, spec: PackingSpec | None = None) -> DataFrame:
     """Pack every row of `docs` (doc_id, text) into sequences of at most `spec.length` tokens.
 
     Returns a row for each piece: doc_id, start, length, doc_tokens, sequence_id,
-    offset, ids (the piece's tokens). Each document ends with `end_id`; a null or
-    empty text is that token alone; repeated rows are packed each; a null doc_id is
-    kept. Ties on the curve go by row. An empty table gives no pieces. Only doc_id
-    and text are read, so other columns can't clash.
+    offset, ids_crc32 (CRC-32 of the piece's tokens as little-endian unsigned 32-bit
+    numbers), ids (the tokens). Rows are laid out in the order of the curve, so the
+    pieces of a sequence are neighbours in the result's partitions, too. Each document
+    ends with `end_id`; a null or empty text is that token alone; repeated rows are
+    packed each; a null doc_id is kept. Ties on the curve go by row. An empty table
+    gives no pieces. Only doc_id and text are read, so other columns can't clash.
     """
     spec = spec or PackingSpec()
-    ids = tokenised(docs, spec)
-    slim = with_running_totals(
-        ids.select("row_no", "curve_key", "doc_tokens"),
-        ["curve_key", "row_no"],
-        {"laid_at": "doc_tokens"},
-        "packing-order",
-    )
-    placed = ids.select("row_no", "doc_id", "doc_tokens", "ids").join(slim.select("row_no", "laid_at"), "row_no")
+    placed = with_running_totals(tokenised(docs, spec), ["curve_key", "row_no"], {"laid_at": "doc_tokens"}, "packing-order")
     size = spec.length
-    schema = pa.schema(
-        [(n, pa.int64()) for n in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.list_(pa.int32()))]
-    )
+    schema = pa.schema([*((n, pa.int64()) for n in PIECE), ("ids", pa.list_(pa.int32()))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            doc, total = batch.column("doc_id"), batch.column("doc_tokens").to_numpy()
-            laid, packed = batch.column("laid_at").to_numpy(), batch.column("ids").to_pylist()
-            first, last = laid // size, (laid + total - 1) // size
-            pieces = last - first + 1
-            row = np.repeat(np.arange(len(total)), pieces)
-            seq = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            begin = np.maximum(seq * size, laid[row])
-            stop = np.minimum((seq + 1) * size, (laid + total)[row])
-            flat = []
-            for r, lo, hi in zip(row.tolist(), (begin - laid[row]).tolist(), (stop - laid[row]).tolist(), strict=True):
-                width = len(packed[r]) // int(total[r])
-                flat.append(np.frombuffer(packed[r], "<u2" if width == 2 else "<u4")[lo:hi])
-            ends = np.concatenate([[0], np.cumsum(stop - begin)]).astype(np.int32)
-            values = np.concatenate([np.zeros(0, "<u2"), *flat]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [doc.take(pa.array(row)), pa.array(begin - laid[row]), pa.array(stop - begin), pa.array(total[row]), pa.array(seq), pa.array(begin - seq * size), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))],
-                schema=schema,
-            )
-
-    return placed.mapInArrow(
-        cut, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids array<int>"
-    )
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                doc, total = batch.column("doc_id"), batch.column("doc_tokens").to_numpy()
+                laid, packed = batch.column("laid_at").to_numpy(), batch.column("ids").cast(pa.large_binary())
+                offs = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset :]
+                kind = "<u2" if int(offs[len(total)] - offs[0]) == 2 * total.sum() else "<u4"
+                ids = np.frombuffer(packed.buffers()[2], np.uint8)[offs[0] : offs[len(total)]].view(kind).astype("<u4")
+                first, last = laid // size, (laid + total - 1) // size
+                pieces = last - first + 1
+                row = np.repeat(np.arange(len(total)), pieces)
+                seq = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                begin = np.maximum(seq * size, laid[row])
+                length = np.minimum((seq + 1) * size, (laid + total)[row]) - begin
+                ends = np.concatenate([[0], np.cumsum(length)])
+                raw = memoryview(ids).cast("B")
+                sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+                numbers = [begin - laid[row], length, total[row], seq, begin - seq * size, np.array(sums, np.int64)]
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.view(np.int32)))
+                yield pa.RecordBatch.from_arrays([doc.take(pa.array(row)), *map(pa.array, numbers), lists], schema=schema)
+
+    return placed.select("doc_id", "doc_tokens", "ids", "laid_at").mapInArrow(cut, ", ".join(f"{n} long" for n in PIECE) + ", ids array<int>")
 
 
 def sequences(pieces: DataFrame, spec: PackingSpec | None = None, pad_id: int = 0) -> DataFrame:
@@ -174,16 +175,5 @@ def sequences(pieces: DataFrame, spec: PackingSpec | None = None, pad_id: int =
 
 
 def piece_digest(pieces: DataFrame) -> DataFrame:
-    """Replace the ids of pieces by the CRC-32 of their little-endian unsigned 32-bit form."""
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-
-    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            flat, offs = ids.flatten().to_numpy().astype("<u4"), ids.offsets.to_numpy() - ids.offsets[0].as_py()
-            sums = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(sums, pa.int64()) if n == "ids_crc32" else batch.column(n) for n in names], names=names
-            )
-
-    return pieces.mapInArrow(crc, ", ".join(f"{n} long" for n in names))
+    """Pieces by their numbers and checksum, without the tokens themselves."""
+    return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")

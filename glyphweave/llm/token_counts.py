@@ -4,37 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphweave.llm.encoding import encoder, vocabulary
+from glyphweave.llm.workspace import written
 
 #: Lengths in one block of the two-level suffix sums.
 BLOCK = 1024
 
 
 def encoded_lengths(docs: DataFrame, path: str = "") -> DataFrame:
-    """n_tokens of each text; a null or empty text has none."""
+    """(n_tokens, documents) of each batch; a null or empty text has no tokens."""
     path = path or vocabulary()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            found: dict[int, int] = {}
-            for at in range(0, batch.num_rows, 500):
-                for ids in enc.ids_of(batch.column(0).slice(at, 500).to_pylist()):
-                    found[len(ids)] = found.get(len(ids), 0) + 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], names=["n_tokens", "documents"]
-            )
+            lengths, documents = np.unique(enc.lengths(batch.column(0)), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(lengths), pa.array(documents.astype(np.int64))], names=["n_tokens", "documents"])
 
     return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "n_tokens long, documents long")
 
 
 def length_histogram(docs: DataFrame, path: str = "") -> DataFrame:
-    """documents of each encoded length. Batches are counted before anything is shuffled."""
-    return encoded_lengths(docs, path).groupBy("n_tokens").agg(F.sum("documents").alias("documents"))
+    """documents of each encoded length, written, so that texts are encoded once however often it is read.
+
+    Batches are counted before anything is shuffled.
+    """
+    return written(encoded_lengths(docs, path).groupBy("n_tokens").agg(F.sum("documents").alias("documents")), "token-histogram")
 
 
 def limit_report(histogram: DataFrame) -> DataFrame:
@@ -45,7 +45,8 @@ def limit_report(histogram: DataFrame) -> DataFrame:
     the limit), tokens_total, share_within (of documents at most that long). Between
     two occurring lengths tokens_kept is linear, so these rows answer any limit, see
     `kept_at`. An empty table gives no rows. Suffix sums run within blocks of BLOCK
-    lengths and over the blocks' totals, so no window holds all lengths.
+    lengths and over the blocks' totals, so no window holds all lengths: a task gets
+    at most BLOCK rows of a block, and one a row for each block.
     """
     rows = histogram.select("n_tokens", "documents", (F.col("n_tokens") * F.col("documents")).alias("tokens"), F.floor(F.col("n_tokens") / BLOCK).alias("block"))
     later = Window.partitionBy("block").orderBy(F.desc("n_tokens")).rowsBetween(Window.unboundedPreceding, -1)

@@ -11,7 +11,8 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,30 +67,27 @@ def with_running_totals(
     """
     spark = df.sparkSession
     local = [f"local_{k}" for k in totals]
-    schema = (
-        df.sparkSession.createDataFrame([], df.schema)
-        .selectExpr("*", *(f"cast(0 as bigint) as {k}" for k in local), "0 as part_no")
-        .schema
-    )
     columns = list(totals.values())
+    schema = spark.createDataFrame([], df.schema).selectExpr("*", *(f"0L as {k}" for k in local), "0 as part_no").schema
 
-    def running(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         base = dict.fromkeys(columns, 0)
-        for pdf in batches:
-            for name, column in zip(local, columns, strict=True):
-                after = pdf[column].to_numpy("int64").cumsum() + base[column]
-                pdf[name] = after - pdf[column].to_numpy("int64")
-                if len(after):
-                    base[column] = int(after[-1])
-            pdf["part_no"] = part
-            yield pdf
+        for batch in batches:
+            sums = []
+            for name in columns:
+                values = batch.column(name).to_numpy().astype(np.int64)
+                after = values.cumsum() + base[name]
+                sums.append(pa.array(after - values))
+                base[name] = int(after[-1]) if len(after) else base[name]
+            parts = pa.array(np.full(batch.num_rows, part, np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *sums, parts], names=[*batch.schema.names, *local, "part_no"])
 
     width = shuffle_width(spark)
     placed = written(
         df.repartitionByRange(width, *order)
         .sortWithinPartitions(*order)
-        .mapInPandas(running, schema),
+        .mapInArrow(running, schema),
         label,
     )
     sums = placed.groupBy("part_no").agg(*(F.sum(c).alias(c) for c in columns))
