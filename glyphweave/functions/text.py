@@ -98,16 +98,26 @@ def seek(share: Column, n: Column) -> Column:
     return F.greatest(F.lit(0), F.least(n - 1, half_up(share * (n - 1))))
 
 
+def step_position(position: Column, by: int, n: Column) -> Column:
+    """Feed position some words on or back, kept within the feed."""
+    return F.greatest(F.lit(0), F.least(n - 1, position + by))
+
+
+def progress(position: Column, n: Column) -> Column:
+    """How far a feed position is, in per cent."""
+    return F.when(n > 1, position / (n - 1) * 100).otherwise(F.lit(0.0))
+
+
+def change_speed(words_per_minute: Column, steps: int) -> Column:
+    """Reading speed some steps of 25 up or down, between 60 and 1200 words a minute."""
+    return F.greatest(F.lit(60), F.least(F.lit(1200), words_per_minute + 25 * steps))
+
+
 def wrap_text(text: Column, width: int) -> Column:
-    """Greedy lines of at most `width` characters; a longer word has a line of its own; no words give one empty line."""
-    words = F.filter(F.split(text, r"(?U)\s+"), lambda w: w != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"))
-
-    def add(acc, word):
-        whole = F.when(acc["line"] == "", word).otherwise(F.concat_ws(" ", acc["line"], word))
-        keep = (acc["line"] == "") | (F.length(whole) <= width)
-        return F.when(keep, F.struct(acc["done"].alias("done"), whole.alias("line"))).otherwise(
-            F.struct(F.concat(acc["done"], F.array(acc["line"])).alias("done"), word.alias("line"))
-        )
-
-    return F.aggregate(words, start, add, lambda acc: F.concat(acc["done"], F.array(acc["line"])))
+    """Greedy lines of at most `width` characters; a longer word has a line of its own; no words give one empty line.
+
+    A line is what a greedy pattern takes from the squeezed text up to a space or the end.
+    """
+    flat = squeeze(text)
+    lines = F.regexp_extract_all(flat, F.lit(f"(.{{1,{width}}}|[^ ]+)(?: |$)"), F.lit(1))
+    return F.when(flat == "", F.array(F.lit(""))).otherwise(lines)

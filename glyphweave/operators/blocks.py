@@ -25,8 +25,8 @@ def detect_blocks(lines: DataFrame) -> DataFrame:
     return lines.withColumn("block_ord", number.cast("int"))
 
 
-def classify_blocks(lines: DataFrame) -> DataFrame:
-    """Blocks of lines (with block_ord): box, kind, line_lo, line_hi, n_lines, n_words.
+def with_kinds(lines: DataFrame) -> DataFrame:
+    """Add the kind of its block to each line (with block_ord).
 
     Two or more lines with column gaps make a table. A paragraph is at least 18 em
     wide and each of its breaks was forced: the next line's first word would not have
@@ -34,19 +34,24 @@ def classify_blocks(lines: DataFrame) -> DataFrame:
     """
     block = Window.partitionBy(*PAGE, "block_ord")
     down = block.orderBy("line_ord")
+    whole = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     next_w, next_size = F.lead("first_w").over(down), F.lead("first_size").over(down)
-    loose = F.col("w") + 0.25 * next_size + next_w <= F.max("w").over(block) + 2
+    loose = F.col("w") + 0.25 * next_size + next_w <= F.max("w").over(whole) + 2
     marked = lines.withColumn("loose", F.coalesce(loose.cast("int"), F.lit(0)))
-    em = F.coalesce(F.min_by("first_size", "line_ord"), F.lit(12.0))
     kind = (
-        F.when(F.count("*") < 2, "lines")
-        .when(F.sum((F.col("column_gaps") > 0).cast("int")) >= 2, "table")
-        .when(F.max("w") < 18 * em, "lines")
-        .when(F.sum("loose") > 0, "lines")
+        F.when(F.count("*").over(whole) < 2, "lines")
+        .when(F.sum((F.col("column_gaps") > 0).cast("int")).over(whole) >= 2, "table")
+        .when(F.max("w").over(whole) < 18 * F.coalesce(F.first("first_size").over(whole), F.lit(12.0)), "lines")
+        .when(F.sum("loose").over(whole) > 0, "lines")
         .otherwise("paragraph")
     )
-    return marked.groupBy(*PAGE, "block_ord").agg(
-        kind.alias("kind"),
+    return marked.withColumn("kind", kind).drop("loose")
+
+
+def classify_blocks(lines: DataFrame) -> DataFrame:
+    """Blocks of lines (with block_ord, and kind by `with_kinds`): box, kind, line_lo, line_hi, n_lines, n_words."""
+    return lines.groupBy(*PAGE, "block_ord").agg(
+        F.first("kind").alias("kind"),
         F.min("line_ord").alias("line_lo"),
         F.max("line_ord").alias("line_hi"),
         F.count("*").alias("n_lines"),
@@ -56,18 +61,22 @@ def classify_blocks(lines: DataFrame) -> DataFrame:
         (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w"),
         (F.max(F.col("y") + F.col("h")) - F.min("y")).alias("h"),
         F.max("baseline").alias("first_baseline"),
-        em.alias("em"),
+        F.coalesce(F.min_by("first_size", "line_ord"), F.lit(12.0)).alias("em"),
     )
 
 
-def group_cells(placed: DataFrame) -> DataFrame:
-    """Cells of each line: words between gaps of 1.5 em or more of the word before."""
+def number_cells(placed: DataFrame) -> DataFrame:
+    """Add `cell` to placed words: cells of a line are words between gaps of 1.5 em or more of the word before."""
     along = Window.partitionBy(*PAGE, "line_ord").orderBy("pos")
     gap = F.col("x") - (F.lag("x").over(along) + F.lag("w").over(along))
     starts = F.coalesce((gap >= 1.5 * F.lag("font_size").over(along)).cast("int"), F.lit(0))
-    numbered = placed.withColumn("starts", starts).withColumn("cell", F.sum("starts").over(along.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    return placed.withColumn("starts", starts).withColumn("cell", F.sum("starts").over(along.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("starts")
+
+
+def group_cells(placed: DataFrame) -> DataFrame:
+    """Cells of each line with their text."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda t: t["text"]), " ")
-    return numbered.groupBy(*PAGE, "line_ord", "cell").agg(text.alias("text"), F.count("*").alias("n_words"), F.min("x").alias("x"))
+    return number_cells(placed).groupBy(*PAGE, "line_ord", "cell").agg(text.alias("text"), F.count("*").alias("n_words"), F.min("x").alias("x"))
 
 
 def leading(lines: DataFrame) -> DataFrame:

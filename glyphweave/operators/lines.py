@@ -2,8 +2,9 @@
 
 The rule is first fit in reading order: a word joins the first line whose baseline,
 frozen at its first word, lies within a quarter of the word's size (1 at least).
-Where a page's baselines fall into groups that are tight and far apart, the order
-can't matter and windows give the same lines; only other pages are folded.
+A word's line is then also the first that fits it among all lines of the page, and
+words of the same baseline and size share it. So only a page's few kinds of words
+are folded, inside one row for each page; the words themselves are carried along.
 """
 
 from __future__ import annotations
@@ -32,30 +33,28 @@ def first_fit(page: pd.DataFrame) -> pd.DataFrame:
 
 
 def place_words(words: DataFrame) -> DataFrame:
-    """Add line_ord (from the top), line_baseline and pos (by x, ties in reading order) to words."""
-    page = Window.partitionBy(*PAGE)
-    falling = page.orderBy(F.desc("baseline"), "word_ord")
-    reach = F.greatest(0.25 * F.col("font_size"), F.lit(1.0))
-    stepped = (
-        words.withColumn("widest", F.max(reach).over(page))
-        .withColumn("narrowest", F.min(reach).over(page))
-        .withColumn("drop", F.coalesce(F.lag("baseline").over(falling) - F.col("baseline"), F.lit(0.0)))
-        .withColumn("line_ord", F.sum((F.col("drop") >= F.col("widest")).cast("int")).over(falling.rowsBetween(Window.unboundedPreceding, 0)))
-    )
-    line = Window.partitionBy(*PAGE, "line_ord")
-    spread = F.max("baseline").over(line) - F.min("baseline").over(line)
-    judged = (
-        stepped.withColumn("line_baseline", F.first("baseline").over(line.orderBy("word_ord").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-        .withColumn("loose", (spread >= F.col("narrowest")).cast("int"))
-        .withColumn("ambiguous", F.max("loose").over(page))
+    """Add line_ord (from the top), line_baseline and pos (by x, ties in reading order) to words.
+
+    One exchange on the page serves all groupings. A row holds one page's words.
+    """
+    names = [c for c in words.columns if c not in PAGE]
+    kinds = words.groupBy(*PAGE, "baseline", "font_size").agg(F.min("word_ord").alias("first"), F.collect_list(F.struct(*names)).alias("words"))
+    pages = kinds.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("first", "baseline", "font_size", "words"))).alias("kinds"))
+    fits = lambda line, kind: F.abs(line - kind["baseline"]) < F.greatest(0.25 * kind["font_size"], F.lit(1.0))
+    frozen = F.aggregate(
+        "kinds",
+        F.array().cast("array<double>"),
+        lambda lines, kind: F.when(F.exists(lines, lambda line: fits(line, kind)), lines).otherwise(F.concat(lines, F.array(kind["baseline"]))),
     )
-    names = words.columns
-    plain = judged.where("ambiguous = 0").select(*names, F.col("line_ord").cast("int").alias("line_ord"), "line_baseline")
-    shape = plain.schema
-    folded = judged.where("ambiguous = 1").select(*names).groupBy(*PAGE).applyInPandas(lambda pdf: first_fit(pdf)[[f.name for f in shape]], shape)
-    both = plain.unionByName(folded)
+    down = F.array_sort(F.transform("frozen", lambda line, k: F.struct((-line).alias("down"), k.alias("made"))))
+    lines = F.transform("falling", lambda line, k: F.struct(line["made"].alias("made"), k.alias("line_ord"), (-line["down"]).alias("line_baseline")))
+    first = lambda kind: F.array_min(F.filter("lines", lambda line: fits(line["line_baseline"], kind)))
+    placed = F.transform("kinds", lambda kind: F.struct(kind["words"].alias("words"), first(kind).alias("line")))
+    found = pages.withColumn("frozen", frozen).withColumn("falling", down).withColumn("lines", lines).select(*PAGE, F.explode(placed).alias("placed"))
+    rows = found.select(*PAGE, F.explode("placed.words").alias("word"), "placed.line")
     along = Window.partitionBy(*PAGE, "line_ord").orderBy("x", "word_ord")
-    return both.withColumn("pos", F.row_number().over(along) - 1)
+    columns = [F.col(c) if c in PAGE else F.col(f"word.{c}").alias(c) for c in words.columns]
+    return rows.select(*columns, "line.line_ord", "line.line_baseline").withColumn("pos", F.row_number().over(along) - 1)
 
 
 def fold_lines(words: DataFrame) -> DataFrame:
@@ -68,12 +67,18 @@ def fold_lines(words: DataFrame) -> DataFrame:
 
 
 def detect_lines(placed: DataFrame) -> DataFrame:
-    """One row for each line: its box, baseline, words, text, first word and number of column gaps."""
+    """One row for each line: its box, baseline, text, first word and number of column gaps.
+
+    `words` holds its words in order (pos, word_ord, text, x, y, w, h) with `lead`, the
+    characters before each in the line's text; n_chars counts them all, spaces too.
+    """
     along = Window.partitionBy(*PAGE, "line_ord").orderBy("pos")
     gap = F.col("x") - (F.lag("x").over(along) + F.lag("w").over(along))
     gapped = placed.withColumn("wide", F.coalesce((gap >= 1.5 * F.lag("font_size").over(along)).cast("int"), F.lit(0)))
+    before = F.sum(F.length("text") + 1).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    led = gapped.withColumn("lead", F.coalesce(before, F.lit(0)))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda t: t["text"]), " ")
-    return gapped.groupBy(*PAGE, "line_ord").agg(
+    return led.groupBy(*PAGE, "line_ord").agg(
         F.min("x").alias("x"),
         F.min("y").alias("y"),
         (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w"),
@@ -84,4 +89,6 @@ def detect_lines(placed: DataFrame) -> DataFrame:
         F.min_by("font_size", "pos").alias("first_size"),
         F.min_by("w", "pos").alias("first_w"),
         F.sum("wide").alias("column_gaps"),
+        F.sum(F.length("text") + 1).alias("n_chars"),
+        F.array_sort(F.collect_list(F.struct("pos", "word_ord", "text", "x", "y", "w", "h", "lead"))).alias("words"),
     )

@@ -63,6 +63,13 @@ def merge_documents(pages: DataFrame, inserted: DataFrame, at: int) -> DataFrame
     return reindex(first.unionByName(second), ["half", "page"]).drop("half")
 
 
+def merge_summary(inserted: DataFrame, fields: DataFrame) -> DataFrame:
+    """What a merge brought into each document: n_inserted pages, and has_forms if any form field (doc_id, name) came along."""
+    counts = inserted.groupBy("doc_id").agg(F.count("*").alias("n_inserted"))
+    forms = fields.select("doc_id").distinct().withColumn("has_forms", F.lit(True))
+    return counts.join(forms, "doc_id", "left").fillna(False, ["has_forms"])
+
+
 def extract_pages(pages: DataFrame, order: list[int]) -> DataFrame:
     """The pages named by `order`, in that order; missing ones are skipped, repeated ones repeat."""
     wanted = F.posexplode(F.array(*(F.lit(int(k)) for k in order)).cast("array<int>"))

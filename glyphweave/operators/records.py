@@ -35,7 +35,9 @@ def upsert_fields(fields: DataFrame, writes: DataFrame) -> DataFrame:
 
 
 def field_names(fields: DataFrame) -> DataFrame:
-    return fields.groupBy("doc_id").agg(F.countDistinct("name").alias("n_fields"))
+    """The distinct names of each document's fields, sorted, and how many they are. Widgets repeat names; nulls don't count."""
+    names = fields.select("doc_id", "name").distinct().groupBy("doc_id").agg(F.sort_array(F.collect_list("name")).alias("names"))
+    return names.select("doc_id", "names", F.size("names").alias("n_fields"))
 
 
 def upsert_comments(comments: DataFrame, writes: DataFrame) -> DataFrame:

@@ -31,6 +31,28 @@ def granularity(kind: Column, asked: Column | None = None) -> Column:
     return auto if asked is None else F.when(asked == "auto", auto).otherwise(asked)
 
 
+def selected_words(hits: DataFrame, placed: DataFrame) -> DataFrame:
+    """The words that each hit selects: the word itself, its cell, its line or its whole block.
+
+    `hits`: point_id, doc_id, page, block_ord, line_ord, word_ord, selects (one of "word",
+    "cell", "line", "block"). `placed`: words with block_ord, line_ord, pos and cell. A hit
+    on no word selects nothing. Returns point_id, doc_id, page, line_ord, pos, word_ord,
+    text and the word's box.
+    """
+    known = placed.select(*PAGE, "block_ord", "line_ord", "cell", "pos", "word_ord", "text", *"xywh")
+    asked = hits.select("point_id", *PAGE, "block_ord", F.col("line_ord").alias("at_line"), F.col("word_ord").alias("at_word"), "selects")
+    own = known.select(*PAGE, F.col("word_ord").alias("at_word"), F.col("cell").alias("at_cell"))
+    same_line = F.col("line_ord") == F.col("at_line")
+    wanted = (
+        F.when(F.col("selects") == "word", F.col("word_ord") == F.col("at_word"))
+        .when(F.col("selects") == "cell", same_line & (F.col("cell") == F.col("at_cell")))
+        .when(F.col("selects") == "line", same_line)
+        .otherwise(F.col("selects") == "block")
+    )
+    met = asked.join(own, [*PAGE, "at_word"]).join(known, [*PAGE, "block_ord"]).where(wanted)
+    return met.select("point_id", *PAGE, "line_ord", "pos", "word_ord", "text", *"xywh")
+
+
 def drag_box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """Rectangle of a drag; null if it is under two units either way."""
     w, h = F.abs(x1 - x0), F.abs(y1 - y0)

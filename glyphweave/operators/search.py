@@ -9,20 +9,18 @@ from glyphweave.functions.text import dwell, pivot_index
 from glyphweave.operators.words import PAGE
 
 
-def search_units(placed: DataFrame, lines: DataFrame, blocks: DataFrame) -> DataFrame:
+def search_units(lines: DataFrame) -> DataFrame:
     """Texts to search: a paragraph as one, any other block line by line.
 
-    Returns doc_id, page, block_ord, unit, text, words (in order, with offset and box).
-    `placed`: words with line_ord and pos; `lines`: with block_ord; `blocks`: with kind.
+    `lines`: with words, block_ord and kind. Returns doc_id, page, block_ord, unit, kind,
+    text, words (in order, with offset and box). Nothing is joined: words come with their lines.
     """
-    kinds = blocks.select(*PAGE, "block_ord", "kind")
-    homes = lines.select(*PAGE, "line_ord", "block_ord").join(kinds, [*PAGE, "block_ord"])
-    homes = homes.withColumn("unit", F.when(F.col("kind") == "paragraph", 0).otherwise(F.col("line_ord")))
-    unit = Window.partitionBy(*PAGE, "block_ord", "unit").orderBy("line_ord", "pos")
-    before = F.coalesce(F.sum(F.length("text") + 1).over(unit.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    worded = placed.join(homes, [*PAGE, "line_ord"]).withColumn("offset", before)
-    entry = F.struct("offset", "text", "x", "y", "w", "h", "word_ord")
-    grouped = worded.groupBy(*PAGE, "block_ord", "unit").agg(F.first("kind").alias("kind"), F.array_sort(F.collect_list(entry)).alias("words"))
+    unit = F.when(F.col("kind") == "paragraph", 0).otherwise(F.col("line_ord"))
+    down = Window.partitionBy(*PAGE, "block_ord", "unit").orderBy("line_ord").rowsBetween(Window.unboundedPreceding, -1)
+    led = lines.withColumn("unit", unit).withColumn("before", F.coalesce(F.sum("n_chars").over(down), F.lit(0)))
+    entries = F.transform("words", lambda w: F.struct((F.col("before") + w["lead"]).alias("offset"), *(w[c].alias(c) for c in ("text", "x", "y", "w", "h", "word_ord"))))
+    ordered = F.array_sort(F.collect_list(F.struct("line_ord", entries.alias("words"))))
+    grouped = led.groupBy(*PAGE, "block_ord", "unit").agg(F.first("kind").alias("kind"), F.flatten(F.transform(ordered, lambda line: line["words"])).alias("words"))
     return grouped.withColumn("text", F.array_join(F.col("words.text"), " "))
 
 
@@ -98,3 +96,8 @@ def word_count(placed: DataFrame) -> DataFrame:
 def step_hit(current: Column, by: int, hits: Column) -> Column:
     """The next or previous hit, wrapping round; null without hits."""
     return F.when(hits > 0, F.pmod(current + by, hits))
+
+
+def anchor_positions(feed: DataFrame, anchors: DataFrame) -> DataFrame:
+    """Where the feed reaches each anchored word (anchor_id, doc_id, page, word_ord); anchors on no word give no row."""
+    return anchors.join(feed, [*PAGE, "word_ord"]).groupBy("anchor_id").agg(F.min("feed_pos").alias("feed_pos"))

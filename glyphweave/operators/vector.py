@@ -39,6 +39,16 @@ def otsu(bins: DataFrame) -> DataFrame:
     return best.select("img_id", F.when(F.col("between") > 0, F.col("bin")).otherwise(160).cast("int").alias("threshold"))
 
 
+def binarize(pixels: DataFrame) -> DataFrame:
+    """Ink of images given as pixels (img_id, px, r, g, b, a): px with mask 1 where luma lies under the image's threshold.
+
+    The thresholds are one row for each image, joined back by img_id.
+    """
+    lit = pixels.select("img_id", "px", luma(*(F.col(c) for c in "rgba")).alias("bin"))
+    found = lit.join(otsu(histogram(lit)), "img_id")
+    return found.select("img_id", "px", F.col("bin").alias("luma"), (F.col("bin") < F.col("threshold")).cast("int").alias("mask"))
+
+
 def stroke_width(ink: Column, skeleton: Column) -> Column:
     return F.greatest(F.lit(1.25), F.least(F.lit(8.0), ink / skeleton))
 
@@ -149,6 +159,24 @@ def connect_chains(points: DataFrame, joins: DataFrame) -> DataFrame:
     return placed.withColumn("ord", F.row_number().over(order) - 1).withColumn("chain", F.dense_rank().over(chains) - 1).select("img_id", "chain", "ord", "x", "y")
 
 
+def edit_strokes(points: DataFrame, drags: DataFrame, reach: float) -> DataFrame:
+    """Apply one drag to each image: from one chain's end to another chain's it joins them, else it cuts what it crosses.
+
+    `drags`: img_id, ax, ay, bx, by, one for each image; images without one stay as they are.
+    Returns img_id, chain, ord, x, y, chains numbered anew.
+    """
+    ends = {}
+    for side in "ab":
+        spots = drags.select(F.col("img_id").alias("spot_id"), "img_id", F.col(f"{side}x").alias("px"), F.col(f"{side}y").alias("py"))
+        ends[side] = nearest_end(points, spots, reach).select(F.col("spot_id").alias("img_id"), F.col("chain").alias(side), F.col("which").alias(f"{side}_end"))
+    joins = ends["a"].join(ends["b"], "img_id").where("a <> b")
+    together = connect_chains(points.join(joins.select("img_id"), "img_id", "left_semi"), joins)
+    cuts = drags.join(joins.select("img_id"), "img_id", "left_anti")
+    parts = cut_chains(points.join(joins.select("img_id"), "img_id", "left_anti"), cuts)
+    renumbered = parts.withColumn("chain", F.dense_rank().over(Window.partitionBy("img_id").orderBy("chain", "part")) - 1)
+    return together.unionByName(renumbered.select("img_id", "chain", "ord", "x", "y"))
+
+
 def place_strokes(points: DataFrame, view: DataFrame, rect: tuple[float, float, float, float]) -> DataFrame:
     """Points of a view box (img_id, vw, vh) in a page rectangle, upside down as pages count from below; with the width factor."""
     x, y, w, h = rect

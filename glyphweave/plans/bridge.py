@@ -70,6 +70,28 @@ def bridge_glyphs(docs: DataFrame) -> DataFrame:
     )
 
 
+def content_pages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pages, fonts): typeset texts as content streams, one string a line, in Courier.
+
+    Every other string is hexadecimal. Characters beyond Latin-1 become question marks.
+    """
+    lines = text_lines(docs).where("line <> ''").withColumn("line", F.regexp_replace("line", "[^\\x20-\\x7e\\u00a1-\\u00ff]", "?"))
+    literal = F.concat(F.lit("("), F.regexp_replace("line", r"([\\()])", r"\\$1"), F.lit(")"))
+    coded = F.concat(F.lit("<"), F.hex(F.encode("line", "ISO-8859-1")), F.lit(">"))
+    shown = F.when(F.col("line_no") % 2 == 0, coded).otherwise(literal)
+    place = F.format_string("1 0 0 1 %d %d Tm ", F.lit(int(LEFT)), (F.lit(int(TOP)) - int(STEP) * (F.col("line_no") % LINES_PER_PAGE)).cast("int"))
+    rows = lines.select("doc_id", "page", "line_no", F.concat(place, shown, F.lit(" Tj\n")).alias("command"))
+    commands = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "command"))), lambda c: c["command"])
+    body = F.concat(F.lit(f"BT /F1 {int(SIZE)} Tf\n"), F.array_join(commands, ""), F.lit("ET"))
+    pages = rows.groupBy("doc_id", "page").agg(F.encode(body, "ISO-8859-1").alias("content"))
+    nothing = F.lit(None).cast("string")
+    fonts = pages.select(
+        "doc_id", "page", F.lit("F1").alias("font_res"), F.lit("Type1").alias("subtype"), F.lit("Courier").alias("base_font"), F.lit("WinAnsiEncoding").alias("encoding"),
+        nothing.alias("differences"), nothing.cast("binary").alias("to_unicode"), nothing.alias("widths"), nothing.cast("double").alias("default_width"), F.lit(False).alias("two_byte"),
+    )
+    return pages, fonts
+
+
 def table_words(lineitem: DataFrame) -> DataFrame:
     """Orders typeset as pages of monospaced columns: a line for each item, cells three spaces apart."""
     cells = F.array(*(F.rpad(F.col(c).cast("string"), 12, " ") for c in ("l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")))
@@ -88,12 +110,12 @@ def table_words(lineitem: DataFrame) -> DataFrame:
 
 
 def layout(words: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(placed words with block_ord, lines with block_ord, classified blocks) of words."""
-    from glyphweave.operators.blocks import classify_blocks, detect_blocks
+    """(placed words, lines with words, block_ord and kind, classified blocks) of words."""
+    from glyphweave.operators.blocks import classify_blocks, detect_blocks, with_kinds
     from glyphweave.operators.lines import detect_lines, place_words
 
     placed = place_words(words)
-    lines = detect_blocks(detect_lines(placed))
+    lines = with_kinds(detect_blocks(detect_lines(placed)))
     return placed, lines, classify_blocks(lines)
 
 

@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphweave.functions import fontmetrics, geometry, text
-from glyphweave.operators import blocks, lines, pageops, records, regions, search, vector, words
+from glyphweave.operators import blocks, edits, lines, pageops, placement, records, regions, search, vector, words
 from glyphweave.plans import sql
-from glyphweave.plans.bridge import bridge_glyphs, bridge_words, layout, page_list, strokes, table, table_words
+from glyphweave.plans.bridge import bridge_glyphs, bridge_words, content_pages, layout, page_list, strokes, table, table_words
+from glyphweave.sources import content
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,6 +36,11 @@ def rounded(*names: str) -> list[Column]:
     return [F.round(n, 4).alias(n) for n in names]
 
 
+def even(*names: str) -> list[Column]:
+    """Rounded half up on the scaled double, which is the same number in every engine."""
+    return [(F.floor(F.col(n) * 1e4 + 0.5) / 1e4).alias(n) for n in names]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text")
 
@@ -95,7 +101,7 @@ def classify_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _search(spark: SparkSession, sf_dir: str, phrase: str, **how: bool) -> DataFrame:
-    found = search.find_phrase(search.search_units(*the_layout(spark, sf_dir)), phrase, **how)
+    found = search.find_phrase(search.search_units(the_layout(spark, sf_dir)[1]), phrase, **how)
     return found.select("doc_id", "page", "block_ord", "unit", "offset", "matched", F.col("n_words").cast("long").alias("n_words"), *rounded("x", "y", "w", "h"))
 
 
@@ -116,9 +122,9 @@ def search_whole_word(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of a word by document and kind of block."""
-    parts = the_layout(spark, sf_dir)
-    found = search.find_phrase(search.search_units(*parts), "the", whole_word=True)
-    kinds = parts[2].select("doc_id", "page", "block_ord", "kind")
+    units = search.search_units(the_layout(spark, sf_dir)[1])
+    kinds = units.select("doc_id", "page", "block_ord", "kind").distinct()
+    found = search.find_phrase(units, "the", whole_word=True)
     return found.join(kinds, ["doc_id", "page", "block_ord"]).groupBy("doc_id", "kind").agg(F.count("*").alias("n_matches")).orderBy("doc_id", "kind")
 
 
@@ -139,27 +145,67 @@ def orp_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinct.select("text", *(c.alias(n) for n, c in text.pivot_split(F.col("text")).items()))
 
 
-@register()
+@register(sql.WRAP)
 def wrap_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy wrapping of whole texts at 80 characters; a fold, compared with a loop in tests."""
+    """Greedy wrapping of whole texts at 80 characters."""
     wrapped = documents(spark, sf_dir).select("doc_id", F.posexplode(text.wrap_text(F.col("text"), 80)).alias("line_no", "line"))
     return wrapped.select("doc_id", "line_no", F.length("line").alias("n_chars"), F.md5("line").alias("line_md5"))
 
 
+@register(sql.wrap_measured(30000))
+def wrap_measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations set in Helvetica, 30 em wide."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return placement.wrap_measured(turns, ["conv_id", "turn"], F.lit("Helvetica"), F.lit(30000.0)).select("conv_id", "turn", "line_no", F.md5("line").alias("line_md5"))
+
+
+@register(sql.WORDS + sql.CONTROLS)
+def reading_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where seeking to a third, ten words on and ten back lead in each document, and how far that is."""
+    counts = search.word_count(bridge_words(documents(spark, sf_dir)))
+    n = F.col("n_words")
+    at = text.seek(F.lit(1) / 3, n)
+    moved = [text.step_position(at, by, n) for by in (-10, 10)]
+    percent = F.floor(text.progress(at, n) * 1e4 + 0.5) / 1e4
+    return counts.select("doc_id", at.alias("at"), moved[0].alias("back"), moved[1].alias("on"), percent.alias("percent"), text.change_speed((n % 1400).cast("int"), 3).alias("speed"))
+
+
+@register(sql.WORDS + "SELECT doc_id AS anchor_id, row_number() OVER (PARTITION BY doc_id ORDER BY page, word_ord) - 1 AS feed_pos FROM words QUALIFY word_ord = 3 AND page = max(page) OVER (PARTITION BY doc_id)")
+def anchor_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the feed reaches the fourth word of each document's last page."""
+    placed = lines.place_words(bridge_words(documents(spark, sf_dir)))
+    anchors = placed.groupBy("doc_id").agg(F.max("page").alias("page")).select(F.col("doc_id").alias("anchor_id"), "doc_id", "page", F.lit(3).alias("word_ord"))
+    return search.anchor_positions(search.reading_feed(placed), anchors)
+
+
 # points and regions
 
 
+def _clicks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(hits of a click at the middle of the first line of each first page, placed words with block_ord)"""
+    placed, found_lines, found_blocks = the_layout(spark, sf_dir)
+    points = documents(spark, sf_dir).select(F.col("doc_id").alias("point_id"), "doc_id", F.lit(0).alias("page"), F.lit(100.0).alias("px"), F.lit(720.0).alias("py"))
+    homed = blocks.number_cells(placed).join(found_lines.select("doc_id", "page", "line_ord", "block_ord"), ["doc_id", "page", "line_ord"])
+    return regions.hit_test(points, found_blocks, homed), homed
+
+
 @register(sql.BLOCKS + sql.HIT_TEST)
 def hit_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What lies at the middle of the first line of each document's first page, and how much of it a click selects."""
-    placed, found_lines, found_blocks = the_layout(spark, sf_dir)
-    points = documents(spark, sf_dir).select(F.col("doc_id").alias("point_id"), "doc_id", F.lit(0).alias("page"), F.lit(100.0).alias("px"), F.lit(720.0).alias("py"))
-    homed = placed.join(found_lines.select("doc_id", "page", "line_ord", "block_ord"), ["doc_id", "page", "line_ord"])
-    hit = regions.hit_test(points, found_blocks, homed)
+    hit = _clicks(spark, sf_dir)[0]
     word = [F.coalesce("word_ord", F.lit(-1)).alias("word_ord"), F.coalesce("text", F.lit("")).alias("text")]
     return hit.select("point_id", "block_ord", "kind", *word, regions.granularity(F.col("kind")).alias("selects"))
 
 
+@register(sql.BLOCKS + sql.SELECTED)
+def selected_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the clicks of `hit_test` select: by the kind of block, but single words in every fifth document."""
+    hit, homed = _clicks(spark, sf_dir)
+    asked = F.when(F.col("point_id") % 5 == 0, "word").otherwise("auto")
+    hits = hit.where("word_ord is not null").withColumn("selects", regions.granularity(F.col("kind"), asked))
+    return regions.selected_words(hits, homed).select("point_id", "line_ord", "pos", "word_ord", "text", *rounded("x", "y", "w", "h"))
+
+
 def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     box = zip(("rx", "ry", "rw", "rh"), (150.0, 690.0, 120.0, 25.0), strict=True)
     return documents(spark, sf_dir).select(F.col("doc_id").alias("region_id"), "doc_id", F.lit(0).alias("page"), *(F.lit(v).alias(n) for n, v in box))
@@ -190,6 +236,53 @@ def splice_overlap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regions.overlapping_splices(items, ["l_orderkey"])
 
 
+# content streams
+
+
+@register(sql.STREAMS + "SELECT doc_id, page, op_index, unicode, x, y, byte_offset FROM glyphs")
+def content_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as content streams, parsed and folded back to glyphs."""
+    pages, fonts = content_pages(documents(spark, sf_dir))
+    glyphs = content.extract_glyphs(content.parse_operations(pages), fonts)
+    return glyphs.select("doc_id", "page", "op_index", "unicode", "x", "y", "byte_offset")
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    pages, fonts = content_pages(documents(spark, sf_dir))
+    first, fonts = pages.where("page = 0"), fonts.where("page = 0")
+    ops = content.parse_operations(first)
+    return first, fonts, ops, content.extract_glyphs(ops, fonts)
+
+
+@register(sql.STREAMS + sql.STREAM_REDACT)
+def content_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region of each first page redacted in its stream; what is left is read back."""
+    pages, fonts, ops, glyphs = _parsed(spark, sf_dir)
+    placed = lines.place_words(words.detect_words(glyphs))
+    done = edits.redact(pages, ops, glyphs, placed, _regions(spark, sf_dir))
+    left = content.extract_glyphs(content.parse_operations(done), fonts).groupBy("doc_id").agg(F.count("*").alias("n_left"))
+    return done.join(left, "doc_id", "left").select("doc_id", "n_removed", "n_bars", F.coalesce("n_left", F.lit(0)).alias("n_left"))
+
+
+@register(sql.STREAMS + sql.STREAM_REPLACE)
+def content_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first word of each first page replaced in its stream; the page's words are read back."""
+    pages, fonts, ops, glyphs = _parsed(spark, sf_dir)
+    first = words.detect_words(glyphs).where("word_ord = 0")
+    targets = first.select("doc_id", "page", F.col("glyph_lo").cast("int").alias("glyph_lo"), F.col("glyph_hi").cast("int").alias("glyph_hi"), "font_res", F.lit(" new\ntext ").alias("new_text"))
+    done = edits.replace_text(pages, ops, glyphs, fonts, targets)
+    return words.detect_words(content.extract_glyphs(content.parse_operations(done), fonts)).select("doc_id", "page", "word_ord", "text")
+
+
+@register(sql.STREAMS + sql.STREAM_HIGHLIGHT)
+def content_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars under the lines that a region of each first page touches, as bytes before the page's own."""
+    pages, _, _, glyphs = _parsed(spark, sf_dir)
+    done = edits.highlight(pages, lines.place_words(words.detect_words(glyphs)), _regions(spark, sf_dir))
+    drawn = F.element_at(F.split(F.decode("content", "ISO-8859-1"), "\n"), 1)
+    return done.select("doc_id", "n_bars", drawn.alias("drawn"))
+
+
 # page lists
 
 
@@ -222,6 +315,14 @@ def page_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pageops.merge_documents(pages, other, 1)
 
 
+@register("SELECT doc_id, n_inserted, bool_or(label IS NOT NULL) AS has_forms FROM (SELECT conv_id AS doc_id, count(*) AS n_inserted FROM conversations WHERE role = 'assistant' GROUP BY 1) LEFT JOIN (SELECT doc_id AS label FROM labels WHERE toxic = 1) ON label = doc_id GROUP BY ALL")
+def merge_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns as merged pages; toxic labels stand for form fields that come along."""
+    inserted = page_list(spark, sf_dir).where("role = 'assistant'")
+    fields = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id", F.lit("toxic").alias("name"))
+    return pageops.merge_summary(inserted, fields)
+
+
 @register(sql.PAGES + "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS page, role, text FROM pl JOIN (VALUES (2, 0), (0, 1), (1, 2), (0, 3)) o(p, k) ON page = p")
 def page_extract_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pageops.extract_pages(page_list(spark, sf_dir), [2, 0, 1, 0])
@@ -246,6 +347,12 @@ def form_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.last_values(table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"], ["value", "props"])
 
 
+@register("SELECT user_id AS doc_id, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS names, count(DISTINCT event_type) AS n_fields FROM events GROUP BY user_id")
+def field_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("name"))
+    return records.field_names(fields).select("doc_id", F.array_join("names", ",").alias("names"), "n_fields")
+
+
 @register(sql.COMMENTS)
 def comment_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A comment on each document; labels delete it (toxic), change it (quality 0) or add another (quality 1)."""
@@ -293,6 +400,33 @@ def otsu_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.otsu(vector.histogram(pixels))
 
 
+@register(sql.INK)
+def ink_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as pixels of their user's image, some of them half transparent."""
+    shade = lambda by: F.pmod(F.col("event_id") * by, F.lit(256)).cast("double")
+    events = table(spark, sf_dir, "events").where("value is not null")
+    alpha = 255.0 - 60.0 * (F.col("event_id") % 3)
+    pixels = events.select(F.col("user_id").alias("img_id"), F.col("event_id").alias("px"), shade(7).alias("r"), shade(13).alias("g"), F.pmod(F.floor("value"), F.lit(256)).cast("double").alias("b"), alpha.alias("a"))
+    return vector.binarize(pixels)
+
+
+@register(sql.STAMPS)
+def stamp_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Default boxes of stamps on pages of many sizes, and the size of a typed signature in them."""
+    width, height = F.col("c_nationkey") * 25 + 300.0, F.col("c_nationkey") * 20 + 200.0
+    box = placement.stamp_box(width, height, F.lit(2.5), 180.0, 0.35)
+    boxes = table(spark, sf_dir, "customer").select("c_custkey", box.alias("box"))
+    return boxes.select("c_custkey", *(F.round(F.col(f"box.{n}"), 4).alias(n) for n in "xywh"), F.round(placement.signature_size(F.col("box.h")), 4).alias("size"))
+
+
+@register(sql.PLACED_TEXT)
+def placed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names and brands set as two lines of Helvetica."""
+    label = F.concat_ws("\n", "p_name", "p_brand")
+    texts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("text_id"), F.lit(0).alias("doc_id"), F.lit(0).alias("page"), label.alias("text"), *(F.lit(v).alias(n) for n, v in (("x", 50.0), ("y", 100.0), ("w", 200.0), ("h", 40.0))))
+    return placement.place_text(texts, 12.0).select("text_id", "line_no", "at", "unicode", *even("x", "y", "width"))
+
+
 @register(sql.STROKES + "SELECT img_id, round(coalesce(sum(sqrt(dx * dx + dy * dy)), 0), 4) AS length FROM (SELECT img_id, x - lag(x) OVER o AS dx, y - lag(y) OVER o AS dy FROM s WINDOW o AS (PARTITION BY img_id ORDER BY ord)) GROUP BY img_id")
 def path_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.path_length(strokes(spark, sf_dir)).select("img_id", *rounded("length"))
@@ -300,7 +434,7 @@ def path_length(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(sql.SMOOTH)
 def smooth3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector.smooth(strokes(spark, sf_dir), 0.5).select("img_id", "ord", *rounded("x", "y"))
+    return vector.smooth(strokes(spark, sf_dir), 0.5).select("img_id", "ord", *even("x", "y"))
 
 
 @register(sql.BEZIER)
@@ -312,7 +446,7 @@ def bezier_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def segment_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = strokes(spark, sf_dir)
     cuts = points.groupBy("img_id").agg(F.lit(-1.5).alias("ax"), F.lit(20.25).alias("ay"), (F.max("x") + 1.5).alias("bx"), F.lit(60.75).alias("by"))
-    return vector.crossings(points, cuts).select("img_id", "ord", *rounded("t", "cx", "cy"))
+    return vector.crossings(points, cuts).select("img_id", "ord", *even("t", "cx", "cy"))
 
 
 @register(sql.STROKES + sql.NEAREST)

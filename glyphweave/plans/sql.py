@@ -165,7 +165,12 @@ def _pass(source: str) -> str:
     return f"(SELECT img_id, ord, {moved} FROM {source} WINDOW o AS (PARTITION BY img_id ORDER BY ord))"
 
 
-SMOOTH = STROKES + f"SELECT img_id, ord, round(x, 4) AS x, round(y, 4) AS y FROM {_pass(_pass(_pass('s')))}"
+def _even(value: str) -> str:
+    """Rounded half up on the scaled double, which is the same number in every engine."""
+    return f"floor(({value}) * 10000 + 0.5) / 10000"
+
+
+SMOOTH = STROKES + f"SELECT img_id, ord, {_even('x')} AS x, {_even('y')} AS y FROM {_pass(_pass(_pass('s')))}"
 
 
 def _controls(c: str) -> str:
@@ -178,11 +183,11 @@ BEZIER = STROKES + f"""SELECT img_id, ord, {', '.join(f'round({c}{k}, 4) AS {c}{
 FROM (SELECT img_id, ord, {_controls('x')}, {_controls('y')} FROM s WINDOW o AS (PARTITION BY img_id ORDER BY ord)) WHERE x3 IS NOT NULL
 """
 
-CUTS = STROKES + """, seg AS (SELECT *, lead(x) OVER o AS x3, lead(y) OVER o AS y3 FROM s WINDOW o AS (PARTITION BY img_id ORDER BY ord)),
+CUTS = STROKES + f""", seg AS (SELECT *, lead(x) OVER o AS x3, lead(y) OVER o AS y3 FROM s WINDOW o AS (PARTITION BY img_id ORDER BY ord)),
 cut AS (SELECT img_id, CAST(-1.5 AS DOUBLE) AS ax, CAST(20.25 AS DOUBLE) AS ay, max(x) + 1.5 AS bx, CAST(60.75 AS DOUBLE) AS by_ FROM s GROUP BY img_id),
 d AS (SELECT seg.*, x3 - x AS rx, y3 - y AS ry, bx - ax AS sx, by_ - ay AS sy, ax - x AS qx, ay - y AS qy FROM seg JOIN cut USING (img_id) WHERE x3 IS NOT NULL),
 t AS (SELECT *, (qx * sy - qy * sx) / (rx * sy - ry * sx) AS t, (qx * ry - qy * rx) / (rx * sy - ry * sx) AS u FROM d WHERE abs(rx * sy - ry * sx) >= 1e-9)
-SELECT img_id, ord, round(t, 4) AS t, round(x + t * rx, 4) AS cx, round(y + t * ry, 4) AS cy FROM t WHERE t > 1e-6 AND t < 1 - 1e-6 AND u > 1e-6 AND u < 1 - 1e-6
+SELECT img_id, ord, {_even("t")} AS t, {_even("x + t * rx")} AS cx, {_even("y + t * ry")} AS cy FROM t WHERE t > 1e-6 AND t < 1 - 1e-6 AND u > 1e-6 AND u < 1 - 1e-6
 """
 
 NEAREST = """, ends AS (SELECT img_id, 0 AS which, arg_min(x, ord) AS x, arg_min(y, ord) AS y FROM s GROUP BY 1 UNION ALL SELECT img_id, 1, arg_max(x, ord), arg_max(y, ord) FROM s GROUP BY 1),
@@ -225,3 +230,98 @@ FILENAMES = """WITH n AS (SELECT page_id, url_decode(list_extract(string_split(r
 SELECT page_id, CASE WHEN coalesce(raw, '') = '' THEN 'document.pdf' ELSE raw END AS name,
   regexp_replace(CASE WHEN coalesce(raw, '') = '' THEN 'document.pdf' ELSE raw END, '(?i)\\.pdf$', '') || '_edited.pdf' AS export_name FROM n
 """
+
+
+_SPACE = r"[\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+WRAP = f"""WITH flat AS (SELECT doc_id, trim(regexp_replace(text, '{_SPACE}', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL),
+wrapped AS (SELECT doc_id, CASE WHEN t = '' THEN [''] ELSE regexp_extract_all(t, '(.{{1,80}}|[^ ]+)(?: |$)', 1) END AS ls FROM flat)
+SELECT doc_id, CAST(k - 1 AS INTEGER) AS line_no, length(line) AS n_chars, md5(line) AS line_md5 FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS k FROM wrapped)
+"""
+
+
+def wrap_measured(limit: int) -> str:
+    """Greedy lines by recursion: the next line starts at the first word that ends beyond the limit, or after its only word."""
+    wide = f"CASE WHEN ascii(c) BETWEEN 32 AND 126 THEN {HELVETICA}[ascii(c) - 31] ELSE 556 END"
+    gap = HELVETICA[0]
+    return f"""WITH RECURSIVE split AS (SELECT conv_id, turn, list_filter(string_split(regexp_replace(text, '{_SPACE}', ' ', 'g'), ' '), lambda w: w <> '') AS ws FROM conversations),
+w AS (SELECT conv_id, turn, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM split),
+wide AS (SELECT *, CAST(list_sum(list_transform(string_split(word, ''), lambda c: {wide})) AS BIGINT) AS width FROM w),
+run AS (SELECT *, CAST(sum(width + {gap}) OVER (PARTITION BY conv_id, turn ORDER BY k) AS BIGINT) AS upto FROM wide),
+lines AS (
+  SELECT conv_id, turn, 0 AS line_no, CAST(1 AS BIGINT) AS k, CAST(0 AS BIGINT) AS before FROM run WHERE k = 1
+  UNION ALL
+  SELECT l.conv_id, l.turn, l.line_no + 1, min(r.k), min(r.upto - r.width - {gap})
+  FROM lines l JOIN run r ON r.conv_id = l.conv_id AND r.turn = l.turn AND r.k > l.k AND r.upto - {gap} - l.before > {limit}
+  GROUP BY l.conv_id, l.turn, l.line_no),
+spans AS (SELECT conv_id, turn, line_no, k, lead(k) OVER (PARTITION BY conv_id, turn ORDER BY k) AS after FROM lines),
+filled AS (SELECT s.conv_id, s.turn, s.line_no, string_agg(r.word, ' ' ORDER BY r.k) AS line FROM spans s JOIN run r ON r.conv_id = s.conv_id AND r.turn = s.turn AND r.k >= s.k AND (s.after IS NULL OR r.k < s.after) GROUP BY ALL)
+SELECT conv_id, turn, line_no, md5(line) AS line_md5 FROM filled
+UNION ALL SELECT conv_id, turn, 0, md5('') FROM split WHERE coalesce(len(ws), 0) = 0
+"""
+
+
+CONTROLS = """, counted AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+placed AS (SELECT doc_id, n, CAST(greatest(0, least(n - 1, floor(CAST(1 AS DOUBLE) / 3 * (n - 1) + 0.5))) AS BIGINT) AS p FROM counted)
+SELECT doc_id, p AS "at", greatest(0, least(n - 1, p - 10)) AS back, greatest(0, least(n - 1, p + 10)) AS "on",
+  floor((CASE WHEN n > 1 THEN p / (n - 1) * 100 ELSE 0 END) * 10000 + 0.5) / 10000 AS percent, greatest(60, least(1200, n % 1400 + 75)) AS speed FROM placed
+"""
+
+SELECTED = HIT_TEST[: HIT_TEST.rindex("SELECT hit.point_id")] + """, cells AS (SELECT g.*, b.block_ord, sum(wide) OVER (PARTITION BY g.doc_id, g.page, g.line_ord ORDER BY pos ROWS UNBOUNDED PRECEDING) AS cell
+  FROM gapped g JOIN blocked b USING (doc_id, page, line_ord) WHERE page = 0),
+chosen AS (SELECT hit.point_id, hit.block_ord, c.line_ord, c.cell, c.word_ord, CASE WHEN hit.point_id % 5 = 0 THEN 'word' WHEN kind = 'table' THEN 'cell' WHEN kind = 'paragraph' THEN 'block' ELSE 'line' END AS selects
+  FROM hit JOIN word USING (point_id) JOIN cells c ON c.doc_id = hit.point_id AND c.word_ord = word.word_ord)
+SELECT point_id, c.line_ord, c.pos, c.word_ord, c.text, round(c.x, 4) AS x, round(c.y, 4) AS y, round(c.w, 4) AS w, round(c.h, 4) AS h
+FROM chosen h JOIN cells c ON c.doc_id = h.point_id AND c.block_ord = h.block_ord AND CASE selects WHEN 'word' THEN c.word_ord = h.word_ord
+  WHEN 'cell' THEN c.line_ord = h.line_ord AND c.cell = h.cell WHEN 'line' THEN c.line_ord = h.line_ord ELSE TRUE END
+"""
+
+STREAMS = r"""
+WITH raw_lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
+  FROM documents WHERE text IS NOT NULL),
+shown AS (SELECT doc_id, CAST(line_no // 54 AS INTEGER) AS page, line_no, regexp_replace(raw, '[^\x{20}-\x{7e}\x{a1}-\x{ff}]', '?', 'g') AS line,
+    3 + 2 * (row_number() OVER (PARTITION BY doc_id, line_no // 54 ORDER BY line_no) - 1) AS op_index FROM raw_lines WHERE raw <> ''),
+glyphs AS (SELECT doc_id, page, line_no, op_index, unnest(string_split(line, '')) AS unicode, generate_subscripts(string_split(line, ''), 1) - 1 AS byte_offset,
+    72 + 6 * CAST(generate_subscripts(string_split(line, ''), 1) - 1 AS DOUBLE) AS x, 720 - 12 * CAST(line_no % 54 AS DOUBLE) AS y FROM shown)
+"""
+_COVERED = "x < 270 AND x + 6 > 150 AND y < 715 AND y + 10 > 690"
+_STREAM_WORDS = """, toks AS (SELECT doc_id, page, line_no, unnest(string_split(line, ' ')) AS text, generate_subscripts(string_split(line, ' '), 1) AS spot_no FROM shown WHERE page = 0),
+laid AS (SELECT *, 72 + 6 * CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id, line_no ORDER BY spot_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS x FROM toks),
+found AS (SELECT doc_id, page, line_no, text, x, 6 * CAST(length(text) AS DOUBLE) AS w, 720 - 12 * CAST(line_no AS DOUBLE) - CAST(0.22 AS DOUBLE) * 10 AS y,
+    row_number() OVER (PARTITION BY doc_id ORDER BY line_no, spot_no) - 1 AS word_ord FROM laid WHERE text <> ''),
+bars AS (SELECT doc_id, line_no, min(x) - 1 AS x, min(y) AS y, max(x + w) - min(x) + 2 AS w, CAST(10 AS DOUBLE) AS h FROM found WHERE x < 270 AND x + w > 150 AND y < 715 AND y + 10 > 690 GROUP BY ALL)
+"""
+STREAM_REDACT = _STREAM_WORDS + f""", removed AS (SELECT doc_id, count(*) AS n FROM glyphs WHERE page = 0 AND {_COVERED} GROUP BY doc_id)
+SELECT doc_id, coalesce(any_value(r.n), 0) AS n_removed, greatest(1, (SELECT count(*) FROM bars b WHERE b.doc_id = g.doc_id)) AS n_bars, count(*) - coalesce(any_value(r.n), 0) AS n_left
+FROM glyphs g LEFT JOIN removed r USING (doc_id) WHERE page = 0 GROUP BY doc_id
+"""
+STREAM_REPLACE = _STREAM_WORDS + """SELECT doc_id, page, CASE WHEN word_ord = 0 THEN 0 ELSE word_ord + 1 END AS word_ord, CASE WHEN word_ord = 0 THEN 'new' ELSE text END AS text FROM found
+UNION ALL SELECT doc_id, page, 1, 'text' FROM found WHERE word_ord = 0
+"""
+STREAM_HIGHLIGHT = _STREAM_WORDS + """SELECT doc_id, count(*) AS n_bars, 'q 1 0.906 0.31 rg ' || string_agg(printf('%.3f %.3f %.3f %.3f re', x, y, w, h), ' ' ORDER BY line_no) || ' f Q' AS drawn FROM bars GROUP BY doc_id
+"""
+
+INK = """WITH px AS (SELECT user_id AS img_id, event_id AS px, CAST(event_id * 7 % 256 AS DOUBLE) AS r, CAST(event_id * 13 % 256 AS DOUBLE) AS g, CAST(floor(value) % 256 AS DOUBLE) AS b,
+    (255 - 60 * CAST(event_id % 3 AS DOUBLE)) / 255 AS o FROM events WHERE value IS NOT NULL),
+lit AS (SELECT img_id, px, CAST(floor(((r * o + 255 * (1 - o)) + (g * o + 255 * (1 - o)) + (b * o + 255 * (1 - o))) / 3 + 0.5) AS INTEGER) AS luma FROM px),
+bins AS (SELECT img_id, luma AS bin, count(*) AS n FROM lit GROUP BY ALL),
+sums AS (SELECT img_id, bin, CAST(sum(n) OVER u AS DOUBLE) AS lo, CAST(sum(bin * n) OVER u AS DOUBLE) AS lo_sum, CAST(sum(n) OVER (PARTITION BY img_id) AS DOUBLE) AS al,
+    CAST(sum(bin * n) OVER (PARTITION BY img_id) AS DOUBLE) AS al_sum FROM bins WINDOW u AS (PARTITION BY img_id ORDER BY bin ROWS UNBOUNDED PRECEDING)),
+apart AS (SELECT img_id, bin, CASE WHEN lo > 0 AND al - lo > 0 THEN lo * (al - lo) * (lo_sum / lo - (al_sum - lo_sum) / (al - lo)) * (lo_sum / lo - (al_sum - lo_sum) / (al - lo)) END AS between_ FROM sums),
+cut AS (SELECT img_id, CASE WHEN coalesce(between_, 0) > 0 THEN bin ELSE 160 END AS threshold FROM apart
+  QUALIFY row_number() OVER (PARTITION BY img_id ORDER BY between_ DESC NULLS LAST, bin) = 1)
+SELECT img_id, px, luma, CAST(luma < threshold AS INTEGER) AS mask FROM lit JOIN cut USING (img_id)
+"""
+
+STAMPS = """WITH p AS (SELECT c_custkey, CAST(c_nationkey AS DOUBLE) * 25 + 300 AS pw, CAST(c_nationkey AS DOUBLE) * 20 + 200 AS ph FROM customer),
+b AS (SELECT *, least(180, pw * CAST(0.35 AS DOUBLE)) AS w FROM p)
+SELECT c_custkey, round((pw - w) / 2, 4) AS x, round(greatest(40, ph * CAST(0.15 AS DOUBLE)), 4) AS y, round(w, 4) AS w, round(w / CAST(2.5 AS DOUBLE), 4) AS h,
+  round(greatest(6, least(140, w / CAST(2.5 AS DOUBLE) * CAST(0.85 AS DOUBLE))), 4) AS size FROM b
+"""
+
+PLACED_TEXT = f"""WITH rows AS (SELECT p_partkey AS text_id, unnest([p_name, p_brand]) AS line, generate_subscripts([p_name, p_brand], 1) - 1 AS line_no FROM part),
+chars AS (SELECT text_id, CAST(line_no AS INTEGER) AS line_no, unnest(string_split(line, '')) AS unicode, CAST(generate_subscripts(string_split(line, ''), 1) - 1 AS INTEGER) AS "at" FROM rows WHERE line <> ''),
+wide AS (SELECT *, CAST((CASE WHEN ascii(unicode) BETWEEN 32 AND 126 THEN {HELVETICA}[ascii(unicode) - 31] ELSE 556 END) * 12 AS DOUBLE) / 1000 AS width FROM chars)
+SELECT text_id, line_no, "at", unicode, {_even('50 + coalesce(sum(width) OVER (PARTITION BY text_id, line_no ORDER BY "at" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)')} AS x,
+  {_even("100 + CAST(40 AS DOUBLE) - 12 - CAST(1.2 AS DOUBLE) * 12 * line_no")} AS y, {_even('width')} AS width FROM wide
+"""

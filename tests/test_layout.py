@@ -45,7 +45,7 @@ def test_kinds_and_cells(spark):
         by_line.setdefault(c.line_ord, []).append(c.text)
     assert by_line[4] == ["Bird seed", "5", "20.00"]
     assert len(by_line[6]) == 1
-    units = search.search_units(placed, found_lines, found_blocks)
+    units = search.search_units(found_lines)
     hits = lambda q, **k: search.find_phrase(units, q, **k).count()
     assert hits("line of text") == 1  # across the wrap of a paragraph
     assert hits("Price Bird") == 0  # but not across table rows
