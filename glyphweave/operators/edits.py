@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from glyphweave.operators import regions
 from glyphweave.operators.words import PAGE
-from glyphweave.sources.content import Font
+from glyphweave.sources.content import font_of
 
 EDITED = "doc_id long, page int, content binary, n_edits int, error string"
 EDIT = "doc_id long, page int, op_index int, item_index int, span_start int, span_end int, replacement binary"
@@ -165,7 +165,7 @@ def replace_text(pages: DataFrame, ops: DataFrame, glyphs: DataFrame, fonts: Dat
     wanted = targets.withColumn("new_text", F.trim(F.regexp_replace("new_text", r"(?U)\s+", " "))).where("new_text <> ''")
 
     def encode(key: tuple, asked: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
-        known = {r["font_res"]: Font(r) for r in listed.to_dict("records")}
+        known = {r["font_res"]: font_of(r) for r in listed.to_dict("records")}
         coded = [known[f].encode(t) if f in known else None for f, t in zip(asked["font_res"], asked["new_text"], strict=True)]
         return pd.DataFrame({"doc_id": key[0], "page": key[1], "glyph_lo": asked["glyph_lo"], "glyph_hi": asked["glyph_hi"], "coded": coded})
 

@@ -174,13 +174,22 @@ class Font:
         self.widths = maps["widths"]
         self.default = row.get("default_width") or (1000.0 if cid else 0.0)
 
-    def decode(self, data: bytes) -> Iterator[tuple[int, int, str, float]]:
-        step = 2 if self.wide else 1
-        for k in range(0, len(data) - step + 1, step):
-            code = int.from_bytes(data[k : k + step], "big")
-            char = self.chars.get(code, "")
-            width = self.widths.get(code) or self.default or standard_width(self.base, ord(char[0]) if char else 32)
-            yield code, step, char, width
+    def _look(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        chars = [self.chars.get(code, "") for code in codes.tolist()]
+        known = [self.widths.get(code) or self.default or standard_width(self.base, ord(char[0]) if char else 32) for code, char in zip(codes.tolist(), chars, strict=True)]
+        return np.array([*chars, None], object)[:-1], np.array(known, np.float64)
+
+    def decode(self, data: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes of a code, codes, characters, widths) of a string."""
+        if self.wide:
+            codes = np.frombuffer(data, ">u2", len(data) // 2).astype(np.int32)
+            met, spot = np.unique(codes, return_inverse=True)
+            chars, widths = self._look(met)
+            return 2, codes, chars[spot], widths[spot]
+        if not hasattr(self, "bytes"):
+            self.bytes = self._look(np.arange(256))
+        codes = np.frombuffer(data, np.uint8).astype(np.int32)
+        return 1, codes, self.bytes[0][codes], self.bytes[1][codes]
 
     def encode(self, text: str) -> bytes | None:
         """Codes of a text, the first code of each character; None if one has none."""
@@ -195,6 +204,19 @@ class Font:
         return b"".join(c.to_bytes(2 if self.wide else 1, "big") for c in found)
 
 
+_FONTS: dict[str, Font] = {}
+
+
+def font_of(row: dict) -> Font:
+    """The font of a row; pages that say the same of a font share it. The store is emptied when it holds 200."""
+    said = repr(sorted((k, v) for k, v in row.items() if k not in ("doc_id", "page", "font_res")))
+    if said not in _FONTS:
+        if len(_FONTS) >= 200:
+            _FONTS.clear()
+        _FONTS[said] = Font(row)
+    return _FONTS[said]
+
+
 def _times(p: tuple, q: tuple) -> tuple:
     a, b, c, d, e, f = p
     return (
@@ -207,7 +229,9 @@ _ONE = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 
 
 def glyphs_of(ops: Iterator[tuple[int, str, list]], fonts: dict[str, Font], strict: bool = False) -> Iterator[tuple]:
-    """Glyphs that a page's operations show.
+    """Glyphs that a page's operations show, string by string: each of GLYPH_SCHEMA's columns from `unicode` on.
+
+    Columns that hold for a whole string are single values; a string outside an array has item -1.
 
     q and Q keep only the page matrix, as the files this reads expect; with `strict`
     they keep the text state too. A string in an unknown font or at size 0 shows and
@@ -217,18 +241,22 @@ def glyphs_of(ops: Iterator[tuple[int, str, list]], fonts: dict[str, Font], stri
     ctm, saved, tm, line = _ONE, [], _ONE, _ONE
     num = lambda args, k, other=0.0: float(args[k]) if k < len(args) and isinstance(args[k], int | float) and not isinstance(args[k], bool) else other
 
-    def show(value: Any, op_index: int, item: int | None) -> Iterator[tuple]:
+    def show(value: Any, op_index: int, item: int) -> Iterator[tuple]:
         nonlocal tm
-        font, size, hs = state["font"], state["size"], state["Tz"]
+        font, size, hs, rise = state["font"], state["size"], state["Tz"], state["Ts"]
         if not font or not size or not isinstance(value, dict) or "s" not in value:
             return
-        offset = 0
-        for code, step, char, width in font.decode(bytes.fromhex(value["s"])):
-            t = _times((size * hs, 0.0, 0.0, size, 0.0, state["Ts"]), _times(tm, ctm))
-            yield char, code, t[4], t[5], width / 1000 * float(np.hypot(t[0], t[1])), float(np.hypot(t[2], t[3])), state["res"], size, op_index, item, offset, step
-            space = state["Tw"] if step == 1 and code == 32 else 0.0
-            tm = _times((1, 0, 0, 1, (width / 1000 * size + state["Tc"] + space) * hs, 0), tm)
-            offset += step
+        step, codes, chars, widths = font.decode(bytes.fromhex(value["s"]))
+        if not len(codes):
+            return
+        space = np.where(codes == 32, state["Tw"] if step == 1 else 0.0, 0.0)
+        forward = (widths / 1000 * size + state["Tc"] + space) * hs
+        e, f = (np.cumsum(np.concatenate([[tm[k + 4]], forward * tm[k]])) for k in (0, 1))
+        whole = _times(tm, ctm)
+        x, y = (rise * whole[k + 2] + (e[:-1] * ctm[k] + f[:-1] * ctm[k + 2] + ctm[k + 4]) for k in (0, 1))
+        wide, high = float(np.hypot(size * hs * whole[0], size * hs * whole[1])), float(np.hypot(size * whole[2], size * whole[3]))
+        tm = (*tm[:4], float(e[-1]), float(f[-1]))
+        yield chars, codes, x, y, widths / 1000 * wide, high, state["res"], size, op_index, item, np.arange(len(codes)) * step, step
 
     for k, op, args in ops:
         moved = None
@@ -265,7 +293,7 @@ def glyphs_of(ops: Iterator[tuple[int, str, list]], fonts: dict[str, Font], stri
         if op in ("Tj", "'", '"'):
             spot = 2 if op == '"' else 0
             if spot < len(args):
-                yield from show(args[spot], k, None)
+                yield from show(args[spot], k, -1)
         elif op == "TJ" and args and isinstance(args[0], list):
             for n, item in enumerate(args[0]):
                 if isinstance(item, int | float) and not isinstance(item, bool):
@@ -281,14 +309,20 @@ def extract_glyphs(ops: DataFrame, fonts: DataFrame, strict: bool = False) -> Da
     """GLYPH_SCHEMA rows of operations, page by page; operations that show and move nothing are dropped before the shuffle."""
     kept = ops.where(ops["op"].isin(*SHOWING)).select("doc_id", "page", "op_index", "op", "operands")
 
+    names = [f.split()[0] for f in GLYPH_SCHEMA.split(", ")][3:]
+
     def fold(key: tuple, page: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
-        known = {r["font_res"]: Font(r) for r in listed.to_dict("records")}
+        known = {r["font_res"]: font_of(r) for r in listed.to_dict("records")}
         page = page.sort_values("op_index")
-        rows = glyphs_of(zip(page["op_index"].tolist(), page["op"].tolist(), map(json.loads, page["operands"]), strict=True), known, strict)
-        names = [f.split()[0] for f in GLYPH_SCHEMA.split(", ")]
-        found = [(*key, n, *r) for n, r in enumerate(rows)]
-        out = pd.DataFrame(found, columns=[n.strip() for n in names])
-        out["item_index"] = out["item_index"].astype("Int32")
+        shown = list(glyphs_of(zip(page["op_index"].tolist(), page["op"].tolist(), map(json.loads, page["operands"]), strict=True), known, strict))
+        sizes = np.array([len(s[0]) for s in shown], np.int64)
+        columns = {}
+        for k, name in enumerate(names):
+            values = [s[k] for s in shown]
+            whole = bool(values) and isinstance(values[0], np.ndarray)
+            columns[name] = np.concatenate(values) if whole else np.repeat(np.array(values, object if name == "font_res" else None), sizes)
+        out = pd.DataFrame({"doc_id": key[0], "page": key[1], "glyph_ord": np.arange(sizes.sum())} | columns)
+        out["item_index"] = out["item_index"].astype("Int32").where(out["item_index"] >= 0)
         return out
 
     keyed = ["doc_id", "page"]
