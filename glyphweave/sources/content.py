@@ -315,11 +315,13 @@ def extract_glyphs(ops: DataFrame, fonts: DataFrame, strict: bool = False) -> Da
         known = {r["font_res"]: font_of(r) for r in listed.to_dict("records")}
         page = page.sort_values("op_index")
         shown = list(glyphs_of(zip(page["op_index"].tolist(), page["op"].tolist(), map(json.loads, page["operands"]), strict=True), known, strict))
+        if not shown:
+            return pd.DataFrame([], columns=["doc_id", "page", "glyph_ord", *names])
         sizes = np.array([len(s[0]) for s in shown], np.int64)
         columns = {}
         for k, name in enumerate(names):
             values = [s[k] for s in shown]
-            whole = bool(values) and isinstance(values[0], np.ndarray)
+            whole = isinstance(values[0], np.ndarray)
             columns[name] = np.concatenate(values) if whole else np.repeat(np.array(values, object if name == "font_res" else None), sizes)
         out = pd.DataFrame({"doc_id": key[0], "page": key[1], "glyph_ord": np.arange(sizes.sum())} | columns)
         out["item_index"] = out["item_index"].astype("Int32").where(out["item_index"] >= 0)
