@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,37 +25,37 @@ STANDARD_SPECIAL = {
     0xF8: 0x0142, 0xF9: 0x00F8, 0xFA: 0x0153, 0xFB: 0x00DF,
 }
 
-# Glyph names of ASCII signs and digits, in code order.
-ASCII_NAMES = {
-    0x20: "space exclam quotedbl numbersign dollar percent ampersand quotesingle parenleft parenright asterisk plus comma"
-    " hyphen period slash zero one two three four five six seven eight nine colon semicolon less equal greater question at",
-    0x5B: "bracketleft backslash bracketright asciicircum underscore grave",
-    0x7B: "braceleft bar braceright asciitilde",
-}
-
-# Other signs, by name.
-SIGN_NAMES = {
-    "exclamdown": 0xA1, "cent": 0xA2, "sterling": 0xA3, "currency": 0xA4, "yen": 0xA5, "brokenbar": 0xA6, "section": 0xA7,
-    "dieresis": 0xA8, "copyright": 0xA9, "ordfeminine": 0xAA, "guillemotleft": 0xAB, "logicalnot": 0xAC, "registered": 0xAE,
-    "macron": 0xAF, "degree": 0xB0, "plusminus": 0xB1, "twosuperior": 0xB2, "threesuperior": 0xB3, "acute": 0xB4, "mu": 0xB5,
-    "paragraph": 0xB6, "periodcentered": 0xB7, "cedilla": 0xB8, "onesuperior": 0xB9, "ordmasculine": 0xBA,
-    "guillemotright": 0xBB, "onequarter": 0xBC, "onehalf": 0xBD, "threequarters": 0xBE, "questiondown": 0xBF, "AE": 0xC6,
-    "Eth": 0xD0, "multiply": 0xD7, "Oslash": 0xD8, "Thorn": 0xDE, "germandbls": 0xDF, "ae": 0xE6, "eth": 0xF0,
-    "divide": 0xF7, "oslash": 0xF8, "thorn": 0xFE, "quoteleft": 0x2018, "quoteright": 0x2019, "quotedblleft": 0x201C,
-    "quotedblright": 0x201D, "quotesinglbase": 0x201A, "quotedblbase": 0x201E, "endash": 0x2013, "emdash": 0x2014,
-    "bullet": 0x2022, "ellipsis": 0x2026, "dagger": 0x2020, "daggerdbl": 0x2021, "perthousand": 0x2030,
-    "guilsinglleft": 0x2039, "guilsinglright": 0x203A, "trademark": 0x2122, "Euro": 0x20AC, "florin": 0x0192,
-    "fraction": 0x2044, "minus": 0x2212, "circumflex": 0x02C6, "tilde": 0x02DC, "caron": 0x02C7, "breve": 0x02D8,
-    "dotaccent": 0x02D9, "ring": 0x02DA, "ogonek": 0x02DB, "hungarumlaut": 0x02DD, "OE": 0x0152, "oe": 0x0153,
-    "Lslash": 0x0141, "lslash": 0x0142, "dotlessi": 0x0131, "fi": 0xFB01, "fl": 0xFB02, "nbspace": 0xA0,
-    "sfthyphen": 0xAD, "middot": 0xB7,
+# Published names of digits, signs and letters without accents that go by a name, in code order.
+GLYPH_NAMES = {
+    "space": 0x20, "exclam": 0x21, "quotedbl": 0x22, "numbersign": 0x23, "dollar": 0x24, "percent": 0x25,
+    "ampersand": 0x26, "quotesingle": 0x27, "parenleft": 0x28, "parenright": 0x29, "asterisk": 0x2A, "plus": 0x2B,
+    "comma": 0x2C, "hyphen": 0x2D, "period": 0x2E, "slash": 0x2F, "zero": 0x30, "one": 0x31, "two": 0x32, "three": 0x33,
+    "four": 0x34, "five": 0x35, "six": 0x36, "seven": 0x37, "eight": 0x38, "nine": 0x39, "colon": 0x3A,
+    "semicolon": 0x3B, "less": 0x3C, "equal": 0x3D, "greater": 0x3E, "question": 0x3F, "at": 0x40, "bracketleft": 0x5B,
+    "backslash": 0x5C, "bracketright": 0x5D, "asciicircum": 0x5E, "underscore": 0x5F, "grave": 0x60, "braceleft": 0x7B,
+    "bar": 0x7C, "braceright": 0x7D, "asciitilde": 0x7E, "nbspace": 0xA0, "exclamdown": 0xA1, "cent": 0xA2,
+    "sterling": 0xA3, "currency": 0xA4, "yen": 0xA5, "brokenbar": 0xA6, "section": 0xA7, "dieresis": 0xA8,
+    "copyright": 0xA9, "ordfeminine": 0xAA, "guillemotleft": 0xAB, "logicalnot": 0xAC, "sfthyphen": 0xAD,
+    "registered": 0xAE, "macron": 0xAF, "degree": 0xB0, "plusminus": 0xB1, "twosuperior": 0xB2, "threesuperior": 0xB3,
+    "acute": 0xB4, "mu": 0xB5, "paragraph": 0xB6, "middot": 0xB7, "periodcentered": 0xB7, "cedilla": 0xB8,
+    "onesuperior": 0xB9, "ordmasculine": 0xBA, "guillemotright": 0xBB, "onequarter": 0xBC, "onehalf": 0xBD,
+    "threequarters": 0xBE, "questiondown": 0xBF, "AE": 0xC6, "Eth": 0xD0, "multiply": 0xD7, "Oslash": 0xD8,
+    "Thorn": 0xDE, "germandbls": 0xDF, "ae": 0xE6, "eth": 0xF0, "divide": 0xF7, "oslash": 0xF8, "thorn": 0xFE,
+    "dotlessi": 0x131, "Lslash": 0x141, "lslash": 0x142, "OE": 0x152, "oe": 0x153, "florin": 0x192, "circumflex": 0x2C6,
+    "caron": 0x2C7, "breve": 0x2D8, "dotaccent": 0x2D9, "ring": 0x2DA, "ogonek": 0x2DB, "tilde": 0x2DC,
+    "hungarumlaut": 0x2DD, "endash": 0x2013, "emdash": 0x2014, "quoteleft": 0x2018, "quoteright": 0x2019,
+    "quotesinglbase": 0x201A, "quotedblleft": 0x201C, "quotedblright": 0x201D, "quotedblbase": 0x201E, "dagger": 0x2020,
+    "daggerdbl": 0x2021, "bullet": 0x2022, "ellipsis": 0x2026, "perthousand": 0x2030, "guilsinglleft": 0x2039,
+    "guilsinglright": 0x203A, "fraction": 0x2044, "Euro": 0x20AC, "trademark": 0x2122, "minus": 0x2212, "fi": 0xFB01,
+    "fl": 0xFB02,
 }
 
-#: Accented letters are named by letter and accent; Unicode composes them.
-ACCENTS = {"grave": "̀", "acute": "́", "circumflex": "̂", "tilde": "̃", "dieresis": "̈", "ring": "̊", "cedilla": "̧", "caron": "̌"}
-ACCENTED = re.compile(r"^([AEIOUYCNSZaeiouycnsz])(grave|acute|circumflex|tilde|dieresis|ring|cedilla|caron)$")
-#: Accented letters that the set of names has beyond Latin-1.
-BEYOND_LATIN1 = "ŠšŽžŸ"
+#: Accented letters are named by letter and accent; Unicode composes them. The accents' combining forms.
+ACCENTS = {
+    "grave": 0x300, "acute": 0x301, "circumflex": 0x302, "tilde": 0x303, "macron": 0x304, "breve": 0x306, "dotaccent": 0x307,
+    "dieresis": 0x308, "ring": 0x30A, "hungarumlaut": 0x30B, "caron": 0x30C, "cedilla": 0x327, "ogonek": 0x328,
+}
+ACCENTED = re.compile(rf"^([A-Za-z])({'|'.join(ACCENTS)})$")
 
 # Published widths, in thousandths of an em, of characters 32 to 126.
 HELVETICA = [
@@ -85,27 +86,15 @@ def standard(byte: int) -> int | None:
     return STANDARD_SPECIAL.get(byte, byte if byte < 0x80 else None)
 
 
-def _named() -> dict[str, int]:
-    names = dict(SIGN_NAMES)
-    for first, listed in ASCII_NAMES.items():
-        names.update((name, first + k) for k, name in enumerate(listed.split()))
-    return names
-
-
-_NAMES = _named()
-
-
 def glyph_name(name: str) -> int | None:
     """Character of a glyph name: single letters and digits, known names, accented letters, uniXXXX and uXXXX forms."""
-    import unicodedata
-
     if len(name) == 1 and name.isascii() and name.isalnum():
         return ord(name)
-    if name in _NAMES:
-        return _NAMES[name]
+    if name in GLYPH_NAMES:
+        return GLYPH_NAMES[name]
     if m := ACCENTED.match(name):
-        letter = unicodedata.normalize("NFC", m[1] + ACCENTS[m[2]])
-        if len(letter) == 1 and (letter <= "ÿ" or letter in BEYOND_LATIN1):
+        letter = unicodedata.normalize("NFC", m[1] + chr(ACCENTS[m[2]]))
+        if len(letter) == 1:
             return ord(letter)
     if m := re.match(r"uni([0-9A-Fa-f]{4})", name) or re.fullmatch(r"u([0-9A-Fa-f]{4,6})", name):
         return int(m[1], 16)

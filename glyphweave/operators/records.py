@@ -15,15 +15,16 @@ def last_values(writes: DataFrame, key: list[str], order: list[str], values: lis
 
 
 def upsert_fields(fields: DataFrame, writes: DataFrame) -> DataFrame:
-    """Set `value` and `checked` of every widget of a written field, on all its pages.
+    """Set `value` and `checked` of every widget of a written field, on all its pages or, if `writes` has page, on that one.
 
     `fields`: doc_id, page, name, kind, value, checked, option_value, options, read_only.
     `writes`: doc_id, name, value, seq. Last write wins; writes to unknown fields are
     dropped. Check boxes take "true" and "false", radio buttons are checked where their
     option is the value, lists take only their options.
     """
-    last = last_values(writes.withColumnRenamed("value", "new"), ["doc_id", "name"], ["seq"], ["new"])
-    joined = fields.join(last, ["doc_id", "name"], "left")
+    key = ["doc_id", "name", *(["page"] if "page" in writes.columns else [])]
+    last = last_values(writes.withColumnRenamed("value", "new"), key, ["seq"], ["new"])
+    joined = fields.join(last, key, "left")
     allowed = F.col("new").isNotNull() & ((F.col("kind") != "dropdown") | F.array_contains("options", F.col("new")))
     value = F.when(allowed & (F.col("kind") != "checkbox"), F.col("new")).otherwise(F.col("value"))
     checked = (

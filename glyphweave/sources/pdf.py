@@ -32,9 +32,11 @@ FIELD_SCHEMA = (
 COMMENT_SCHEMA = "doc_id long, page int, id string, x double, y double, w double, h double, contents string"
 IMAGE_SCHEMA = "doc_id long, page int, ref string, width int, height int, n_bytes long, bytes binary"
 
-_OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
+_OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b")
+_BODY_END = re.compile(rb"\bstream\r?\n|\bendobj")
+_STREAM_END = re.compile(rb"\r?\n?endstream\b")
+_LENGTH = re.compile(rb"/Length\s+(\d+)(?!\s+\d+\s+R)")
 _REF = re.compile(rb"(?<![\w.])(\d+)\s+\d+\s+R(?![\w])")
-_STREAM = re.compile(rb"\bstream\r?\n", re.S)
 
 
 def _value(raw: bytes) -> Any:
@@ -49,12 +51,15 @@ class PdfFile:
 
     def __init__(self, data: bytes):
         self.objects: dict[int, tuple[Any, bytes | None]] = {}
-        for m in _OBJECT.finditer(data):
-            body = m[2]
-            if s := _STREAM.search(body):
-                self.objects[int(m[1])] = (_value(body[: s.start()]), re.sub(rb"\r?\n?endstream\s*$", b"", body[s.end() :]))
-            else:
-                self.objects[int(m[1])] = (_value(body), None)
+        at = 0
+        while m := _OBJECT.search(data, at):
+            end = _BODY_END.search(data, m.end())
+            if not end:
+                break
+            at, value, stream = end.end(), _value(data[m.end() : end.start()]), None
+            if end[0] != b"endobj":
+                stream, at = self._stream(data, at, _LENGTH.search(data, m.end(), end.start()))
+            self.objects[int(m[1])] = (value, stream)
         for value, stream in list(self.objects.values()):  # objects packed in streams
             if self.name(self.get(value, "Type")) == "ObjStm" and stream is not None:
                 plain = self.decoded((value, stream))
@@ -65,6 +70,14 @@ class PdfFile:
                     end = places[k + 1][1] if k + 1 < len(places) else len(plain)
                     self.objects.setdefault(number, (_value(plain[first + at : first + end]), None))
 
+    @staticmethod
+    def _stream(data: bytes, at: int, length: re.Match | None) -> tuple[bytes, int]:
+        """Bytes of a stream and where it ends: by its length if that leads to its end mark, else up to the next mark."""
+        if length and (end := _STREAM_END.match(data, at + int(length[1]))):
+            return data[at : at + int(length[1])], end.end()
+        end = _STREAM_END.search(data, at)
+        return (data[at : end.start()], end.end()) if end else (data[at:], len(data))
+
     @staticmethod
     def name(value: Any) -> str | None:
         return value["n"] if isinstance(value, dict) and "n" in value else None
@@ -220,7 +233,8 @@ def image_rows(f: PdfFile, doc: int, path: str) -> Iterator[tuple]:
                 yield doc, n, (f.name(ref) or "").removeprefix("R~"), int(f.get(value, "Width") or 0), int(f.get(value, "Height") or 0), len(stream), stream
 
 
-def _table(spark: SparkSession, path: str, schema: str, rows: Callable[[PdfFile, int, str], Iterator[tuple]]) -> DataFrame:
+def _table(spark: SparkSession, path: str, schema: str, rows: Callable[[PdfFile, int, str], Iterator[tuple]], failed: Callable[[int, str, str], list[tuple]] | None = None) -> DataFrame:
+    """Rows of every file. A file that can't be read has no rows but what `failed` says of its error."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.pdf").option("recursiveFileLookup", "true").load(path)
     named = files.where(F.substring("content", 1, 5) == F.lit(b"%PDF-")).select(F.xxhash64("path").alias("doc_id"), "path", "content")
     empty = spark.createDataFrame([], schema)
@@ -230,7 +244,10 @@ def _table(spark: SparkSession, path: str, schema: str, rows: Callable[[PdfFile,
         for batch in batches:
             for k in range(batch.num_rows):
                 doc, where, data = (batch.column(c)[k].as_py() for c in ("doc_id", "path", "content"))
-                found = list(rows(PdfFile(data), doc, where))
+                try:
+                    found = list(rows(PdfFile(data), doc, where))
+                except Exception as error:  # whatever a malformed file leads to is that file's own error
+                    found = failed(doc, where, f"{type(error).__name__}: {error}") if failed else []
                 if found:
                     columns = []
                     for values, kind in zip(zip(*found, strict=True), arrow, strict=True):
@@ -264,3 +281,15 @@ def comments(spark: SparkSession, path: str) -> DataFrame:
 
 def images(spark: SparkSession, path: str) -> DataFrame:
     return _table(spark, path, IMAGE_SCHEMA, image_rows)
+
+
+def problems(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, path, error of each file that one of the tables can't be read from; those tables have none of its rows."""
+
+    def read(f: PdfFile, doc: int, where: str) -> Iterator[tuple]:
+        for rows in (page_rows, font_rows, field_rows, comment_rows, image_rows):
+            for _ in rows(f, doc, where):
+                pass
+        return iter(())
+
+    return _table(spark, path, "doc_id long, path string, error string", read, lambda doc, where, error: [(doc, where, error)])

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphweave.functions import fontmetrics, geometry, text
-from glyphweave.operators import blocks, lines, pageops, records, regions, search, vector, words
+from glyphweave.operators import blocks, lines, pageops, placement, records, regions, search, vector, words
 from glyphweave.plans.bridge import layout
 
 
@@ -201,7 +201,7 @@ def test_otsu_takes_the_lowest(spark):
 
 def test_fonts_and_scalars(spark):
     assert sum(fontmetrics.standard_width("Helvetica", ord(c)) for c in "Hello") == 2278
-    assert [fontmetrics.glyph_name(n) for n in ("A", "eacute", "Zcaron", "uni00E9", "u1F600", "nope", "Ebreve")] == [65, 0xE9, 0x17D, 0xE9, 0x1F600, None, None]
+    assert [fontmetrics.glyph_name(n) for n in ("A", "eacute", "Zcaron", "uni00E9", "u1F600", "nope", "Ebreve", "Qring")] == [65, 0xE9, 0x17D, 0xE9, 0x1F600, None, 0x114, None]
     row = spark.range(1).select(
         text.wrap_text(F.lit("aa bb  cc dddddddd"), 5).alias("wrap"),
         text.wrap_text(F.lit("  "), 5).alias("none"),
@@ -229,3 +229,81 @@ def test_page_keyed_chain_shuffles_once(spark, sf):
     df = layout(bridge_words(table(spark, sf, "documents")))[2]
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_page_and_record_scalars(spark):
+    n = lambda v: F.lit(v)
+    matrix = geometry.multiply(geometry.matrix([2, 0, 0, 2, 0, 0]), geometry.translate(geometry.identity(), n(3.0), n(4.0)))
+    row = spark.range(1).select(
+        records.single_filter(F.array(n("DCTDecode"))).alias("one"),
+        records.single_filter(F.array(n("A"), n("B"))).alias("two"),
+        search.step_hit(n(0), -1, n(3)).alias("back"),
+        search.step_hit(n(0), 1, n(0)).alias("none"),
+        regions.drag_box(n(10.0), n(20.0), n(4.0), n(9.0)).alias("box"),
+        regions.drag_box(n(10.0), n(20.0), n(11.0), n(9.0)).alias("thin"),
+        F.array(*(vector.stroke_width(n(a), n(20.0)) for a in (100.0, 1.0, 900.0))).alias("widths"),
+        F.array(*(vector.luma(*map(n, c)) for c in ((0.0, 0.0, 0.0, 255.0), (0.0, 0.0, 0.0, 0.0), (10.0, 20.0, 31.0, 255.0)))).alias("luma"),
+        F.array(pageops.dropped_index(n(1), n(3)), pageops.dropped_index(n(3), n(1))).alias("drop"),
+        pageops.toggle(F.array(n(1), n(3)), n(2)).alias("on"),
+        pageops.toggle(F.array(n(1), n(3)), n(3)).alias("off"),
+        F.array(text.is_dirty(n(2), n(1)), text.is_dirty(n(1), n(1)), text.is_dirty(n(1), n(None).cast("int"))).alias("dirty"),
+        text.data_url_bytes(n("data:text/plain;base64,aGk=")).alias("data"),
+        F.array(text.seek(n(0.5), n(4)), text.step_position(n(2), 10, n(4)), text.step_position(n(2), -10, n(4))).alias("at"),
+        F.array(text.progress(n(1), n(5)), text.progress(n(0), n(1))).alias("done"),
+        F.array(text.change_speed(n(1190), 1), text.change_speed(n(70), -1), text.change_speed(n(300), 2)).alias("speed"),
+        F.array(*geometry.apply(matrix, n(1.0), n(1.0))).alias("moved"),
+        F.array(*geometry.apply_delta(matrix, n(1.0), n(1.0))).alias("turned"),
+    ).first()
+    assert (row.one, row.two, row.back, row.none, row.thin) == ("DCTDecode", None, 2, None, None)
+    assert tuple(row.box) == (4.0, 9.0, 6.0, 11.0)
+    assert (row.widths, row.luma, row["drop"]) == ([5.0, 1.25, 8.0], [0, 255, 20], [2, 1])
+    assert (row.on, row.off, row.dirty, bytes(row.data)) == ([1, 2, 3], [1], [True, False, True], b"hi")
+    assert (row["at"], row.done, row.speed) == ([2, 3, 0], [25.0, 0.0], [1200, 60, 350])
+    assert (row.moved, row.turned) == ([5.0, 6.0], [2.0, 2.0])
+
+
+def test_references_follow_replacements(spark):
+    refs = spark.createDataFrame([(0, "7"), (1, "7"), (1, "8")], "page int, ref string")
+    done = records.repointed(refs, spark.createDataFrame([("7", "30")], "old_ref string, new_ref string"))
+    assert sorted(tuple(r) for r in done.collect()) == [(0, "30"), (1, "30"), (1, "8")]
+
+
+def test_field_writes_of_one_page(spark):
+    fields = spark.createDataFrame([(1, p, "a", "text", "old", None, None, None, False) for p in (0, 1)], "doc_id long, page int, name string, kind string, value string, checked boolean, option_value string, options array<string>, read_only boolean")
+    one = records.upsert_fields(fields, spark.createDataFrame([(1, 1, "a", "new", 1)], "doc_id long, page int, name string, value string, seq int"))
+    assert sorted((r.page, r.value) for r in one.collect()) == [(0, "old"), (1, "new")]
+    assert [(r.names, r.n_fields) for r in records.field_names(fields).collect()] == [(["a"], 1)]
+
+
+@pytest.mark.parametrize(
+    "chains, drag, want",
+    [
+        ([[(10, 10), (40, 10)], [(60, 10), (90, 10)]], (40, 10, 60, 10), [4]),  # end to end: joined
+        ([[(10, 50), (90, 50)]], (50, 10, 50, 90), [2, 2]),  # across: cut
+        ([[(10, 50), (90, 50)]], (10, 80, 90, 80), [2]),  # past it: as it was
+        ([[(10, 50), (50, 10), (90, 50)]], (10, 50, 90, 51), [3]),  # both ends of one chain, crossing nothing inside
+    ],
+)
+def test_drags_join_or_cut(spark, chains, drag, want):
+    rows = [(1, c, k, float(x), float(y)) for c, chain in enumerate(chains) for k, (x, y) in enumerate(chain)]
+    points = spark.createDataFrame(rows + [(2, 0, 0, 0.0, 0.0), (2, 0, 1, 5.0, 5.0)], "img_id int, chain int, ord int, x double, y double")
+    drags = spark.createDataFrame([(1, *map(float, drag))], "img_id int, ax double, ay double, bx double, by double")
+    got = vector.edit_strokes(points, drags, 4.0).groupBy("img_id", "chain").count().orderBy("img_id", "chain").collect()
+    assert [r["count"] for r in got if r.img_id == 1] == want and [r["count"] for r in got if r.img_id == 2] == [2]
+
+
+def test_measured_wrapping_equals_the_loop(spark):
+    texts = ["one two three four five six seven", "", None, "  spaced\u00a0out  words ", "W" * 60 + " end", "i i i i i i i i i i i i i i i i i i i i"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {}
+    for r in placement.wrap_measured(df, ["id"], F.lit("Helvetica"), F.lit(6000.0)).orderBy("id", "line_no").collect():
+        got.setdefault(r.id, []).append(r.line)
+    for k, t in enumerate(texts):
+        lines_, current = [], ""
+        for word in (t or "").split():
+            longer = f"{current} {word}" if current else word
+            if current and sum(fontmetrics.standard_width("Helvetica", ord(c)) for c in longer) > 6000:
+                lines_.append(current)
+                longer = word
+            current = longer
+        assert got[k] == [*lines_, current]

@@ -77,3 +77,17 @@ def test_fields_comments_images(spark, folder):
     assert images.count() == 2  # both pages inherit the resource
     once = records.distinct_images(images).first()
     assert (once.first_page, once.n_uses, once.n_bytes) == (0, 2, 8)
+
+
+def test_streams_end_by_their_length(spark, tmp_path):
+    data = b"BT (a endobj b) Tj (c\nendstream d) Tj ET"
+    write(tmp_path / "marks.pdf", {1: b"<</Type /Catalog /Pages 2 0 R>>", 2: b"<</Type /Pages /Kids [3 0 R] /MediaBox [0 0 9 9]>>", 3: b"<</Type /Page /Parent 2 0 R /Contents 4 0 R>>", 4: (b"", data)})
+    assert bytes(pdf.pages(spark, str(tmp_path)).first().content).rstrip() == data
+
+
+def test_a_malformed_file_is_named(spark, folder, tmp_path):
+    bad = b"<</Type /Pages /Kids [3 0 R] /MediaBox [0 0 612 792]>>"
+    write(tmp_path / "bad.pdf", {1: b"<</Type /Catalog /Pages 2 0 R>>", 2: bad, 3: b"<</Type /Page /Parent 2 0 R>>", 9: (b"/Type /ObjStm /N 1 /First 4", b"x y z")})
+    found = pdf.problems(spark, folder).collect()
+    assert [r.path.rsplit("/", 1)[1] for r in found] == ["bad.pdf"] and "Error" in found[0].error
+    assert pdf.pages(spark, folder).count() == 2
