@@ -43,14 +43,13 @@ def runs(words: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass
 class Block:
-    """Windows of some benchmark items as arrays: window k is words[at[k] : at[k] + size[k]] of the block."""
+    """Different windows of some benchmark items: window k is words[at[k] : at[k] + size[k]] of the block, and stands in items[k]."""
 
     words: np.ndarray
     text: list[bytes]
-    item: list[str]
     at: np.ndarray
     size: np.ndarray
-    item_of: np.ndarray
+    items: list[list[str]]
     width: int
 
     def key_width(self, size: int) -> int:
@@ -67,31 +66,31 @@ class Block:
 
 
 def blocks_of(benchmark: DataFrame, window: int, width: int) -> Iterator[Block]:
-    """Read the benchmark item by item; at most BLOCK_WORDS words and one more item are held."""
+    """Read the benchmark item by item; at most BLOCK_WORDS words and one more item are held. Equal windows become one."""
     words: list[np.ndarray] = []
     text: list[bytes] = []
-    item: list[str] = []
-    spots: list[tuple[int, int, int]] = []
-    held = 0
+    windows: dict[tuple[bytes, ...], tuple[int, list[str]]] = {}
 
     def block() -> Block:
-        at, size, of = (np.array(x, np.int64) for x in zip(*spots, strict=True))
-        return Block(np.concatenate(words), list(text), list(item), at, size, of, width)
+        at = np.array([a for a, _ in windows.values()], np.int64)
+        size = np.array([len(w) for w in windows], np.int64)
+        return Block(np.concatenate([np.zeros(0, np.uint64), *words]), text, at, size, [items for _, items in windows.values()], width)
 
     for r in benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).toLocalIterator():
         for _, _, buf, starts, ends, hashes, _ in cut_words(pa.array([r["text"]], pa.string())):
             if not len(hashes) or r["item_id"] is None:
                 continue
-            size = min(window, len(hashes))
-            spots += [(held + k, size, len(item)) for k in range(len(hashes) - size + 1)]
+            held, size = len(text), min(window, len(hashes))
             words.append(hashes)
             text += [bytes(buf[a:b]) for a, b in zip(starts, ends, strict=True)]
-            item.append(r["item_id"])
-            held += len(hashes)
-        if held >= BLOCK_WORDS:
+            for k in range(held, len(text) - size + 1):
+                _, items = windows.setdefault(tuple(text[k : k + size]), (k, []))
+                if not items or items[-1] != r["item_id"]:
+                    items.append(r["item_id"])
+        if len(text) >= BLOCK_WORDS:
             yield block()
-            words, text, item, spots, held = [], [], [], [], 0
-    if item:
+            words, text, windows = [], [], {}
+    if text:
         yield block()
 
 
@@ -143,8 +142,12 @@ def rarest(block: Block, wanted: dict[int, np.ndarray], counts: dict[int, np.nda
 
 
 def found_in(block: Block, prefix: dict, buf, starts, ends, hashes, before, rows: int) -> list[list[tuple[str, int, int]]]:
-    """(item, first word, end word) of each verified window of each text of a chunk."""
-    out: list[list[tuple[str, int, int]]] = [[] for _ in range(rows)]
+    """(item, first word, end word) of verified windows of each text of a chunk, merged.
+
+    A position meets a window once, however many items hold it; runs of a window's
+    meetings are merged before its items are named.
+    """
+    spans: list[dict[int, list[list[int]]]] = [{} for _ in range(rows)]
     for width, (keys, windows, place) in prefix.items():
         met = runs(hashes, width)
         lo, hi = np.searchsorted(keys, met), np.searchsorted(keys, met, "right")
@@ -161,12 +164,16 @@ def found_in(block: Block, prefix: dict, buf, starts, ends, hashes, before, rows
             same = np.flatnonzero(size == s)
             for k in range(s):  # one word of all remaining pairs at a time
                 same = same[hashes[first[same] + k] == block.words[block.at[window[same]] + k]]
-            for k in same.tolist():
+            for k in same[np.lexsort((first[same], window[same]))].tolist():
                 a, b = int(first[k]), int(block.at[window[k]])
                 if all(bytes(buf[starts[a + x] : ends[a + x]]) == block.text[b + x] for x in range(s)):
-                    d = int(doc[k])
-                    out[d].append((block.item[block.item_of[window[k]]], a - int(before[d]), a - int(before[d]) + int(s)))
-    return out
+                    held = spans[int(doc[k])].setdefault(int(window[k]), [])
+                    a -= int(before[doc[k]])
+                    if held and a <= held[-1][1]:
+                        held[-1][1] = a + int(s)
+                    else:
+                        held.append([a, a + int(s)])
+    return [merged([(item, a, b) for w, held in found.items() for item in block.items[w] for a, b in held]) for found in spans]
 
 
 def merged(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -194,7 +201,7 @@ def _pass(docs: DataFrame, block: Block, prefix: dict, carried: str) -> DataFram
             for row, end, buf, starts, ends, hashes, before in cut_words(texts):
                 found = found_in(blk, pre, buf, starts, ends, hashes, before, end - row)
                 for old, new in zip(had[row:end], found, strict=True):
-                    spans.append((old or []) + [{"item_id": i, "first_word": a, "end_word": b} for i, a, b in merged(new)])
+                    spans.append((old or []) + [{"item_id": i, "first_word": a, "end_word": b} for i, a, b in new])
                 counts += np.diff(before).tolist()
             columns = {"spans": pa.array(spans, _SPAN_TYPE), "n_words": pa.array(counts, pa.int64())}
             yield pa.RecordBatch.from_arrays([columns.get(n, batch.column(n)) for n in names], names=names)
@@ -225,7 +232,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window: int = 13, width: int
         out = _pass(out, block, rarest(block, wanted, counts), shape)
         passes += 1
     if not passes:
-        empty = Block(np.zeros(0, np.uint64), [], [], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), width)
+        empty = Block(np.zeros(0, np.uint64), [], np.zeros(0, np.int64), np.zeros(0, np.int64), [], width)
         out = _pass(out, empty, {}, shape)
     return out
 
