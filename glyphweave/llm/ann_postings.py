@@ -24,10 +24,13 @@ from glyphweave.llm.workspace import written
 @dataclass(frozen=True)
 class AnnSpec:
     neighbours: int = 5
-    #: Points a list should have, points of the sample, and the most points one task reads of a list.
+    #: Points a list should have, and the most points one task reads of a list.
     list_points: int = 192
-    sample: int = 20_000
     block: int = 4096
+    #: Centroids are fitted on a fiftieth of the points, but on so many at least and at most.
+    #: With up to sample_most / 4 lists, lists keep their size up to about ten million points.
+    sample: int = 20_000
+    sample_most: int = 200_000
     #: A point is copied to centroids within this ratio of its nearest, at most `copies`.
     spill_ratio: float = 1.08
     copies: int = 6
@@ -76,8 +79,14 @@ def points_of(vectors: DataFrame, dim: int, ids_kept: int) -> DataFrame:
 
 
 def unit_rows(packed: list[bytes], dim: int) -> np.ndarray:
+    x = even_rows(packed, dim)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def even_rows(packed: list[bytes], dim: int) -> np.ndarray:
+    """Vectors scaled by a power of two each, so that norms neither overflow nor vanish; cosines are exactly those of the vectors."""
     x = np.frombuffer(b"".join(packed), np.float64).reshape(-1, dim)
-    return x / np.linalg.norm(x / np.abs(x).max(1, keepdims=True), axis=1, keepdims=True) / np.abs(x).max(1, keepdims=True)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0))[1][:, None])
 
 
 def balanced_centroids(sample: np.ndarray, lists: int) -> np.ndarray:
@@ -220,7 +229,8 @@ def nearest(vectors: DataFrame, is_query, spec: AnnSpec | None = None) -> DataFr
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     points = points_of(rows, dim, k)
     n = points.count()
-    sample = points.orderBy(F.xxhash64("vec")).select("vec").limit(spec.sample).toArrow()["vec"].to_pylist()  # bounded by spec.sample
+    taken = min(max(spec.sample, n // 50), spec.sample_most)
+    sample = points.orderBy(F.xxhash64("vec")).select("vec").limit(taken).toArrow()["vec"].to_pylist()
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     lists = max(1, min(-(-n // spec.list_points), len(sample) // 4))
@@ -249,7 +259,7 @@ def nearest(vectors: DataFrame, is_query, spec: AnnSpec | None = None) -> DataFr
         empty = pa.table({"query_no": pa.array([], pa.int64()), "point_no": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not a.num_rows or not b.num_rows:
             return empty
-        x, y = (np.frombuffer(b"".join(t["vec"].to_pylist()), np.float64).reshape(-1, dim) for t in (a, b))
+        x, y = (even_rows(t["vec"].to_pylist(), dim) for t in (a, b))
         ids, first = b["point_no"].to_numpy(), b["first_id"].to_numpy()
         asked_bits, held_bits = a["bits"].to_numpy(), b["bits"].to_numpy()
         qs, ps, ss = [], [], []
