@@ -73,23 +73,25 @@ def reshard(
     rows). Returns carry, size, old_shard, shard, slot (gapless from 0 in a shard).
     Within an old shard documents lie by falling size, so the bytes that stay are
     its largest documents and every cut falls among small ones. A document goes
-    where its middle byte falls. Null doc_ids sort first; repeated rows stay apart;
-    an empty table gives no rows. Sizes must be positive.
+    where its middle byte falls. Ties go by row, repeated rows stay apart; a null old
+    shard counts as shard 0, and a null, zero or negative size as one byte when rows
+    are placed; an empty table gives no rows.
     """
     spark = docs.sparkSession
     capacities = capacities or (lambda total: even_capacities(total, new_shards))
     rows = docs.select(
         *carry,
         "size",
-        old_shard.cast("int").alias("old_shard"),
-        (-F.col("size")).alias("by_size"),
+        F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old_shard"),
+        F.greatest(F.coalesce(F.col("size").cast("long"), F.lit(1)), F.lit(1)).alias("weight"),
+        (-F.greatest(F.coalesce(F.col("size").cast("long"), F.lit(1)), F.lit(1))).alias("by_size"),
         F.monotonically_increasing_id().alias("row_no"),
         F.lit(1).cast("long").alias("one"),
     )
     laid = with_running_totals(
-        rows, ["old_shard", "by_size", "row_no"], {"bytes_before": "size", "rows_before": "one"}, "reshard"
+        rows, ["old_shard", "by_size", "row_no"], {"bytes_before": "weight", "rows_before": "one"}, "reshard"
     )
-    sums = laid.groupBy("old_shard").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()  # a row per shard
+    sums = laid.groupBy("old_shard").agg(F.sum("weight").alias("b"), F.count("*").alias("n")).collect()  # a row per shard
     supply, counts = [0] * old_shards, [0] * old_shards
     for r in sums:
         supply[r["old_shard"]], counts[r["old_shard"]] = r["b"], r["n"]
@@ -103,7 +105,7 @@ def reshard(
             at += sent[i, j]
         byte_base += supply[i]
     plan = spark.createDataFrame(blocks, "old_shard int, shard int, begin long, stop long")
-    middle = F.col("bytes_before") + F.expr("size div 2")
+    middle = F.col("bytes_before") + F.expr("weight div 2")
     cut = laid.join(
         F.broadcast(plan.withColumnRenamed("old_shard", "from_shard")),
         (F.col("old_shard") == F.col("from_shard")) & (middle >= F.col("begin")) & (middle < F.col("stop")),
