@@ -58,6 +58,10 @@ def keys_of(host: Column, url: Column) -> Column:
     )
 
 
+#: Captures that share a host or a domain are dealt over so many parts; every entry goes to each of them.
+SALTS = 16
+
+
 def judge(captures: DataFrame, entries: DataFrame, exempt: str = "allow") -> DataFrame:
     """Evaluate every row of `captures` (page_id, url, fetched_at) at its own time.
 
@@ -74,7 +78,8 @@ def judge(captures: DataFrame, entries: DataFrame, exempt: str = "allow") -> Dat
         "url-captures",
     )
     keyed = rows.select("row_no", "fetched_at", F.explode(keys_of(F.col("host"), F.col("url"))).alias("pattern"))
-    met = keyed.join(intervals(entries), "pattern").where(
+    salted = intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = keyed.withColumn("salt", F.pmod(F.col("row_no"), F.lit(SALTS)).cast("int")).join(salted, ["pattern", "salt"]).where(
         (F.col("fetched_at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched_at") < F.col("valid_to")))
     )
     size = F.length("pattern")
