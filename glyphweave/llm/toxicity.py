@@ -127,7 +127,9 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = SAMPLE
 
     An entry needs MIN distinct contexts in toxic texts and a lower bound of its
     log-odds (1.64 standard errors) above 1.5. Whole words under an entry that are
-    commoner in clean texts become exceptions. Without both labels the lexicon is empty.
+    commoner in clean texts become exceptions, and so do an entry's word and the word
+    beside it where that pair is surely commoner in clean texts. Without both labels
+    the lexicon is empty.
     """
     sample = written(labelled_sample(docs, labels, "toxic", usable, rows), "toxicity-sample")
     toxic = written(_gather(sample, 1).where("contexts >= 3"), "toxicity-candidates")
@@ -146,13 +148,40 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, rows: int = SAMPLE
     begins = F.transform(F.sequence(F.lit(PREFIXES[0]), F.least(F.length("entry"), F.lit(PREFIXES[-1]))), lambda k: F.concat(F.col("entry").substr(F.lit(1), k), F.lit("*")))
     words = counted.where(F.col("excusable") & (F.length("entry") >= PREFIXES[0])).select(F.col("entry").alias("word"), F.explode(begins).alias("entry"))
     under = words.join(counted.where("telling").select("entry"), "entry", "left_semi").select("word").distinct()
-    excused = tuple(sorted(r["word"] for r in under.collect()))
+    excused = tuple(sorted(r["word"] for r in under.collect())) + _excused_phrases(sample, frozenset(weights))
     measured = _measured(sample, weights, excused).collect()
     x = np.array([(r["total"], r["words"]) for r in measured], float).reshape(-1, 2)
     y = np.array([r["label"] for r in measured], float)
     return Lexicon(weights, excused, _fit_slope(x, y))
 
 
+def _excused_phrases(sample: DataFrame, telling: frozenset[str]) -> tuple[str, ...]:
+    """Pairs of neighbouring words, one of which an entry matches, whose upper bound of log-odds of texts (1.64 standard errors) is below 0."""
+    shared = sample.sparkSession.sparkContext.broadcast(telling)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entries, known = shared.value, {}
+        for batch in batches:
+            found: list[str] = []
+            labels: list[int] = []
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                words, mine = folded_words(text), set()
+                for k, word in enumerate(words):
+                    if word not in known:
+                        known[word] = any(e in entries for e in _entries(word))
+                    if known[word]:
+                        mine.update(" ".join(words[a : a + 2]) for a in (k - 1, k) if 0 <= a < len(words) - 1)
+                found += mine
+                labels += [label] * len(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(labels, pa.int32())], names=["phrase", "label"])
+
+    sizes = sample.agg(F.sum("label").alias("toxic"), F.count("*").alias("every")).first()
+    n1, n0 = (sizes["toxic"] or 0) + 1, sizes["every"] - (sizes["toxic"] or 0) + 1
+    counted = sample.mapInArrow(pairs, "phrase string, label int").groupBy("phrase").agg((F.sum("label") + 0.5).alias("a"), (F.sum(1 - F.col("label")) + 0.5).alias("b"))
+    bound = F.log(F.col("a") / n1) - F.log(F.col("b") / n0) + 1.64 * F.sqrt(1 / F.col("a") + 1 / F.col("b"))
+    return tuple(sorted(r["phrase"] for r in counted.where(bound < 0).select("phrase").collect()))
+
+
 def _measured(sample: DataFrame, weights: dict[str, float], exceptions: tuple[str, ...]) -> DataFrame:
     shared = sample.sparkSession.sparkContext.broadcast((tuple(weights.items()), exceptions))
 
