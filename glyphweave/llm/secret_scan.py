@@ -276,19 +276,24 @@ def findings(docs: DataFrame, forest: Forest, path: str = "source", threshold: f
 
 
 def masked(docs: DataFrame, forest: Forest, path: str = "source", threshold: float = 0.5, mark: str = "[SECRET]") -> DataFrame:
-    """`docs` with every found secret in text replaced by `mark`; all rows and columns stay."""
+    """`docs` with every found secret in text replaced by `mark`; all rows and columns stay, repeated rows too.
+
+    Null and empty texts stay as they are.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(forest)
     names = docs.columns
-    rows = docs.select(*names, (F.col(path).cast("string") if path in names else F.lit("")).alias("__path"))
+    place = "path_of_row" + "_" * max(map(len, names), default=0)  # longer than any other name
+    rows = docs.select(*names, (F.col(path).cast("string") if path in names else F.lit("")).alias(place))
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            found = scan_texts(texts, batch.column("__path").to_pylist(), shared.value, threshold)
+            found = scan_texts(texts, batch.column(place).to_pylist(), shared.value, threshold)
             for k, spans in enumerate(found):
-                for a, b, s in reversed(spans):
-                    if s >= threshold:
-                        texts[k] = texts[k][:a] + mark + texts[k][b:]
+                secret = [(a, b) for a, b, s in spans if s >= threshold]
+                if secret:
+                    kept = zip([0, *(b for _, b in secret)], [*(a for a, _ in secret), len(texts[k])], strict=True)
+                    texts[k] = mark.join(texts[k][a:b] for a, b in kept)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names=names
             )
