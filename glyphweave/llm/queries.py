@@ -190,4 +190,51 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_url_filter": op3_sql()}
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _words(source: str, key: str, pattern: str) -> str:
+    """(key, n, k, word): the words of each text in order, k from 1 of n."""
+    return f"""SELECT {key}, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) AS k
+  FROM (SELECT {key}, regexp_extract_all({_LOWER}, '{pattern}') AS ws FROM {source} WHERE text IS NOT NULL)"""
+
+
+def op7_sql(window: int = 13) -> str:
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    lists = f"list(word) OVER (PARTITION BY {{key}} ORDER BY k ROWS BETWEEN CURRENT ROW AND {window - 1} FOLLOWING)"
+    return rf"""
+WITH docs AS (SELECT *, row_number() OVER () AS row_no FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, text, row_number() OVER () AS item_no FROM benchmark WHERE item_id IS NOT NULL),
+dw AS ({_words("docs", "row_no", pattern)}),
+iw AS ({_words("items", "item_no, item", pattern)}),
+runs AS (SELECT row_no, n, k, {lists.format(key="row_no")} AS ahead FROM dw),
+windows AS (SELECT DISTINCT item, least(n, {window}) AS size, array_to_string(ahead, ' ') AS win
+  FROM (SELECT item, n, k, {lists.format(key="item_no")} AS ahead FROM iw) WHERE k + least(n, {window}) - 1 <= n),
+met AS (SELECT r.row_no, r.k, w.size, w.item
+  FROM (SELECT r.*, s.size, array_to_string(ahead[1:s.size], ' ') AS win FROM runs r JOIN (SELECT DISTINCT size FROM windows) s ON k + s.size - 1 <= n) r
+  JOIN windows w ON r.size = w.size AND r.win = w.win),
+hit AS (SELECT row_no, count(DISTINCT spot) AS n_hit FROM (SELECT row_no, unnest(range(k, k + size)) AS spot FROM (SELECT DISTINCT row_no, k, size FROM met)) GROUP BY row_no),
+found AS (SELECT row_no, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT row_no, item FROM met) GROUP BY row_no),
+counted AS (SELECT row_no, any_value(n) AS n_words FROM dw GROUP BY row_no)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(n_words, 0) AS contaminated
+FROM docs LEFT JOIN counted USING (row_no) LEFT JOIN hit USING (row_no) LEFT JOIN found USING (row_no)
+"""
+
+
+def op9_sql(rule: jaccard_join.Rule = jaccard_join.RULE) -> str:
+    ahead = " || ".join(["word", *(f"coalesce(' ' || lead(word, {k}) OVER o, '')" for k in range(1, rule.width))])
+    return rf"""
+WITH RECURSIVE docs AS (SELECT doc_id, text, row_number() OVER () AS row_no FROM documents),
+w AS ({_words("docs", "row_no", r"[^\x20\x09-\x0D]+")}),
+sets AS (SELECT DISTINCT row_no, run FROM (SELECT row_no, n, k, {ahead} AS run FROM w WINDOW o AS (PARTITION BY row_no ORDER BY k)) WHERE k <= greatest(n - {rule.width - 1}, 1)),
+sizes AS (SELECT row_no, count(*) AS n FROM sets GROUP BY row_no),
+shared AS (SELECT a.row_no AS a, b.row_no AS b, count(*) AS common FROM sets a JOIN sets b ON a.run = b.run AND a.row_no <> b.row_no GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON a = x.row_no JOIN sizes y ON b = y.row_no WHERE {rule.under} * common >= {rule.over} * (x.n + y.n - common)),
+reach AS (SELECT row_no, row_no AS other FROM docs UNION SELECT r.row_no, l.b FROM reach r JOIN links l ON r.other = l.a),
+least AS (SELECT r.row_no, min(d.doc_id) AS component_id FROM reach r JOIN docs d ON r.other = d.row_no GROUP BY r.row_no)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM docs LEFT JOIN sizes USING (row_no) JOIN least USING (row_no)
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op3_url_filter": op3_sql(), "op7_decontaminate": op7_sql(), "op9_jaccard_join": op9_sql()}
