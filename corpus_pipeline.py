@@ -23,25 +23,38 @@ NEAR_COPIES = jaccard_join.Rule(width=5, over=80, under=100)
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def plain(docs: DataFrame) -> DataFrame:
+    """`docs` with names that no operator uses itself: text, and field_0, field_1, ... for the others."""
+    return docs.toDF(*(c if c == "text" else f"field_{k}" for k, c in enumerate(docs.columns)))
+
+
+def named(kept: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of plain(docs) that were kept, with the columns of `docs` again."""
+    return kept.select(*(F.col(c if c == "text" else f"field_{k}").alias(c) for k, c in enumerate(docs.columns)))
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that the quality classifier rejects (score below 0.3)."""
+    """Drop documents that the quality classifier rejects (score below 0.3). A null text is judged as the empty one."""
     model = quality_gam.train(docs, table(spark, sf_dir, "labels"), fold_of("doc_id", 5) != 0)
-    return quality_gam.score(docs, model).where("predicted = 1").select(*docs.columns)
+    return named(quality_gam.score(plain(docs), model).where("predicted = 1"), docs)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, of the smallest doc_id, of each group that the Jaccard join links by NEAR_COPIES."""
+    """Keep one document, of the smallest doc_id, of each group that the Jaccard join links by NEAR_COPIES.
+
+    Null and wordless texts are linked with nothing and stay.
+    """
     return jaccard_join.one_of_each(docs, NEAR_COPIES)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of which a twentieth or more lies under benchmark windows."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(~F.col("contaminated")).select(*docs.columns)
+    """Drop documents of which a twentieth or more lies under benchmark windows. Null and wordless texts stay."""
+    found = decontaminate.contamination(plain(docs), table(spark, sf_dir, "benchmark"))
+    return named(found.where(~F.col("contaminated")), docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace found secrets in texts; no document is dropped, and n_chars follows where there is one."""
+    """Replace found secrets in texts; no document is dropped, null texts stay null, and n_chars follows where there is one."""
     clean = secret_scan.masked(docs, secret_scan.train(secret_scan.sample_findings(spark)))
     if "n_chars" not in docs.columns:
         return clean
