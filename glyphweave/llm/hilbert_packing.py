@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphweave.llm.encoding import encoder, vocabulary
-from glyphweave.llm.workspace import with_running_totals, written
+from glyphweave.llm.workspace import discard, with_running_totals, written
 
 
 @dataclass(frozen=True)
@@ -117,7 +117,7 @@ def tokenised(docs: DataFrame, spec: PackingSpec) -> DataFrame:
         F.col("text").cast("string").alias("text"),
     )
     made = rows.mapInArrow(encode, "row_no long, doc_id long, curve_key long, doc_tokens long, ids binary")
-    return written(made, "packing-ids")
+    return written(made, "packing-ids", "zstd")
 
 
 PIECE = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids_crc32"]
@@ -135,7 +135,9 @@ def pack(docs: DataFrame, spec: PackingSpec | None = None) -> DataFrame:
     gives no pieces. Only doc_id and text are read, so other columns can't clash.
     """
     spec = spec or PackingSpec()
-    placed = with_running_totals(tokenised(docs, spec), ["curve_key", "row_no"], {"laid_at": "doc_tokens"}, "packing-order")
+    ids = tokenised(docs, spec)
+    placed = with_running_totals(ids, ["curve_key", "row_no"], {"laid_at": "doc_tokens"}, "packing-order", "zstd")
+    discard(ids)
     size = spec.length
     schema = pa.schema([*((n, pa.int64()) for n in PIECE), ("ids", pa.list_(pa.int32()))])
 

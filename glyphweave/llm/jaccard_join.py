@@ -7,14 +7,15 @@ points (or of two boxes' upper corners) bound the overlap of the sets below them
 The tree's top level splits on very fine groups, one shingle wide: with the groups
 in one global order, two sets that meet in none of their first few occupied groups
 have a summed minimum too small to link, so each set goes only to the nodes of
-those groups, and Spark shuffles the nodes. Groups that are common in the corpus
-come last in the order, so that they stay out of the short list. Below, a node's
-points are packed into boxes over coarse groups, boxes are joined top down, and
-the pairs that survive are verified on the texts.
+those groups, and Spark shuffles the nodes. The commoner a group is in the corpus,
+the later it comes in the order, so that common ones stay out of the short list.
+Below, a node's points are packed into boxes over coarse groups, boxes are joined
+top down, and the pairs that survive are verified on the texts.
 
 Equal sets are one class from the start. Links inside a class of near copies are
-first found against a few pivots per node; nodes whose documents are then all
-joined need no more work, so a group of copies costs its size, not its square.
+first found against pivots: a node's pivot meets all its others and leaves it. Nodes
+whose documents are then all joined, or of which one is left, need no more work, so
+a group of copies costs its size, not its square.
 """
 
 from __future__ import annotations
@@ -25,13 +26,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphweave.llm import texthash
 from glyphweave.llm.components import components
-from glyphweave.llm.workspace import release, sized, written
+from glyphweave.llm.workspace import discard, sized, written
 
 
 @dataclass(frozen=True)
@@ -53,13 +53,15 @@ RULE = Rule()
 #: Groups of a point, and of the boxes over points; a coarse group is FINE / COARSE of them.
 FINE, COARSE = 256, 32
 CELL_BITS = 22
-#: A fine group is common if so many different documents of one task hold it.
-COMMON = 24
+#: A fine group is common if so many different documents of BLOCK hold it, and the commoner the more do.
+COMMON, BLOCK = 6, 8000
 #: Rank below which a group is used for the first pivots.
 FIRST = 4
-#: Times that every mixed node tries another pivot before its box trees are joined.
+#: Times that every mixed node tries another pivot before box trees are built over what is left of it.
 TURNS = 2
 LEAF, FAN, TILE = 24, 8, 2048
+#: Pairs of boxes or points that a task looks at at once; the group counts it compares at once are eight times as many.
+MEETINGS = 1 << 18
 
 
 def sets_of(texts: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -89,60 +91,74 @@ def unpacked_counts(packed: list[bytes], sizes: np.ndarray) -> np.ndarray:
     return np.where(counts == 255, np.maximum(sizes, 255)[:, None], counts)
 
 
-def common_cells(docs: DataFrame, rule: Rule) -> np.ndarray:
-    """A bit for each cell of fine groups that is common somewhere in the corpus.
+def commonness(docs: DataFrame, rule: Rule) -> np.ndarray:
+    """For each cell of fine groups, how common it is at most among any BLOCK documents read in a row: 0, or 1 and up for each doubling of COMMON.
 
-    Every document is read and counts are exact within a task, where equal sets count
-    once. What is collected is bounded by the number of cells. The bits only choose
-    the order of groups; results don't depend on them.
+    Every document is read; equal sets of a block count once. What is collected is
+    bounded by the number of cells. The levels only choose the order of groups;
+    results don't depend on them.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, seen = np.zeros(1 << CELL_BITS, np.uint32), set()
+        sums, levels, seen = np.zeros(1 << CELL_BITS, np.uint16), np.zeros(1 << CELL_BITS, np.uint8), set()
+
+        def close() -> None:
+            often = np.flatnonzero(sums >= COMMON)
+            levels[often] = np.maximum(levels[often], np.log2(sums[often] / COMMON).astype(np.uint8) + 1)
+            sums[:] = 0
+            seen.clear()
+
         for batch in batches:
             for found in sets_of(batch.column(0), rule.width):
                 if not len(found) or (key := hash(found.tobytes())) in seen:
                     continue
                 seen.add(key)
                 sums[np.unique(found >> np.uint64(64 - CELL_BITS)).astype(np.int64)] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(sums >= COMMON), pa.int64())], names=["cell"])
+                if len(seen) == BLOCK:
+                    close()
+        close()
+        met = np.flatnonzero(levels)
+        yield pa.RecordBatch.from_arrays([pa.array(met, pa.int64()), pa.array(levels[met], pa.int32())], names=["cell", "level"])
 
-    cells = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "cell long").distinct()
-    bits = np.zeros(1 << CELL_BITS, bool)
-    bits[cells.toArrow()["cell"].to_numpy()] = True
-    return np.packbits(bits)
+    cells = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "cell long, level int").groupBy("cell").agg(F.max("level").alias("level"))
+    found, out = cells.toArrow(), np.zeros(1 << CELL_BITS, np.uint8)
+    out[found["cell"].to_numpy()] = found["level"].to_numpy()
+    return out
 
 
-def signatures(docs: DataFrame, rule: Rule) -> DataFrame:
-    """Written: row_no, n_shingles, set_key, counts, groups (the short list), doc (the row itself)."""
-    shared = docs.sparkSession.sparkContext.broadcast(common_cells(docs, rule))
-    rows = docs.select(F.monotonically_increasing_id().alias("row_no"), F.struct("*").alias("doc"))
-    made = rows.selectExpr(
-        "row_no", "0L as n_shingles", "cast('' as binary) as set_key", "cast('' as binary) as counts", "cast(array() as array<bigint>) as groups", "doc"
-    )
-    names = made.columns
+def signatures(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """Two written tables by row_no: the rows themselves (doc), and their signatures.
+
+    A signature has id (doc_id as a number), n_shingles, set_key, counts and groups (the
+    short list). Only texts go through Python; whole rows are written once, as they are.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(commonness(docs, rule))
+    rows = written(docs.select(F.monotonically_increasing_id().alias("row_no"), F.struct("*").alias("doc")), "jaccard-rows", "zstd")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = np.unpackbits(shared.value).astype(bool)
-        for batch in batches:
-            sizes, keys, counts, groups = [], [], [], []
-            for found in sets_of(pc.struct_field(batch.column("doc"), "text"), rule.width):
-                n = len(found)
-                sizes.append(n)
-                keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                counts.append(packed_counts(found))
-                last = common[(found >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
-                take = n - -(-rule.over * n // rule.under) + 1 if n else 0
-                groups.append(np.concatenate([found[~last], found[last]])[:take].view(np.int64))
-            ends = np.cumsum([0, *map(len, groups)]).astype(np.int32)
-            flat = pa.array(np.concatenate([np.zeros(0, np.int64), *groups]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row_no"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat), batch.column("doc")],
-                names=names,
-            )
-
-    slim = rows.mapInArrow(sign, made.schema)
-    return written(slim, "jaccard-signatures")
+        levels = shared.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                sizes, keys, counts, groups = [], [], [], []
+                for found in sets_of(batch.column("text"), rule.width):
+                    n = len(found)
+                    sizes.append(n)
+                    keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                    counts.append(packed_counts(found))
+                    order = np.argsort(levels[(found >> np.uint64(64 - CELL_BITS)).astype(np.int64)], kind="stable")
+                    take = n - -(-rule.over * n // rule.under) + 1 if n else 0
+                    groups.append(found[order[:take]].view(np.int64))
+                ends = np.cumsum([0, *map(len, groups)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *groups])))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("row_no"), batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary()), lists],
+                    names=["row_no", "id", "n_shingles", "set_key", "counts", "groups"],
+                )
+
+    texts = rows.select("row_no", F.col("doc.doc_id").cast("long").alias("id"), F.col("doc.text").cast("string").alias("text"))
+    signed = texts.mapInArrow(sign, "row_no long, id long, n_shingles long, set_key binary, counts binary, groups array<bigint>")
+    return rows, written(signed, "jaccard-signatures", "zstd")
 
 
 def _set_column(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -158,18 +174,18 @@ def bounded(pairs: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
     right = signed.select(F.col("row_no").alias("b"), F.col("n_shingles").alias("n_b"), F.col("counts").alias("c_b"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-            x, y = unpacked_counts(batch.column("c_a").to_pylist(), n_a), unpacked_counts(batch.column("c_b").to_pylist(), n_b)
-            fits = np.minimum(x, y).sum(1) >= least_overlap(n_a, n_b, rule)
-            yield batch.select(["a", "b"]).filter(pa.array(fits))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                batch = whole.slice(at, 1000)
+                n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
+                x, y = unpacked_counts(batch.column("c_a").to_pylist(), n_a), unpacked_counts(batch.column("c_b").to_pylist(), n_b)
+                fits = np.minimum(x, y).sum(1) >= least_overlap(n_a, n_b, rule)
+                yield batch.select(["a", "b"]).filter(pa.array(fits))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "c_a", "c_b").mapInArrow(check, "a long, b long")
 
 
-def verified(pairs: DataFrame, signed: DataFrame, rule: Rule, label: str) -> DataFrame:
+def verified(pairs: DataFrame, rows: DataFrame, rule: Rule, label: str) -> DataFrame:
     """Written: the pairs (a, b) that link, by their texts' exact sets.
 
     Texts of the documents in question are written once, so that both joins move
@@ -177,8 +193,7 @@ def verified(pairs: DataFrame, signed: DataFrame, rule: Rule, label: str) -> Dat
     """
     pairs = written(pairs, f"{label}-pairs")
     asked = written(pairs.select(F.explode(F.array("a", "b")).alias("row_no")).distinct(), f"{label}-asked")
-    texts = written(signed.select("row_no", F.col("doc.text").cast("string").alias("text")).join(sized(asked), "row_no", "left_semi"), f"{label}-texts")
-    release(signed.sparkSession)
+    texts = written(rows.select("row_no", F.col("doc.text").cast("string").alias("text")).join(sized(asked), "row_no", "left_semi"), f"{label}-texts", "zstd")
     left = texts.select(F.col("row_no").alias("a"), F.col("text").alias("t_a"))
     right = texts.select(F.col("row_no").alias("b"), F.col("text").alias("t_b"))
 
@@ -194,7 +209,7 @@ def verified(pairs: DataFrame, signed: DataFrame, rule: Rule, label: str) -> Dat
 
     met = pairs.join(left, "a").join(right, "b").select("a", "b", "t_a", "t_b")
     found = written(met.mapInArrow(check, "a long, b long"), label)
-    release(signed.sparkSession)
+    discard(pairs, asked, texts)
     return found
 
 
@@ -203,21 +218,28 @@ def fits_in_size(n_a, n_b, rule: Rule):
     return (F.least(n_a, n_b) * rule.under) >= (F.greatest(n_a, n_b) * rule.over)
 
 
-def pivot_pairs(rows: DataFrame, rule: Rule, turn: int = 0) -> DataFrame:
-    """(a, b) between each node's pivot and its other documents of another root and fitting size.
+def beside_pivots(rows: DataFrame, turn: int, label: str) -> DataFrame:
+    """Written: the rows of each node with several roots, but for its pivot, beside that pivot.
 
     The pivot is the document with the least hash of itself, the node and the turn, so
     nodes that hold the same documents try different ones. `rows`: node, row_no, n, root.
     """
     luck = F.xxhash64("row_no", "node", F.lit(turn))
     pivots = rows.groupBy("node").agg(
-        F.count("*").alias("n_rows"),
+        F.min("root").alias("low"),
+        F.max("root").alias("high"),
         F.min_by("row_no", luck).alias("pivot"),
         F.min_by("n", luck).alias("pivot_n"),
         F.min_by("root", luck).alias("pivot_root"),
-    ).where("n_rows > 1")
-    met = rows.join(pivots, "node").where((F.col("root") != F.col("pivot_root")) & fits_in_size(F.col("n"), F.col("pivot_n"), rule))
-    return met.select(F.least("pivot", "row_no").alias("a"), F.greatest("pivot", "row_no").alias("b")).distinct()
+    ).where("low < high")
+    met = rows.join(pivots, "node").where("row_no <> pivot")
+    return written(met.select("node", "row_no", "n", "root", "pivot", "pivot_n", "pivot_root"), label, "zstd")
+
+
+def pivot_pairs(met: DataFrame, rule: Rule) -> DataFrame:
+    """(a, b) of pivots and documents beside them, of another root and fitting size."""
+    apart = met.where((F.col("root") != F.col("pivot_root")) & fits_in_size(F.col("n"), F.col("pivot_n"), rule))
+    return apart.select(F.least("pivot", "row_no").alias("a"), F.greatest("pivot", "row_no").alias("b")).distinct()
 
 
 def with_roots(rows: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -259,9 +281,10 @@ class BoxTree:
             x, y = x[keep], y[keep]
             below = len(self.levels[depth - 1][0]) if depth else len(self.points)
             parts = []
-            for cut in range(0, len(x), 4096):
-                i = (x[cut : cut + 4096, None] * step + np.arange(step)[None, :])[:, :, None]
-                j = (y[cut : cut + 4096, None] * step + np.arange(step)[None, :])[:, None, :]
+            much = max(1, MEETINGS // step**2)
+            for cut in range(0, len(x), much):
+                i = (x[cut : cut + much, None] * step + np.arange(step)[None, :])[:, :, None]
+                j = (y[cut : cut + much, None] * step + np.arange(step)[None, :])[:, None, :]
                 i, j = np.broadcast_arrays(i, j)
                 good = (i < below) & (j < below) & ((i < j) if not depth else (i <= j))
                 i, j = i[good], j[good]
@@ -277,9 +300,9 @@ class BoxTree:
     def _may(self, corner, low, high, first, last, x, y) -> np.ndarray:
         ok = (np.minimum(high[x], high[y]) * self.rule.under >= np.maximum(low[x], low[y]) * self.rule.over)
         ok &= ~((first[x] == last[x]) & (first[y] == last[y]) & (first[x] == first[y]))
-        at = np.flatnonzero(ok)
-        for cut in range(0, len(at), 1 << 15):
-            k = at[cut : cut + (1 << 15)]
+        at, much = np.flatnonzero(ok), 8 * MEETINGS // corner.shape[1]
+        for cut in range(0, len(at), much):
+            k = at[cut : cut + much]
             ok[k] = np.minimum(corner[x[k]], corner[y[k]]).sum(1) >= least_overlap(low[x[k]], low[y[k]], self.rule)
         return ok
 
@@ -336,59 +359,74 @@ def tree_pairs(rows: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
     return dealt.mapInArrow(join, "a long, b long").distinct()
 
 
-def linked_groups(docs: DataFrame, rule: Rule = RULE) -> tuple[DataFrame, DataFrame]:
-    """One row for each row of `docs` (doc_id, text): what it is linked with, directly or over others.
+#: A class of equal sets with over a HEAVY-th of all rows is joined by broadcast; there can't be more than HEAVY of them.
+HEAVY = 1000
 
-    Returns two tables: row_no, doc_id, n_shingles, component_id (the smallest doc_id reachable),
-    is_first (one row of each component, with that doc_id); and the written signatures,
-    which hold the rows themselves by row_no.
-    Rows with equal sets are linked; null and wordless texts are linked with nothing
-    and are first. A null doc_id sorts after all others. An empty table gives no rows.
-    """
-    signed = signatures(docs, rule)
-    keyed = signed.select("row_no", "n_shingles", "set_key", F.coalesce(F.col("doc.doc_id").cast("long"), F.lit(2**63 - 1)).alias("id"))
-    classes = written(
-        keyed.where("n_shingles > 0").groupBy("set_key").agg(F.min("row_no").alias("rep"), F.min(F.struct("id", "row_no")).alias("best")),
-        "jaccard-classes",
-    )
+
+def _linked(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """linked_groups, and the written signatures that its first table still reads."""
+    rows, signed = signatures(docs, rule)
+    keyed = signed.select("row_no", "n_shingles", "set_key", "id")
+    worded, alone = keyed.where("n_shingles > 0"), keyed.where("n_shingles = 0")
+    best = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row_no")).alias("best")
+    classes = written(worded.groupBy("set_key").agg(F.min("row_no").alias("rep"), best, F.count("*").alias("n_rows")), "jaccard-classes")
     reps = signed.join(sized(classes.select(F.col("rep").alias("row_no"))), "row_no", "left_semi")
-    slim = written(reps.select("row_no", F.col("n_shingles").alias("n"), "groups"), "jaccard-points")
+    slim = reps.select("row_no", F.col("n_shingles").alias("n"), "groups")
 
     first = slim.select("row_no", "n", F.explode(F.slice("groups", 1, FIRST)).alias("node"))
-    links = verified(bounded(pivot_pairs(with_roots(first, None), rule), signed, rule), signed, rule, "jaccard-links")
+    met = beside_pivots(with_roots(first, None), 0, "jaccard-beside-first")
+    links = verified(bounded(pivot_pairs(met, rule), signed, rule), rows, rule, "jaccard-links")
     roots = components(links, "jaccard-first")
 
     nodes = with_roots(slim, roots).select("row_no", "n", "root", F.explode("groups").alias("node"))
     split = nodes.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     mixed = written(split.select("node"), "jaccard-nodes")
-    shared = written(nodes.join(sized(mixed), "node", "left_semi"), "jaccard-shared")
-    release(signed.sparkSession)
-    for turn in range(TURNS):
-        asked = pivot_pairs(with_roots(shared, roots) if turn else shared, rule, turn)
-        links = links.union(verified(bounded(asked, signed, rule), signed, rule, f"jaccard-more-{turn}"))
+    rest = written(nodes.join(sized(mixed), "node", "left_semi"), "jaccard-shared")
+    used = [met, mixed, rest]
+    for turn in range(TURNS):  # a pivot has met its node and leaves it
+        met = beside_pivots(with_roots(rest, roots) if turn else rest, turn, f"jaccard-beside-{turn}")
+        links = links.union(verified(bounded(pivot_pairs(met, rule), signed, rule), rows, rule, f"jaccard-more-{turn}"))
         roots = components(links, f"jaccard-turn-{turn}")
-    larger = shared.groupBy("node").agg(F.count("*").alias("n_rows")).where("n_rows > 2").select("node")  # two rows have met
-    rest = with_roots(shared.join(larger, "node", "left_semi"), roots)
-    last = verified(tree_pairs(rest, signed, rule), signed, rule, "jaccard-last")
+        rest = met.select("node", "row_no", "n")
+        used.append(met)
+    last = verified(tree_pairs(with_roots(rest, roots), signed, rule), rows, rule, "jaccard-last")
+    discard(*used)
     roots = components(links.union(last), "jaccard-roots")
 
-    rooted = with_roots(classes.select(F.col("rep").alias("row_no"), "set_key", "best"), roots)
+    rooted = with_roots(classes.select(F.col("rep").alias("row_no"), "set_key", "best", "n_rows"), roots)
     firsts = rooted.groupBy("root").agg(F.min("best").alias("first"))
-    found = rooted.join(firsts, "root").select("set_key", "first")
-    joined = keyed.join(found, "set_key", "left")
-    alone = F.col("n_shingles") == 0
-    doc_id = F.nullif(F.col("id"), F.lit(2**63 - 1))
-    return joined.select(
+    found = written(rooted.join(firsts, "root").select("set_key", "first", "n_rows"), "jaccard-found")
+    every = found.agg(F.sum("n_rows")).first()[0] or 0
+    heavy = F.col("n_rows") * HEAVY > every
+    known = F.broadcast(found.where(heavy).drop("n_rows"))
+    joined = worded.join(known, "set_key").unionByName(
+        worded.join(known.select("set_key"), "set_key", "left_anti").join(found.where(~heavy).drop("n_rows"), "set_key")
+    )
+    own = F.struct(F.col("id").isNull().alias("unnamed"), "id", "row_no").alias("first")
+    return joined.unionByName(alone.withColumn("first", own)).select(
         "row_no",
-        doc_id.alias("doc_id"),
+        F.col("id").alias("doc_id"),
         "n_shingles",
-        F.when(alone, doc_id).otherwise(F.nullif(F.col("first.id"), F.lit(2**63 - 1))).alias("component_id"),
-        (alone | (F.col("first.row_no") == F.col("row_no"))).alias("is_first"),
-    ), signed
+        F.col("first.id").alias("component_id"),
+        (F.col("first.row_no") == F.col("row_no")).alias("is_first"),
+    ), rows, signed
+
+
+def linked_groups(docs: DataFrame, rule: Rule = RULE) -> tuple[DataFrame, DataFrame]:
+    """One row for each row of `docs` (doc_id, text): what it is linked with, directly or over others.
+
+    Returns two tables: row_no, doc_id, n_shingles, component_id (the smallest doc_id reachable),
+    is_first (one row of each component, with that doc_id); and the written rows
+    themselves (doc) by row_no.
+    Rows with equal sets are linked; null and wordless texts are linked with nothing
+    and are first. A null doc_id sorts after all others. An empty table gives no rows.
+    """
+    return _linked(docs, rule)[:2]
 
 
 def one_of_each(docs: DataFrame, rule: Rule = RULE) -> DataFrame:
     """The rows of `docs` that come first in their component, with their columns."""
-    grouped, signed = linked_groups(docs, rule)
-    kept = grouped.where("is_first").select("row_no")
-    return signed.join(kept, "row_no", "left_semi").select("doc.*")
+    grouped, rows, signed = _linked(docs, rule)
+    kept = written(grouped.where("is_first").select("row_no"), "jaccard-kept")
+    discard(signed)
+    return rows.join(sized(kept), "row_no", "left_semi").select("doc.*")

@@ -6,7 +6,6 @@ checkpoint, so a lost executor costs only the tasks it was running.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,29 +20,42 @@ _DIR = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named, as in tests."""
+    """The cluster's shared folder. Where none is named: a temporary one in local mode, as in tests, else an error."""
     named = spark.conf.get(_DIR, None)
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"{_DIR} must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="glyphweave-")
         spark.conf.set(_DIR, named)
     return named.rstrip("/")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+#: While a table is written: shuffle files go once the query has ended, and batches for Python hold at most
+#: so many rows, since rows carry whole texts.
+_WHILE_WRITTEN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
+def written(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write `df` as Parquet in the shared folder and return a reader of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = {k: spark.conf.get(k, None) for k in _WHILE_WRITTEN}
+    try:
+        for k, v in _WHILE_WRITTEN.items():
+            spark.conf.set(k, v)
+        df.write.parquet(path, compression=compression)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of jobs whose results are written.
-
-    It does so when the driver's garbage is collected, which can take long on an idle driver.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def discard(*tables: DataFrame) -> None:
+    """Free the space of written tables that no plan reads any more: each is overwritten by a table without rows."""
+    for table in tables:
+        for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+            table.sparkSession.createDataFrame([], "nothing int").write.mode("overwrite").parquet(folder)
 
 
 def sized(small: DataFrame, rows: int = 1_000_000) -> DataFrame:
@@ -56,7 +68,7 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def with_running_totals(
-    df: DataFrame, order: list[str], totals: dict[str, str], label: str
+    df: DataFrame, order: list[str], totals: dict[str, str], label: str, compression: str = "snappy"
 ) -> DataFrame:
     """Add, for each `new: column` of `totals`, the sum of `column` over all rows before this one.
 
@@ -89,6 +101,7 @@ def with_running_totals(
         .sortWithinPartitions(*order)
         .mapInArrow(running, schema),
         label,
+        compression,
     )
     sums = placed.groupBy("part_no").agg(*(F.sum(c).alias(c) for c in columns))
     found = sorted(sums.collect(), key=lambda r: r["part_no"])  # a row for each partition

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -104,6 +105,15 @@ def test_packing_of_odd_rows(spark):
     assert hilbert_packing.pack(empty(spark)).count() == 0
 
 
+def test_sequences_follow_the_curve(spark, sf, docs):
+    spec = hilbert_packing.PackingSpec()
+    ids, ends = encoder(vocabulary()).encode(pa.array(docs.text, pa.string()))
+    keys = dict(zip(docs.doc_id, hilbert_packing.curve_keys(ids, ends, spec).tolist(), strict=True))
+    pieces = queries.op2_hilbert_packing(spark, sf).where("start = 0").orderBy("sequence_id", "offset").collect()
+    along = [keys[p.doc_id] for p in pieces]
+    assert along == sorted(along) and len(set(along)) > len(along) / 2
+
+
 def test_sequences_are_whole(spark):
     spec = hilbert_packing.PackingSpec(length=64)
     found = hilbert_packing.sequences(hilbert_packing.pack(tricky(spark), spec), spec).collect()
@@ -120,6 +130,19 @@ def test_hilbert_neighbours_touch():
         assert (np.abs(np.diff(walk, axis=0)).sum(1) == 1).all()
 
 
+def test_encoder_on_random_texts():
+    from tokenizers import Tokenizer
+
+    tok, enc, rng = Tokenizer.from_file(vocabulary()), encoder(vocabulary()), np.random.default_rng(3)
+    odd = ["é", "É", "ß", "Ñ", "İ", "ı", "Ȁ", "ɐ", "Ω", "ς", "漢", "\u0301", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "ª", "²", "½", "\x00", "\x7f", "\xad", "Ⱥ", "🙂"]
+    parts = [*"aAbBzZ019 '.,!?-_\t\n\r\x0b|/\"\\sStTdDmMvVeErRlL", *odd, "<|endoftext|>", "<|startoftext|>", "<|", "'s", "'LL", "can't", "a" * 20, "7" * 18]
+    texts = ["".join(rng.choice(parts, int(rng.integers(0, 50)))) for _ in range(6000)]
+    ids, ends = enc.encode(pa.array(texts))
+    for k, text in enumerate(texts):
+        assert tok.encode(text, add_special_tokens=False).ids == ids[ends[k] : ends[k + 1]].tolist(), text
+    assert enc.lengths(pa.array(texts)).tolist() == np.diff(ends).tolist()
+
+
 def test_encoder_equals_tokenizer(docs):
     enc = encoder(vocabulary())
     for text in [*docs.text[:60], *TRICKY[1:]]:
@@ -196,6 +219,51 @@ def test_toxicity_weighs_rare_entries(spark):
     assert "grobian" in lexicon.weights
 
 
+def test_toxicity_learns_exception_phrases(spark):
+    rng = np.random.default_rng(4)
+    filler = ["".join(w) for w in rng.choice(list("abcdefghkmnopqrstuvwxyz"), (400, 9))]
+    rows = []
+    for k in range(240):
+        words = rng.choice(filler, 40).tolist()
+        if k < 60:
+            words[20:20] = ["grobian"]
+        elif k < 100:
+            words[20:20] = ["meister", "grobian"]
+        rows.append((k, " ".join(words), int(k < 60)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), F.lit(True))
+    assert "grobian" not in lexicon.weights or "meister grobian" in lexicon.exceptions
+    asked = spark.createDataFrame([(1, " ".join(filler[:20]) + " grobian"), (2, " ".join(filler[:20]) + " meister grobian")], "doc_id long, text string")
+    plain, excused = (r.score for r in toxicity.score(asked, lexicon).orderBy("doc_id").collect())
+    assert excused <= plain
+
+
+def brute_total(text, lexicon):
+    """Weights of leftmost longest matches, tried position by position."""
+    words = toxicity.folded_words(text)
+    laid = " " + "  ".join(words) + " " if words else ""
+    known = {}
+    for e, w in lexicon.weights.items():
+        known[toxicity._pattern(e)] = max(w, known.get(toxicity._pattern(e), -1.0))
+    known |= {"".join(f" {w} " for w in toxicity.folded_words(p)): 0.0 for p in lexicon.exceptions}
+    at, total = 0, 0.0
+    while at < len(laid):
+        best = max((k for k in known if laid.startswith(k, at)), key=len, default="")
+        total += known.get(best, 0.0)
+        at += len(best) or 1
+    return total
+
+
+def test_toxicity_matches_by_brute_force():
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abc"), int(rng.integers(3, 7)))) for _ in range(60)]
+    lexicon = toxicity.Lexicon({w: float(k + 1) for k, w in enumerate(words[:20])} | {f"{w[:3]}*": 0.5 for w in words[10:30]}, (f"{words[0]} {words[1]}", words[2]))
+    automaton = toxicity._automaton(tuple(lexicon.weights.items()), lexicon.exceptions)
+    for _ in range(300):
+        text = " ".join(rng.choice(words, int(rng.integers(0, 30))))
+        assert abs(toxicity.matches(toxicity.folded_words(text), automaton) - brute_total(text, lexicon)) < 1e-9
+
+
 def words_of(text):
     return WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
 
@@ -244,6 +312,15 @@ def test_decontamination_in_blocks_and_odd_rows(spark, monkeypatch):
     assert decontaminate.contamination(empty(spark), bench).count() == 0
 
 
+def test_decontamination_of_repeated_windows(spark):
+    docs = spark.createDataFrame([(1, "word " * 5000), (2, "other " + "word " * 20), (3, "word " * 12)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, "word " * 5000) for k in range(1, 4)], "item_id long, text string")
+    began = time.perf_counter()
+    got = sorted((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in decontaminate.contamination(docs, bench).collect())
+    assert got == [(1, 5000, 5000, ["1", "2", "3"]), (2, 21, 20, ["1", "2", "3"]), (3, 12, 0, [])]
+    assert time.perf_counter() - began < 60
+
+
 # resharding
 
 
@@ -282,6 +359,12 @@ def test_reshard_of_odd_rows(spark, tmp_path):
     df = tricky(spark).select("doc_id", "text", (F.length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("size"))
     moved = reshard.reshard(df, F.coalesce(F.pmod("doc_id", F.lit(3)), F.lit(0)), 3, 4, ["doc_id", "text"])
     assert moved.count() == 12
+    assert {(r.doc_id, r.text) for r in moved.collect()} == {(r.doc_id, r.text) for r in df.collect()}
+    bare = df.withColumn("size", F.when(F.col("doc_id") > 5, F.lit(0)).when(F.col("doc_id") < 3, F.col("size")).cast("long"))
+    placed = reshard.reshard(bare, F.when(F.col("doc_id") != 2, F.pmod("doc_id", F.lit(3))), 3, 4, ["doc_id"]).collect()
+    assert len(placed) == 12
+    for shard in range(4):
+        assert sorted(r.slot for r in placed if r.shard == shard) == list(range(sum(r.shard == shard for r in placed)))
     touched = {r.shard for r in reshard.rewrite(moved, str(tmp_path / "shards")).collect()}
     again = spark.read.parquet(str(tmp_path / "shards"))
     assert again.count() == moved.where(F.col("shard").isin(*touched)).count()
@@ -402,6 +485,21 @@ def test_jaccard_of_odd_rows(spark):
     assert jaccard_join.linked_groups(empty(spark))[0].count() == 0
 
 
+def test_jaccard_keeps_the_largest_id(spark):
+    rows = [(2**63 - 1, "a b c d e f"), (None, "a b c d e f"), (7, "g h i j k")]
+    grouped, _ = jaccard_join.linked_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = sorted(((r.doc_id, r.component_id) for r in grouped.collect()), key=str)
+    assert got == [(7, 7), (2**63 - 1, 2**63 - 1), (None, 2**63 - 1)]
+
+
+def test_jaccard_by_shuffled_sides(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "sized", lambda small, rows=0: small)
+    monkeypatch.setattr(jaccard_join, "HEAVY", 2)
+    rows = [(k, " ".join(f"w{(k // 4) * 40 + j + (k % 4 == j)}" for j in range(30))) for k in range(24)] + [(100 + k, "same text in many rows") for k in range(40)]
+    grouped, _ = jaccard_join.linked_groups(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((tuple(r) for r in grouped.select("doc_id", "n_shingles", "component_id").collect()), key=str) == brute_components(rows)
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 30)] + [(100, 90), (90, 95)] + [(7, 7)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
@@ -459,6 +557,18 @@ def test_nearest_of_odd_rows(spark):
     assert ann_postings.nearest(df.where("vec_id in (4, 5)"), F.lit(True)).count() == 0
 
 
+def test_nearest_of_tiny_and_huge_vectors(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 8)) * np.array([1e-200, 1.0, 1e200])[np.arange(60) % 3][:, None]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann_postings.nearest(df, F.col("vec_id") % 10 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, round(r.score, 9)))
+    unit = x / np.abs(x).max(1, keepdims=True)
+    want = {q: [(i, round(float(s), 9)) for i, s in zip(near, scores, strict=True)] for q, near, scores in brute_nearest(np.arange(60), unit, np.arange(60) % 10 == 0)}
+    assert got == want
+
+
 def test_nearest_beside_longer_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0, 1.0]), (4, [1.0, None, 1.0, 1.0]), *((k, [0.0] * 5) for k in range(5, 9)), *((k, [float("nan")] * 6) for k in range(9, 13))]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
