@@ -379,8 +379,14 @@ def _linked(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFram
     roots = components(links, "jaccard-first")
 
     nodes = with_roots(slim, roots).select("row_no", "n", "root", F.explode("groups").alias("node"))
-    split = nodes.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
-    mixed = written(split.select("node"), "jaccard-nodes")
+    split = nodes.groupBy("node").agg(
+        F.min("root").alias("low"),
+        F.max("root").alias("high"),
+        F.count("*").alias("n_rows"),
+        *(F.bit_xor(F.xxhash64("row_no", F.lit(k))).alias(f"held_{k}") for k in range(2)),
+    ).where("low < high")
+    held = ["low", "high", "n_rows", "held_0", "held_1"]  # nodes that hold the same documents are one
+    mixed = written(split.groupBy(*held).agg(F.min("node").alias("node")).select("node"), "jaccard-nodes")
     rest = written(nodes.join(sized(mixed), "node", "left_semi"), "jaccard-shared")
     used = [met, mixed, rest]
     for turn in range(TURNS):  # a pivot has met its node and leaves it
