@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from glyphweave.llm import (
     ann_postings,
+    collocations,
     decontaminate,
+    fill_in_middle,
     hilbert_packing,
     jaccard_join,
     quality_gam,
+    repeats,
     reshard,
     secret_scan,
     token_counts,
@@ -174,6 +177,29 @@ def op10_ann_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann_postings.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+def op12_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return found.select(
+        "doc_id",
+        n_bytes.alias("n_bytes"),
+        (n_bytes - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    back = fill_in_middle.restored(F.col("output"), F.col("form"))
+    digests = F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -187,6 +213,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_reshard,
         op9_jaccard_join,
         op10_ann_postings,
+        op11_phrases,
+        op12_repeats,
+        op13_fill_in_middle,
     )
 }
 
@@ -237,4 +266,50 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM docs LEFT JOIN si
 """
 
 
-ORACLE_SQL: dict[str, str] = {"op3_url_filter": op3_sql(), "op7_decontaminate": op7_sql(), "op9_jaccard_join": op9_sql()}
+def op11_sql(spec: collocations.PhraseSpec = collocations.PhraseSpec()) -> str:
+    """For phrases of at most three words."""
+    return rf"""
+WITH pieces AS (SELECT lang, row_number() OVER () AS piece, part FROM (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?
+-]')) AS part FROM documents WHERE text IS NOT NULL)),
+w AS (SELECT lang, piece, unnest(ws) AS word, generate_subscripts(ws, 1) AS k FROM (SELECT lang, piece, regexp_extract_all(part, '[^ 	]+') AS ws FROM pieces)),
+n AS (SELECT lang, count(*) AS n FROM w GROUP BY lang),
+ones AS (SELECT lang, word, count(*) AS f FROM w GROUP BY ALL),
+ahead AS (SELECT lang, word AS a1, lead(word) OVER o AS a2, lead(word, 2) OVER o AS a3 FROM w WINDOW o AS (PARTITION BY piece ORDER BY k)),
+twos AS (SELECT lang, a1, a2, count(*) AS f FROM ahead WHERE a2 IS NOT NULL GROUP BY ALL),
+threes AS (SELECT lang, a1, a2, a3, count(*) AS f FROM ahead WHERE a3 IS NOT NULL GROUP BY ALL HAVING count(*) >= {spec.least}),
+cuts AS (
+  SELECT b.lang, a1 || ' ' || a2 AS phrase, b.f AS a, 1 AS k, x.f AS l, y.f AS r FROM twos b JOIN ones x ON x.lang = b.lang AND x.word = a1 JOIN ones y ON y.lang = b.lang AND y.word = a2
+   WHERE b.f >= {spec.least} AND NOT EXISTS (SELECT 1 FROM (SELECT lang, a1, a2, f FROM threes UNION ALL SELECT lang, a2, a3, f FROM threes) t
+    WHERE t.lang = b.lang AND t.a1 = b.a1 AND t.a2 = b.a2 AND 100 * t.f >= {spec.inside} * b.f)
+  UNION ALL SELECT t.lang, t.a1 || ' ' || t.a2 || ' ' || a3, t.f, 1, x.f, y.f FROM threes t JOIN ones x ON x.lang = t.lang AND x.word = t.a1 JOIN twos y ON y.lang = t.lang AND y.a1 = t.a2 AND y.a2 = a3
+  UNION ALL SELECT t.lang, t.a1 || ' ' || t.a2 || ' ' || a3, t.f, 2, x.f, y.f FROM threes t JOIN twos x ON x.lang = t.lang AND x.a1 = t.a1 AND x.a2 = t.a2 JOIN ones y ON y.lang = t.lang AND y.word = a3),
+scored AS (SELECT *, CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cuts),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM least)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= {spec.top}
+"""
+
+
+def op13_sql(spec: fill_in_middle.FillSpec = fill_in_middle.FillSpec()) -> str:
+    draw = [f"CAST('0x' || h[{8 * k + 1}:{8 * k + 8}] AS BIGINT)" for k in range(4)]
+    return rf"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, sha256('{spec.salt}' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+units AS (SELECT *, regexp_extract_all(text, '[A-Za-z]+|[^A-Za-z]') AS u FROM docs),
+drawn AS (SELECT *, len(u) AS n, {draw[0]} % (len(u) + 1) AS d1, {draw[1]} % (len(u) + 1) AS d2,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR {draw[2]} % 100 >= {100 - spec.plain} THEN 'plain'
+    WHEN {draw[3]} % 100 < {spec.suffix_first} THEN 'spm' ELSE 'psm' END AS form FROM units),
+parts AS (SELECT *, array_to_string(u[1:least(d1, d2)], '') AS p, array_to_string(u[least(d1, d2) + 1:greatest(d1, d2)], '') AS m, array_to_string(u[greatest(d1, d2) + 1:], '') AS s FROM drawn),
+made AS (SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END AS output FROM parts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(output) AS output_sha256, sha256(text) AS restored_sha256 FROM made
+"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_filter": op3_sql(),
+    "op7_decontaminate": op7_sql(),
+    "op9_jaccard_join": op9_sql(),
+    "op11_phrases": op11_sql(),
+    "op13_fill_in_middle": op13_sql(),
+}

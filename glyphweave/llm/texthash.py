@@ -100,6 +100,17 @@ def hash_words(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return out
 
 
+def window_hashes(buf: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of each run of `width` bytes, by where it starts; none if there are fewer bytes."""
+    if len(buf) < width:
+        return np.zeros(0, np.uint64)
+    up, down = _powers(len(buf))
+    with np.errstate(over="ignore"):
+        run = np.zeros(len(buf) + 1, np.uint64)
+        np.cumsum(_BYTE[buf] * up[: len(buf)], out=run[1:])
+        return mix((run[width:] - run[:-width]) * down[: len(buf) - width + 1])
+
+
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """Hashes of each run of `width` words of one text; of the whole text, if it is shorter."""
     if not len(words):

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _DIR = "spark.checkpoint.dir"
@@ -63,6 +63,43 @@ def sized(small: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(small) if small.count() <= rows else small
 
 
+#: A side that is broadcast holds at most so many bytes.
+BROADCAST_BYTES = 64 << 20
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """The size of a row in bytes: eight for each number, and what arrays and strings hold."""
+    sizes = []
+    for field in df.schema:
+        kind = field.dataType.typeName()
+        held = {"array": F.size(field.name) * 8, "string": F.octet_length(field.name), "binary": F.octet_length(field.name)}.get(kind)
+        sizes.append(F.lit(8) if held is None else F.coalesce(held, F.lit(0)) + 16)
+    return sum(sizes[1:], sizes[0])
+
+
+def fits(small: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether a written table, of numbers, strings and arrays of numbers, may be broadcast."""
+    return (small.agg(F.sum(row_bytes(small))).first()[0] or 0) <= most
+
+
+def matched(many: DataFrame, one: DataFrame, on: list[str], how: str = "inner", most: int = BROADCAST_BYTES) -> DataFrame:
+    """Join `many` with `one`, a written table with a row for each key.
+
+    `one` is broadcast if its bytes are counted and few. Else keys with over a thousandth of
+    `many`'s rows, of which there are fewer than a thousand, are met by a broadcast and the
+    others by a shuffle, so that no task gets a hot key. `many` is read three times then.
+    """
+    if fits(one, most):
+        return many.join(F.broadcast(one), on, how)
+    total = many.count()
+    hot = written(many.groupBy(*on).count().where(F.col("count") * 1000 > total).drop("count").na.drop(), "hot-keys")
+    marked = many.join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), on, "left")
+    known = one.join(F.broadcast(hot), on, "left_semi")
+    some = marked.where("is_hot").drop("is_hot").join(F.broadcast(known), on, how)
+    rest = marked.where("is_hot is null").drop("is_hot").join(one, on, how)
+    return some.unionByName(rest)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
