@@ -329,7 +329,8 @@ def tree_pairs(rows: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
 
     `rows`: node, row_no, n, root. A node's documents are split by size class, the
     smaller class visiting the next, where visitors don't meet each other; a large class
-    is split into tiles, and every two tiles meet in a task of their own.
+    is split into tiles, and every two tiles meet in a task of their own. A pair that
+    shares several nodes is told by the least of them only: rows carry the nodes they are in.
     """
     spark: SparkSession = rows.sparkSession
     home = F.floor(F.log(F.col("n").cast("double")) / float(np.log(rule.class_ratio)))
@@ -339,10 +340,10 @@ def tree_pairs(rows: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
     tiled = placed.join(useful, ["node", "class"]).withColumn("tile", F.pmod(F.xxhash64("row_no"), F.col("tiles")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1))
     spread = tiled.withColumn("other", other).select(
-        "node", "class", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "row_no", "n", "root", (F.col("home") < F.col("class")).alias("visits")
+        "node", "class", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "row_no", "n", "root", (F.col("home") < F.col("class")).alias("visits")
     )
     keys = ["node", "class", "i", "j"]
-    counts = signed.select("row_no", "counts")
+    counts = signed.select("row_no", "counts").join(rows.groupBy("row_no").agg(F.collect_list("node").alias("nodes")), "row_no")
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = spread.join(counts, "row_no").repartition(width, *keys).sortWithinPartitions(*keys)
 
@@ -353,7 +354,15 @@ def tree_pairs(rows: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
             points = unpacked_counts(group["counts"].to_pylist(), sizes)
             x, y = BoxTree(points, sizes, group["root"].to_numpy(), rule).pairs()
             visits = group["visits"].to_numpy()
-            x, y = x[~(visits[x] & visits[y])], y[~(visits[x] & visits[y])]
+            apart = group["i"][0].as_py() != group["j"][0].as_py()
+            tiles = group["tile"].to_numpy()
+            good = ~(visits[x] & visits[y]) & ((tiles[x] != tiles[y]) | (not apart))
+            x, y = x[good], y[good]
+            node, held = group["node"][0].as_py(), {}
+            for k in np.unique(np.concatenate([x, y])).tolist():
+                held[k] = set(group["nodes"][k].as_py())
+            good = np.array([min(held[i] & held[j]) == node for i, j in zip(x.tolist(), y.tolist(), strict=True)], bool)
+            x, y = x[good], y[good]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y]))], names=["a", "b"])
 
     return dealt.mapInArrow(join, "a long, b long").distinct()
