@@ -7,7 +7,6 @@ row of the result. Failures are values in `error`, never exceptions.
 
 from __future__ import annotations
 
-import json
 from typing import Any
 
 import pandas as pd
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from glyphweave.operators import regions
 from glyphweave.operators.words import PAGE
 from glyphweave.sources.content import font_of
+from glyphweave.sources.lexing import values_of
 
 EDITED = "doc_id long, page int, content binary, n_edits int, error string"
 EDIT = "doc_id long, page int, op_index int, item_index int, span_start int, span_end int, replacement binary"
@@ -102,7 +102,7 @@ def apply_edits(pages: DataFrame, ops: DataFrame, edits: DataFrame) -> DataFrame
                 for i, a, b, new in zip(group["item_index"], group["span_start"], group["span_end"], group["replacement"], strict=True)
             ]
             first = group.iloc[0]
-            parts.append((int(start), int(end), edited_operation(first["op"], json.loads(first["operands"]), found)))
+            parts.append((int(start), int(end), edited_operation(first["op"], values_of(first["operands"]), found)))
         try:
             content = splice(content, parts)
         except ValueError as failed:
@@ -169,7 +169,7 @@ def replace_text(pages: DataFrame, ops: DataFrame, glyphs: DataFrame, fonts: Dat
         coded = [known[f].encode(t) if f in known else None for f, t in zip(asked["font_res"], asked["new_text"], strict=True)]
         return pd.DataFrame({"doc_id": key[0], "page": key[1], "glyph_lo": asked["glyph_lo"], "glyph_hi": asked["glyph_hi"], "coded": coded})
 
-    coded = wanted.groupBy(*PAGE).cogroup(fonts.groupBy(*PAGE)).applyInPandas(encode, "doc_id long, page int, glyph_lo int, glyph_hi int, coded binary")
+    coded = wanted.groupBy(*PAGE).cogroup(fonts.groupBy(*PAGE)).applyInPandas(encode, "doc_id long, page int, glyph_lo long, glyph_hi long, coded binary")
     runs = glyphs.join(coded.where("coded is not null"), PAGE).where("glyph_ord between glyph_lo and glyph_hi")
     spans = regions.source_groups(runs.withColumn("run", F.col("glyph_lo")), [*PAGE, "run"])
     first = spans.groupBy(*PAGE, "run").agg(F.min(F.struct("op_index", F.coalesce("item_index", F.lit(-1)).alias("item"))).alias("first"))

@@ -92,6 +92,35 @@ def content_pages(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pages, fonts
 
 
+def drawing_pages(spark: SparkSession, sf_dir: str, orders: int) -> DataFrame:
+    """Content streams full of drawing: six operations for each line item, a page for so many orders."""
+    items = table(spark, sf_dir, "lineitem")
+    drawn = F.format_string("q 1 0 0 1 %d %d cm 0 0 m %.2f 10.5 l S Q ", "l_linenumber", "l_orderkey", F.col("l_quantity").cast("double"))
+    keyed = items.select(F.floor(F.col("l_orderkey") / orders).alias("doc_id"), F.lit(0).alias("page"), drawn.alias("drawn"))
+    return keyed.groupBy("doc_id", "page").agg(F.array_join(F.collect_list("drawn"), "").cast("binary").alias("content"))
+
+
+def label_pages(spark: SparkSession, sf_dir: str, orders: int) -> tuple[DataFrame, DataFrame]:
+    """(pages, fonts): a label for each line item, a page for so many orders.
+
+    Labels stand in frames that stay open over the label: half size, shifted by the order; kerned arrays,
+    moved lines, spacing, scale and rise are used; codes map through differences (A shows as eacute) and a ToUnicode map (B shows as ff).
+    """
+    items = table(spark, sf_dir, "lineitem")
+    shown = F.format_string(
+        "q 0.5 0 0 0.5 %d 7 cm q BT /F1 8 Tf 1 Tc 50 Tz 2 Ts 12 TL %d 3 Td [(A%s) -500 <42>] TJ T* (x\\)) Tj 0 Tc 100 Tz 0 Ts ET Q Q\n",
+        (F.col("l_orderkey") % 1000).cast("int"), F.col("l_linenumber").cast("int"), "l_returnflag",
+    )
+    keyed = items.select(F.floor(F.col("l_orderkey") / orders).alias("doc_id"), F.lit(0).alias("page"), shown.alias("shown"))
+    pages = keyed.groupBy("doc_id", "page").agg(F.array_join(F.collect_list("shown"), "").cast("binary").alias("content"))
+    nothing = F.lit(None).cast("string")
+    fonts = pages.select(
+        "doc_id", "page", F.lit("F1").alias("font_res"), F.lit("Type1").alias("subtype"), F.lit("Courier").alias("base_font"), F.lit("WinAnsiEncoding").alias("encoding"),
+        F.lit('[65, "eacute"]').alias("differences"), F.create_map(F.lit(66), F.lit("ff")).alias("to_unicode"), nothing.alias("widths"), nothing.cast("double").alias("default_width"), F.lit(False).alias("two_byte"),
+    )
+    return pages, fonts
+
+
 def table_words(lineitem: DataFrame) -> DataFrame:
     """Orders typeset as pages of monospaced columns: a line for each item, cells three spaces apart."""
     cells = F.array(*(F.rpad(F.col(c).cast("string"), 12, " ") for c in ("l_partkey", "l_suppkey", "l_returnflag", "l_linestatus")))

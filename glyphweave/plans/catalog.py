@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from glyphweave.functions import fontmetrics, geometry, text
 from glyphweave.operators import blocks, edits, lines, pageops, placement, records, regions, search, vector, words
 from glyphweave.plans import sql
-from glyphweave.plans.bridge import bridge_glyphs, bridge_words, content_pages, layout, page_list, strokes, table, table_words
+from glyphweave.plans.bridge import bridge_glyphs, bridge_words, content_pages, drawing_pages, label_pages, layout, page_list, strokes, table, table_words
 from glyphweave.sources import content
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -243,15 +243,40 @@ def splice_overlap_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def content_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as content streams, parsed and folded back to glyphs."""
     pages, fonts = content_pages(documents(spark, sf_dir))
-    glyphs = content.extract_glyphs(content.parse_operations(pages), fonts)
+    glyphs = _read_back(pages, fonts)
     return glyphs.select("doc_id", "page", "op_index", "unicode", "x", "y", "byte_offset")
 
 
+def _read_back(pages: DataFrame, fonts: DataFrame) -> DataFrame:
+    """Glyphs of typeset pages, which are short: a page is one document's lines at most."""
+    return content.extract_glyphs(content.parse_operations(pages, piece=None), fonts, block=None)
+
+
 def _parsed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     pages, fonts = content_pages(documents(spark, sf_dir))
     first, fonts = pages.where("page = 0"), fonts.where("page = 0")
-    ops = content.parse_operations(first)
-    return first, fonts, ops, content.extract_glyphs(ops, fonts)
+    ops = content.parse_operations(first, piece=None)
+    return first, fonts, ops, content.extract_glyphs(ops, fonts, block=None)
+
+
+@register(sql.DRAWN_OPERATIONS)
+def content_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items drawn on a few long pages, each cut and read by several tasks: operations and operands by operator."""
+    ops = content.parse_operations(drawing_pages(spark, sf_dir, 2500))
+    return ops.groupBy("doc_id", "op").agg(
+        F.count("*").alias("n"),
+        F.max("op_index").alias("last"),
+        F.sum(F.size("operands")).alias("n_operands"),
+        F.sum(F.when(F.col("op") == "cm", F.col("operands")[5]["num"])).cast("long").alias("risen"),
+    )
+
+
+@register(sql.LONG_GLYPHS)
+def content_long_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of line items on a few long pages, shown in nested frames: glyphs by segments of a page."""
+    pages, fonts = label_pages(spark, sf_dir, 2500)
+    glyphs = content.extract_glyphs(content.parse_operations(pages), fonts)
+    return glyphs.select("doc_id", "unicode", *rounded("x", "y", "width"), "byte_offset", F.coalesce("item_index", F.lit(-1)).alias("item_index"))
 
 
 @register(sql.STREAMS + sql.STREAM_REDACT)
@@ -260,7 +285,7 @@ def content_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages, fonts, ops, glyphs = _parsed(spark, sf_dir)
     placed = lines.place_words(words.detect_words(glyphs))
     done = edits.redact(pages, ops, glyphs, placed, _regions(spark, sf_dir))
-    left = content.extract_glyphs(content.parse_operations(done), fonts).groupBy("doc_id").agg(F.count("*").alias("n_left"))
+    left = _read_back(done, fonts).groupBy("doc_id").agg(F.count("*").alias("n_left"))
     return done.join(left, "doc_id", "left").select("doc_id", "n_removed", "n_bars", F.coalesce("n_left", F.lit(0)).alias("n_left"))
 
 
@@ -269,9 +294,9 @@ def content_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first word of each first page replaced in its stream; the page's words are read back."""
     pages, fonts, ops, glyphs = _parsed(spark, sf_dir)
     first = words.detect_words(glyphs).where("word_ord = 0")
-    targets = first.select("doc_id", "page", F.col("glyph_lo").cast("int").alias("glyph_lo"), F.col("glyph_hi").cast("int").alias("glyph_hi"), "font_res", F.lit(" new\ntext ").alias("new_text"))
+    targets = first.select("doc_id", "page", "glyph_lo", "glyph_hi", "font_res", F.lit(" new\ntext ").alias("new_text"))
     done = edits.replace_text(pages, ops, glyphs, fonts, targets)
-    return words.detect_words(content.extract_glyphs(content.parse_operations(done), fonts)).select("doc_id", "page", "word_ord", "text")
+    return words.detect_words(_read_back(done, fonts)).select("doc_id", "page", "word_ord", "text")
 
 
 @register(sql.STREAMS + sql.STREAM_HIGHLIGHT)

@@ -284,6 +284,23 @@ shown AS (SELECT doc_id, CAST(line_no // 54 AS INTEGER) AS page, line_no, regexp
 glyphs AS (SELECT doc_id, page, line_no, op_index, unnest(string_split(line, '')) AS unicode, generate_subscripts(string_split(line, ''), 1) - 1 AS byte_offset,
     72 + 6 * CAST(generate_subscripts(string_split(line, ''), 1) - 1 AS DOUBLE) AS x, 720 - 12 * CAST(line_no % 54 AS DOUBLE) AS y FROM shown)
 """
+#: Line items are drawn in any order, so `last` counts a page's operations: its last operator is the last item's.
+DRAWN_OPERATIONS = """WITH items AS (SELECT l_orderkey // 2500 AS doc_id, l_orderkey FROM lineitem),
+ops(op, place, n_operands) AS (VALUES ('q', 0, 0), ('cm', 1, 6), ('m', 2, 2), ('l', 3, 2), ('S', 4, 0), ('Q', 5, 0))
+SELECT doc_id, op, count(*) AS n, CAST(6 * (count(*) - 1) + place AS INTEGER) AS "last", count(*) * n_operands AS n_operands,
+  CASE WHEN op = 'cm' THEN CAST(sum(l_orderkey) AS BIGINT) END AS risen FROM items, ops GROUP BY doc_id, op, place, n_operands
+"""
+#: Half size: a code of Courier is 0.6 of 8 units, scaled by half twice, and a unit of spacing comes before the scale.
+LONG_GLYPHS = """WITH items AS (SELECT l_orderkey // 2500 AS doc_id, l_orderkey % 1000 AS dx, l_linenumber AS n, l_returnflag AS flag FROM lineitem),
+step AS (SELECT *, CAST(4.8 AS DOUBLE) * 0.5 + 0.5 AS s FROM items),
+shown AS (
+  SELECT doc_id, chr(233) AS unicode, dx + 0.5 * n AS x, 7 + 0.5 * (3 + 2) AS y, 0 AS byte_offset, 0 AS item_index FROM step
+  UNION ALL SELECT doc_id, CASE flag WHEN 'A' THEN chr(233) ELSE flag END, dx + 0.5 * (n + s), 7 + 0.5 * (3 + 2), 1, 0 FROM step
+  UNION ALL SELECT doc_id, 'ff', dx + 0.5 * (n + 2 * s + 2), 7 + 0.5 * (3 + 2), 0, 2 FROM step
+  UNION ALL SELECT doc_id, 'x', dx + 0.5 * n, 7 + 0.5 * (3 - 12 + 2), 0, -1 FROM step
+  UNION ALL SELECT doc_id, ')', dx + 0.5 * (n + s), 7 + 0.5 * (3 - 12 + 2), 1, -1 FROM step)
+SELECT doc_id, unicode, round(x, 4) AS x, round(y, 4) AS y, CAST(1.2 AS DOUBLE) AS width, byte_offset, item_index FROM shown
+"""
 _COVERED = "x < 270 AND x + 6 > 150 AND y < 715 AND y + 10 > 690"
 _STREAM_WORDS = """, toks AS (SELECT doc_id, page, line_no, unnest(string_split(line, ' ')) AS text, generate_subscripts(string_split(line, ' '), 1) AS spot_no FROM shown WHERE page = 0),
 laid AS (SELECT *, 72 + 6 * CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id, line_no ORDER BY spot_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS x FROM toks),

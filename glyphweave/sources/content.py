@@ -1,26 +1,30 @@
 """Page content streams to operations, and operations to glyphs.
 
-Both are sequential inside one page and independent between pages: a small fold over
-a page's bytes, and one over its operations, run as grouped maps over all pages.
+Both are folds that compose: what a run of bytes does to the lexer's state, and a run of
+operations to the graphics state, is a small value of its own, and such values one after the
+other say in which state each part of a long page begins. So short pages are folded whole,
+and the parts of a long one by as many tasks as it has parts.
 """
 
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
 from glyphweave.functions.fontmetrics import glyph_name, standard, standard_width, win_ansi
+from glyphweave.sources import lexing
+from glyphweave.sources.lexing import operations
 
-OPS_SCHEMA = "doc_id long, page int, op_index int, op string, operands string, start int, end int"
+OPERANDS = "array<struct<arg:int,item:int,kind:string,num:double,raw:binary>>"
+OPS_SCHEMA = f"doc_id long, page int, op_index int, op string, operands {OPERANDS}, start int, end int"
 GLYPH_SCHEMA = (
-    "doc_id long, page int, glyph_ord int, unicode string, code int, x double, y double, width double, height double,"
+    "doc_id long, page int, glyph_ord long, unicode string, code int, x double, y double, width double, height double,"
     " font_res string, font_size double, op_index int, item_index int, byte_offset int, byte_length int"
 )
 FONT_SCHEMA = (
@@ -28,118 +32,111 @@ FONT_SCHEMA = (
     " to_unicode map<int,string>, widths map<int,double>, default_width double, two_byte boolean"
 )
 
-_TOKEN = re.compile(
-    rb"(?P<skip>[\x00\t\n\x0c\r ]+|%[^\r\n]*)|(?P<num>[+-]?[0-9.]+|[+-])|(?P<name>/[^\x00\t\n\x0c\r ()<>\[\]{}/%]*)"
-    rb"|(?P<mark><<|>>|\[|\])|(?P<hex><[^>]*>?)|(?P<text>\()|(?P<word>[^\x00\t\n\x0c\r ()<>\[\]{}/%]+)|(?P<other>.)",
-    re.S,
-)
-_ESCAPE = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
-_IN_TEXT = re.compile(rb"[^()\\\r]+|\\([0-7]{1,3}|\r\n|.)|[()]|\r\n?|\\$", re.S)
-_IMAGE_END = re.compile(rb"[\x00\t\n\x0c\r ]EI(?=[\x00\t\n\x0c\r ]|$)")
-
-
-def number(raw: bytes) -> float:
-    """The longest leading number; 0 if there is none."""
-    m = re.match(rb"[+-]?(\d+\.?\d*|\.\d+)", raw)
-    return float(m[0]) if m else 0.0
-
-
-def _string(data: bytes, at: int) -> tuple[bytes, int]:
-    """A literal string that starts after its opening parenthesis, and where it ends."""
-    out, depth = [], 1
-    for m in iter(lambda: _IN_TEXT.match(data, at), None):
-        piece, at = m[0], m.end()
-        if piece == b"(":
-            depth += 1
-        elif piece == b")":
-            depth -= 1
-            if not depth:
-                return b"".join(out), at
-        if piece[:1] == b"\\":
-            e = m[1] or b""
-            if e[:1].isdigit() and e < b"8":
-                piece = bytes([int(e, 8) & 255])
-            else:
-                piece = b"" if e in (b"\n", b"\r", b"\r\n") else _ESCAPE.get(e, e)
-        elif piece in (b"\r", b"\r\n"):
-            piece = b"\n"
-        out.append(piece)
-    return b"".join(out), len(data)
-
-
-def _hex(raw: bytes) -> bytes:
-    digits = re.sub(rb"[^0-9A-Fa-f]", b"", raw)
-    return bytes.fromhex((digits + b"0" * (len(digits) % 2)).decode())
-
-
-def _name(raw: bytes) -> str:
-    return re.sub(rb"#([0-9A-Fa-f]{2})", lambda m: bytes([int(m[1], 16)]), raw[1:]).decode("latin-1")
+#: Bytes of a page that one task reads; longer pages are cut.
+PIECE = 1 << 18
+#: Operations of a page that one task folds; longer pages are cut where a text object or an absolute place begins.
+BLOCK = 4096
 
 
-def operations(data: bytes) -> Iterator[tuple[str, list, int, int]]:
-    """(operator, operands, start, end) of a content stream; images given in line are one operation BI.
+def parse_operations(pages: DataFrame, piece: int | None = PIECE) -> DataFrame:
+    """OPS_SCHEMA rows of `pages` (doc_id, page, content): op_index counts from 0 in a page.
 
-    Strings are {"s": hex}, names {"n": name}, dictionaries {"d": [[key, value] ...]}; a value that
-    can't be read is skipped.
+    An operand is a row of `operands`: arg numbers operands, item the things in an array (null
+    outside), kind is n (number), s (string), / (name), b (true, false or null), [ (an array, whose items
+    follow) or j (anything else, as JSON). Null contents have no operations. Pages of over
+    `piece` bytes are cut where operations end, and their parts are read by several tasks,
+    for which `pages` is read three times; without `piece` every page is read whole, and once.
     """
-    stack: list[tuple[str, list]] = []
-    operands: list[Any] = []
-    at, start = 0, None
-
-    def put(value: Any) -> None:
-        (stack[-1][1] if stack else operands).append(value)
-
-    while at < len(data):
-        m = _TOKEN.match(data, at)
-        here, at = at, m.end()
-        kind, raw = m.lastgroup, m[0]
-        if kind == "skip":
-            continue
-        start = here if start is None else start
-        if kind == "num":
-            put(number(raw))
-        elif kind == "name":
-            put({"n": _name(raw)})
-        elif kind == "hex":
-            put({"s": _hex(raw).hex()})
-        elif kind == "text":
-            value, at = _string(data, at)
-            put({"s": value.hex()})
-        elif raw in (b"[", b"<<"):
-            stack.append((raw.decode(), []))
-        elif raw in (b"]", b">>"):
-            if stack and stack[-1][0] == {b"]": "[", b">>": "<<"}[raw]:
-                opened, items = stack.pop()
-                pairs = [[k["n"], v] for k, v in zip(items[::2], items[1::2], strict=False) if isinstance(k, dict) and "n" in k]
-                put(items if opened == "[" else {"d": pairs})
-        elif kind == "word":
-            if raw in (b"true", b"false", b"null"):
-                put({b"true": True, b"false": False, b"null": None}[raw])
-                continue
-            if raw == b"BI":
-                end = _IMAGE_END.search(data, at)
-                at = end.end() if end else len(data)
-            yield raw.decode("latin-1"), operands, start, at
-            stack, operands, start = [], [], None
-
-
-def parse_operations(pages: DataFrame) -> DataFrame:
-    """OPS_SCHEMA rows of `pages` (doc_id, page, content): op_index counts from 0 in a page, operands are JSON.
-
-    Null contents have no operations.
+    kept = pages.select("doc_id", "page", "content").where("content is not null")
+    short = kept if piece is None else kept.where(F.octet_length("content") <= piece)
+    whole = short.select("doc_id", "page", F.lit(0).alias("at"), F.lit(0).cast("long").alias("ops"), "content")
+    if piece is not None:
+        whole = whole.unionByName(parts(kept.where(F.octet_length("content") > piece), piece))
+    return whole.mapInArrow(_parse, OPS_SCHEMA)
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Operations of (doc_id, page, at, ops, content): a stream, or a part of one that begins `at` bytes and `ops` operations later."""
+    for batch in batches:
+        held, rows, size = [], [], 0
+        for k in range(batch.num_rows):
+            found = lexing.lex(batch.column(4)[k].as_buffer().to_pybytes())
+            if len(found.names):
+                held.append(found)
+                rows.append(k)
+                size += len(found.names)
+            if held and (size > 100_000 or k == batch.num_rows - 1):
+                yield _operation_rows(batch, rows, held)
+                held, rows, size = [], [], 0
+        if held:
+            yield _operation_rows(batch, rows, held)
+
+
+def _operation_rows(batch: pa.RecordBatch, rows: list[int], lexed: list[lexing.Lexed]) -> pa.RecordBatch:
+    counts = [len(f.names) for f in lexed]
+    of = pa.array(np.repeat(rows, counts))
+    at, before = (np.repeat(batch.column(c).to_numpy()[rows], counts) for c in (2, 3))
+    index = np.concatenate([np.arange(c) for c in counts]) + before
+    names = pa.array([n for f in lexed for n in f.names], pa.string())
+    spans = [pa.array((np.concatenate([getattr(f, c) for f in lexed]) + at).astype(np.int32)) for c in ("starts", "ends")]
+    columns = [batch.column(0).take(of), batch.column(1).take(of), pa.array(index.astype(np.int32)), names, lexing.operand_array(lexed), *spans]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "page", "op_index", "op", "operands", "start", "end"])
+
+
+def parts(pages: DataFrame, piece: int) -> DataFrame:
+    """(doc_id, page, at, ops, content): parts of long streams that begin and end between operations, dealt over the tasks.
+
+    Pieces tell what they do from each begin state; what a page does is these maps one after the other.
     """
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, page, content in zip(*batch.columns, strict=True):
+                data, at = content.as_buffer().to_pybytes(), 0
+                for end in lexing.piece_ends(data, piece):
+                    yield pa.RecordBatch.from_pydict({"doc_id": [doc.as_py()], "page": [page.as_py()], "at": [at], "piece": [data[at:end]]}, _PIECES)
+                    at = end
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                doc, page, content = (batch.column(c)[k].as_py() for c in ("doc_id", "page", "content"))
-                found = [(doc, page, n, op, json.dumps(args), a, b) for n, (op, args, a, b) in enumerate(operations(content or b""))]
-                if found:
-                    cols = zip(*found, strict=True)
-                    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in OPS_SCHEMA.split(", ")])
+                maps, deeper = lexing.transitions(batch.column(3)[k].as_buffer().to_pybytes())
+                states = [{"end": e, "n_ops": n, "cut": c} for e, n, c in maps]
+                yield pa.RecordBatch.from_arrays([*(c.slice(k, 1) for c in batch.columns[:3]), pa.array([states], _STATES), pa.array([deeper], pa.int32())], names=["doc_id", "page", "at", "states", "deeper"])
+
+    pieces = pages.mapInArrow(cut, "doc_id long, page int, at long, piece binary").repartition("doc_id", "page", "at")
+    told = pieces.mapInArrow(tell, "doc_id long, page int, at long, states array<struct<end:int,n_ops:long,cut:long>>, deeper int")
+    ordered = F.array_sort(F.collect_list(F.struct("at", "states", "deeper"))).alias("pieces")
+    begun = F.struct(F.lit(0).alias("state"), F.lit(0).cast("long").alias("ops"), F.array(F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).cast("long").alias("ops"))).alias("parts"))
+
+    def after(done: Column, p: Column) -> Column:
+        known = done["state"] < F.size(p["states"])
+        met = p["states"][F.when(known, done["state"]).otherwise(F.lit(0))]
+        part = F.struct((p["at"] + met["cut"]).alias("at"), (done["ops"] + 1).alias("ops"))
+        more = F.when(known & (met["cut"] >= 0), F.concat(done["parts"], F.array(part))).otherwise(done["parts"])
+        return F.struct(
+            F.when(known, met["end"]).otherwise(done["state"] + p["deeper"]).cast("int").alias("state"),
+            F.when(known, done["ops"] + met["n_ops"]).otherwise(done["ops"]).alias("ops"),
+            more.alias("parts"),
+        )
+
+    composed = told.groupBy("doc_id", "page").agg(ordered).select("doc_id", "page", F.aggregate("pieces", begun, after)["parts"].alias("parts"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, page, content, where in zip(*batch.columns, strict=True):
+                data, spots = content.as_buffer(), where.as_py()
+                for spot, end in zip(spots, [*(s["at"] for s in spots[1:]), data.size], strict=True):
+                    row = {"doc_id": [doc.as_py()], "page": [page.as_py()], "at": [spot["at"]], "ops": [spot["ops"]], "content": [data[spot["at"] : end].to_pybytes()]}
+                    yield pa.RecordBatch.from_pydict(row, _PARTS)
 
-    return pages.select("doc_id", "page", "content").mapInArrow(parse, OPS_SCHEMA)
+    joined = pages.join(composed, ["doc_id", "page"]).select("doc_id", "page", "content", "parts")
+    return joined.mapInArrow(deal, "doc_id long, page int, at int, ops long, content binary").repartition("doc_id", "page", "at")
+
+
+_PIECES = pa.schema({"doc_id": pa.int64(), "page": pa.int32(), "at": pa.int64(), "piece": pa.binary()})
+_PARTS = pa.schema({"doc_id": pa.int64(), "page": pa.int32(), "at": pa.int32(), "ops": pa.int64(), "content": pa.binary()})
+_STATES = pa.list_(pa.struct({"end": pa.int32(), "n_ops": pa.int64(), "cut": pa.int64()}))
 
 
 def simple_encoding(base: str | None, differences: list | None) -> dict[int, str]:
@@ -228,107 +225,274 @@ def _times(p: tuple, q: tuple) -> tuple:
 _ONE = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
 
 
-def glyphs_of(ops: Iterator[tuple[int, str, list]], fonts: dict[str, Font], strict: bool = False) -> Iterator[tuple]:
-    """Glyphs that a page's operations show, string by string: each of GLYPH_SCHEMA's columns from `unicode` on.
+#: Text state: what a string is shown with, besides the matrices.
+TEXT_STATE = {"res": "", "size": 0.0, "Tc": 0.0, "Tw": 0.0, "Tz": 1.0, "TL": 0.0, "Ts": 0.0}
+Leaf = tuple[int, int | None, str, float | None, bytes | None]
+
+
+def _num(args: list[Leaf], k: int, other: float = 0.0) -> float:
+    """Operand k, if it is a number."""
+    leaf = args[k] if k < len(args) and args[k][0] == k else next((x for x in args if x[0] == k), None)
+    return leaf[3] if leaf is not None and leaf[2] == "n" else other
+
+
+def _matrix(args: list[Leaf]) -> tuple:
+    return _num(args, 0, 1.0), _num(args, 1), _num(args, 2), _num(args, 3, 1.0), _num(args, 4), _num(args, 5)
+
+
+def said_by(op: str, args: list[Leaf]) -> dict[str, Any] | None:
+    """What an operation sets in the text state."""
+    if op == "Tf":
+        name = args[0][4].decode("latin-1") if args and args[0][2] == "/" else ""
+        return {"res": name, "size": _num(args, 1)}
+    if op in ("TL", "Tc", "Tw", "Ts"):
+        return {op: _num(args, 0)}
+    if op == "Tz":
+        return {"Tz": _num(args, 0, 100.0) / 100}
+    if op == "TD":
+        return {"TL": -_num(args, 1)}
+    if op == '"':
+        return {"Tw": _num(args, 0), "Tc": _num(args, 1)}
+    return None
 
-    Columns that hold for a whole string are single values; a string outside an array has item -1.
 
-    q and Q keep only the page matrix, as the files this reads expect; with `strict`
-    they keep the text state too. A string in an unknown font or at size 0 shows and
-    moves nothing.
+class State:
+    """Page matrix, text state, and what q saved. With `strict`, q and Q keep the text state too."""
+
+    def __init__(self, strict: bool, entry: str | None = None):
+        self.strict = strict
+        ctm, text, saved = json.loads(entry) if entry else (_ONE, TEXT_STATE, [])
+        self.ctm, self.text, self.saved = tuple(ctm), dict(text), [(tuple(m), t) for m, t in saved]
+
+    def entry(self) -> str:
+        return json.dumps((self.ctm, self.text, self.saved))
+
+    def then(self, effect: dict) -> None:
+        """Apply what a run of operations does, as `effect_of` gives it."""
+        for said in effect["pops"]:
+            self.text |= said
+            if self.saved:
+                self.ctm, text = self.saved.pop()
+                self.text = dict(text) if self.strict else self.text
+            else:
+                self.ctm = _ONE
+        self.saved += [(_times(tuple(m), self.ctm), self.text | said) for m, said in effect["pushes"]]
+        self.ctm, self.text = _times(tuple(effect["matrix"]), self.ctm), self.text | effect["said"]
+
+
+def effect_of(ops: Iterator[tuple[str, list[Leaf]]], strict: bool) -> dict:
+    """What operations do to any state: levels popped that they didn't push, and on the level below those a matrix, what they set, and what they pushed."""
+    matrix, said, pops, pushes = _ONE, {}, [], []
+    for op, args in ops:
+        if op == "q":
+            pushes.append((matrix, dict(said)))
+        elif op == "Q":
+            if pushes:
+                matrix, before = pushes.pop()
+                said = before if strict else said
+            else:
+                pops.append(said)
+                matrix, said = _ONE, {}
+        elif op == "cm":
+            matrix = _times(_matrix(args), matrix)
+        else:
+            said |= said_by(op, args) or {}
+    return {"matrix": matrix, "said": said, "pops": pops, "pushes": pushes}
+
+
+def glyphs_of(ops: Iterator[tuple[int, str, list[Leaf]]], fonts: dict[str, Font], state: State) -> Iterator[tuple]:
+    """Glyphs that operations show, string by string: each of GLYPH_SCHEMA's columns from `unicode` on.
+
+    Columns that hold for a whole string are single values; a string outside an array has
+    item -1. A string in an unknown font or at size 0 shows and moves nothing.
     """
-    state = {"font": None, "res": "", "size": 0.0, "Tc": 0.0, "Tw": 0.0, "Tz": 1.0, "TL": 0.0, "Ts": 0.0}
-    ctm, saved, tm, line = _ONE, [], _ONE, _ONE
-    num = lambda args, k, other=0.0: float(args[k]) if k < len(args) and isinstance(args[k], int | float) and not isinstance(args[k], bool) else other
+    tm = line = _ONE
 
-    def show(value: Any, op_index: int, item: int) -> Iterator[tuple]:
+    def show(value: bytes | None, op_index: int, item: int) -> Iterator[tuple]:
         nonlocal tm
-        font, size, hs, rise = state["font"], state["size"], state["Tz"], state["Ts"]
-        if not font or not size or not isinstance(value, dict) or "s" not in value:
+        t, ctm = state.text, state.ctm
+        font, size, hs, rise = fonts.get(t["res"]), t["size"], t["Tz"], t["Ts"]
+        if not font or not size or value is None:
             return
-        step, codes, chars, widths = font.decode(bytes.fromhex(value["s"]))
+        step, codes, chars, widths = font.decode(value)
         if not len(codes):
             return
-        space = np.where(codes == 32, state["Tw"] if step == 1 else 0.0, 0.0)
-        forward = (widths / 1000 * size + state["Tc"] + space) * hs
+        space = np.where(codes == 32, t["Tw"] if step == 1 else 0.0, 0.0)
+        forward = (widths / 1000 * size + t["Tc"] + space) * hs
         e, f = (np.cumsum(np.concatenate([[tm[k + 4]], forward * tm[k]])) for k in (0, 1))
         whole = _times(tm, ctm)
         x, y = (rise * whole[k + 2] + (e[:-1] * ctm[k] + f[:-1] * ctm[k + 2] + ctm[k + 4]) for k in (0, 1))
         wide, high = float(np.hypot(size * hs * whole[0], size * hs * whole[1])), float(np.hypot(size * whole[2], size * whole[3]))
         tm = (*tm[:4], float(e[-1]), float(f[-1]))
-        yield chars, codes, x, y, widths / 1000 * wide, high, state["res"], size, op_index, item, np.arange(len(codes)) * step, step
+        yield chars, codes, x, y, widths / 1000 * wide, high, t["res"], size, op_index, item, np.arange(len(codes)) * step, step
 
     for k, op, args in ops:
         moved = None
-        if op == "q":
-            saved.append((ctm, dict(state)))
-        elif op == "Q":
-            ctm, before = saved.pop() if saved else (_ONE, state)
-            state = before if strict else state
-        elif op in ("cm", "Tm"):
-            m = (num(args, 0, 1.0), num(args, 1), num(args, 2), num(args, 3, 1.0), num(args, 4), num(args, 5))
-            if op == "cm":
-                ctm = _times(m, ctm)
+        if op in ("q", "Q", "cm"):
+            if op == "q":
+                state.saved.append((state.ctm, dict(state.text)))
+            elif op == "cm":
+                state.ctm = _times(_matrix(args), state.ctm)
             else:
-                tm = line = m
+                state.then({"pops": [{}], "pushes": [], "matrix": _ONE, "said": {}})
+            continue
+        state.text |= said_by(op, args) or {}
+        if op == "Tm":
+            tm = line = _matrix(args)
         elif op == "BT":
             tm = line = _ONE
-        elif op == "Tf":
-            res = args[0]["n"] if args and isinstance(args[0], dict) and "n" in args[0] else ""
-            state |= {"res": res, "font": fonts.get(res), "size": num(args, 1)}
         elif op in ("Td", "TD"):
-            moved = num(args, 0), num(args, 1)
-            if op == "TD":
-                state["TL"] = -moved[1]
-        elif op in ("TL", "Tc", "Tw", "Ts"):
-            state[op] = num(args, 0)
-        elif op == "Tz":
-            state["Tz"] = num(args, 0, 100.0) / 100
+            moved = _num(args, 0), _num(args, 1)
         elif op in ("T*", "'", '"'):
-            if op == '"':
-                state["Tw"], state["Tc"] = num(args, 0), num(args, 1)
-            moved = 0.0, -state["TL"]
+            moved = 0.0, -state.text["TL"]
         if moved:
             tm = line = _times((1, 0, 0, 1, *moved), line)
         if op in ("Tj", "'", '"'):
             spot = 2 if op == '"' else 0
-            if spot < len(args):
-                yield from show(args[spot], k, -1)
-        elif op == "TJ" and args and isinstance(args[0], list):
-            for n, item in enumerate(args[0]):
-                if isinstance(item, int | float) and not isinstance(item, bool):
-                    tm = _times((1, 0, 0, 1, -item / 1000 * state["size"] * state["Tz"], 0), tm)
-                else:
-                    yield from show(item, k, n)
-
-
-SHOWING = ("q", "Q", "cm", "BT", "Tf", "Td", "TD", "Tm", "T*", "TL", "Tc", "Tw", "Tz", "Ts", "Tj", "'", '"', "TJ")
-
-
-def extract_glyphs(ops: DataFrame, fonts: DataFrame, strict: bool = False) -> DataFrame:
-    """GLYPH_SCHEMA rows of operations, page by page; operations that show and move nothing are dropped before the shuffle."""
-    kept = ops.where(ops["op"].isin(*SHOWING)).select("doc_id", "page", "op_index", "op", "operands")
-
-    names = [f.split()[0] for f in GLYPH_SCHEMA.split(", ")][3:]
-
-    def fold(key: tuple, page: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
-        known = {r["font_res"]: font_of(r) for r in listed.to_dict("records")}
-        page = page.sort_values("op_index")
-        shown = list(glyphs_of(zip(page["op_index"].tolist(), page["op"].tolist(), map(json.loads, page["operands"]), strict=True), known, strict))
-        if not shown:
-            return pd.DataFrame([], columns=["doc_id", "page", "glyph_ord", *names])
-        sizes = np.array([len(s[0]) for s in shown], np.int64)
-        columns = {}
-        for k, name in enumerate(names):
-            values = [s[k] for s in shown]
-            whole = isinstance(values[0], np.ndarray)
-            columns[name] = np.concatenate(values) if whole else np.repeat(np.array(values, object if name == "font_res" else None), sizes)
-        out = pd.DataFrame({"doc_id": key[0], "page": key[1], "glyph_ord": np.arange(sizes.sum())} | columns)
-        out["item_index"] = out["item_index"].astype("Int32").where(out["item_index"] >= 0)
-        return out
-
-    keyed = ["doc_id", "page"]
-    return kept.groupBy(*keyed).cogroup(fonts.groupBy(*keyed)).applyInPandas(fold, GLYPH_SCHEMA)
+            yield from show(next((x[4] for x in args if x[0] == spot and x[2] == "s"), None), k, -1)
+        elif op == "TJ" and args and args[0][2] == "[":
+            for _, item, kind, num, raw in args[1:]:
+                if item is None:
+                    break
+                if kind == "n":
+                    tm = _times((1, 0, 0, 1, -num / 1000 * state.text["size"] * state.text["Tz"], 0), tm)
+                elif kind == "s":
+                    yield from show(raw, k, item)
+
+
+PLACING = ("q", "Q", "cm", "Tf", "TL", "Tc", "Tw", "Ts", "Tz", "TD", '"')
+SHOWING = (*PLACING, "BT", "Td", "Tm", "T*", "Tj", "'", "TJ")
+_KEY = ["doc_id", "page", "segment"]
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Runs of equal keys in sorted batches, each run whole."""
+    held: list[pa.RecordBatch] = []
+    before = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        edges = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+        bounds = [0, *edges.tolist(), batch.num_rows]
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            here = tuple(c[a] for c in columns)
+            if before is not None and here != before:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            before = here
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _leaves(operands: pa.ChunkedArray) -> list[list[Leaf]]:
+    """Operands of operations as lists of (arg, item, kind, num, raw)."""
+    column = operands.combine_chunks()
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    offsets = column.offsets.to_numpy()
+    flat = list(zip(*(c.slice(offsets[0], offsets[-1] - offsets[0]).to_pylist() for c in (column.values.field(k) for k in range(5))), strict=True))
+    bounds = (offsets - offsets[0]).tolist()
+    return [flat[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
+def _segments(shown: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Operations with their segment, the number of the operation that it begins with; and the pages that have several."""
+    page = ["doc_id", "page"]
+    placed = shown.withColumn("block", F.floor(F.col("op_index") / block).cast("int"))
+    resets = F.min(F.when(F.col("op").isin("BT", "Tm"), F.col("op_index"))).alias("cut")
+    blocks = placed.where("block > 0").groupBy(*page, "block").agg(resets)
+    last = F.last("cut", ignorenulls=True).over(Window.partitionBy(*page).orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    cuts = blocks.withColumn("before", F.coalesce(last, F.lit(0)))
+    segment = F.coalesce(F.when(F.col("op_index") >= F.col("cut"), F.col("cut")), F.col("before"), F.lit(0)).alias("segment")
+    kept = placed.join(cuts, [*page, "block"], "left").select(*page, segment, "op_index", "op", "operands")
+    return kept, cuts.where("cut is not null").select(*page).distinct()
+
+
+def _entries(kept: DataFrame, strict: bool) -> DataFrame:
+    """(doc_id, page, segment, entry): the state in which each segment of `kept` begins but for the first of a page.
+
+    Effects of segments are found in as many tasks, then applied one after the other, a row for each segment.
+    """
+
+    def effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches, _KEY):
+            effect = effect_of(zip(run.column("op").to_pylist(), _leaves(run.column("operands")), strict=True), strict)
+            yield pa.RecordBatch.from_arrays([*(run.column(k).slice(0, 1).combine_chunks() for k in _KEY), pa.array([json.dumps(effect)])], names=[*_KEY, "effect"])
+
+    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches, _KEY[:2]):
+            state, found = State(strict), []
+            for effect in run.column("effect").to_pylist():
+                found.append(state.entry())
+                state.then(json.loads(effect))
+            rows = run.select(_KEY).append_column("entry", pa.array(found)).slice(1)
+            yield from rows.to_batches()
+
+    placing = kept.where(F.col("op").isin(*PLACING, "BT", "Tm")).repartition(*_KEY).sortWithinPartitions(*_KEY, "op_index")
+    told = placing.mapInArrow(effects, "doc_id long, page int, segment int, effect string")
+    return told.repartition(*_KEY[:2]).sortWithinPartitions(*_KEY).mapInArrow(compose, "doc_id long, page int, segment int, entry string")
+
+
+def extract_glyphs(ops: DataFrame, fonts: DataFrame, strict: bool = False, block: int | None = BLOCK) -> DataFrame:
+    """GLYPH_SCHEMA rows of operations: glyph_ord ascends in the order of a page's strings and characters.
+
+    q and Q keep only the page matrix, as the files this reads expect; with `strict` they
+    keep the text state too. Operations that show and move nothing are dropped before the shuffle.
+    A page of over `block` operations is cut at text objects (BT) and absolute places (Tm), one a block at
+    most; its segments are folded by tasks of their own, from the states that the effects of those before add up to.
+    Without `block` every page is one segment, and `ops` is read once.
+    """
+    page = ["doc_id", "page"]
+    shown = ops.where(ops["op"].isin(*SHOWING)).select(*page, "op_index", "op", "operands")
+    known = fonts.groupBy(*page).agg(F.collect_list(F.struct(*(c for c in fonts.columns if c not in page))).alias("fonts"))
+    starts = known.select(*page, F.lit(0).alias("segment"), F.lit(None).cast("string").alias("entry"), "fonts")
+    if block is None:
+        kept = shown.select(*page, F.lit(0).alias("segment"), "op_index", "op", "operands")
+    else:
+        kept, long = _segments(shown, block)
+        entries = _entries(kept.join(long, page, "left_semi"), strict)
+        starts = starts.unionByName(entries.join(known, page).select(*_KEY, "entry", "fonts"))
+    heads = starts.select(*_KEY, F.lit(-1).alias("op_index"), F.lit(None).cast("string").alias("op"), F.lit(None).cast(OPERANDS).alias("operands"), "entry", "fonts")
+    nothing = F.lit(None).cast("string").alias("entry"), F.lit(None).cast(known.schema["fonts"].dataType).alias("fonts")
+    dealt = kept.select("*", *nothing).unionByName(heads).repartition(*_KEY).sortWithinPartitions(*_KEY, "op_index")
+    names = [f.split()[0] for f in GLYPH_SCHEMA.split(", ")]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches, _KEY):
+            index = run.column("op_index")
+            if index[0].as_py() >= 0:  # a page without fonts shows nothing
+                continue
+            fonts_ = {r["font_res"]: font_of(r) for r in run.column("fonts")[0].as_py()}
+            entry, body = run.column("entry")[0].as_py(), run.slice(1)
+            if not body.num_rows:
+                continue
+            ops_ = zip(body.column("op_index").to_pylist(), body.column("op").to_pylist(), _leaves(body.column("operands")), strict=True)
+            shown_ = list(glyphs_of(ops_, fonts_, State(strict, entry)))
+            at = 0
+            while at < len(shown_):
+                end = min(at + 2000, len(shown_))
+                while end < len(shown_) and shown_[end][8] == shown_[end - 1][8]:  # strings of an operation stay together
+                    end += 1
+                yield rows(run.column("doc_id")[0].as_py(), run.column("page")[0].as_py(), shown_[at:end])
+                at = end
+
+    def rows(doc: int, page_: int, shown_: list[tuple]) -> pa.RecordBatch:
+        sizes = np.array([len(s[0]) for s in shown_], np.int64)
+        n = int(sizes.sum())
+        columns = []
+        for k in range(12):
+            values = [s[k] for s in shown_]
+            columns.append(np.concatenate(values) if isinstance(values[0], np.ndarray) else np.repeat(np.array(values, object if k == 6 else None), sizes))
+        op_index, item = columns[8].astype(np.int64), columns[9]
+        # strings of one operation follow each other: count on through all of them
+        place = np.arange(n) - np.maximum.accumulate(np.where(np.append(True, op_index[1:] != op_index[:-1]), np.arange(n), 0))
+        kinds = [pa.string(), pa.int32(), *[pa.float64()] * 4, pa.string(), pa.float64(), *[pa.int32()] * 4]
+        made = [pa.array(c.astype(np.int32) if t == pa.int32() else c, t, mask=(item < 0) if k == 9 else None) for k, (c, t) in enumerate(zip(columns, kinds, strict=True))]
+        keys = [pa.array(np.full(n, doc)), pa.array(np.full(n, page_, np.int32)), pa.array((op_index << 31) + place)]
+        return pa.RecordBatch.from_arrays([*keys, *made], names=names)
+
+    return dealt.mapInArrow(fold, GLYPH_SCHEMA)
 
 
 def parse_cmap(data: bytes) -> dict[int, str]:

@@ -1,11 +1,12 @@
 """Content streams: operations, fonts, glyphs, and the whole way to words."""
 
 import json
+import random
 
 import pytest
 
 from glyphweave.operators import lines, words
-from glyphweave.sources import content
+from glyphweave.sources import content, lexing
 
 
 def ops(data):
@@ -86,3 +87,54 @@ def test_two_byte_font(spark):
 def test_encode():
     font = content.Font({"base_font": "Helvetica", "subtype": "Type1", "differences": json.dumps([200, "A"])})
     assert font.encode("AB") == b"AB" and font.encode("Ω") is None
+
+
+PARTS = [
+    *(b"q", b"Q", b"1", b"-2.5", b"12cm", b"--3", b".5-", b"1.2.3", b"+", b".", b"/F1", b"/", b"/A#20b", b"(", b")", b"\\", b"(a(b)c)", b"(x\\)", b"<48>", b"<", b">", b"<<", b">>", b"["),
+    *(b"]", b"{", b"}", b"%c", b"\n", b"\r", b" ", b" ", b" ", b"BI", b"1BI", b"/BI", b"ID", b" EI ", b"EI", b"true", b"null", b"Tj", b"TJ", b"xBI", b"\x00", b"\xff", b"123456789012345678"),
+    *(b"0.1", b"<</K 1>>", b"[(a) -20 <41> /N true]", b"[[1] 2]", b"((", b"))"),
+]
+
+
+def stream(rng, n):
+    return b"".join(rng.choice(PARTS) + rng.choice([b"", b" "]) for _ in range(rng.randint(0, n)))
+
+
+def test_whole_arrays_read_as_the_plain_reader():
+    rng = random.Random(7)
+    for _ in range(4000):
+        data = stream(rng, 25)
+        found = lexing.lex(data)
+        rows = list(zip(found.arg.tolist(), found.item.tolist(), found.kind.tolist(), found.num.tolist(), found.raw, strict=True))
+        got = [(n, rows[a:b], s, e) for n, a, b, s, e in zip(found.names, found.offsets[:-1], found.offsets[1:], found.starts.tolist(), found.ends.tolist(), strict=True)]
+        assert repr(got) == repr([(op, lexing.leaves(args), a, b) for op, args, a, b in content.operations(data)]), data
+
+
+def parsed(df):
+    return sorted((r.doc_id, r.op_index, r.op, repr(lexing.values_of([o.asDict() for o in r.operands])), r.start, r.end) for r in df.collect())
+
+
+def test_cut_pages_read_as_whole_ones(spark):
+    rng = random.Random(11)
+    rows = [(k, 0, bytearray(stream(rng, 300))) for k in range(150)] + [(900, 0, None), (901, 0, bytearray(b"")), (902, 0, bytearray(b"(" * 500)), (903, 0, bytearray(b"(a b) Tj " * 200))]
+    pages = spark.createDataFrame(rows, "doc_id long, page int, content binary").repartition(3)
+    want = [(k, n, op, repr(args), a, b) for k, _, data in rows for n, (op, args, a, b) in enumerate(content.operations(bytes(data or b"")))]
+    assert parsed(content.parse_operations(pages)) == sorted(want)
+    assert parsed(content.parse_operations(pages, piece=23)) == sorted(want)
+
+
+def test_segments_show_as_whole_pages(spark):
+    rng = random.Random(3)
+    said = ["q", "q", "Q", "Q", "Q", "2 0 0 2 1 1 cm", "0 1 -1 0 3 0 cm", "BT", "ET", "/F1 9 Tf", "/F2 4 Tf", "/F9 4 Tf", "1 0 0 1 5 6 Tm", "3 4 Td", "1 -2 TD", "T*", "12 TL", "1 Tc", "2 Tw", "50 Tz", "3 Ts"]
+    shows = ["(ab c) Tj", "(x) '", '1 2 (y) "', "[(p) -120 (q r)] TJ", "<4142> Tj", "[" + "(m)" * 40 + "] TJ"]
+    rows = [(k, 0, bytearray(" ".join(rng.choice(said if rng.random() < 0.6 else shows) for _ in range(rng.randint(0, 120))).encode())) for k in range(60)]
+    pages = spark.createDataFrame(rows, "doc_id long, page int, content binary")
+    font = {"page": 0, "subtype": "Type1", "base_font": "Helvetica", "encoding": "WinAnsiEncoding", "differences": None, "to_unicode": None, "widths": None, "default_width": None, "two_byte": False}
+    fonts = spark.createDataFrame([font | {"doc_id": k, "font_res": f, "base_font": b} for k in range(60) for f, b in (("F1", "Helvetica"), ("F2", "Courier"))], content.FONT_SCHEMA)
+    parsed_ops = content.parse_operations(pages).cache()
+    for strict in (False, True):
+        whole = sorted(map(tuple, content.extract_glyphs(parsed_ops, fonts, strict, block=10**6).collect()), key=lambda r: (r[0], r[2]))
+        cut = sorted(map(tuple, content.extract_glyphs(parsed_ops, fonts, strict, block=7).collect()), key=lambda r: (r[0], r[2]))
+        assert len(whole) > 2000 and len({r[:3] for r in whole}) == len(whole)
+        for a, b in zip(whole, cut, strict=True):
+            assert a[:5] == b[:5] and a[9:] == b[9:] and b[5:9] == pytest.approx(a[5:9])

@@ -63,8 +63,8 @@ def test_highlight(spark, parts):
 
 def test_replacement(spark, parts):
     pages, fonts, ops, glyphs, _ = parts
-    schema = "doc_id long, page int, glyph_lo int, glyph_hi int, font_res string, new_text string"
-    targets = spark.createDataFrame([(1, 0, 6, 11, "F1", " new\n text "), (1, 1, 0, 5, "F1", "Świat")], schema)
+    schema = "doc_id long, page int, glyph_lo long, glyph_hi long, font_res string, new_text string"
+    targets = spark.createDataFrame([(1, 0, 5 << 31, (5 << 31) + 5, "F1", " new\n text "), (1, 1, 0, 5, "F1", "Świat")], schema)
     done = edits.replace_text(pages, ops, glyphs, fonts, targets)
     got = {r.page: r.error for r in done.collect()}
     assert got[0] is None and "encode" in got[1]
