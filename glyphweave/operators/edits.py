@@ -7,19 +7,25 @@ row of the result. Failures are values in `error`, never exceptions.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glyphweave.operators import regions
 from glyphweave.operators.words import PAGE
-from glyphweave.sources.content import font_of
+from glyphweave.sources.content import Font, font_of
 from glyphweave.sources.lexing import values_of
 
 EDITED = "doc_id long, page int, content binary, n_edits int, error string"
 EDIT = "doc_id long, page int, op_index int, item_index int, span_start int, span_end int, replacement binary"
+#: Further columns of edits that take an operation apart: lines to show, the font to switch to for them
+#: (null: none), the font and size in use, and the step from line to line.
+REBUILT = "lines array<binary>, switch string, font_res string, font_size double, leading double"
 _ESCAPES = {40: rb"\(", 41: rb"\)", 92: rb"\\", 10: rb"\n", 13: rb"\r", 9: rb"\t", 8: rb"\b", 12: rb"\f"}
 _PLAIN_NAME = frozenset(range(0x22, 0x7F)) - frozenset(b"#()<>[]{}/%")
 
@@ -86,23 +92,105 @@ def edited_operation(op: str, operands: list, edits: list[tuple[int | None, int,
     return operation_bytes(op, out)
 
 
+def short_number(n: float) -> bytes:
+    """Whole numbers plainly, others with at most three decimals."""
+    text = str(int(n)) if float(n).is_integer() else f"{n:.3f}".rstrip("0").rstrip(".")
+    return (text if text != "-0" else "0").encode()
+
+
+@dataclass
+class Insert:
+    """What takes the place of bytes start to end of a string (item: of an array): one text in the same font, or lines."""
+
+    item: int | None
+    start: int
+    end: int
+    replacement: bytes
+    lines: list[bytes] | None = None
+    switch: str | None = None
+    font_res: str = ""
+    font_size: float = 0.0
+    leading: float = 0.0
+
+    def commands(self) -> list[bytes]:
+        """The lines as operations: the font and back, if it is another, and a step down before each line but the first."""
+        if self.lines is None:
+            return [string_bytes(self.replacement) + b" Tj"] if self.replacement else []
+        font = lambda name: value_bytes({"n": name}) + b" " + short_number(self.font_size) + b" Tf"
+        shown = [string_bytes(line) + b" Tj" for line in self.lines]
+        down = b"0 " + short_number(-self.leading) + b" Td "
+        body = [shown[0], *(down + line for line in shown[1:])]
+        return body if self.switch is None else [font(self.switch), *body, font(self.font_res)]
+
+
+def string_bytes(raw: bytes) -> bytes:
+    return value_bytes({"s": raw.hex()})
+
+
+def rebuilt_operation(op: str, operands: list, inserts: list[Insert]) -> bytes:
+    """A showing operation as several: what stands before, the lines, what stands after, for each insert in order.
+
+    In an array, strings whose inserts are plain stay in it; it is shown in parts around the others.
+    """
+    parts: list[bytes] = [b"T*"] if op == "'" else []
+    if op == '"':
+        parts = [value_bytes(operands[0]) + b" Tw " + value_bytes(operands[1]) + b" Tc T*"]
+
+    def taken_apart(raw: bytes, mine: list[Insert]) -> None:
+        at = 0
+        for insert in sorted(mine, key=lambda i: i.start):
+            if raw[at : insert.start]:
+                parts.append(string_bytes(raw[at : insert.start]) + b" Tj")
+            parts.extend(insert.commands())
+            at = insert.end
+        if raw[at:]:
+            parts.append(string_bytes(raw[at:]) + b" Tj")
+
+    if op != "TJ":
+        taken_apart(bytes.fromhex(operands[-1]["s"]), inserts)
+        return b" ".join(parts)
+    kept: list[Any] = []
+    for k, value in enumerate(operands[0]):
+        mine = [i for i in inserts if i.item == k]
+        if any(i.lines is not None for i in mine):
+            if kept:
+                parts.append(operation_bytes("TJ", [kept]))
+            kept = []
+            taken_apart(bytes.fromhex(value["s"]), mine)
+        elif mine:
+            kept.append({"s": edited_string(bytes.fromhex(value["s"]), [(i.start, i.end, i.replacement) for i in mine]).hex()})
+        else:
+            kept.append(value)
+    if kept:
+        parts.append(operation_bytes("TJ", [kept]))
+    return b" ".join(parts)
+
+
 def apply_edits(pages: DataFrame, ops: DataFrame, edits: DataFrame) -> DataFrame:
-    """EDITED rows of the pages that `edits` (EDIT) name: `pages` (doc_id, page, content), `ops` as parsed from them.
+    """EDITED rows of the pages that `edits` (EDIT, and REBUILT if they have it) name: `pages` (doc_id, page, content), `ops` as parsed from them.
 
     Only named operations are carried along; pages without edits are not touched.
     """
+    if "lines" not in edits.columns:
+        edits = edits.select("*", *(F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in REBUILT.split(", ")))
     named = edits.join(ops.select(*PAGE, "op_index", "op", "operands", "start", "end"), [*PAGE, "op_index"])
     touched = pages.select(*PAGE, "content").join(edits.select(*PAGE).distinct(), PAGE, "left_semi")
 
     def fold(key: tuple, page: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
         content, error, parts = bytes(page["content"].iloc[0] or b"") if len(page) else b"", None, []
         for (start, end), group in changes.groupby(["start", "end"]):
-            found = [
-                (None if pd.isna(i) else int(i), int(a), int(b), bytes(new or b""))
-                for i, a, b, new in zip(group["item_index"], group["span_start"], group["span_end"], group["replacement"], strict=True)
+            inserts = [
+                Insert(None if pd.isna(r.item_index) else int(r.item_index), int(r.span_start), int(r.span_end), bytes(r.replacement or b""))
+                if r.lines is None
+                else Insert(None if pd.isna(r.item_index) else int(r.item_index), int(r.span_start), int(r.span_end), b"", list(map(bytes, r.lines)), r.switch, r.font_res, r.font_size, r.leading)
+                for r in group.itertuples()
             ]
             first = group.iloc[0]
-            parts.append((int(start), int(end), edited_operation(first["op"], values_of(first["operands"]), found)))
+            op, operands = first["op"], values_of(first["operands"])
+            if any(i.lines is not None for i in inserts):
+                parts.append((int(start), int(end), rebuilt_operation(op, operands, inserts)))
+            else:
+                parts.append((int(start), int(end), edited_operation(op, operands, [(i.item, i.start, i.end, i.replacement) for i in inserts])))
         try:
             content = splice(content, parts)
         except ValueError as failed:
@@ -154,28 +242,116 @@ def highlight(pages: DataFrame, placed: DataFrame, areas: DataFrame, color: tupl
     return under.select(*PAGE, F.concat(paint.cast("binary"), F.coalesce("content", F.lit(b"").cast("binary"))).alias("content"), F.size("bars").alias("n_bars"))
 
 
+def wrapped(text: str, measure: Callable[[str], float | None], limit: float | None) -> list[str]:
+    """Greedy lines of at most `limit`; a line that can't be measured fits, a longer word has a line of its own."""
+    lines: list[str] = []
+    for word in text.split():
+        longer = f"{lines[-1]} {word}" if lines else word
+        width = measure(longer) if lines and limit is not None else None
+        if lines and (width is None or width <= limit):
+            lines[-1] = longer
+        else:
+            lines.append(word)
+    return lines or [""]
+
+
+#: The font that stands in where a text's own font can't encode it.
+STAND_IN = {"subtype": "Type1", "base_font": "Helvetica", "encoding": "WinAnsiEncoding"}
+
+
+def free_names(fonts: DataFrame, asked: DataFrame, stem: str = "A2FB") -> DataFrame:
+    """(doc_id, page, switch): for each page of `asked` the first name of stem, stem1, stem2 ... that none of its fonts has."""
+    number = F.regexp_extract("font_res", f"^{stem}([1-9][0-9]*)?$", 1)
+    taken = fonts.where(F.col("font_res").rlike(f"^{stem}([1-9][0-9]{{0,8}})?$")).select(*PAGE, F.when(number == "", 0).otherwise(number.cast("int")).alias("no")).distinct()
+    pages = asked.select(*PAGE).distinct()
+    open_ = pages.select(*PAGE, F.lit(0).alias("no")).unionByName(taken.join(pages, PAGE, "left_semi").select(*PAGE, (F.col("no") + 1).alias("no")))
+    least = open_.join(taken, [*PAGE, "no"], "left_anti").groupBy(*PAGE).agg(F.min("no").alias("no"))
+    return least.select(*PAGE, F.concat(F.lit(stem), F.when(F.col("no") > 0, F.col("no").cast("string")).otherwise(F.lit(""))).alias("switch"))
+
+
+def _coded(asked: DataFrame) -> DataFrame:
+    """`asked` (doc_id, page, run, new_text, own, limit) to doc_id, page, run, lines and whether the stand-in font shows them; null lines if neither font can."""
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stand_in = Font(STAND_IN)
+        for batch in batches:
+            rows = []
+            for text, own, limit in zip(*(batch.column(c).to_pylist() for c in ("new_text", "own", "limit")), strict=True):
+                font = font_of(own) if own else None
+                other = font is None or font.encode(text) is None
+                font = stand_in if other else font
+                lines = [font.encode(line) for line in wrapped(text, font.measure, limit)]
+                rows.append((None, False) if None in lines else (lines, other))
+            lines_, others = zip(*rows, strict=True) if rows else ((), ())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*PAGE, "run")), pa.array(lines_, pa.list_(pa.binary())), pa.array(others, pa.bool_())], names=[*PAGE, "run", "lines", "other"])
+
+    return asked.select(*PAGE, "run", "new_text", "own", "limit").mapInArrow(code, "doc_id long, page int, run long, lines array<binary>, other boolean")
+
+
+def rewrite_text(pages: DataFrame, ops: DataFrame, glyphs: DataFrame, fonts: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Replace runs of glyphs by new text: in their own font, else in a stand-in one; wrapped, if a width is given.
+
+    `targets`: doc_id, page, glyph_lo, glyph_hi, font_res, font_size, new_text (white space is squeezed, empty
+    texts are left out), max_width and leading in page units (null: one line; a step of 1.25 sizes). A text of one line in its own
+    font takes the first string's place, byte for byte; otherwise that string's operation is taken apart, lines go
+    down by the leading, and the font is switched and switched back. What the run has in other
+    strings goes. Runs of a page must not share glyphs. A text that neither font can encode changes
+    nothing and is named in `error`.
+
+    Returns EDITED rows of the pages with targets, and the stand-in fonts (doc_id, page, font_res,
+    subtype, base_font, encoding): one for each page that needs it, under a name that no font there has.
+    """
+    wanted = targets.select(
+        *PAGE, F.col("glyph_lo").cast("long").alias("run"), F.col("glyph_hi").cast("long").alias("run_end"), "font_res", F.col("font_size").cast("double").alias("font_size"),
+        F.trim(F.regexp_replace("new_text", r"(?U)\s+", " ")).alias("new_text"), F.col("max_width").cast("double").alias("max_width"), F.col("leading").cast("double").alias("leading"),
+    ).where("new_text <> ''")
+    runs = glyphs.join(wanted.select(*PAGE, "run", "run_end"), PAGE).where("glyph_ord between run and run_end")
+    groups = regions.source_groups(runs, [*PAGE, "run"])
+    place = F.struct("op_index", F.coalesce("item_index", F.lit(-1)).alias("item"))
+    firsts = runs.groupBy(*PAGE, "run").agg(F.min(place).alias("first"), F.min_by("height", "glyph_ord").alias("height"))
+    scaled = wanted.join(firsts, [*PAGE, "run"]).withColumn("scale", F.when(F.col("font_size") > 0, F.col("height") / F.col("font_size")).otherwise(F.lit(1.0)))
+    limit = F.when((F.col("scale") > 0) & (F.col("font_size") > 0), F.col("max_width") / (F.col("font_size") * F.col("scale")) * 1000)
+    step = F.coalesce(F.col("leading") / F.when(F.col("scale") == 0, 1.0).otherwise(F.col("scale")), F.col("font_size") * 1.25)
+    own = fonts.select(*PAGE, "font_res", F.struct(*(c for c in fonts.columns if c not in (*PAGE, "font_res"))).alias("own"))
+    asked = scaled.select("*", limit.alias("limit"), step.alias("step")).join(own, [*PAGE, "font_res"], "left")
+    coded = _coded(asked)
+    names = free_names(fonts, coded.where("other"))
+    leads = place == F.col("first")
+    done = asked.select(*PAGE, "run", "first", "font_res", "font_size", "step").join(coded.where("lines is not null"), [*PAGE, "run"])
+    spans = groups.join(done, [*PAGE, "run"]).join(names, PAGE, "left")
+    apart = leads & (F.col("other") | (F.size("lines") > 1))
+    nothing = F.lit(b"").cast("binary")
+    edits = spans.select(
+        *PAGE, "op_index", "item_index", "span_start", "span_end", F.when(leads & ~apart, F.col("lines")[0]).otherwise(nothing).alias("replacement"),
+        F.when(apart, F.col("lines")).alias("lines"), F.when(apart & F.col("other"), F.col("switch")).alias("switch"), "font_res", "font_size", F.col("step").alias("leading"),
+    )
+    edited = apply_edits(pages, ops, edits)
+    failed = coded.where("lines is null").groupBy(*PAGE).agg(F.count("*").alias("n_failed"))
+    kept = pages.select(*PAGE, F.col("content").alias("before"))
+    rows = edited.join(failed, PAGE, "full").join(kept, PAGE).select(
+        *PAGE,
+        F.coalesce("content", "before").alias("content"),
+        F.coalesce("n_edits", F.lit(0)).alias("n_edits"),
+        F.coalesce("error", F.when(F.col("n_failed") > 0, "text has characters that no font at hand can encode")).alias("error"),
+    )
+    return rows, names.select(*PAGE, F.col("switch").alias("font_res"), *(F.lit(v).alias(k) for k, v in STAND_IN.items()))
+
+
 def replace_text(pages: DataFrame, ops: DataFrame, glyphs: DataFrame, fonts: DataFrame, targets: DataFrame) -> DataFrame:
-    """Replace runs of glyphs by new text in their own font.
+    """rewrite_text of one line for each target (doc_id, page, glyph_lo, glyph_hi, font_res, new_text), in its own font only.
 
-    `targets`: doc_id, page, glyph_lo, glyph_hi, font_res, new_text (white space is
-    squeezed). The first string of a run takes the new text, what the run has in
-    others goes. A text that the font can't encode changes nothing and is named in
-    `error`. Returns EDITED rows of the pages with targets.
+    A text that the font can't encode changes nothing and is named in `error`. Returns EDITED rows of the pages with targets.
     """
     wanted = targets.withColumn("new_text", F.trim(F.regexp_replace("new_text", r"(?U)\s+", " "))).where("new_text <> ''")
-
-    def encode(key: tuple, asked: pd.DataFrame, listed: pd.DataFrame) -> pd.DataFrame:
-        known = {r["font_res"]: font_of(r) for r in listed.to_dict("records")}
-        coded = [known[f].encode(t) if f in known else None for f, t in zip(asked["font_res"], asked["new_text"], strict=True)]
-        return pd.DataFrame({"doc_id": key[0], "page": key[1], "glyph_lo": asked["glyph_lo"], "glyph_hi": asked["glyph_hi"], "coded": coded})
-
-    coded = wanted.groupBy(*PAGE).cogroup(fonts.groupBy(*PAGE)).applyInPandas(encode, "doc_id long, page int, glyph_lo long, glyph_hi long, coded binary")
-    runs = glyphs.join(coded.where("coded is not null"), PAGE).where("glyph_ord between glyph_lo and glyph_hi")
-    spans = regions.source_groups(runs.withColumn("run", F.col("glyph_lo")), [*PAGE, "run"])
-    first = spans.groupBy(*PAGE, "run").agg(F.min(F.struct("op_index", F.coalesce("item_index", F.lit(-1)).alias("item"))).alias("first"))
-    codes = coded.select(*PAGE, F.col("glyph_lo").alias("run"), "coded")
-    leads = (F.col("first.op_index") == F.col("op_index")) & (F.col("first.item") == F.coalesce("item_index", F.lit(-1)))
-    edits = spans.join(first, [*PAGE, "run"]).join(codes, [*PAGE, "run"]).withColumn("replacement", F.when(leads, F.col("coded")).otherwise(F.lit(b"").cast("binary")))
+    own = fonts.select(*PAGE, "font_res", F.struct(*(c for c in fonts.columns if c not in (*PAGE, "font_res"))).alias("own"))
+    asked = wanted.withColumn("run", F.col("glyph_lo").cast("long")).join(own, [*PAGE, "font_res"], "left").withColumn("limit", F.lit(None).cast("double"))
+    coded = _coded(asked).withColumn("coded", F.when(~F.col("other"), F.col("lines")[0]))
+    runs = glyphs.join(wanted.select(*PAGE, F.col("glyph_lo").cast("long").alias("run"), F.col("glyph_hi").alias("run_end")), PAGE).where("glyph_ord between run and run_end")
+    place = F.struct("op_index", F.coalesce("item_index", F.lit(-1)).alias("item"))
+    spans = regions.source_groups(runs, [*PAGE, "run"])
+    first = spans.groupBy(*PAGE, "run").agg(F.min(place).alias("first"))
+    joined = spans.join(first, [*PAGE, "run"]).join(coded.where("coded is not null"), [*PAGE, "run"])
+    edits = joined.withColumn("replacement", F.when(place == F.col("first"), F.col("coded")).otherwise(F.lit(b"").cast("binary")))
     edited = apply_edits(pages, ops, edits.select(*(c.split()[0] for c in EDIT.split(", "))))
     failed = coded.where("coded is null").groupBy(*PAGE).agg(F.count("*").alias("n_failed"))
     kept = pages.select(*PAGE, F.col("content").alias("before"))

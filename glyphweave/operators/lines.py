@@ -70,13 +70,15 @@ def detect_lines(placed: DataFrame) -> DataFrame:
     """One row for each line: its box, baseline, text, first word and number of column gaps.
 
     `words` holds its words in order (pos, word_ord, text, x, y, w, h) with `lead`, the
-    characters before each in the line's text; n_chars counts them all, spaces too.
+    characters before each in the line's text, and `cell`, the column gaps before it; n_chars counts
+    all characters, spaces too.
     """
     along = Window.partitionBy(*PAGE, "line_ord").orderBy("pos")
     gap = F.col("x") - (F.lag("x").over(along) + F.lag("w").over(along))
     gapped = placed.withColumn("wide", F.coalesce((gap >= 1.5 * F.lag("font_size").over(along)).cast("int"), F.lit(0)))
     before = F.sum(F.length("text") + 1).over(along.rowsBetween(Window.unboundedPreceding, -1))
-    led = gapped.withColumn("lead", F.coalesce(before, F.lit(0)))
+    cell = F.sum("wide").over(along.rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    led = gapped.withColumn("lead", F.coalesce(before, F.lit(0))).withColumn("cell", cell)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda t: t["text"]), " ")
     return led.groupBy(*PAGE, "line_ord").agg(
         F.min("x").alias("x"),
@@ -90,5 +92,5 @@ def detect_lines(placed: DataFrame) -> DataFrame:
         F.min_by("w", "pos").alias("first_w"),
         F.sum("wide").alias("column_gaps"),
         F.sum(F.length("text") + 1).alias("n_chars"),
-        F.array_sort(F.collect_list(F.struct("pos", "word_ord", "text", "x", "y", "w", "h", "lead"))).alias("words"),
+        F.array_sort(F.collect_list(F.struct("pos", "word_ord", "text", "x", "y", "w", "h", "lead", "cell"))).alias("words"),
     )

@@ -25,6 +25,48 @@ def hit_test(points: DataFrame, blocks: DataFrame, placed: DataFrame) -> DataFra
     return first.join(word, "point_id", "left")
 
 
+def clicked_lines(points: DataFrame, lines: DataFrame) -> DataFrame:
+    """The lines of the first block that holds each point (point_id, doc_id, page, px, py), with `hit`.
+
+    `lines`: with words, block_ord and kind. `hit` is the first word of the block that holds the point (line_ord,
+    pos, word_ord, cell, text), null if none does. One exchange of the points on the page; words stay in their lines.
+    """
+    block = Window.partitionBy(*PAGE, "block_ord")
+    right, top = F.max(F.col("x") + F.col("w")).over(block), F.max(F.col("y") + F.col("h")).over(block)
+    low_x, low_y = F.min("x").over(block), F.min("y").over(block)
+    box = F.struct(low_x.alias("x"), low_y.alias("y"), (right - low_x).alias("w"), (top - low_y).alias("h"))
+    point = [F.col("px"), F.col("py")]
+    boxed = lines.select(*PAGE, "block_ord", "kind", "line_ord", "words", box.alias("box"))
+    met = points.join(boxed, PAGE).where(contains(*(F.col(f"box.{c}") for c in "xywh"), *point))
+    own = Window.partitionBy(*PAGE, "point_id")
+    first = met.withColumn("first_block", F.min("block_ord").over(own)).where("block_ord = first_block").drop("first_block", "box")
+    word = F.get(F.filter("words", lambda w: contains(*(w[c] for c in "xywh"), *point)), F.lit(0))
+    spot = F.when(word.isNotNull(), F.struct("line_ord", *(word[c].alias(c) for c in ("pos", "word_ord", "cell", "text"))))
+    return first.withColumn("hit", F.min(spot).over(own))
+
+
+def clicks(found: DataFrame) -> DataFrame:
+    """hit_test from clicked_lines: point_id, doc_id, page, block_ord, kind and the word's line_ord, pos, word_ord and text."""
+    hit = found.groupBy(*PAGE, "point_id").agg(F.first("block_ord").alias("block_ord"), F.first("kind").alias("kind"), F.first("hit").alias("hit"))
+    return hit.select("point_id", *PAGE, "block_ord", "kind", *(F.col(f"hit.{c}").alias(c) for c in ("line_ord", "pos", "word_ord", "text")))
+
+
+def clicked_words(found: DataFrame, selects: Column) -> DataFrame:
+    """selected_words from clicked_lines: a click on no word selects nothing."""
+    same_line = F.col("line_ord") == F.col("hit.line_ord")
+
+    def wanted(w: Column) -> Column:
+        return (
+            F.when(selects == "word", w["word_ord"] == F.col("hit.word_ord"))
+            .when(selects == "cell", same_line & (w["cell"] == F.col("hit.cell")))
+            .when(selects == "line", same_line)
+            .otherwise(selects == "block")
+        )
+
+    rows = found.where("hit is not null").select("point_id", *PAGE, "line_ord", F.explode(F.filter("words", wanted)).alias("word"))
+    return rows.select("point_id", *PAGE, "line_ord", *(F.col(f"word.{c}").alias(c) for c in ("pos", "word_ord", "text", *"xywh")))
+
+
 def granularity(kind: Column, asked: Column | None = None) -> Column:
     """What a click selects: as asked, else a table's cell, a paragraph's block, any other line."""
     auto = F.when(kind == "table", "cell").when(kind == "paragraph", "block").otherwise("line")

@@ -181,29 +181,25 @@ def anchor_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 # points and regions
 
 
-def _clicks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(hits of a click at the middle of the first line of each first page, placed words with block_ord)"""
-    placed, found_lines, found_blocks = the_layout(spark, sf_dir)
+def _clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a click at the middle of the first line of each first page meets."""
     points = documents(spark, sf_dir).select(F.col("doc_id").alias("point_id"), "doc_id", F.lit(0).alias("page"), F.lit(100.0).alias("px"), F.lit(720.0).alias("py"))
-    homed = blocks.number_cells(placed).join(found_lines.select("doc_id", "page", "line_ord", "block_ord"), ["doc_id", "page", "line_ord"])
-    return regions.hit_test(points, found_blocks, homed), homed
+    return regions.clicked_lines(points, the_layout(spark, sf_dir)[1])
 
 
 @register(sql.BLOCKS + sql.HIT_TEST)
 def hit_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What lies at the middle of the first line of each document's first page, and how much of it a click selects."""
-    hit = _clicks(spark, sf_dir)[0]
     word = [F.coalesce("word_ord", F.lit(-1)).alias("word_ord"), F.coalesce("text", F.lit("")).alias("text")]
-    return hit.select("point_id", "block_ord", "kind", *word, regions.granularity(F.col("kind")).alias("selects"))
+    return regions.clicks(_clicks(spark, sf_dir)).select("point_id", "block_ord", "kind", *word, regions.granularity(F.col("kind")).alias("selects"))
 
 
 @register(sql.BLOCKS + sql.SELECTED)
 def selected_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the clicks of `hit_test` select: by the kind of block, but single words in every fifth document."""
-    hit, homed = _clicks(spark, sf_dir)
     asked = F.when(F.col("point_id") % 5 == 0, "word").otherwise("auto")
-    hits = hit.where("word_ord is not null").withColumn("selects", regions.granularity(F.col("kind"), asked))
-    return regions.selected_words(hits, homed).select("point_id", "line_ord", "pos", "word_ord", "text", *rounded("x", "y", "w", "h"))
+    chosen = regions.clicked_words(_clicks(spark, sf_dir), regions.granularity(F.col("kind"), asked))
+    return chosen.select("point_id", "line_ord", "pos", "word_ord", "text", *rounded("x", "y", "w", "h"))
 
 
 def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,7 +263,7 @@ def content_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count("*").alias("n"),
         F.max("op_index").alias("last"),
         F.sum(F.size("operands")).alias("n_operands"),
-        F.sum(F.when(F.col("op") == "cm", F.col("operands")[5]["num"])).cast("long").alias("risen"),
+        F.coalesce(F.sum(F.when(F.col("op") == "cm", F.col("operands")[5]["num"])), F.lit(0.0)).cast("long").alias("risen"),
     )
 
 
@@ -275,7 +271,7 @@ def content_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def content_long_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels of line items on a few long pages, shown in nested frames: glyphs by segments of a page."""
     pages, fonts = label_pages(spark, sf_dir, 2500)
-    glyphs = content.extract_glyphs(content.parse_operations(pages), fonts)
+    glyphs = content.extract_glyphs(content.parse_operations(pages), fonts, block=content.BLOCK)
     return glyphs.select("doc_id", "unicode", *rounded("x", "y", "width"), "byte_offset", F.coalesce("item_index", F.lit(-1)).alias("item_index"))
 
 
@@ -299,6 +295,34 @@ def content_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.detect_words(_read_back(done, fonts)).select("doc_id", "page", "word_ord", "text")
 
 
+@register(sql.STREAMS + sql.STREAM_REFLOW)
+def content_reflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first line of each first page said twice in its place, wrapped at 300 units; the page's words are read back."""
+    pages, fonts, ops, glyphs = _parsed(spark, sf_dir)
+    shown = glyphs.where("op_index = 3").groupBy("doc_id", "page").agg(
+        F.min("glyph_ord").alias("glyph_lo"), F.max("glyph_ord").alias("glyph_hi"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("glyph_ord", "unicode"))), lambda g: g["unicode"]), "").alias("line")
+    )
+    style = F.lit("F1").alias("font_res"), F.lit(10.0).alias("font_size"), F.lit(300.0).alias("max_width"), F.lit(10.0).alias("leading")
+    targets = shown.select("doc_id", "page", "glyph_lo", "glyph_hi", F.concat_ws(" ", "line", "line").alias("new_text"), *style)
+    done, _ = edits.rewrite_text(pages, ops, glyphs, fonts, targets)
+    return words.detect_words(_read_back(done, fonts)).select("doc_id", "word_ord", "text", *rounded("x", "baseline"))
+
+
+@register(sql.STREAMS + sql.STREAM_FALLBACK)
+def content_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first word of each first page replaced by one that its font, taken for a subset, can't encode; other fonts have the first names for the stand-in."""
+    pages, fonts, ops, glyphs = _parsed(spark, sf_dir)
+    others = F.filter(F.array(F.when(F.col("doc_id") % 3 > 0, "A2FB"), F.when(F.col("doc_id") % 3 == 2, "A2FB1")), lambda n: n.isNotNull())
+    named = fonts.unionByName(fonts.withColumn("font_res", F.explode(others)))
+    subset = named.withColumn("subtype", F.lit("Type0")).withColumn("encoding", F.lit(None).cast("string")).withColumn("to_unicode", F.lit(None).cast("map<int,string>"))
+    first = words.detect_words(glyphs).where("word_ord = 0")
+    missing = F.lit(None).cast("double")
+    targets = first.select("doc_id", "page", "glyph_lo", "glyph_hi", "font_res", "font_size", F.lit("Zebra").alias("new_text"), missing.alias("max_width"), missing.alias("leading"))
+    done, more = edits.rewrite_text(pages, ops, glyphs, subset, targets)
+    known = named.unionByName(more.withColumn("two_byte", F.lit(False)), allowMissingColumns=True)
+    return words.detect_words(_read_back(done, known)).select("doc_id", "word_ord", "text", "font_res")
+
+
 @register(sql.STREAMS + sql.STREAM_HIGHLIGHT)
 def content_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars under the lines that a region of each first page touches, as bytes before the page's own."""

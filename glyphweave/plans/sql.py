@@ -288,7 +288,7 @@ glyphs AS (SELECT doc_id, page, line_no, op_index, unnest(string_split(line, '')
 DRAWN_OPERATIONS = """WITH items AS (SELECT l_orderkey // 2500 AS doc_id, l_orderkey FROM lineitem),
 ops(op, place, n_operands) AS (VALUES ('q', 0, 0), ('cm', 1, 6), ('m', 2, 2), ('l', 3, 2), ('S', 4, 0), ('Q', 5, 0))
 SELECT doc_id, op, count(*) AS n, CAST(6 * (count(*) - 1) + place AS INTEGER) AS "last", count(*) * n_operands AS n_operands,
-  CASE WHEN op = 'cm' THEN CAST(sum(l_orderkey) AS BIGINT) END AS risen FROM items, ops GROUP BY doc_id, op, place, n_operands
+  CASE WHEN op = 'cm' THEN CAST(sum(l_orderkey) AS BIGINT) ELSE 0 END AS risen FROM items, ops GROUP BY doc_id, op, place, n_operands
 """
 #: Half size: a code of Courier is 0.6 of 8 units, scaled by half twice, and a unit of spacing comes before the scale.
 LONG_GLYPHS = """WITH items AS (SELECT l_orderkey // 2500 AS doc_id, l_orderkey % 1000 AS dx, l_linenumber AS n, l_returnflag AS flag FROM lineitem),
@@ -315,6 +315,21 @@ FROM glyphs g LEFT JOIN removed r USING (doc_id) WHERE page = 0 GROUP BY doc_id
 STREAM_REPLACE = _STREAM_WORDS + """SELECT doc_id, page, CASE WHEN word_ord = 0 THEN 0 ELSE word_ord + 1 END AS word_ord, CASE WHEN word_ord = 0 THEN 'new' ELSE text END AS text FROM found
 UNION ALL SELECT doc_id, page, 1, 'text' FROM found WHERE word_ord = 0
 """
+#: 300 units hold 50 characters of Courier at 10 points. Words of the first line stand alone in their spans, so a greedy line is the longest run of words that fits.
+STREAM_REFLOW = _STREAM_WORDS + r""", top AS (SELECT doc_id, min(line_no) AS line_no FROM shown WHERE page = 0 GROUP BY doc_id),
+flat AS (SELECT doc_id, line_no, trim(regexp_replace(line || ' ' || line, '\s+', ' ', 'g')) AS t, op_index FROM shown JOIN top USING (doc_id, line_no)),
+cut AS (SELECT doc_id, line_no, CASE WHEN t = '' THEN [''] ELSE regexp_extract_all(t, '(.{1,50}|[^ ]+)(?: |$)', 1) END AS ls FROM flat),
+rows AS (SELECT doc_id, line_no, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS n FROM cut),
+new_words AS (SELECT doc_id, line_no, n, unnest(string_split(line, ' ')) AS text, generate_subscripts(string_split(line, ' '), 1) AS k FROM rows WHERE line <> ''),
+new_placed AS (SELECT doc_id, line_no, n, k, text, 72 + 6 * CAST(coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id, n ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS x,
+    720 - 12 * CAST(line_no AS DOUBLE) - 10 * n AS baseline FROM new_words),
+every AS (SELECT doc_id, 0 AS part, n AS a, k AS b, text, x, baseline FROM new_placed
+  UNION ALL SELECT f.doc_id, 1, f.line_no, f.word_ord, f.text, f.x, 720 - 12 * CAST(f.line_no AS DOUBLE) FROM found f JOIN flat t USING (doc_id) WHERE f.line_no > t.line_no AND t.t <> '')
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY part, a, b) - 1 AS word_ord, text, round(x, 4) AS x, round(baseline, 4) AS baseline FROM every
+"""
+STREAM_FALLBACK = _STREAM_WORDS + """SELECT doc_id, word_ord, CASE WHEN word_ord = 0 THEN 'Zebra' ELSE text END AS text,
+  CASE WHEN word_ord > 0 THEN 'F1' WHEN doc_id % 3 = 0 THEN 'A2FB' WHEN doc_id % 3 = 1 THEN 'A2FB1' ELSE 'A2FB2' END AS font_res FROM found
+"""
 STREAM_HIGHLIGHT = _STREAM_WORDS + """SELECT doc_id, count(*) AS n_bars, 'q 1 0.906 0.31 rg ' || string_agg(printf('%.3f %.3f %.3f %.3f re', x, y, w, h), ' ' ORDER BY line_no) || ' f Q' AS drawn FROM bars GROUP BY doc_id
 """
 

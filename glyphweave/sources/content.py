@@ -200,6 +200,11 @@ class Font:
             return None
         return b"".join(c.to_bytes(2 if self.wide else 1, "big") for c in found)
 
+    def measure(self, text: str) -> float | None:
+        """Width of a text in thousandths of an em; None if the font can't encode it."""
+        coded = self.encode(text)
+        return None if coded is None else float(self.decode(coded)[3].sum())
+
 
 _FONTS: dict[str, Font] = {}
 
@@ -434,14 +439,14 @@ def _entries(kept: DataFrame, strict: bool) -> DataFrame:
     return told.repartition(*_KEY[:2]).sortWithinPartitions(*_KEY).mapInArrow(compose, "doc_id long, page int, segment int, entry string")
 
 
-def extract_glyphs(ops: DataFrame, fonts: DataFrame, strict: bool = False, block: int | None = BLOCK) -> DataFrame:
+def extract_glyphs(ops: DataFrame, fonts: DataFrame, strict: bool = False, block: int | None = None) -> DataFrame:
     """GLYPH_SCHEMA rows of operations: glyph_ord ascends in the order of a page's strings and characters.
 
     q and Q keep only the page matrix, as the files this reads expect; with `strict` they
     keep the text state too. Operations that show and move nothing are dropped before the shuffle.
-    A page of over `block` operations is cut at text objects (BT) and absolute places (Tm), one a block at
+    With `block` (such as BLOCK), a page of over so many operations is cut at text objects (BT) and absolute places (Tm), one a block at
     most; its segments are folded by tasks of their own, from the states that the effects of those before add up to.
-    Without `block` every page is one segment, and `ops` is read once.
+    `ops` is read several times then; without `block` every page is one segment, and it is read once.
     """
     page = ["doc_id", "page"]
     shown = ops.where(ops["op"].isin(*SHOWING)).select(*page, "op_index", "op", "operands")
