@@ -20,7 +20,8 @@ def min_cost_flow(supply: list[int], demand: list[int], price: Callable[[int, in
     """Bytes to send from each old to each new shard, at the least total price.
 
     Successive cheapest augmenting paths over the residual graph; the graph has a
-    node for each shard, so it is small whatever the data. Totals must agree.
+    node for each shard, so it is small whatever the data. Totals must agree. Prices are
+    any numbers of 0 or more; `stay_or_move` is quicker where staying is free and every move costs the same.
     """
     if sum(supply) != sum(demand):
         raise ValueError("supplies and demands differ")
@@ -55,6 +56,32 @@ def min_cost_flow(supply: list[int], demand: list[int], price: Callable[[int, in
     return {k: v for k, v in flow.items() if v}
 
 
+def stay_or_move(supply: list[int], demand: list[int]) -> dict[tuple[int, int], int]:
+    """The cheapest flow where staying is free and moving costs the same for every pair of shards.
+
+    A byte that can stay stays: sending it elsewhere frees a place that another byte must then be moved
+    to. What is left over goes from the shards that have too much to those that have too little, in
+    order; every such flow costs the same. So only those shards are in the graph, and it
+    takes as many steps as there are shards.
+    """
+    if sum(supply) != sum(demand):
+        raise ValueError("supplies and demands differ")
+    n, m = len(supply), len(demand)
+    flow = {(k, k): min(supply[k], demand[k]) for k in range(min(n, m))}
+    over = [[i, s - flow.get((i, i), 0)] for i, s in enumerate(supply)]
+    under = [[j, d - flow.get((j, j), 0)] for j, d in enumerate(demand)]
+    over, under = [x for x in over if x[1]], [x for x in under if x[1]]
+    at = 0
+    for i, much in over:
+        while much:
+            amount = min(much, under[at][1])
+            flow[i, under[at][0]] = amount
+            much -= amount
+            under[at][1] -= amount
+            at += not under[at][1]
+    return {k: v for k, v in flow.items() if v}
+
+
 def even_capacities(total: int, shards: int) -> list[int]:
     return [total // shards + (k < total % shards) for k in range(shards)]
 
@@ -66,21 +93,28 @@ def reshard(
     new_shards: int,
     carry: list[str],
     capacities: Callable[[int], list[int]] | None = None,
+    price: Callable[[int, int], int] | None = None,
 ) -> DataFrame:
     """Move documents from `old_shards` to `new_shards` shards of given byte capacities.
 
     `docs` needs doc_id and size; only `carry` goes along (add text to move whole
     rows). Returns carry, size, old_shard, shard, slot (gapless from 0 in a shard).
+    `price` of a byte moved between two shards: nothing to stay and one otherwise, if not given.
     Within an old shard documents lie by falling size, so the bytes that stay are
     its largest documents and every cut falls among small ones. A document goes
     where its middle byte falls. Ties go by row, repeated rows stay apart; a null old
-    shard counts as shard 0, and a null, zero or negative size as one byte when rows
-    are placed; an empty table gives no rows.
+    shard counts as shard 0, any other outside 0 to old_shards - 1 is an error; a null, zero
+    or negative size counts as one byte when rows are placed; an empty table gives no rows.
+    Columns to carry may have any names but those of the result, which is an error.
     """
     spark = docs.sparkSession
+    taken = {"size", "old_shard", "shard", "slot"} & set(carry)
+    if taken:
+        raise ValueError(f"columns of the result can't be carried: {', '.join(sorted(taken))}")
+    carried = [f"carried_{k}" for k in range(len(carry))]
     capacities = capacities or (lambda total: even_capacities(total, new_shards))
     rows = docs.select(
-        *carry,
+        *(F.col(f"`{c}`").alias(k) for c, k in zip(carry, carried, strict=True)),
         "size",
         F.coalesce(old_shard.cast("int"), F.lit(0)).alias("old_shard"),
         F.greatest(F.coalesce(F.col("size").cast("long"), F.lit(1)), F.lit(1)).alias("weight"),
@@ -92,15 +126,21 @@ def reshard(
         rows, ["old_shard", "by_size", "row_no"], {"bytes_before": "weight", "rows_before": "one"}, "reshard"
     )
     sums = laid.groupBy("old_shard").agg(F.sum("weight").alias("b"), F.count("*").alias("n")).collect()  # a row per shard
-    supply, counts = [0] * old_shards, [0] * old_shards
+    outside = sorted(r["old_shard"] for r in sums if not 0 <= r["old_shard"] < old_shards)
+    if outside:
+        raise ValueError(f"old shards outside 0 to {old_shards - 1}: {outside[:10]}")
+    supply = [0] * old_shards
     for r in sums:
-        supply[r["old_shard"]], counts[r["old_shard"]] = r["b"], r["n"]
+        supply[r["old_shard"]] = r["b"]
     target = capacities(sum(supply))
-    sent = min_cost_flow(supply, target, lambda i, j: 0 if i == j else 1)
+    sent = min_cost_flow(supply, target, price) if price else stay_or_move(supply, target)
+    leaving: dict[int, list[int]] = {}
+    for i, j in sent:
+        leaving.setdefault(i, []).append(j)
     blocks, byte_base = [], 0
     for i in range(old_shards):
         at = byte_base
-        for j in sorted((j for k, j in sent if k == i), key=lambda j: (j != i, j)):
+        for j in sorted(leaving.get(i, []), key=lambda j: (j != i, j)):
             blocks.append((i, j, at, at + sent[i, j]))
             at += sent[i, j]
         byte_base += supply[i]
@@ -115,7 +155,7 @@ def reshard(
     sizes = cut.groupBy("from_shard", "shard").agg(F.count("*").alias("n"), F.min("rows_before").alias("first_row"))
     slots = sizes.select("from_shard", "shard", "first_row", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("slot_base"))
     return cut.join(F.broadcast(slots), ["from_shard", "shard"]).select(
-        *carry,
+        *(F.col(k).alias(c) for c, k in zip(carry, carried, strict=True)),
         "size",
         "old_shard",
         "shard",
