@@ -19,8 +19,9 @@ def intervals(entries: DataFrame) -> DataFrame:
 
     `entries`: list_name, pattern, category, action ("add" or "remove"), dated, seq.
     An added entry holds until the next entry of the same list and pattern, or for
-    good (valid_to null). Of entries of one moment the one of larger seq stands;
-    repeated rows are one. Entries with null pattern, date or action are left out;
+    good (valid_to null). Of entries of one moment the one of larger seq stands (null: 0),
+    of equal seq a removal before an addition, and of additions the category that sorts last
+    (null before all); repeated rows are one. Entries with null pattern, date or action are left out;
     patterns are compared in lower case without a leading "*." or "www.".
     """
     pattern = F.regexp_replace(F.lower(F.trim("pattern")), r"^(\*\.|www\.)", "")
@@ -28,7 +29,7 @@ def intervals(entries: DataFrame) -> DataFrame:
         entries.withColumn("pattern", pattern)
         .where("pattern is not null and pattern <> '' and dated is not null and action in ('add', 'remove')")
         .groupBy("list_name", "pattern", "dated")
-        .agg(F.max_by(F.struct("action", "category"), F.coalesce("seq", F.lit(0))).alias("last"))
+        .agg(F.max(F.struct(F.coalesce("seq", F.lit(0)).alias("seq"), "action", "category")).alias("last"))
     )
     turn = Window.partitionBy("list_name", "pattern").orderBy("dated")
     return (
