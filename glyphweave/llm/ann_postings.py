@@ -3,7 +3,8 @@
 Centroids come from a balanced split of a bounded sample; every vector is indexed.
 A vector near a boundary is copied to several lists, centroids are searched through
 an in-memory neighbour graph, and a query reads all lists whose centroid is not
-much further than its nearest one, however many. Lists are dealt in groups, so a
+much further than its nearest one, however many, and never fewer than a fixed number; a query
+that still found too few neighbours reads all lists. Lists are dealt in groups, so a
 query is moved once for each group and not for each list. Equal vectors are one point with its smallest
 ids, since ties go to the smaller id anyway, so a flood of copies fills no list.
 """
@@ -31,11 +32,13 @@ class AnnSpec:
     #: With up to sample_most / 4 lists, lists keep their size up to about ten million points.
     sample: int = 20_000
     sample_most: int = 200_000
-    #: A point is copied to centroids within this ratio of its nearest, at most `copies`.
+    #: A point goes to the nearest centroids within this ratio of its nearest, at most `copies`.
     spill_ratio: float = 1.08
-    copies: int = 6
-    #: A query reads lists within this distance ratio of its nearest centroid.
+    copies: int = 2
+    #: A query reads lists within this distance ratio of its nearest centroid, and the nearest probe_lists at least:
+    #: in a tight cluster the ratio alone leaves out lists that hold the cluster's other half.
     probe_ratio: float = 1.25
+    probe_lists: int = 24
     #: Graph degree, and candidates kept while a query or a point walks the graph. A query
     #: whose beam ends inside probe_ratio is compared with all centroids instead.
     degree: int = 24
@@ -158,28 +161,21 @@ class CentroidGraph:
             fresh = np.where(rows[:, None], self.near[np.where(rows, best[every, pick], 0)], self.starts[0])
 
 
-def choose_lists(graph: CentroidGraph, x: np.ndarray, beam: int, ratio: float, copies: int | None) -> list[np.ndarray]:
-    """Lists of each row: within `ratio` of the nearest; for index rows, one closer to a chosen list than to the row is left out."""
+def choose_lists(graph: CentroidGraph, x: np.ndarray, beam: int, ratio: float, least: int, most: int | None) -> list[np.ndarray]:
+    """Lists of each row, nearest first: those within `ratio` of the nearest, but `least` at least and, for index rows, `most` at most."""
     best, far = graph.search(x, beam)
     out = []
     for row, (lists, d) in enumerate(zip(best, far, strict=True)):
-        if not copies and len(d) < len(graph.centroids) and d[-1] <= d[0] * ratio + 1e-9:
+        if most is None and len(d) < len(graph.centroids) and d[-1] <= d[0] * ratio + 1e-9:
             d = np.sqrt(graph._distances(x[row : row + 1].astype(np.float32))[0])
             lists = np.argsort(d, kind="stable")
             d = d[lists]
-        near = lists[(d <= d[0] * ratio + 1e-9) & np.isfinite(d)]
-        if copies:
-            chosen: list[int] = []
-            for k, c in enumerate(near.tolist()):
-                apart = all(((graph.centroids[c] - graph.centroids[o]) ** 2).sum() > d[k] ** 2 for o in chosen)
-                if apart and len(chosen) < copies:
-                    chosen.append(c)
-            near = np.array(chosen, np.int64)
-        out.append(near)
+        near = (d <= d[0] * ratio + 1e-9) | (np.arange(len(d)) < least)
+        out.append(lists[near & np.isfinite(d)][:most])
     return out
 
 
-def placed_in(points: DataFrame, graph, spec: AnnSpec, dim: int, beam: int, ratio: float, copies: int | None) -> DataFrame:
+def placed_in(points: DataFrame, graph, dim: int, beam: int, ratio: float, least: int, most: int | None) -> DataFrame:
     """(group_no, bits, point_no, vec) for each group with lists that a point belongs to; a bit for each of those lists."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +183,7 @@ def placed_in(points: DataFrame, graph, spec: AnnSpec, dim: int, beam: int, rati
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                lists = choose_lists(graph.value, unit_rows(batch.column("vec").to_pylist(), dim), beam, ratio, copies)
+                lists = choose_lists(graph.value, unit_rows(batch.column("vec").to_pylist(), dim), beam, ratio, least, most)
                 row, flat = np.repeat(np.arange(batch.num_rows), [len(x) for x in lists]), np.concatenate(lists)
                 met, place_of = np.unique(row * groups + flat % groups, return_inverse=True)
                 bits = np.zeros(len(met), np.int64)
@@ -207,6 +203,42 @@ def _tiled(rows: DataFrame, name: str, size: int) -> tuple[DataFrame, DataFrame]
     return rows.join(tiles, "group_no").withColumn(name, F.pmod(F.xxhash64("point_no"), F.col("tiles"))).drop("tiles"), tiles
 
 
+def hits_of(stored: DataFrame, probes: DataFrame, points: DataFrame, dim: int, spec: AnnSpec) -> DataFrame:
+    """(query_no, point_no, score): the best points of each group's lists for each query that reads them, by exact cosine."""
+    k = spec.neighbours + 1
+    stored, group_tiles = _tiled(stored, "tile", spec.block)
+    probes, probe_tiles = _tiled(probes, "probe_tile", spec.block)
+    over = lambda tiles, name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(tiles) - 1)).alias(name)
+    left = probes.join(group_tiles, "group_no").select("group_no", "probe_tile", over("tiles", "tile"), "bits", "point_no", "vec")
+    firsts = points.select("point_no", F.element_at("ids", 1).alias("first_id"))
+    right = stored.join(probe_tiles, "group_no").select("group_no", over("tiles", "probe_tile"), "tile", "bits", "point_no", "vec").join(firsts, "point_no")
+    keys = ["group_no", "probe_tile", "tile"]
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        empty = pa.table({"query_no": pa.array([], pa.int64()), "point_no": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        if not a.num_rows or not b.num_rows:
+            return empty
+        x, y = (even_rows(t["vec"].to_pylist(), dim) for t in (a, b))
+        ids, first = b["point_no"].to_numpy(), b["first_id"].to_numpy()
+        asked_bits, held_bits = a["bits"].to_numpy(), b["bits"].to_numpy()
+        qs, ps, ss = [], [], []
+        lx, ly = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
+        for at in range(0, len(x), 256):
+            met = (asked_bits[at : at + 256, None] & held_bits[None]) != 0
+            rough = np.where(met, x[at : at + 256] @ y.T / (lx[at : at + 256, None] * ly), -np.inf)
+            least = np.partition(rough, -k, axis=1)[:, -k] if len(y) > k else np.full(len(rough), -np.inf)
+            for q, row in enumerate(x[at : at + 256], at):
+                some = np.flatnonzero(met[q - at] & (rough[q - at] >= least[q - at] - 1e-12))
+                s = np.einsum("ij,j->i", y[some], row) / (ly[some] * lx[q])
+                some = some[np.lexsort((first[some], -s))][:k]
+                qs.append(np.full(len(some), a["point_no"][q].as_py()))
+                ps.append(ids[some])
+                ss.append(np.array([np.dot(y[j], row) / (ly[j] * lx[q]) for j in some]))
+        return pa.table({"query_no": np.concatenate(qs), "point_no": np.concatenate(ps), "score": np.concatenate(ss)})
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "query_no long, point_no long, score double")
+
+
 def nearest(vectors: DataFrame, is_query, spec: AnnSpec | None = None) -> DataFrame:
     """For each row of `vectors` (vec_id, embedding) where `is_query` holds, its nearest others by cosine.
 
@@ -245,40 +277,18 @@ def nearest(vectors: DataFrame, is_query, spec: AnnSpec | None = None) -> DataFr
     asked = written(asked.join(points.select("vec", "point_no"), "vec").select("query_id", "point_no"), "ann-queries")
     wanted = points.join(asked.select("point_no").distinct(), "point_no", "left_semi")
 
-    stored = written(placed_in(points, graph, spec, dim, spec.index_beam, spec.spill_ratio, spec.copies), "ann-lists")
-    probes = written(placed_in(wanted, graph, spec, dim, spec.probe_beam, spec.probe_ratio, None), "ann-probes")
-    stored, group_tiles = _tiled(stored, "tile", spec.block)
-    probes, probe_tiles = _tiled(probes, "probe_tile", spec.block)
-    over = lambda tiles, name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(tiles) - 1)).alias(name)
-    left = probes.join(group_tiles, "group_no").select("group_no", "probe_tile", over("tiles", "tile"), "bits", "point_no", "vec")
-    firsts = points.select("point_no", F.element_at("ids", 1).alias("first_id"))
-    right = stored.join(probe_tiles, "group_no").select("group_no", over("tiles", "probe_tile"), "tile", "bits", "point_no", "vec").join(firsts, "point_no")
-    keys = ["group_no", "probe_tile", "tile"]
-
-    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
-        empty = pa.table({"query_no": pa.array([], pa.int64()), "point_no": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        if not a.num_rows or not b.num_rows:
-            return empty
-        x, y = (even_rows(t["vec"].to_pylist(), dim) for t in (a, b))
-        ids, first = b["point_no"].to_numpy(), b["first_id"].to_numpy()
-        asked_bits, held_bits = a["bits"].to_numpy(), b["bits"].to_numpy()
-        qs, ps, ss = [], [], []
-        lx, ly = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-        for at in range(0, len(x), 256):
-            met = (asked_bits[at : at + 256, None] & held_bits[None]) != 0
-            rough = np.where(met, x[at : at + 256] @ y.T / (lx[at : at + 256, None] * ly), -np.inf)
-            least = np.partition(rough, -k, axis=1)[:, -k] if len(y) > k else np.full(len(rough), -np.inf)
-            for q, row in enumerate(x[at : at + 256], at):
-                some = np.flatnonzero(met[q - at] & (rough[q - at] >= least[q - at] - 1e-12))
-                s = np.einsum("ij,j->i", y[some], row) / (ly[some] * lx[q])
-                some = some[np.lexsort((first[some], -s))][:k]
-                qs.append(np.full(len(some), a["point_no"][q].as_py()))
-                ps.append(ids[some])
-                ss.append(np.array([np.dot(y[j], row) / (ly[j] * lx[q]) for j in some]))
-        return pa.table({"query_no": np.concatenate(qs), "point_no": np.concatenate(ps), "score": np.concatenate(ss)})
-
-    hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "query_no long, point_no long, score double")
-    per_point = hits.groupBy("query_no", "point_no").agg(F.max("score").alias("score"))
+    stored = written(placed_in(points, graph, dim, spec.index_beam, spec.spill_ratio, 1, spec.copies), "ann-lists")
+    probes = written(placed_in(wanted, graph, dim, spec.probe_beam, spec.probe_ratio, spec.probe_lists, None), "ann-probes")
+    first = hits_of(stored, probes, points, dim, spec)
+    found = written(points.select("point_no", F.size("ids").alias("n_ids")).join(first, "point_no").groupBy("query_no", "point_no").agg(F.max("score").alias("score"), F.first("n_ids").alias("n_ids")), "ann-found")
+    met = found.groupBy("query_no").agg(F.sum("n_ids").alias("n"), F.count("*").alias("n_points"))
+    few = wanted.join(met, F.col("point_no") == F.col("query_no"), "left").where((F.coalesce("n", F.lit(0)) < k) & (F.coalesce("n_points", F.lit(0)) < n))
+    few = written(few.select("point_no", "vec"), "ann-few")
+    if few.limit(1).count():  # an exact pass for queries that are left short
+        groups = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-(-len(graph.value.centroids) // GROUP_LISTS) - 1).cast("long")))
+        whole = few.select(groups.alias("group_no"), F.lit(-1).cast("long").alias("bits"), "point_no", "vec")
+        found = found.select("query_no", "point_no", "score").unionByName(hits_of(stored, whole, points, dim, spec))
+    per_point = found.groupBy("query_no", "point_no").agg(F.max("score").alias("score"))
     ids = per_point.join(points.select("point_no", "ids"), "point_no").select("query_no", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("query_no").orderBy(F.desc("score"), "vec_id")
     top = ids.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
