@@ -29,7 +29,7 @@ _WORD = ~_ENDS
 _WORD[[9, 32]] = False
 _LANES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=_U)
 #: Occurrences that a task holds before it adds equal ones up and passes them on.
-HELD = 1 << 21
+HELD = 1 << 20
 SALTS = 64
 
 
