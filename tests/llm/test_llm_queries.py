@@ -371,6 +371,45 @@ def test_reshard_of_odd_rows(spark, tmp_path):
     assert reshard.reshard(df.limit(0), F.lit(0), 3, 4, ["doc_id"]).count() == 0
 
 
+def test_odd_shards_are_errors(spark):
+    df = spark.createDataFrame([(k, 5, "x", k % 3) for k in range(12)], "doc_id long, size long, weight string, old int")
+    for shift in (-1, 1):
+        with pytest.raises(ValueError, match="old shards outside"):
+            reshard.reshard(df, F.col("old") + shift, 3, 4, ["doc_id"])
+    with pytest.raises(ValueError, match="can't be carried"):
+        reshard.reshard(df, F.col("old"), 3, 4, ["doc_id", "size"])
+    moved = reshard.reshard(df.withColumnRenamed("old", "one"), F.col("one"), 3, 4, ["doc_id", "weight", "one"]).collect()
+    assert sorted(r.doc_id for r in moved) == list(range(12)) and {r.weight for r in moved} == {"x"}
+
+
+def test_staying_is_the_cheapest_flow():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        n, m = rng.integers(1, 7, 2)
+        supply, demand = rng.integers(0, 30, n), rng.integers(0, 30, m)
+        demand[0] += max(supply.sum() - demand.sum(), 0)
+        supply[0] += max(demand.sum() - supply.sum(), 0)
+        quick, slow = reshard.stay_or_move(supply.tolist(), demand.tolist()), reshard.min_cost_flow(supply.tolist(), demand.tolist(), lambda i, j: int(i != j))
+        for flow in (quick, slow):
+            assert [sum(v for (i, _), v in flow.items() if i == k) for k in range(n)] == supply.tolist()
+            assert [sum(v for (_, j), v in flow.items() if j == k) for k in range(m)] == demand.tolist()
+        assert sum(v for (i, j), v in quick.items() if i != j) == sum(v for (i, j), v in slow.items() if i != j)
+    began = time.perf_counter()
+    supply = rng.integers(1, 10**9, 1000).tolist()
+    flow = reshard.stay_or_move(supply, reshard.even_capacities(sum(supply), 1300))
+    assert sum(flow.values()) == sum(supply) and time.perf_counter() - began < 5
+
+
+def test_entries_of_one_moment_are_in_order(spark):
+    rows = [("l", "a.com", c, a, "2024-01-01", s) for c, a, s in (("x", "add", 1), ("y", "add", 1), ("z", "remove", 1))] + [("l", "b.com", "x", "add", "2024-01-01", None), ("l", "b.com", "x", "remove", "2024-01-01", 1)]
+    names = "list_name string, pattern string, category string, action string, day string, seq int"
+    for order in (rows, rows[::-1]):
+        entries = spark.createDataFrame(order, names).withColumn("dated", F.col("day").cast("timestamp")).coalesce(1)
+        assert [r.pattern for r in url_filter.intervals(entries).collect()] == []
+        added = url_filter.intervals(entries.where("action = 'add'")).orderBy("pattern").collect()
+        assert [(r.pattern, r.category) for r in added] == [("a.com", "y"), ("b.com", "x")]
+
+
 # Jaccard join
 
 
@@ -546,6 +585,29 @@ def test_nearest_recall_on_many_random_vectors(spark, tmp_path):
     assert len(got) == 500 and hits / 500 >= 0.9, hits
 
 
+@pytest.mark.parametrize("noise", [0.3, 0.6])
+def test_nearest_recall_on_clusters(spark, tmp_path, noise):
+    rng, n = np.random.default_rng(5), 30_000  # 157 lists
+    x = (rng.normal(size=(90, 64))[rng.integers(0, 90, n)] + noise * rng.normal(size=(n, 64))).astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(n), "embedding": list(x)}), tmp_path / "x.parquet")
+    got = ann_postings.nearest(spark.read.parquet(str(tmp_path / "x.parquet")), F.col("vec_id") % 300 == 0).toPandas()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, n, 300):
+        scores = unit @ unit[q]
+        scores[q] = -2
+        hits += len(set(got[got.query_id == q].vec_id) & set(np.argsort(-scores)[:5]))
+    assert len(got) == 500 and hits / 500 >= 0.95, hits
+
+
+def test_queries_left_short_read_all_lists(spark):
+    spec = ann_postings.AnnSpec(list_points=2, probe_lists=1, probe_ratio=1.0, copies=1, sample=400)
+    x = np.random.default_rng(1).normal(size=(200, 4))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann_postings.nearest(df, F.col("vec_id") % 50 == 0, spec).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in got} == {0: 5, 50: 5, 100: 5, 150: 5}
+
+
 def test_nearest_of_odd_rows(spark):
     rows = [(0, [1.0, 0.0]), (50, [1.0, 0.0]), (3, [2.0, 0.0]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [None, 1.0]), (None, [1.0, 1.0]), (8, [0.0, 1.0]), (8, [0.0, 1.0]), (9, [])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("label", F.lit(1))
