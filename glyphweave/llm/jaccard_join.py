@@ -169,7 +169,10 @@ def _set_column(texts: pa.Array, width: int) -> list[np.ndarray]:
 
 
 def bounded(pairs: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs (a, b) whose points' summed minima still allow a link."""
+    """Pairs (a, b) whose points' summed minima still allow a link. Only the points in question are moved."""
+    pairs = written(pairs, "jaccard-tried")
+    asked = written(pairs.select(F.explode(F.array("a", "b")).alias("row_no")).distinct(), "jaccard-asked")
+    signed = signed.join(sized(asked), "row_no", "left_semi")
     left = signed.select(F.col("row_no").alias("a"), F.col("n_shingles").alias("n_a"), F.col("counts").alias("c_a"))
     right = signed.select(F.col("row_no").alias("b"), F.col("n_shingles").alias("n_b"), F.col("counts").alias("c_b"))
 
@@ -343,7 +346,8 @@ def tree_pairs(rows: DataFrame, signed: DataFrame, rule: Rule) -> DataFrame:
         "node", "class", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "row_no", "n", "root", (F.col("home") < F.col("class")).alias("visits")
     )
     keys = ["node", "class", "i", "j"]
-    counts = signed.select("row_no", "counts").join(rows.groupBy("row_no").agg(F.collect_list("node").alias("nodes")), "row_no")
+    lists = written(rows.groupBy("row_no").agg(F.collect_list("node").alias("nodes")), "jaccard-lists")
+    counts = signed.select("row_no", "counts").join(sized(lists.select("row_no")), "row_no", "left_semi").join(lists, "row_no")
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     dealt = spread.join(counts, "row_no").repartition(width, *keys).sortWithinPartitions(*keys)
 
@@ -395,8 +399,9 @@ def _linked(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame, DataFram
         *(F.bit_xor(F.xxhash64("row_no", F.lit(k))).alias(f"held_{k}") for k in range(2)),
     ).where("low < high")
     held = ["low", "high", "n_rows", "held_0", "held_1"]  # nodes that hold the same documents are one
-    mixed = written(split.groupBy(*held).agg(F.min("node").alias("node")).select("node"), "jaccard-nodes")
-    rest = written(nodes.join(sized(mixed), "node", "left_semi"), "jaccard-shared")
+    mixed = split.groupBy(*held).agg(F.min("node").alias("node")).select("node", F.monotonically_increasing_id().alias("node_no"))
+    mixed = written(mixed, "jaccard-nodes")  # small numbers are moved from here on, and not hashes
+    rest = written(nodes.join(sized(mixed), "node").drop("node").withColumnRenamed("node_no", "node"), "jaccard-shared")
     used = [met, mixed, rest]
     for turn in range(TURNS):  # a pivot has met its node and leaves it
         met = beside_pivots(with_roots(rest, roots) if turn else rest, turn, f"jaccard-beside-{turn}")
