@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CANDIDATE = re.compile(r"[A-Za-z0-9_\-+/=.]{12,}")
+#: What is assigned: a quoted value to its closing quote, else a run without white space, quotes and angles.
+ASSIGNED = re.compile(r"""[=:][ \t]{0,3}(?:"([^"\r\n]{8,})"|'([^'\r\n]{8,})'|([^\s"'<>]{8,}))""")
 #: Characters looked at on either side of a candidate.
 BESIDE = 48
 FINDING_SCHEMA = "candidate string, before string, after string, path string, label int"
@@ -185,8 +187,18 @@ def sample_findings(spark: SparkSession, rows: int = 4000, seed: int = 3) -> Dat
         key = pick([lambda: text(hexes, pick([32, 40, 40, 48, 64])), lambda: text(mixed, int(rng.integers(20, 49))), lambda: pick(["AKIA", "ASIA"]) + text(lower.upper() + digits, 16), lambda: pick(["ghp_", "gho_", "sk_live_", "xoxb-", "sk-"]) + text(mixed, 36)])()
         name = pick(["token", "secret", "api_key", "apikey", "password", "auth_token", "access_key", "client_secret", "bearer", "private_key"])
         mark, quote = pick([" = ", "=", ": ", ":"]), pick(['"', "'", '"', ""])
+        if rng.random() < 0.3:  # passwords: words run together, or any signs
+            signs = mixed + "!#$%&*+-?@^_~"
+            key = pick([lambda: "".join(pick(words) for _ in range(int(rng.integers(3, 5)))) + pick(["", "", text(digits, 2)]), lambda: text(signs, int(rng.integers(10, 25))), lambda: pick(words).title() + text("!#$%&-@", 1) + text(signs, int(rng.integers(6, 12)))])()
+            name = pick(["password", "passwd", "pwd", "db_password", "secret", "credential", "key", "auth", "token"])
         made.append((key, f"{prose()} {name}{mark}{quote}", f"{quote} {prose()}", pick(["", "src/app.py", "config/prod.env", "web", "src3"]), 1))
     for _ in range(rows - rows // 2):
+        if rng.random() < 0.35:  # other values of assignments: words, prose, names of files, addresses, colours, types
+            bad = pick([lambda: pick(words) + pick(words), prose, lambda: "/".join(pick(words) for _ in range(3)) + ".py", lambda: f"https://{pick(words)}.example.com/{pick(words)}", lambda: text(lower, int(rng.integers(8, 14))), lambda: pick(["required", "undefined", "optional string", "os.environ", "function()", "${ENV_NAME}", "settings.value"])])()
+            name = pick(["title", "note", "name", "path", "file", "value", "text", "url", "see", "type", "label", *(["password", "token", "secret"] if bad in ("required", "undefined", "optional string", "os.environ", "function()", "${ENV_NAME}", "settings.value") else [])])
+            quote = pick(['"', "", ""]) if " " not in bad else '"'
+            made.append((bad, f"{prose()} {name}{pick([' = ', '=', ': ', ':'])}{quote}", f"{quote} {prose()}", pick(["", "src/app.py", "web", "docs/use.md"]), 0))
+            continue
         kind, before, after, path = int(rng.integers(9)), prose() + " ", " " + prose(), pick(["", "src/app.py", "web", "src5", "tests/data.json", "package-lock.json"])
         if kind == 0:
             bad, before = text(hexes, pick([32, 40, 40, 64])), before + pick(["commit ", "sha256:", "md5 = ", "checksum: ", "integrity=", "revision "])
@@ -224,7 +236,29 @@ def train(findings: DataFrame, rows: int = FINDINGS) -> Forest:
 
 
 def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Spans of what may be a secret: long runs with a digit, or with both letter cases."""
+    """Spans of what may be a secret, by where they begin; they may overlap.
+
+    Long runs with a digit or both letter cases; every value of an assignment of eight characters or more,
+    whatever its characters, without trailing stops, commas and brackets; and the longer parts of a value around "=".
+    """
+    found = set(_runs(text))
+    for m in ASSIGNED.finditer(text):
+        group = next(k for k in (1, 2, 3) if m[k] is not None)
+        start, value = m.start(group), m[group]
+        if group == 3:
+            value = value.rstrip(".,;:)]}")
+        parts = [(start, value)]
+        if "=" in value.rstrip("="):
+            at = start
+            for part in value.split("="):
+                parts.append((at, part))
+                at += len(part) + 1
+        found.update((at, at + len(part)) for at, part in parts if len(part) >= 8)
+    yield from sorted(found)
+
+
+def _runs(text: str) -> Iterator[tuple[int, int]]:
+    """Long runs with a digit, or with both letter cases."""
     for m in CANDIDATE.finditer(text):
         word = m.group().rstrip(".=") if not m.group().endswith("==") else m.group()
         body = word.lstrip("=./-")
@@ -255,7 +289,8 @@ def findings(docs: DataFrame, forest: Forest, path: str = "source", threshold: f
     """A row for each candidate of each row of `docs`: doc_id, start, length, score, is_secret, secret_sha256.
 
     Offsets count characters. `path` names the column with the place of origin; a
-    missing column or null is empty. Null and empty texts have no candidates.
+    missing column or null is empty. Null and empty texts have no candidates. Candidates may
+    overlap; repeated rows are scanned each, ties of score have no order. Other columns are not read.
     """
     place = F.col(path).cast("string") if path in docs.columns else F.lit("")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), place.alias("path"))
@@ -290,7 +325,12 @@ def masked(docs: DataFrame, forest: Forest, path: str = "source", threshold: flo
             texts = batch.column("text").to_pylist()
             found = scan_texts(texts, batch.column(place).to_pylist(), shared.value, threshold)
             for k, spans in enumerate(found):
-                secret = [(a, b) for a, b, s in spans if s >= threshold]
+                secret: list[tuple[int, int]] = []
+                for a, b, s in spans:  # by where they begin; overlapping ones are masked as one
+                    if s >= threshold and secret and a <= secret[-1][1]:
+                        secret[-1] = secret[-1][0], max(b, secret[-1][1])
+                    elif s >= threshold:
+                        secret.append((a, b))
                 if secret:
                     kept = zip([0, *(b for _, b in secret)], [*(a for a, _ in secret), len(texts[k])], strict=True)
                     texts[k] = mark.join(texts[k][a:b] for a, b in kept)

@@ -649,6 +649,51 @@ def test_secrets_found(spark, sf):
     assert {(r.doc_id, r.start) for r in got} == want and want
 
 
+ASSIGNMENTS = [
+    ("password = correcthorsebatterystaple and more", "correcthorsebatterystaple"),
+    ('pwd: "hunter2!Summer#24$x", user', "hunter2!Summer#24$x"),
+    ("token=" + "0123456789abcdef" * 2 + "deadbeef/v=1 end", "0123456789abcdef" * 2 + "deadbeef/v"),
+    ("key = Tr0ub4dor&3-xyz%Q! done", "Tr0ub4dor&3-xyz%Q!"),
+    ("secret='two words here'", "two words here"),
+]
+
+
+@pytest.mark.parametrize("text, value", ASSIGNMENTS)
+def test_assigned_values_are_candidates(text, value):
+    assert value in {text[a:b] for a, b in secret_scan.candidates(text)}
+
+
+def test_forest_by_hand(spark):
+    """Scores are the mean of the leaves that a row falls to, one node after the other."""
+    forest = secret_scan.train(secret_scan.sample_findings(spark, 600))
+    texts = [t for t, _ in ASSIGNMENTS] + ['x = "' + "ab12" * 9 + '"', "Note: nothing of interest here", "see https://a.example.com/page"]
+    scanned = secret_scan.scan_texts(texts, [None] * len(texts), forest, 0.5)
+    assert sum(map(len, scanned)) > 6
+    for text, spans in zip(texts, scanned, strict=True):
+        assert [(a, b) for a, b, _ in spans] == list(secret_scan.candidates(text))
+        for a, b, score in spans:
+            row = secret_scan.features(text[a:b], text[max(0, a - secret_scan.BESIDE) : a], text[b : b + secret_scan.BESIDE], "")
+            leaves = []
+            for feature, cut, below, share in zip(forest.feature, forest.cut, forest.below, forest.share, strict=True):
+                at = 0
+                while below[at][0] != at:
+                    at = below[at][1 if row[feature[at]] > cut[at] else 0]
+                leaves.append(share[at])
+            assert abs(sum(leaves) / len(leaves) - score) < 1e-9
+
+
+def test_findings_of_odd_rows(spark):
+    forest = secret_scan.train(secret_scan.sample_findings(spark, 600))
+    key = 'token = "' + "1f" * 20 + '"'
+    rows = [(1, None), (2, ""), (3, key), (3, key), (None, key), (4, "x" * 200_000 + " " + key), (5, "\u6f22\u5b57 \U0001f600 " + key)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("start", "length", "score", "is_secret", "path"):
+        df = df.withColumn(name, F.lit("x"))
+    got = [r for r in secret_scan.findings(df, forest).collect() if r.is_secret and r.length == 40]
+    assert sorted((r.doc_id or 0, r.start) for r in got) == [(0, 9), (3, 9), (3, 9), (4, 200_010), (5, 14)]
+    assert len({r.secret_sha256 for r in got}) == 1
+
+
 def test_secrets_masked(spark):
     forest = secret_scan.train(secret_scan.sample_findings(spark))
     key = "9f14a7029c8514dfe98aba92898d323168e199da"
