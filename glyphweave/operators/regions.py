@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphweave.functions.geometry import contains, overlaps
+from glyphweave.operators.grid import overlapping
 from glyphweave.operators.words import PAGE
 
 
@@ -105,10 +106,10 @@ def drag_box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
 def touched(glyphs: DataFrame, regions: DataFrame) -> DataFrame:
     """Glyphs under each region (region_id, doc_id, page, rx, ry, rw, rh), with region_id.
 
-    A glyph counts from its baseline up. Pages are the join key; the overlap is checked on what meets.
+    A glyph counts from its baseline up. Glyphs and regions meet by grid cells of their page.
     """
-    g = [F.col(c) for c in ("x", "y", "width", "height")]
-    return glyphs.join(regions, PAGE).where(overlaps(*g, *(F.col(c) for c in ("rx", "ry", "rw", "rh"))))
+    g, r = ("x", "y", "width", "height"), ("rx", "ry", "rw", "rh")
+    return overlapping(glyphs, regions, g, r).where(overlaps(*map(F.col, g), *map(F.col, r)))
 
 
 def line_bars(placed: DataFrame, regions: DataFrame) -> DataFrame:

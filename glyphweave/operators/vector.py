@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphweave.operators.grid import overlapping
 from glyphweave.functions.text import format_number, half_up
 
 CHAIN = ["img_id", "chain"]
@@ -100,10 +101,16 @@ def svg_paths(points: DataFrame) -> DataFrame:
 
 
 def crossings(points: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Where segments of chains strictly cross the cuts (img_id, ax, ay, bx, by); near-parallel ones don't."""
+    """Where segments of chains strictly cross the cuts (img_id, ax, ay, bx, by); near-parallel ones don't.
+
+    Segments and cuts meet by grid cells of their drawing.
+    """
     along = Window.partitionBy(*CHAIN).orderBy("ord")
     segments = points.withColumn("x3", F.lead("x").over(along)).withColumn("y3", F.lead("y").over(along)).where("x3 is not null")
-    met = segments.join(cuts, "img_id")
+    box = lambda a, b, c, d, n: {f"{n}x": F.least(a, c), f"{n}y": F.least(b, d), f"{n}w": F.abs(F.col(a) - F.col(c)), f"{n}h": F.abs(F.col(b) - F.col(d))}
+    boxed = segments.withColumns(box("x", "y", "x3", "y3", "box_"))
+    asked = cuts.select("img_id", "ax", "ay", "bx", "by").withColumns(box("ax", "ay", "bx", "by", "cut_"))
+    met = overlapping(boxed, asked, ("box_x", "box_y", "box_w", "box_h"), ("cut_x", "cut_y", "cut_w", "cut_h"), ["img_id"])
     rx, ry, sx, sy = (F.col(a) - F.col(b) for a, b in (("x3", "x"), ("y3", "y"), ("bx", "ax"), ("by", "ay")))
     qx, qy = F.col("ax") - F.col("x"), F.col("ay") - F.col("y")
     across = rx * sy - ry * sx

@@ -307,3 +307,24 @@ def test_measured_wrapping_equals_the_loop(spark):
                 longer = word
             current = longer
         assert got[k] == [*lines_, current]
+
+
+def test_boxes_meet_once_in_cells(spark):
+    import random
+
+    from glyphweave.operators import grid
+
+    rng = random.Random(6)
+    box = lambda k, big: (k % 3, 0, k, rng.uniform(-50, 400), rng.uniform(-50, 400), rng.uniform(0, big), rng.choice([0.0, rng.uniform(0, big)]))
+    left = [box(k, 15) for k in range(400)] + [(0, 0, 900, None, 1.0, 1.0, 1.0), (0, 0, 901, float("inf"), 1.0, 1.0, 1.0), (0, 0, 902, -1e6, -1e6, 3e6, 3e6), (7, 0, 903, 1.0, 1.0, 1.0, 1.0)]
+    right = [box(k, 40) for k in range(120)] + [(1, 0, 500, -100.0, -100.0, 900.0, 900.0), (2, 0, 501, 0.0, 0.0, -1.0, 5.0), (5, 0, 502, 0.0, 0.0, 5.0, 5.0)]
+    a = spark.createDataFrame(left, "doc_id long, page int, a long, x double, y double, w double, h double")
+    b = spark.createDataFrame(right, "doc_id long, page int, b long, rx double, ry double, rw double, rh double")
+    got = sorted((r.a, r.b) for r in grid.overlapping(a, b, ("x", "y", "w", "h"), ("rx", "ry", "rw", "rh")).collect())
+    fine = lambda r: all(v is not None and abs(v) < 1e12 for v in r[3:]) and min(r[5:]) >= 0
+    want = [
+        (p[2], q[2]) for p in left for q in right
+        if fine(p) and fine(q) and p[0] == q[0] and p[3] <= q[3] + q[5] and q[3] <= p[3] + p[5] and p[4] <= q[4] + q[6] and q[4] <= p[4] + p[6]
+    ]
+    assert got == sorted(want) and len(got) > 150
+    assert grid.overlapping(a, b.limit(0), ("x", "y", "w", "h"), ("rx", "ry", "rw", "rh")).count() == 0

@@ -15,14 +15,15 @@ def drop_files(df, folder, parts):
     df.repartition(parts).write.mode("append").parquet(folder)
 
 
-def test_feed_goes_on_page_by_page(spark, sf, tmp_path):
-    docs = table(spark, sf, "documents").select("doc_id", "text").where("doc_id % 4 = 0")
+def test_feed_goes_on_page_by_page(spark, tmp_path):
+    rng = random.Random(1)
+    texts = [(k, "\n".join(" ".join(rng.choice(["a", "bb,", "", "ccc.", "éé"]) for _ in range(rng.randint(0, 3))) for _ in range(rng.choice([0, 1, 60, 200])))) for k in range(10)]
+    docs = spark.createDataFrame([*texts, (90, None)], "doc_id long, text string")
     folder, pages, out = (str(tmp_path / n) for n in ("in", "pages", "out"))
     docs.repartition(2).write.parquet(folder)
     feeds.append_pages(spark, folder, pages, str(tmp_path / "c1")).awaitTermination()
     laid = spark.read.schema(feeds.PAGES).option("recursiveFileLookup", True).parquet(pages)
     rows = laid.collect()
-    rng = random.Random(1)
     rng.shuffle(rows)
     assert max(r.page for r in rows) > 2
     shuffled, third = str(tmp_path / "shuffled"), len(rows) // 3
