@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,33 +47,52 @@ def place_text(texts: DataFrame, size: float, font: str = "Helvetica") -> DataFr
     )
 
 
-def _line_numbers(widths: pd.Series, gap: pd.Series, limit: pd.Series) -> pd.Series:
-    """The line of each word, by greedy filling; a width that isn't known fits, and so does all that follows on its line."""
-
-    def fold(row: tuple) -> list[int]:
-        words, space, most = row
-        line, filled, out = 0, None, []
-        for k, width in enumerate(words):
-            known = width is not None and width == width
-            after = width if filled is None else filled + space + width if known and filled == filled else float("nan")
-            if k and after > most:
-                line, after = line + 1, width
-            filled = after if known else float("nan")
-            out.append(line)
-        return out
-
-    return pd.Series([fold(row) for row in zip(widths, gap, limit, strict=True)])
-
-
 def wrap_measured(texts: DataFrame, key: list[str], font: Column, limit: Column) -> DataFrame:
     """Greedy lines (key..., line_no, line) of texts under `limit` thousandths of an em in a font known by name.
 
     `key` names the rows. Text is split at white space; a word wider than the limit has
-    a line of its own; a text without words gives one empty line.
+    a line of its own; a text without words gives one empty line. A word whose width
+    isn't known fits, and so does all that follows on its line; nothing breaks under a null limit.
+
+    A word's next line begins at the first word that ends beyond its begin plus the
+    limit. Ends ascend, so one ordered pass over ends and limits tells it for every word; lines are
+    then reached from the first word by doubling jumps, in as many steps as their number has binary digits.
     """
     split = texts.select(*key, F.filter(F.split(squeeze(F.coalesce("text", F.lit(""))), " "), lambda w: w != "").alias("words"), font.alias("font"), limit.cast("double").alias("most"))
-    widths = F.transform("words", lambda w: measure_column(F.col("font"), w).cast("double"))
-    numbered = split.withColumn("lines", F.pandas_udf(_line_numbers, "array<int>")(widths, width_column(F.col("font"), F.lit(32)), F.col("most")))
-    rows = numbered.select(*key, F.posexplode_outer(F.arrays_zip("words", "lines")).alias("at", "word"))
-    ordered = F.array_sort(F.collect_list(F.struct("at", "word.words")))
-    return rows.groupBy(*key, F.coalesce("word.lines", F.lit(0)).alias("line_no")).agg(F.array_join(F.transform(ordered, lambda w: w["words"]), " ").alias("line"))
+    gap = width_column(F.col("font"), F.lit(32)).cast("double")
+    width = measure_column(F.col("font"), F.col("word")).cast("double")
+    rows = split.select(*key, "font", "most", F.posexplode_outer("words").alias("at", "word")).withColumn("width", width).withColumn("gap", gap)
+    known = F.col("width").isNotNull() & F.col("gap").isNotNull()
+    upto = Window.partitionBy(*key).orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = rows.withColumns(
+        {"known": known, "end": F.sum(F.coalesce("width", F.lit(0.0))).over(upto) + F.col("gap") * F.col("at"), "stretch": F.sum((~known).cast("int")).over(upto)}
+    )
+    end = F.struct(F.when(F.col("known"), F.col("end")).alias("value"), F.lit(0).alias("asks"))
+    reach = F.struct((F.col("end") - F.col("width") + F.col("most")).alias("value"), F.lit(1).alias("asks"))
+    events = run.select(*key, "at", "word", "known", "stretch", F.explode(F.array(end, reach)).alias("event")).select("*", "event.value", "event.asks")
+    down = Window.partitionBy(*key, "stretch").orderBy(F.desc("value"), F.desc("asks"), F.desc("at")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    beyond = F.last(F.when((F.col("asks") == 0) & F.col("known"), F.col("at")), ignorenulls=True).over(down)
+    asked = events.withColumn("beyond", beyond).where("asks = 1")
+    following = F.when(F.col("known") & F.col("value").isNotNull(), F.greatest(F.col("beyond"), F.when(F.col("beyond").isNotNull(), F.col("at") + 1)))
+    entry = F.when(F.col("at").isNotNull(), F.struct("at", "word", following.alias("next")))
+    whole = asked.groupBy(*key).agg(F.array_sort(F.collect_list(entry)).alias("run"))
+    n = F.size("run")
+    jumps = F.concat(F.transform("run", lambda w: F.coalesce(w["next"], n)), F.array(n))
+    met = whole.select(*key, "run", n.alias("n"), _reached(jumps, n).alias("begins"))
+    words = lambda a, b: F.array_join(F.transform(F.slice("run", a + 1, b - a), lambda w: w["word"]), " ")
+    starts = F.filter("begins", lambda b: b < F.col("n"))
+    lines = F.transform(starts, lambda b, k: words(b, F.element_at("begins", k + 2)))
+    return met.select(*key, F.posexplode(F.when(F.col("n") == 0, F.array(F.lit(""))).otherwise(lines)).alias("line_no", "line"))
+
+
+def _reached(jumps: Column, n: Column) -> Column:
+    """0, jumps[0], jumps[jumps[0]] ... up to n at least: each step doubles what is reached and how far a jump goes."""
+    start = F.struct(F.array(F.lit(0)).alias("met"), jumps.alias("jump"))
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(n + 1)).cast("int") + 1)
+
+    def step(acc: Column, _: Column) -> Column:
+        after = lambda spots: F.transform(spots, lambda k: F.element_at(acc["jump"], k + 1))
+        longer = F.struct(F.concat(acc["met"], after(acc["met"])).alias("met"), after(acc["jump"]).alias("jump"))
+        return F.when(F.element_at(acc["met"], -1) >= n, acc).otherwise(longer)
+
+    return F.aggregate(steps, start, step, lambda acc: acc["met"])

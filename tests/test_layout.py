@@ -328,3 +328,29 @@ def test_boxes_meet_once_in_cells(spark):
     ]
     assert got == sorted(want) and len(got) > 150
     assert grid.overlapping(a, b.limit(0), ("x", "y", "w", "h"), ("rx", "ry", "rw", "rh")).count() == 0
+
+
+def test_measured_wrapping_of_odd_widths(spark, capsys):
+    """Random texts against a plain loop; a font without widths and a null limit break nothing; a wide word stands alone."""
+    import random
+
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choice("iWm.a") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 90))) for _ in range(40)]
+    rows = [(k, t, float(rng.choice([500, 3000, 9000, 40000]))) for k, t in enumerate(texts)] + [(98, "a b c", None)]
+    df = spark.createDataFrame(rows, "id int, text string, room double")
+    done = placement.wrap_measured(df, ["id"], F.lit("Times-Roman"), F.col("room"))
+    done.explain()
+    assert "Python" not in capsys.readouterr().out
+    got = {}
+    for r in done.orderBy("id", "line_no").collect():
+        assert r.line_no == len(got.setdefault(r.id, []))
+        got[r.id].append(r.line)
+    for k, t, room in rows:
+        lines_, current = [], ""
+        for word in t.split():
+            longer = f"{current} {word}" if current else word
+            if room is not None and current and sum(fontmetrics.standard_width("Times-Roman", ord(c)) for c in longer) > room:
+                lines_.append(current)
+                longer = word
+            current = longer
+        assert got[k] == [*lines_, current], k
