@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphweave.functions import fontmetrics, geometry, text
-from glyphweave.operators import blocks, edits, lines, pageops, placement, records, regions, search, vector, words
+from glyphweave.operators import blocks, edits, lines, objects, pageops, placement, records, regions, search, vector, words
 from glyphweave.plans import sql
 from glyphweave.plans.bridge import bridge_glyphs, bridge_words, content_pages, drawing_pages, label_pages, layout, page_list, strokes, table, table_words
 from glyphweave.sources import content
@@ -433,6 +433,29 @@ def size_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.savings(images).withColumnRenamed("doc_id", "source")
 
 
+@register(sql.IMAGES_FREED)
+def images_freed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as documents: an item is a page that shows its part as an image, whose soft mask is its supplier.
+
+    Images of items that were returned hold the next item's image too, as a form would. Images of every third part are replaced.
+    """
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), "l_linenumber", "l_returnflag", (F.col("l_partkey") % 3 == 0).alias("goes"), image_name("part", "l_partkey"), image_name("supp", "l_suppkey"))
+    along = Window.partitionBy("doc_id").orderBy("l_linenumber", "part", "supp")
+    held = items.withColumn("next", F.when(F.col("l_returnflag") == "R", F.lead("part").over(along)))
+    page = F.concat(F.lit("page"), "l_linenumber")
+    edges = F.array(*(F.struct(s.alias("source"), F.lit(n).alias("slot"), F.col(t).alias("target")) for s, n, t in ((page, "Im0", "part"), (F.col("part"), objects.MASK, "supp"), (F.col("part"), "Fm0", "next"))))
+    refs = held.select("doc_id", F.explode(edges).alias("e")).select("doc_id", "e.*").where("target is not null").distinct()
+    pages = items.where("l_linenumber % 2 = 1").select("doc_id", page.alias("object"))
+    replaced = items.where("goes").select("doc_id", F.col("part").alias("old_ref"), F.concat(F.lit("new"), "part").alias("new_ref")).distinct()
+    names = F.array("part", "supp", F.when(F.col("goes"), F.concat(F.lit("new"), "part")))
+    stored = items.select("doc_id", F.explode(names).alias("object")).where("object is not null").distinct().withColumn("n_bytes", F.length("object") * 1000)
+    return objects.kept_and_freed(stored, objects.replace_images(refs, pages, replaced), pages)
+
+
+def image_name(kind: str, key: str) -> Column:
+    return F.concat(F.lit(kind), F.col(key)).alias(kind)
+
+
 @register("SELECT doc_id, version, o_orderkey FROM (SELECT o_custkey AS doc_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS version, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS back FROM orders) WHERE back <= 30")
 def history_top30(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")

@@ -357,3 +357,19 @@ wide AS (SELECT *, CAST((CASE WHEN ascii(unicode) BETWEEN 32 AND 126 THEN {HELVE
 SELECT text_id, line_no, "at", unicode, {_even('50 + coalesce(sum(width) OVER (PARTITION BY text_id, line_no ORDER BY "at" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)')} AS x,
   {_even("100 + CAST(40 AS DOUBLE) - 12 - CAST(1.2 AS DOUBLE) * 12 * line_no")} AS y, {_even('width')} AS width FROM wide
 """
+
+IMAGES_FREED = """WITH RECURSIVE items AS (SELECT l_orderkey AS doc_id, l_linenumber, l_returnflag, l_partkey % 3 = 0 AS goes, 'part' || l_partkey AS part, 'supp' || l_suppkey AS supp FROM lineitem),
+held AS (SELECT *, CASE WHEN l_returnflag = 'R' THEN lead(part) OVER (PARTITION BY doc_id ORDER BY l_linenumber, part, supp) END AS next FROM items),
+new AS (SELECT DISTINCT doc_id, part FROM items WHERE goes),
+edges AS (
+  SELECT doc_id, 'page' || l_linenumber AS source, CASE WHEN l_linenumber % 2 = 1 AND (doc_id, part) IN (SELECT doc_id, part FROM new) THEN 'new' || part ELSE part END AS target FROM items
+  UNION SELECT doc_id, part, supp FROM items
+  UNION SELECT doc_id, part, next FROM held WHERE next IS NOT NULL
+  UNION SELECT doc_id, 'new' || part, supp FROM items SEMI JOIN new USING (doc_id, part)),
+alive AS (
+  SELECT doc_id, 'page' || l_linenumber AS object FROM items WHERE l_linenumber % 2 = 1
+  UNION SELECT a.doc_id, e.target FROM alive a JOIN edges e ON a.doc_id = e.doc_id AND a.object = e.source),
+stored AS (SELECT doc_id, part AS object FROM items UNION SELECT doc_id, supp FROM items UNION SELECT doc_id, 'new' || part FROM new)
+SELECT doc_id, count(*) FILTER (alive) AS n_kept, CAST(sum(CASE WHEN alive THEN size ELSE 0 END) AS BIGINT) AS kept_bytes, CAST(sum(CASE WHEN alive THEN 0 ELSE size END) AS BIGINT) AS freed_bytes
+FROM (SELECT s.doc_id, length(object) * 1000 AS size, (doc_id, object) IN (SELECT doc_id, object FROM alive) AS alive FROM stored s) GROUP BY doc_id
+"""
