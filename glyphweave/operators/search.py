@@ -98,6 +98,11 @@ def step_hit(current: Column, by: int, hits: Column) -> Column:
     return F.when(hits > 0, F.pmod(current + by, hits))
 
 
+def refreshed_hit(current: Column, hits: Column) -> Column:
+    """The current hit after hits were found again: the same number, or the last one; null without hits or a current one."""
+    return F.when((hits > 0) & current.isNotNull(), F.least(current, hits - 1))
+
+
 def anchor_positions(feed: DataFrame, anchors: DataFrame) -> DataFrame:
     """Where the feed reaches each anchored word (anchor_id, doc_id, page, word_ord); anchors on no word give no row."""
     return anchors.join(feed, [*PAGE, "word_ord"]).groupBy("anchor_id").agg(F.min("feed_pos").alias("feed_pos"))

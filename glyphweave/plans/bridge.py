@@ -28,7 +28,23 @@ def _baseline(line_no: Column) -> Column:
 
 def bridge_words(docs: DataFrame) -> DataFrame:
     """Words of typeset texts: what stands between spaces. One exchange, on the page."""
-    tokens = text_lines(docs).repartition("doc_id", "page").select("doc_id", "page", "line_no", F.posexplode(F.split("line", " ")).alias("at", "text"))
+    return words_of_lines(text_lines(docs))
+
+
+def page_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, page, text of typeset texts' pages."""
+    ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))
+    return text_lines(docs).groupBy("doc_id", "page").agg(F.array_join(F.transform(ordered, lambda r: r["line"]), "\n").alias("text"))
+
+
+def words_of_pages(pages: DataFrame) -> DataFrame:
+    """Words of pages (doc_id, page, text) of at most LINES_PER_PAGE lines."""
+    return words_of_lines(pages.select("doc_id", "page", F.posexplode(F.split("text", "\n")).alias("line_no", "line")))
+
+
+def words_of_lines(lines: DataFrame) -> DataFrame:
+    """Words of lines (doc_id, page, line_no, line)."""
+    tokens = lines.repartition("doc_id", "page").select("doc_id", "page", "line_no", F.posexplode(F.split("line", " ")).alias("at", "text"))
     line = Window.partitionBy("doc_id", "page", "line_no").orderBy("at")
     offset = F.coalesce(F.sum(F.length("text") + 1).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     page = Window.partitionBy("doc_id", "page").orderBy("line_no", "at")

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glyphweave.functions import fontmetrics, geometry, text
-from glyphweave.operators import blocks, edits, lines, objects, pageops, placement, records, regions, search, vector, words
+from glyphweave.operators import blocks, edits, lines, objects, pageops, placement, records, regions, search, upkeep, vector, words
 from glyphweave.plans import sql
-from glyphweave.plans.bridge import bridge_glyphs, bridge_words, content_pages, drawing_pages, label_pages, layout, page_list, strokes, table, table_words
+from glyphweave.plans.bridge import bridge_glyphs, bridge_words, content_pages, drawing_pages, label_pages, layout, page_list, page_texts, strokes, table, table_words, words_of_pages
 from glyphweave.sources import content
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,6 +97,45 @@ def classify_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "page", "block_ord", "kind", "n_lines")
 
 
+# after edits
+
+
+def _edited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pages before and after: a third of the documents gets a word before its first page, a third loses that page if it has more."""
+    pages = page_texts(documents(spark, sf_dir))
+    kind = F.pmod("doc_id", F.lit(3))
+    several = F.count("*").over(Window.partitionBy("doc_id")) > 1
+    cut = (kind == 2) & several
+    text_ = F.when((kind == 1) & (F.col("page") == 0), F.concat(F.lit("Changed "), F.col("text"))).otherwise(F.col("text"))
+    after = pages.withColumn("cut", cut).withColumn("text", text_).where("not cut or page > 0")
+    return pages, after.select("doc_id", F.when(F.col("cut"), F.col("page") - 1).otherwise(F.col("page")).alias("page"), "text")
+
+
+def _kept_up(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(rows of the pages before, rows of the edited pages, made from the former where a page's contents are known)"""
+    before, after = _edited(spark, sf_dir)
+    view = make(before)
+    return view, upkeep.refreshed(view, upkeep.page_digests(before, ["text"]), after, ["text"], make)
+
+
+@register(sql.EDITED_BLOCKS + "SELECT doc_id, page, line_ord, block_ord, n_words, text, round(x, 4) AS x, round(y, 4) AS y, doc_id % 3 = 1 AND page = 0 AS made_again FROM blocked")
+def relayout_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of edited documents; only pages with new contents are laid out again."""
+    make = lambda pages: layout(words_of_pages(pages))[1].select("doc_id", "page", "line_ord", "block_ord", "n_words", "text", *rounded("x", "y"))
+    return _kept_up(spark, sf_dir, make)[1]
+
+
+@register(sql.REFRESHED)
+def search_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits before and after the edit, and where the last hit before it is clamped to."""
+    make = lambda pages: search.find_phrase(search.search_units(layout(words_of_pages(pages))[1]), "the").select("doc_id", "page")
+    before, after = _kept_up(spark, sf_dir, make)
+    counts = [df.groupBy("doc_id").agg(F.count("*").alias(n)) for df, n in ((before, "n_before"), (after, "n_after"))]
+    both = counts[0].join(counts[1], "doc_id", "full").withColumns({n: F.coalesce(n, F.lit(0)) for n in ("n_before", "n_after")})
+    current = F.when(F.col("n_before") > 0, F.col("n_before") - 1)
+    return both.select("doc_id", "n_before", "n_after", search.refreshed_hit(current, F.col("n_after")).alias("current"))
+
+
 # search and reading
 
 

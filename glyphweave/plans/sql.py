@@ -373,3 +373,17 @@ stored AS (SELECT doc_id, part AS object FROM items UNION SELECT doc_id, supp FR
 SELECT doc_id, count(*) FILTER (alive) AS n_kept, CAST(sum(CASE WHEN alive THEN size ELSE 0 END) AS BIGINT) AS kept_bytes, CAST(sum(CASE WHEN alive THEN 0 ELSE size END) AS BIGINT) AS freed_bytes
 FROM (SELECT s.doc_id, length(object) * 1000 AS size, (doc_id, object) IN (SELECT doc_id, object FROM alive) AS alive FROM stored s) GROUP BY doc_id
 """
+
+#: BLOCKS after an edit: a word before the first page, or the first page gone.
+EDITED = """(SELECT doc_id, CASE WHEN doc_id % 3 = 1 THEN 'Changed ' || text
+  WHEN doc_id % 3 = 2 AND len(string_split(text, chr(10))) > 54 THEN array_to_string(string_split(text, chr(10))[55:], chr(10)) ELSE text END AS text FROM documents) AS edited"""
+EDITED_BLOCKS = BLOCKS.replace("FROM documents", "FROM " + EDITED)
+
+
+def _hits(source: str) -> str:
+    found = search("the", False, False).replace("FROM documents", "FROM " + source)
+    return f"SELECT doc_id, count(*) AS n FROM ({found}) GROUP BY doc_id"
+
+
+REFRESHED = f"""SELECT doc_id, coalesce(b.n, 0) AS n_before, coalesce(a.n, 0) AS n_after, CASE WHEN a.n > 0 AND b.n > 0 THEN least(b.n - 1, a.n - 1) END AS current
+FROM ({_hits('documents')}) b FULL JOIN ({_hits(EDITED)}) a USING (doc_id)"""
