@@ -435,6 +435,20 @@ def form_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.last_values(table(spark, sf_dir, "events"), ["user_id", "event_type"], ["ts", "event_id"], ["value", "props"])
 
 
+@register(sql.FIELDS_BY_KIND)
+def form_upsert_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as widgets of their user's form, one to a page; most events write to their field by name, the last one stands."""
+    events = table(spark, sf_dir, "events")
+    kind = F.element_at(F.array(*map(F.lit, ("text", "checkbox", "radio", "dropdown"))), (F.col("event_id") % 4 + 1).cast("int"))
+    fields = events.select(
+        F.col("user_id").alias("doc_id"), F.col("event_id").alias("page"), "event_type", kind.alias("kind"), F.lit("old").alias("value"), F.lit(False).alias("checked"),
+        F.concat(F.lit("o"), F.col("event_id") % 3).alias("option_value"), F.array(F.lit("o1"), F.lit("o2")).alias("options"), F.lit(False).alias("read_only"),
+    ).withColumnRenamed("event_type", "name")
+    written = F.when(F.col("event_id") % 5 == 0, "true").otherwise(F.concat(F.lit("o"), F.col("event_id") % 4))
+    writes = events.where("event_id % 7 <> 0").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("name"), written.alias("value"), F.col("event_id").alias("seq"))
+    return records.upsert_fields(fields, writes).select("doc_id", "page", "name", "kind", "value", "checked")
+
+
 @register("SELECT user_id AS doc_id, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS names, count(DISTINCT event_type) AS n_fields FROM events GROUP BY user_id")
 def field_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_type").alias("name"))
@@ -567,6 +581,23 @@ def nearest_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.nearest_end(points, spots, 1e9).select("spot_id", "chain", "which", *rounded("d"))
 
 
+@register(sql.STROKE_EDITS)
+def stroke_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Polylines cut in two; a drag joins the halves of even images, end to begin, and cuts those of odd ones."""
+    last = F.max("ord").over(Window.partitionBy("img_id"))
+    half = F.col("ord") > F.floor(last / 2)
+    along = Window.partitionBy("img_id", "chain").orderBy("at")
+    halves = strokes(spark, sf_dir).select("img_id", half.cast("int").alias("chain"), F.col("ord").alias("at"), "x", "y").withColumn("ord", F.row_number().over(along) - 1)
+    points = halves.where("chain is not null").select("img_id", "chain", "ord", "x", "y")
+    ends = points.groupBy("img_id").agg(
+        F.max_by(F.struct("x", "y"), F.when(F.col("chain") == 0, F.col("ord"))).alias("a"), F.min_by(F.struct("x", "y"), F.when(F.col("chain") == 1, F.col("ord"))).alias("b"), F.max("x").alias("far")
+    )
+    joins = (F.col("img_id") % 2 == 0) & F.col("b").isNotNull()
+    spot = lambda field, other: F.when(joins, F.col(field)).otherwise(other)
+    drags = ends.select("img_id", spot("a.x", F.lit(-1.5)).alias("ax"), spot("a.y", F.lit(20.25)).alias("ay"), spot("b.x", F.col("far") + 1.5).alias("bx"), spot("b.y", F.lit(60.75)).alias("by"))
+    return vector.edit_strokes(points, drags, 1e-6).select("img_id", "chain", "ord", *even("x", "y"))
+
+
 # scalars
 
 

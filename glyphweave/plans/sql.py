@@ -387,3 +387,23 @@ def _hits(source: str) -> str:
 
 REFRESHED = f"""SELECT doc_id, coalesce(b.n, 0) AS n_before, coalesce(a.n, 0) AS n_after, CASE WHEN a.n > 0 AND b.n > 0 THEN least(b.n - 1, a.n - 1) END AS current
 FROM ({_hits('documents')}) b FULL JOIN ({_hits(EDITED)}) a USING (doc_id)"""
+
+FIELDS_BY_KIND = """WITH writes AS (SELECT user_id AS doc_id, event_type AS name, arg_max(CASE WHEN event_id % 5 = 0 THEN 'true' ELSE 'o' || event_id % 4 END, event_id) AS new FROM events WHERE event_id % 7 <> 0 GROUP BY ALL),
+fields AS (SELECT user_id AS doc_id, event_id AS page, event_type AS name, ['text', 'checkbox', 'radio', 'dropdown'][event_id % 4 + 1] AS kind, 'o' || event_id % 3 AS mine FROM events),
+met AS (SELECT f.*, new, new IS NOT NULL AND (kind <> 'dropdown' OR new IN ('o1', 'o2')) AS fits FROM fields f LEFT JOIN writes w ON f.doc_id = w.doc_id AND f.name = w.name)
+SELECT doc_id, page, name, kind, CASE WHEN fits AND kind <> 'checkbox' THEN new ELSE 'old' END AS value,
+  CASE WHEN fits AND kind = 'checkbox' THEN new = 'true' WHEN fits AND kind = 'radio' THEN new = mine ELSE FALSE END AS checked FROM met"""
+
+STROKE_EDITS = STROKES + f""", halved AS (SELECT *, CASE WHEN ord > floor(max(ord) OVER (PARTITION BY img_id) / 2) THEN 1 ELSE 0 END AS chain, count(*) OVER (PARTITION BY img_id) AS n FROM s),
+joined AS (SELECT img_id, 0 AS chain, ord, x, y FROM halved WHERE img_id % 2 = 0 AND n > 1),
+rest AS (SELECT * FROM halved WHERE NOT (img_id % 2 = 0 AND n > 1)),
+seg AS (SELECT *, lead(x) OVER o AS x3, lead(y) OVER o AS y3, max(x) OVER (PARTITION BY img_id) + 1.5 AS bx FROM rest WINDOW o AS (PARTITION BY img_id, chain ORDER BY ord)),
+met AS (SELECT *, (x3 - x) * 40.5 - (y3 - y) * (bx + 1.5) AS across, ((-1.5 - x) * 40.5 - (20.25 - y) * (bx + 1.5)) AS tn, ((-1.5 - x) * (y3 - y) - (20.25 - y) * (x3 - x)) AS un FROM seg WHERE x3 IS NOT NULL),
+cuts AS (SELECT *, tn / across AS t FROM met WHERE abs(across) >= 1e-9 AND tn / across > 1e-6 AND tn / across < 1 - 1e-6 AND un / across > 1e-6 AND un / across < 1 - 1e-6),
+parts AS (
+  SELECT img_id, chain, ord, 0 AS side, x, y FROM rest
+  UNION ALL SELECT img_id, chain, ord, 1, x + t * (x3 - x), y + t * (y3 - y) FROM cuts
+  UNION ALL SELECT img_id, chain, ord, 2, x + t * (x3 - x), y + t * (y3 - y) FROM cuts),
+numbered AS (SELECT *, sum(CASE WHEN side = 2 THEN 1 ELSE 0 END) OVER (PARTITION BY img_id, chain ORDER BY ord, side ROWS UNBOUNDED PRECEDING) AS part FROM parts),
+cut AS (SELECT img_id, dense_rank() OVER (PARTITION BY img_id ORDER BY chain, part) - 1 AS chain, row_number() OVER (PARTITION BY img_id, chain, part ORDER BY ord, side) - 1 AS ord, x, y FROM numbered)
+SELECT img_id, chain, ord, {_even('x')} AS x, {_even('y')} AS y FROM (SELECT * FROM joined UNION ALL SELECT * FROM cut)"""

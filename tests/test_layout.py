@@ -354,3 +354,10 @@ def test_measured_wrapping_of_odd_widths(spark, capsys):
                 longer = word
             current = longer
         assert got[k] == [*lines_, current], k
+
+
+def test_shed_keeps_the_longest_chains(spark):
+    """Of five chains the shortest goes, of two equal ones the later, and a lone one stays."""
+    rows = [(1, c, k, float(k * n), 0.0) for c, n in enumerate((3, 1, 4, 1, 5)) for k in range(2)] + [(2, 7, 0, 0.0, 0.0)]
+    left = vector.shed(spark.createDataFrame(rows, "img_id int, chain int, ord int, x double, y double"))
+    assert sorted((r.img_id, r.chain) for r in left.select("img_id", "chain").distinct().collect()) == [(1, 0), (1, 1), (1, 2), (1, 4), (2, 7)]
