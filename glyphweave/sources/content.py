@@ -45,7 +45,7 @@ def parse_operations(pages: DataFrame, piece: int | None = PIECE) -> DataFrame:
     outside), kind is n (number), s (string), / (name), b (true, false or null), [ (an array, whose items
     follow) or j (anything else, as JSON). Null contents have no operations. Pages of over
     `piece` bytes are cut where operations end, and their parts are read by several tasks,
-    for which `pages` is read three times; without `piece` every page is read whole, and once.
+    for which `pages` is read three times and must be the same each time; without `piece` every page is read whole, and once.
     """
     kept = pages.select("doc_id", "page", "content").where("content is not null")
     short = kept if piece is None else kept.where(F.octet_length("content") <= piece)

@@ -4,8 +4,10 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from glyphweave.operators import lines, words
+from glyphweave.plans import bridge
 from glyphweave.sources import content, lexing
 
 
@@ -138,3 +140,13 @@ def test_segments_show_as_whole_pages(spark):
         assert len(whole) > 2000 and len({r[:3] for r in whole}) == len(whole)
         for a, b in zip(whole, cut, strict=True):
             assert a[:5] == b[:5] and a[9:] == b[9:] and b[5:9] == pytest.approx(a[5:9])
+
+
+@pytest.mark.parametrize("made", [lambda *a: bridge.drawing_pages(*a), lambda *a: bridge.label_pages(*a)[0]])
+def test_pages_of_items_do_not_follow_the_order_of_rows(spark, sf, tmp_path, made):
+    """Long pages are read several times: they must be the same each time, in whatever order their rows arrive."""
+    items, read = spark.read.parquet(f"{sf}/lineitem.parquet"), []
+    for n, by in enumerate((F.xxhash64("l_orderkey", "l_partkey"), F.xxhash64("l_partkey", "l_suppkey"))):
+        items.repartition(3, by).sortWithinPartitions(by).write.parquet(f"{tmp_path}/{n}/lineitem.parquet")
+        read.append({r["doc_id"]: bytes(r["content"]) for r in made(spark, f"{tmp_path}/{n}", 2500).collect()})
+    assert read[0] == read[1]
