@@ -20,7 +20,7 @@ def detect_words(glyphs: DataFrame) -> DataFrame:
     by 0.01 or more, at a baseline off by 0.15 of its height or more, at a gap over
     0.19 of its height plus 0.5, or at a step back by more than its height.
     Returns doc_id, page, word_ord, text, x, y, w, h, baseline, font_res, font_size,
-    glyph_lo, glyph_hi. One exchange on the page serves both windows and the sums.
+    glyph_lo, glyph_hi. One exchange on the page serves both windows and the sums, and none if glyphs are dealt by page.
     """
     flow = Window.partitionBy(*PAGE).orderBy("glyph_ord")
     gap = F.col("x") - (F.lag("x").over(flow) + F.lag("width").over(flow))
@@ -33,8 +33,7 @@ def detect_words(glyphs: DataFrame) -> DataFrame:
         & ~F.lag("gone").over(flow)
     )
     marked = (
-        glyphs.repartition(*PAGE)
-        .withColumn("gone", separates(F.coalesce("unicode", F.lit(""))))
+        glyphs.withColumn("gone", separates(F.coalesce("unicode", F.lit(""))))
         .withColumn("starts", F.when(F.coalesce(fits, F.lit(False)), 0).otherwise(1))
         .withColumn("run", F.sum("starts").over(flow.rowsBetween(Window.unboundedPreceding, 0)))
         .where(~F.col("gone"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphweave.functions import fontmetrics, geometry, text
 from glyphweave.operators import blocks, lines, pageops, placement, records, regions, search, vector, words
+from glyphweave.plans import bridge
 from glyphweave.plans.bridge import layout
 
 
@@ -361,3 +362,10 @@ def test_shed_keeps_the_longest_chains(spark):
     rows = [(1, c, k, float(k * n), 0.0) for c, n in enumerate((3, 1, 4, 1, 5)) for k in range(2)] + [(2, 7, 0, 0.0, 0.0)]
     left = vector.shed(spark.createDataFrame(rows, "img_id int, chain int, ord int, x double, y double"))
     assert sorted((r.img_id, r.chain) for r in left.select("img_id", "chain").distinct().collect()) == [(1, 0), (1, 1), (1, 2), (1, 4), (2, 7)]
+
+
+def test_tasks_follow_the_text_and_not_its_shuffled_bytes(spark):
+    """Ten million characters that pack well: a task lays out two million as words, one million as glyphs."""
+    docs = spark.range(40).selectExpr("id AS doc_id", "repeat('word ', 50000) AS text")
+    assert bridge.bridge_words(docs).rdd.getNumPartitions() == 5
+    assert words.detect_words(bridge.bridge_glyphs(docs)).rdd.getNumPartitions() == 10
