@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphweave.sources.content import key_runs
+
 PAGE = ["doc_id", "page"]
 
 
@@ -55,3 +61,68 @@ def detect_words(glyphs: DataFrame) -> DataFrame:
     return words.withColumn("word_ord", order).select(
         *PAGE, "word_ord", "text", "x", "y", "w", "h", "baseline", "font_res", "font_size", "glyph_lo", "glyph_hi"
     )
+
+
+WORD_SCHEMA = (
+    "doc_id long, page int, word_ord int, text string, x double, y double, w double, h double, baseline double,"
+    " font_res string, font_size double, glyph_lo long, glyph_hi long"
+)
+
+
+def _page_glyphs(page: pa.Table) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Columns of one page's glyphs, in order, and the word of each by the rule of `detect_words`; -1 for separators."""
+    names = ("glyph_ord", "unicode", "x", "y", "width", "height", "font_res", "font_size")
+    c = {n: page.column(n).to_numpy() for n in names}
+    gone = np.array([char is None or char in (" ", "\u00a0", "") for char in c["unicode"].tolist()])
+    font, size, x, y, high = c["font_res"], c["font_size"], c["x"], c["y"], c["height"][1:]
+    gap = x[1:] - (x[:-1] + c["width"][:-1])
+    fits = (font[1:] == font[:-1]) & ~np.equal(font[1:], None) & (np.abs(size[1:] - size[:-1]) < 0.01) & (np.abs(y[1:] - y[:-1]) < 0.15 * high)
+    fits &= (gap <= 0.19 * high + 0.5) & (gap >= -high) & ~gone[:-1]
+    run = np.cumsum(np.append(True, ~fits.astype(bool)))
+    word = np.full(len(run), -1)
+    word[~gone] = np.unique(run[~gone], return_inverse=True)[1]
+    return c, word
+
+
+def number_glyphs(glyphs: DataFrame) -> DataFrame:
+    """`glyphs` with the word_ord that `detect_words` gives each one's word; separators go.
+
+    Nothing is shuffled: a page's glyphs must follow each other in order in one task, as `extract_glyphs` without `block` leaves them.
+    """
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for page in key_runs(batches, PAGE):
+            word = _page_glyphs(page)[1]
+            yield from page.append_column("word_ord", pa.array(word.astype(np.int32))).filter(pa.array(word >= 0)).to_batches()
+
+    return glyphs.mapInArrow(number, glyphs.select("*", F.lit(0).alias("word_ord")).schema)
+
+
+def page_words(glyphs: DataFrame) -> DataFrame:
+    """`detect_words` of glyphs that lie page by page, as `number_glyphs` asks; nothing is shuffled."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for page in key_runs(batches, PAGE):
+            c, word = _page_glyphs(page)
+            kept = word >= 0
+            if not kept.any():
+                continue
+            c, word = {k: v[kept] for k, v in c.items()}, word[kept]
+            at = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+            ends = np.append(at[1:], len(word))
+            low = c["y"] - 0.22 * c["height"]
+            x, y = np.minimum.reduceat(c["x"], at), np.minimum.reduceat(low, at)
+            chars = c["unicode"].tolist()
+            text = ["".join(chars[a:b]) for a, b in zip(at.tolist(), ends.tolist(), strict=True)]
+            right, top = np.maximum.reduceat(c["x"] + c["width"], at), np.maximum.reduceat(low + c["height"], at)
+            keys = [np.repeat(page.column(k)[0].as_py(), len(at)) for k in PAGE]
+            columns = [
+                *keys, np.arange(len(at)), text, x, y, right - x, top - y, c["y"][at], c["font_res"][at], c["font_size"][at], c["glyph_ord"][at], c["glyph_ord"][ends - 1],
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, _WORD_TYPES, strict=True)], names=_WORD_NAMES)
+
+    return glyphs.mapInArrow(found, WORD_SCHEMA)
+
+
+_WORD_NAMES = [f.split()[0] for f in WORD_SCHEMA.split(", ")]
+_WORD_TYPES = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}[f.split()[1]] for f in WORD_SCHEMA.split(", ")]

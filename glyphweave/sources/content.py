@@ -370,7 +370,7 @@ SHOWING = (*PLACING, "BT", "Td", "Tm", "T*", "Tj", "'", "TJ")
 _KEY = ["doc_id", "page", "segment"]
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+def key_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Runs of equal keys in sorted batches, each run whole."""
     held: list[pa.RecordBatch] = []
     before = None
@@ -421,12 +421,12 @@ def _entries(kept: DataFrame, strict: bool) -> DataFrame:
     """
 
     def effects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _runs(batches, _KEY):
+        for run in key_runs(batches, _KEY):
             effect = effect_of(zip(run.column("op").to_pylist(), _leaves(run.column("operands")), strict=True), strict)
             yield pa.RecordBatch.from_arrays([*(run.column(k).slice(0, 1).combine_chunks() for k in _KEY), pa.array([json.dumps(effect)])], names=[*_KEY, "effect"])
 
     def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _runs(batches, _KEY[:2]):
+        for run in key_runs(batches, _KEY[:2]):
             state, found = State(strict), []
             for effect in run.column("effect").to_pylist():
                 found.append(state.entry())
@@ -439,14 +439,15 @@ def _entries(kept: DataFrame, strict: bool) -> DataFrame:
     return told.repartition(*_KEY[:2]).sortWithinPartitions(*_KEY).mapInArrow(compose, "doc_id long, page int, segment int, entry string")
 
 
-def extract_glyphs(ops: DataFrame, fonts: DataFrame, strict: bool = False, block: int | None = None) -> DataFrame:
+def extract_glyphs(ops: DataFrame, fonts: DataFrame, strict: bool = False, block: int | None = None, tasks: int | None = None) -> DataFrame:
     """GLYPH_SCHEMA rows of operations: glyph_ord ascends in the order of a page's strings and characters.
 
     q and Q keep only the page matrix, as the files this reads expect; with `strict` they
     keep the text state too. Operations that show and move nothing are dropped before the shuffle.
     With `block` (such as BLOCK), a page of over so many operations is cut at text objects (BT) and absolute places (Tm), one a block at
     most; its segments are folded by tasks of their own, from the states that the effects of those before add up to.
-    `ops` is read several times then; without `block` every page is one segment, and it is read once.
+    `ops` is read several times then; without `block` every page is one segment, and it is read once: its glyphs follow each other in one task.
+    Pages are dealt over so many `tasks`, if given.
     """
     page = ["doc_id", "page"]
     shown = ops.where(ops["op"].isin(*SHOWING)).select(*page, "op_index", "op", "operands")
@@ -460,11 +461,11 @@ def extract_glyphs(ops: DataFrame, fonts: DataFrame, strict: bool = False, block
         starts = starts.unionByName(entries.join(known, page).select(*_KEY, "entry", "fonts"))
     heads = starts.select(*_KEY, F.lit(-1).alias("op_index"), F.lit(None).cast("string").alias("op"), F.lit(None).cast(OPERANDS).alias("operands"), "entry", "fonts")
     nothing = F.lit(None).cast("string").alias("entry"), F.lit(None).cast(known.schema["fonts"].dataType).alias("fonts")
-    dealt = kept.select("*", *nothing).unionByName(heads).repartition(*_KEY).sortWithinPartitions(*_KEY, "op_index")
+    dealt = kept.select("*", *nothing).unionByName(heads).repartition(*([tasks] if tasks else []), *_KEY).sortWithinPartitions(*_KEY, "op_index")
     names = [f.split()[0] for f in GLYPH_SCHEMA.split(", ")]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _runs(batches, _KEY):
+        for run in key_runs(batches, _KEY):
             index = run.column("op_index")
             if index[0].as_py() >= 0:  # a page without fonts shows nothing
                 continue
