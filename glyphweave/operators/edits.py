@@ -13,7 +13,7 @@ from typing import Any
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphweave.operators import regions
@@ -166,17 +166,21 @@ def rebuilt_operation(op: str, operands: list, inserts: list[Insert]) -> bytes:
     return b" ".join(parts)
 
 
-def apply_edits(pages: DataFrame, ops: DataFrame, edits: DataFrame) -> DataFrame:
+def apply_edits(pages: DataFrame, ops: DataFrame, edits: DataFrame, why: str | None = None) -> DataFrame:
     """EDITED rows of the pages that `edits` (EDIT, and REBUILT if they have it) name: `pages` (doc_id, page, content), `ops` as parsed from them.
 
-    Only named operations are carried along; pages without edits are not touched.
+    Only named operations are carried along; pages without edits give no row. Edits that are marked as `failed`, if there is
+    such a column, change nothing and give `why` as the error. `edits` is read once.
     """
     if "lines" not in edits.columns:
         edits = edits.select("*", *(F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in REBUILT.split(", ")))
-    named = edits.join(ops.select(*PAGE, "op_index", "op", "operands", "start", "end"), [*PAGE, "op_index"])
-    touched = pages.select(*PAGE, "content").join(edits.select(*PAGE).distinct(), PAGE, "left_semi")
+    if "failed" not in edits.columns:
+        edits = edits.withColumn("failed", F.lit(False))
+    named = edits.join(ops.select(*PAGE, "op_index", "op", "operands", "start", "end"), [*PAGE, "op_index"], "left")
 
     def fold(key: tuple, page: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
+        asked, failed = len(changes), changes["failed"].any()
+        changes = changes[~changes["failed"].astype(bool) & changes["start"].notna()]
         content, error, parts = bytes(page["content"].iloc[0] or b"") if len(page) else b"", None, []
         for (start, end), group in changes.groupby(["start", "end"]):
             inserts = [
@@ -193,11 +197,12 @@ def apply_edits(pages: DataFrame, ops: DataFrame, edits: DataFrame) -> DataFrame
                 parts.append((int(start), int(end), edited_operation(op, operands, [(i.item, i.start, i.end, i.replacement) for i in inserts])))
         try:
             content = splice(content, parts)
-        except ValueError as failed:
-            error = str(failed)
-        return pd.DataFrame([(*key, content, len(changes), error)], columns=["doc_id", "page", "content", "n_edits", "error"])
+        except ValueError as broken:
+            error = str(broken)
+        found = [(*key, content, len(changes), error or (why if failed else None))] if asked else []
+        return pd.DataFrame(found, columns=["doc_id", "page", "content", "n_edits", "error"])
 
-    return touched.groupBy(*PAGE).cogroup(named.groupBy(*PAGE)).applyInPandas(fold, EDITED)
+    return pages.select(*PAGE, "content").groupBy(*PAGE).cogroup(named.groupBy(*PAGE)).applyInPandas(fold, EDITED)
 
 
 def _rectangles() -> Column:
@@ -270,22 +275,48 @@ def free_names(fonts: DataFrame, asked: DataFrame, stem: str = "A2FB") -> DataFr
 
 
 def _coded(asked: DataFrame) -> DataFrame:
-    """`asked` (doc_id, page, run, new_text, own, limit) to doc_id, page, run, lines and whether the stand-in font shows them; null lines if neither font can."""
+    """`asked` (new_text, own, limit and more) with the lines to show and whether the stand-in font shows them; null lines if neither font can."""
+    shape = asked.drop("own").select("*", F.lit(None).cast("array<binary>").alias("lines"), F.lit(False).alias("other")).schema
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stand_in = Font(STAND_IN)
+        stand_in, last, coded = Font(STAND_IN), None, (None, False)
         for batch in batches:
             rows = []
             for text, own, limit in zip(*(batch.column(c).to_pylist() for c in ("new_text", "own", "limit")), strict=True):
-                font = font_of(own) if own else None
-                other = font is None or font.encode(text) is None
-                font = stand_in if other else font
-                lines = [font.encode(line) for line in wrapped(text, font.measure, limit)]
-                rows.append((None, False) if None in lines else (lines, other))
+                if (text, own, limit) != last:  # strings of a run follow each other
+                    font = font_of(own) if own else None
+                    other = font is None or font.encode(text) is None
+                    font = stand_in if other else font
+                    lines = [font.encode(line) for line in wrapped(text, font.measure, limit)]
+                    last, coded = (text, own, limit), ((None, False) if None in lines else (lines, other))
+                rows.append(coded)
             lines_, others = zip(*rows, strict=True) if rows else ((), ())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*PAGE, "run")), pa.array(lines_, pa.list_(pa.binary())), pa.array(others, pa.bool_())], names=[*PAGE, "run", "lines", "other"])
+            kept = [f.name for f in shape][:-2]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(lines_, pa.list_(pa.binary())), pa.array(others, pa.bool_())], names=[*kept, "lines", "other"])
 
-    return asked.select(*PAGE, "run", "new_text", "own", "limit").mapInArrow(code, "doc_id long, page int, run long, lines array<binary>, other boolean")
+    return asked.mapInArrow(code, shape)
+
+
+def _spans(glyphs: DataFrame, fonts: DataFrame, wanted: DataFrame, how: str = "inner") -> DataFrame:
+    """Strings that the runs of `wanted` (doc_id, page, run, run_end, font_res, font_size, new_text, max_width, leading) lie in, with the new lines; `leads` marks a run's first one.
+
+    Glyphs, fonts and `wanted` are read once: a run's rows meet in windows, not in joins with themselves. With
+    `how` as left, a run without glyphs has a row without a string.
+    """
+    needed = glyphs.select(F.col("doc_id").alias("of_doc"), F.col("page").alias("of_page"), "glyph_ord", "op_index", "item_index", "byte_offset", "byte_length", "height")
+    runs = wanted.join(needed, F.expr("doc_id = of_doc and page = of_page and glyph_ord between run and run_end"), how)
+    strings = runs.groupBy(*PAGE, "run", "font_res", "font_size", "new_text", "max_width", "leading", "op_index", "item_index").agg(
+        F.min("byte_offset").alias("span_start"), F.max(F.col("byte_offset") + F.col("byte_length")).alias("span_end"), F.min(F.struct("glyph_ord", "height")).alias("begin")
+    )
+    place = F.struct("op_index", F.coalesce("item_index", F.lit(-1)).alias("item"))
+    run = Window.partitionBy(*PAGE, "run")
+    placed = strings.withColumn("leads", place == F.min(place).over(run)).withColumn("height", F.min("begin").over(run)["height"]).drop("begin")
+    scaled = placed.withColumn("scale", F.when(F.col("font_size") > 0, F.col("height") / F.col("font_size")).otherwise(F.lit(1.0)))
+    limit = F.when((F.col("scale") > 0) & (F.col("font_size") > 0), F.col("max_width") / (F.col("font_size") * F.col("scale")) * 1000)
+    step = F.coalesce(F.col("leading") / F.when(F.col("scale") == 0, 1.0).otherwise(F.col("scale")), F.col("font_size") * 1.25)
+    own = fonts.select(*PAGE, "font_res", F.struct(*(c for c in fonts.columns if c not in (*PAGE, "font_res"))).alias("own"))
+    asked = scaled.select("*", limit.alias("limit"), step.alias("step")).join(own, [*PAGE, "font_res"], "left")
+    return _coded(asked)
 
 
 def rewrite_text(pages: DataFrame, ops: DataFrame, glyphs: DataFrame, fonts: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -305,35 +336,18 @@ def rewrite_text(pages: DataFrame, ops: DataFrame, glyphs: DataFrame, fonts: Dat
         *PAGE, F.col("glyph_lo").cast("long").alias("run"), F.col("glyph_hi").cast("long").alias("run_end"), "font_res", F.col("font_size").cast("double").alias("font_size"),
         F.trim(F.regexp_replace("new_text", r"(?U)\s+", " ")).alias("new_text"), F.col("max_width").cast("double").alias("max_width"), F.col("leading").cast("double").alias("leading"),
     ).where("new_text <> ''")
-    runs = glyphs.join(wanted.select(*PAGE, "run", "run_end"), PAGE).where("glyph_ord between run and run_end")
-    groups = regions.source_groups(runs, [*PAGE, "run"])
-    place = F.struct("op_index", F.coalesce("item_index", F.lit(-1)).alias("item"))
-    firsts = runs.groupBy(*PAGE, "run").agg(F.min(place).alias("first"), F.min_by("height", "glyph_ord").alias("height"))
-    scaled = wanted.join(firsts, [*PAGE, "run"]).withColumn("scale", F.when(F.col("font_size") > 0, F.col("height") / F.col("font_size")).otherwise(F.lit(1.0)))
-    limit = F.when((F.col("scale") > 0) & (F.col("font_size") > 0), F.col("max_width") / (F.col("font_size") * F.col("scale")) * 1000)
-    step = F.coalesce(F.col("leading") / F.when(F.col("scale") == 0, 1.0).otherwise(F.col("scale")), F.col("font_size") * 1.25)
-    own = fonts.select(*PAGE, "font_res", F.struct(*(c for c in fonts.columns if c not in (*PAGE, "font_res"))).alias("own"))
-    asked = scaled.select("*", limit.alias("limit"), step.alias("step")).join(own, [*PAGE, "font_res"], "left")
-    coded = _coded(asked)
-    names = free_names(fonts, coded.where("other"))
-    leads = place == F.col("first")
-    done = asked.select(*PAGE, "run", "first", "font_res", "font_size", "step").join(coded.where("lines is not null"), [*PAGE, "run"])
-    spans = groups.join(done, [*PAGE, "run"]).join(names, PAGE, "left")
-    apart = leads & (F.col("other") | (F.size("lines") > 1))
+    spans = _spans(glyphs, fonts, wanted)
+    # names from the fonts alone, so that spans are made once
+    named = spans.join(free_names(fonts, fonts), PAGE, "left").withColumn("switch", F.coalesce("switch", F.lit("A2FB")))
+    apart = F.col("leads") & (F.col("other") | (F.size("lines") > 1))
     nothing = F.lit(b"").cast("binary")
-    edits = spans.select(
-        *PAGE, "op_index", "item_index", "span_start", "span_end", F.when(leads & ~apart, F.col("lines")[0]).otherwise(nothing).alias("replacement"),
+    edits = named.select(
+        *PAGE, "op_index", "item_index", "span_start", "span_end", F.when(F.col("leads") & ~apart, F.col("lines")[0]).otherwise(nothing).alias("replacement"),
         F.when(apart, F.col("lines")).alias("lines"), F.when(apart & F.col("other"), F.col("switch")).alias("switch"), "font_res", "font_size", F.col("step").alias("leading"),
+        F.col("lines").isNull().alias("failed"),
     )
-    edited = apply_edits(pages, ops, edits)
-    failed = coded.where("lines is null").groupBy(*PAGE).agg(F.count("*").alias("n_failed"))
-    kept = pages.select(*PAGE, F.col("content").alias("before"))
-    rows = edited.join(failed, PAGE, "full").join(kept, PAGE).select(
-        *PAGE,
-        F.coalesce("content", "before").alias("content"),
-        F.coalesce("n_edits", F.lit(0)).alias("n_edits"),
-        F.coalesce("error", F.when(F.col("n_failed") > 0, "text has characters that no font at hand can encode")).alias("error"),
-    )
+    rows = apply_edits(pages, ops, edits, "text has characters that no font at hand can encode")
+    names = free_names(fonts, spans.where("other"))
     return rows, names.select(*PAGE, F.col("switch").alias("font_res"), *(F.lit(v).alias(k) for k, v in STAND_IN.items()))
 
 
@@ -342,22 +356,15 @@ def replace_text(pages: DataFrame, ops: DataFrame, glyphs: DataFrame, fonts: Dat
 
     A text that the font can't encode changes nothing and is named in `error`. Returns EDITED rows of the pages with targets.
     """
-    wanted = targets.withColumn("new_text", F.trim(F.regexp_replace("new_text", r"(?U)\s+", " "))).where("new_text <> ''")
-    own = fonts.select(*PAGE, "font_res", F.struct(*(c for c in fonts.columns if c not in (*PAGE, "font_res"))).alias("own"))
-    asked = wanted.withColumn("run", F.col("glyph_lo").cast("long")).join(own, [*PAGE, "font_res"], "left").withColumn("limit", F.lit(None).cast("double"))
-    coded = _coded(asked).withColumn("coded", F.when(~F.col("other"), F.col("lines")[0]))
-    runs = glyphs.join(wanted.select(*PAGE, F.col("glyph_lo").cast("long").alias("run"), F.col("glyph_hi").alias("run_end")), PAGE).where("glyph_ord between run and run_end")
-    place = F.struct("op_index", F.coalesce("item_index", F.lit(-1)).alias("item"))
-    spans = regions.source_groups(runs, [*PAGE, "run"])
-    first = spans.groupBy(*PAGE, "run").agg(F.min(place).alias("first"))
-    joined = spans.join(first, [*PAGE, "run"]).join(coded.where("coded is not null"), [*PAGE, "run"])
-    edits = joined.withColumn("replacement", F.when(place == F.col("first"), F.col("coded")).otherwise(F.lit(b"").cast("binary")))
-    edited = apply_edits(pages, ops, edits.select(*(c.split()[0] for c in EDIT.split(", "))))
-    failed = coded.where("coded is null").groupBy(*PAGE).agg(F.count("*").alias("n_failed"))
-    kept = pages.select(*PAGE, F.col("content").alias("before"))
-    return edited.join(failed, PAGE, "full").join(kept, PAGE).select(
-        *PAGE,
-        F.coalesce("content", "before").alias("content"),
-        F.coalesce("n_edits", F.lit(0)).alias("n_edits"),
-        F.coalesce("error", F.when(F.col("n_failed") > 0, "text has characters that its font can't encode")).alias("error"),
-    )
+    missing = F.lit(None).cast("double")
+    new_text = F.trim(F.regexp_replace("new_text", r"(?U)\s+", " "))
+    wanted = targets.select(
+        *PAGE, F.col("glyph_lo").cast("long").alias("run"), F.col("glyph_hi").cast("long").alias("run_end"), "font_res",
+        missing.alias("font_size"), new_text.alias("new_text"), missing.alias("max_width"), missing.alias("leading"),
+    ).where("new_text <> ''")
+    spans = _spans(glyphs, fonts, wanted, "left").select(
+        *PAGE, "op_index", "item_index", "span_start", "span_end", F.when(F.col("leads"), F.col("lines")[0]).otherwise(F.lit(b"").cast("binary")).alias("replacement"),
+        (F.col("other") | F.col("lines").isNull()).alias("failed"),
+    )
+    edits = spans.where("failed or op_index is not null")
+    return apply_edits(pages, ops, edits, "text has characters that its font can't encode")

@@ -137,3 +137,11 @@ def test_replacement(spark, parts):
     got = {r.page: r.error for r in done.collect()}
     assert got[0] is None and "encode" in got[1]
     assert texts(done, fonts) == {0: ["SECRET", "new", "text"], 1: ["SECRET", "PUBLIC"]}
+
+
+def test_edits_read_pages_few_times(spark, sf):
+    """Pages were parsed and folded for every branch of an edit: 47 Arrow stages in a reflow."""
+    from glyphweave.plans.catalog import QUERIES
+
+    plan = QUERIES["content_reflow"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") <= 10
