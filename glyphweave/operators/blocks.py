@@ -79,6 +79,14 @@ def group_cells(placed: DataFrame) -> DataFrame:
     return number_cells(placed).groupBy(*PAGE, "line_ord", "cell").agg(text.alias("text"), F.count("*").alias("n_words"), F.min("x").alias("x"))
 
 
+def line_cells(lines: DataFrame) -> DataFrame:
+    """group_cells of lines that hold their words, each with its cell; every line's words are added up where they lie."""
+    own = lambda k: F.filter("words", lambda w: w["cell"] == k)
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("column_gaps")), lambda k: F.struct(k.cast("int").alias("cell"), own(k).alias("own")))
+    rows = lines.select(*PAGE, "line_ord", F.inline(cells))
+    return rows.select(*PAGE, "line_ord", "cell", F.array_join("own.text", " ").alias("text"), F.size("own").cast("long").alias("n_words"), F.array_min("own.x").alias("x"))
+
+
 def leading(lines: DataFrame) -> DataFrame:
     """Distance of the first two baselines of each block; 1.25 of the size for a single line."""
     down = Window.partitionBy(*PAGE, "block_ord").orderBy("line_ord")

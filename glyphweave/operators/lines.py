@@ -3,15 +3,21 @@
 The rule is first fit in reading order: a word joins the first line whose baseline,
 frozen at its first word, lies within a quarter of the word's size (1 at least).
 A word's line is then also the first that fits it among all lines of the page, and
-words of the same baseline and size share it. So only a page's few kinds of words
-are folded, inside one row for each page; the words themselves are carried along.
+words of the same baseline and size share it. So only a page's few runs of such words
+are folded, in one row for each page; columns of all its words are numbered and added up at once.
 """
 
 from __future__ import annotations
 
+from itertools import pairwise
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from glyphweave.operators.words import PAGE
 
@@ -32,29 +38,187 @@ def first_fit(page: pd.DataFrame) -> pd.DataFrame:
     return page.assign(line_ord=[place[c] for c in chosen], line_baseline=[frozen[c] for c in chosen])
 
 
+def flat(words: pa.Array, *names: str) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The row of each word in a column of lists of structs, and some of their fields."""
+    held = words.flatten()
+    return pc.list_parent_indices(words).to_numpy(), [held.field(n).to_numpy(zero_copy_only=False) for n in names]
+
+
+def listed(counts: np.ndarray, columns: dict[str, pa.Array]) -> pa.ListArray:
+    """Lists of structs of so many elements each."""
+    struct = pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), struct)
+
+
+def before(amounts: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of what goes before each place in its group; groups begin at `starts` and have such sizes."""
+    sums = np.cumsum(amounts) - amounts
+    return sums - np.repeat(sums[starts], sizes)
+
+
+def fitted(page: np.ndarray, word_ord: np.ndarray, baseline: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """line_ord and line_baseline of each word, by first fit in reading order."""
+    order = np.lexsort((word_ord, page))
+    sorted_ = [c[order] for c in (page, baseline, size)]
+    runs = np.flatnonzero(np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in sorted_]))[: len(order)])
+    of, base, reach = sorted_[0][runs], sorted_[1][runs].tolist(), np.maximum(0.25 * sorted_[2][runs], 1.0).tolist()
+    place, frozen_at = np.zeros(len(runs), np.int32), np.zeros(len(runs))
+    for a, b in pairwise([*np.flatnonzero(np.append(True, of[1:] != of[:-1])[: len(of)]).tolist(), len(of)]):
+        frozen: list[float] = []
+        chosen = []
+        for k in range(a, b):
+            line = next((n for n, held in enumerate(frozen) if abs(held - base[k]) < reach[k]), len(frozen))
+            if line == len(frozen):
+                frozen.append(base[k])
+            chosen.append(line)
+        down = np.argsort(-np.array(frozen), kind="stable")
+        place[a:b], frozen_at[a:b] = np.argsort(down)[chosen], np.array(frozen)[chosen]
+    sizes = np.diff(np.append(runs, len(order)))
+    line_ord, line_baseline = np.empty(len(order), np.int32), np.empty(len(order))
+    line_ord[order], line_baseline[order] = np.repeat(place, sizes), np.repeat(frozen_at, sizes)
+    return line_ord, line_baseline
+
+
+def runs_of(page: np.ndarray, line_ord: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where lines begin among sorted words, and how many words they have."""
+    starts = np.flatnonzero(np.append(True, (page[1:] != page[:-1]) | (line_ord[1:] != line_ord[:-1]))[: len(page)])
+    return starts, np.diff(np.append(starts, len(page)))
+
+
+PLACES = "array<struct<line_ord:int,line_baseline:double,pos:int>>"
+
+
+def word_places(words: pa.Array) -> pa.Array:
+    """line_ord, line_baseline and pos of the words of pages, in the order in which they are held."""
+    page, (word_ord, baseline, size, x) = flat(words, "word_ord", "baseline", "font_size", "x")
+    pos = np.zeros(len(page), np.int32)
+    line_ord, line_baseline = np.zeros(0, np.int32), np.zeros(0)
+    if len(page):
+        line_ord, line_baseline = fitted(page, word_ord, baseline, size)
+        order = np.lexsort((word_ord, x, line_ord, page))
+        starts, sizes = runs_of(page[order], line_ord[order])
+        pos[order] = np.arange(len(page)) - np.repeat(starts, sizes)
+    return listed(np.bincount(page, minlength=len(words)), {"line_ord": pa.array(line_ord), "line_baseline": pa.array(line_baseline), "pos": pa.array(pos)})
+
+
+LINE_WORDS = "array<struct<pos:int,word_ord:int,text:string,x:double,y:double,w:double,h:double,lead:long,cell:int>>"
+LINES = (
+    "array<struct<line_ord:int,x:double,y:double,w:double,h:double,baseline:double,n_words:long,text:string,"
+    f"first_size:double,first_w:double,column_gaps:long,n_chars:long,block_ord:int,kind:string,words:{LINE_WORDS}>>"
+)
+UNITS = (
+    "array<struct<block_ord:int,unit:int,kind:string,text:string,"
+    "words:array<struct<offset:long,text:string,x:double,y:double,w:double,h:double,word_ord:int>>>>"
+)
+
+
+def lines_of_words(words: pa.Array) -> pa.Array:
+    """`detect_lines` of the placed words of pages, with block_ord and kind, in one pass."""
+    page, columns, sizes, own = line_columns(words)
+    held = {k: v if isinstance(v, pa.Array) else pa.array(v, pa.string() if k == "kind" else None) for k, v in columns.items()}
+    return listed(np.bincount(page, minlength=len(words)), held | {"words": listed(sizes, {k: own[k] for k in ("pos", "word_ord", "text", *"xywh", "lead", "cell")})})
+
+
+def units_of_words(words: pa.Array) -> pa.Array:
+    """`search_units` of the lines of pages: a unit's lines follow each other, so it is a run of their words."""
+    page, columns, sizes, own = line_columns(words)
+    paragraph, block = columns["kind"] == "paragraph", columns["block_ord"]
+    at = np.flatnonzero(np.append(True, ~(paragraph[1:] & (block[1:] == block[:-1]) & (page[1:] == page[:-1])))[: len(page)])
+    sizes = np.add.reduceat(sizes, at) if len(at) else sizes
+    starts = np.cumsum(sizes) - sizes
+    chars = pc.utf8_length(own["text"]).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    offset = pa.array(before(chars, starts, sizes) if len(at) else chars)
+    held = listed(sizes, {"offset": offset, **{k: own[k] for k in ("text", *"xywh", "word_ord")}})
+    unit = np.where(paragraph, 0, columns["line_ord"]).astype(np.int32)
+    text = pc.binary_join(pa.ListArray.from_arrays(held.offsets, own["text"]), " ")
+    made = {"block_ord": pa.array(block[at]), "unit": pa.array(unit[at]), "kind": pa.array(columns["kind"][at], pa.string()), "text": text, "words": held}
+    return listed(np.bincount(page[at], minlength=len(words)), made)
+
+
+def blocks_of(page: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray, size: np.ndarray, first_w: np.ndarray, gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """block_ord and kind of each line, by the rules of `detect_blocks` and `with_kinds`."""
+    top = np.append(True, page[1:] != page[:-1])[: len(page)]
+    if not len(page):
+        return np.zeros(0, np.int32), np.zeros(0, object)
+    taller, low = np.maximum(h[:-1], h[1:]), y[1:] + h[1:]
+    aligned = np.abs(x[:-1] - x[1:]) < 2 * taller
+    shared = np.minimum(x[:-1] + w[:-1], x[1:] + w[1:]) - np.maximum(x[:-1], x[1:])
+    breaks = np.append(False, (y[:-1] - low > 0.9 * taller) | (~aligned & (shared <= 0))) & ~top
+    seen = np.cumsum(breaks)
+    pages = np.flatnonzero(top)
+    block_ord = (seen - np.repeat(seen[pages], np.diff(np.append(pages, len(page))))).astype(np.int32)
+    starts = np.flatnonzero(top | breaks)
+    sizes = np.diff(np.append(starts, len(page)))
+    widest = np.maximum.reduceat(w, starts)
+    inner = np.append(~(top | breaks)[1:], False)  # the next line is of the same block
+    loose = inner & np.append(w[:-1] + 0.25 * size[1:] + first_w[1:] <= np.repeat(widest, sizes)[:-1] + 2, False)
+    some, wide = (np.add.reduceat(c.astype(np.int64), starts) for c in (loose, gaps > 0))
+    kind = np.where((sizes >= 2) & (wide >= 2), "table", np.where((sizes < 2) | (widest < 18 * size[starts]) | (some > 0), "lines", "paragraph")).astype(object)
+    return block_ord, np.repeat(kind, sizes)
+
+
+def line_columns(words: pa.Array) -> tuple[np.ndarray, dict[str, np.ndarray | pa.Array], np.ndarray, dict[str, pa.Array]]:
+    """The page of each line, the lines' columns, how many words each has, and the columns of these words, line by line."""
+    page, (word_ord, baseline, size, x, y, w, h) = flat(words, "word_ord", "baseline", "font_size", *"xywh")
+    if not len(page):
+        page = page[:0]
+        word_ord, size = np.zeros(0, np.int32), np.zeros(0)
+        x = y = w = h = baseline = size
+    line_ord, line_baseline = fitted(page, word_ord, baseline, size)
+    order = np.lexsort((word_ord, x, line_ord, page))
+    page, line_ord, line_baseline, word_ord, size, x, y, w, h = (c[order] for c in (page, line_ord, line_baseline, word_ord, size, x, y, w, h))
+    text = words.flatten().field("text").take(pa.array(order))
+    starts, sizes = runs_of(page, line_ord)
+    first = np.zeros(len(page), bool)
+    first[starts] = True
+    wide = np.append(False, x[1:] - (x[:-1] + w[:-1]) >= 1.5 * size[:-1])[: len(page)] & ~first
+    chars = pc.utf8_length(text).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    total = lambda how, c: how.reduceat(c, starts) if len(starts) else c
+    low_x, low_y, right, top = total(np.minimum, x), total(np.minimum, y), total(np.maximum, x + w), total(np.maximum, y + h)
+    pos = (np.arange(len(page)) - np.repeat(starts, sizes)).astype(np.int32)
+    cell = (before(wide.astype(np.int64), starts, sizes) + wide).astype(np.int32)
+    own = {"pos": pos, "word_ord": word_ord.astype(np.int32), "x": x, "y": y, "w": w, "h": h, "lead": before(chars, starts, sizes), "cell": cell}
+    gaps = total(np.add, wide.astype(np.int64))
+    block_ord, kind = blocks_of(page[starts], low_x, low_y, right - low_x, top - low_y, size[starts], w[starts], gaps)
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(starts, len(page)).astype(np.int32)), text), " ")
+    columns = {
+        "line_ord": line_ord[starts], "x": low_x, "y": low_y, "w": right - low_x, "h": top - low_y, "baseline": line_baseline[starts], "n_words": sizes,
+        "text": joined, "first_size": size[starts], "first_w": w[starts], "column_gaps": gaps, "n_chars": total(np.add, chars), "block_ord": block_ord, "kind": kind,
+    }
+    return page[starts], columns, sizes, {**{k: pa.array(v) for k, v in own.items()}, "text": text}
+
+
+def gathered(words: DataFrame) -> DataFrame:
+    """(doc_id, page, words): a row for each page, with all of its words. One exchange on the page, none if words are dealt by it."""
+    return words.groupBy(*PAGE).agg(F.collect_list(F.struct(*(c for c in words.columns if c not in PAGE))).alias("words"))
+
+
+def place_pages(pages: DataFrame) -> DataFrame:
+    """place_words of gathered words."""
+    placed = pages.select(*PAGE, "words", arrow_udf(word_places, PLACES)("words").alias("places"))
+    rows = placed.select(*PAGE, F.explode(F.arrays_zip("words", "places")).alias("w"))
+    return rows.select(*PAGE, "w.words.*", "w.places.*")
+
+
 def place_words(words: DataFrame) -> DataFrame:
     """Add line_ord (from the top), line_baseline and pos (by x, ties in reading order) to words.
 
-    One exchange on the page serves all groupings. A row holds one page's words.
+    One exchange on the page serves all. A row holds one page's words.
     """
-    names = [c for c in words.columns if c not in PAGE]
-    kinds = words.groupBy(*PAGE, "baseline", "font_size").agg(F.min("word_ord").alias("first"), F.collect_list(F.struct(*names)).alias("words"))
-    pages = kinds.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("first", "baseline", "font_size", "words"))).alias("kinds"))
-    fits = lambda line, kind: F.abs(line - kind["baseline"]) < F.greatest(0.25 * kind["font_size"], F.lit(1.0))
-    frozen = F.aggregate(
-        "kinds",
-        F.array().cast("array<double>"),
-        lambda lines, kind: F.when(F.exists(lines, lambda line: fits(line, kind)), lines).otherwise(F.concat(lines, F.array(kind["baseline"]))),
-    )
-    down = F.array_sort(F.transform("frozen", lambda line, k: F.struct((-line).alias("down"), k.alias("made"))))
-    lines = F.transform("falling", lambda line, k: F.struct(line["made"].alias("made"), k.alias("line_ord"), (-line["down"]).alias("line_baseline")))
-    first = lambda kind: F.array_min(F.filter("lines", lambda line: fits(line["line_baseline"], kind)))
-    placed = F.transform("kinds", lambda kind: F.struct(kind["words"].alias("words"), first(kind).alias("line")))
-    found = pages.withColumn("frozen", frozen).withColumn("falling", down).withColumn("lines", lines).select(*PAGE, F.explode(placed).alias("placed"))
-    rows = found.select(*PAGE, F.explode("placed.words").alias("word"), "placed.line")
-    along = Window.partitionBy(*PAGE, "line_ord").orderBy("x", "word_ord")
-    columns = [F.col(c) if c in PAGE else F.col(f"word.{c}").alias(c) for c in words.columns]
-    return rows.select(*columns, "line.line_ord", "line.line_baseline").withColumn("pos", F.row_number().over(along) - 1)
+    return place_pages(gathered(words))
+
+
+def page_lines(pages: DataFrame) -> DataFrame:
+    """detect_lines of the placed words of pages, with block_ord and kind; words stay in the rows of their pages and lines.
+
+    Spark does not know these rows to lie by page any more, so what groups them again should do without `words` and `text`.
+    """
+    return pages.select(*PAGE, F.inline(arrow_udf(lines_of_words, LINES)("words")))
+
+
+def page_units(pages: DataFrame) -> DataFrame:
+    """search_units of pages of words; nothing is shuffled."""
+    return pages.select(*PAGE, F.inline(arrow_udf(units_of_words, UNITS)("words")))
 
 
 def fold_lines(words: DataFrame) -> DataFrame:
