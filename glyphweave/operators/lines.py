@@ -101,6 +101,17 @@ def word_places(words: pa.Array) -> pa.Array:
     return listed(np.bincount(page, minlength=len(words)), {"line_ord": pa.array(line_ord), "line_baseline": pa.array(line_baseline), "pos": pa.array(pos)})
 
 
+def reading_ranks(words: pa.Array) -> pa.Array:
+    """How many words of its page the feed shows before each word, in the order in which they are held."""
+    page, (word_ord, baseline, size, x) = flat(words, "word_ord", "baseline", "font_size", "x")
+    counts = np.bincount(page, minlength=len(words)) if len(page) else np.zeros(len(words), np.int64)
+    ranks = np.zeros(len(page), np.int32)
+    if len(page):
+        line_ord, _ = fitted(page, word_ord, baseline, size)
+        ranks[np.lexsort((word_ord, x, line_ord, page))] = np.arange(len(page)) - np.repeat(np.cumsum(counts) - counts, counts)
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(ranks))
+
+
 LINE_WORDS = "array<struct<pos:int,word_ord:int,text:string,x:double,y:double,w:double,h:double,lead:long,cell:int>>"
 LINES = (
     "array<struct<line_ord:int,x:double,y:double,w:double,h:double,baseline:double,n_words:long,text:string,"

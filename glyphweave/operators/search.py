@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from glyphweave.functions.text import dwell, pivot_index
+from glyphweave.operators.lines import reading_ranks
 from glyphweave.operators.words import PAGE
 
 
@@ -106,3 +108,15 @@ def refreshed_hit(current: Column, hits: Column) -> Column:
 def anchor_positions(feed: DataFrame, anchors: DataFrame) -> DataFrame:
     """Where the feed reaches each anchored word (anchor_id, doc_id, page, word_ord); anchors on no word give no row."""
     return anchors.join(feed, [*PAGE, "word_ord"]).groupBy("anchor_id").agg(F.min("feed_pos").alias("feed_pos"))
+
+
+def page_anchors(pages: DataFrame, word_ord: Column) -> DataFrame:
+    """Where the feed reaches one word of each page (doc_id, page, words): doc_id, page, feed_pos, null if the page lacks that word.
+
+    Words stay in the rows of their pages; only a count and a place of each page are shuffled. Pages of no words have no row.
+    """
+    ranked = pages.select(*PAGE, "words", arrow_udf(reading_ranks, "array<int>")("words").alias("ranks"))
+    at = F.array_position(F.col("words.word_ord"), word_ord).cast("int") - 1
+    counted = ranked.select(*PAGE, F.size("words").alias("n"), F.when(at >= 0, F.get("ranks", at)).alias("rank")).where("n > 0")
+    earlier = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    return counted.select(*PAGE, (F.coalesce(F.sum("n").over(earlier), F.lit(0)) + F.col("rank")).cast("int").alias("feed_pos"))

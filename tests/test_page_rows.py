@@ -1,5 +1,7 @@
 """Layout inside the rows of pages, against the same rules as windows over rows of lines and words."""
 
+from pyspark.sql import functions as F
+
 from glyphweave.operators import blocks, lines, search
 from glyphweave.plans import catalog
 from glyphweave.plans.bridge import typeset, words_of
@@ -47,3 +49,18 @@ def test_pages_without_words_have_no_lines(spark):
 def test_words_are_sorted_and_shuffled_nowhere_for_a_search(spark, sf):
     plan = catalog.search_whole_word(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange ") == 1 and "Sort [" not in plan and "Window [" not in plan
+
+
+def test_anchors_of_page_rows_follow_the_feed(spark):
+    found = odd_words(spark)
+    feed = search.reading_feed(lines.place_words(found)).select("doc_id", "page", "word_ord", "feed_pos")
+    for word_ord in (0, 3, 44, 45):
+        near = search.page_anchors(lines.gathered(found), F.lit(word_ord))
+        assert near.count() == 3
+        assert told(near.where("feed_pos is not null"), "doc_id", "page", "feed_pos") == told(feed.where(F.col("word_ord") == word_ord), "doc_id", "page", "feed_pos")
+
+
+def test_anchors_shuffle_pages_not_words(spark, sf):
+    plan = catalog.anchor_positions(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    moved = [line for line in plan.splitlines() if "Exchange " in line]
+    assert len(moved) == 2 and "Join" not in plan and "Generate inline" not in plan and "Generate explode" not in plan
