@@ -26,15 +26,16 @@ def page_sources(before: DataFrame, after: DataFrame) -> DataFrame:
     return after.join(first, ["doc_id", "digest"], "left").select(*PAGE, "source")
 
 
-def refreshed(view: DataFrame, before: DataFrame, pages: DataFrame, contents: list[str], make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def refreshed(view: DataFrame, before: DataFrame, pages: DataFrame, contents: list[str], make: Callable[[DataFrame], DataFrame], tasks: int | None = None) -> DataFrame:
     """`view` brought up to `pages`; rows tell by `made_again` whether they were worked out anew.
 
     `before`: page_digests of the pages that `view` was made from. `make` turns pages into
     rows with the columns of `view`; it is given only pages that their document had nowhere before.
-    Deleted pages take their rows along.
+    Deleted pages take their rows along. Rows and pages are dealt over so many `tasks`, if given, so that a task sorts no more of a larger table.
     """
+    dealt = lambda rows: rows.repartition(tasks, *PAGE) if tasks else rows
     origin = page_sources(before, page_digests(pages, contents))
     known = origin.where("source is not null").select("doc_id", F.col("page").alias("new_page"), F.col("source").alias("page"))
-    carried = view.join(known, PAGE).withColumn("page", F.col("new_page")).select(*view.columns, F.lit(False).alias("made_again"))
-    new = pages.join(origin.where("source is null"), PAGE, "left_semi")
+    carried = dealt(view).join(dealt(known), PAGE).withColumn("page", F.col("new_page")).select(*view.columns, F.lit(False).alias("made_again"))
+    new = dealt(pages).join(dealt(origin.where("source is null")), PAGE, "left_semi")
     return carried.unionByName(make(new).select(*view.columns, F.lit(True).alias("made_again")))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from glyphweave.operators import search, upkeep
+from glyphweave.plans import catalog
 from glyphweave.plans.bridge import layout, words_of_pages
 
 PAGES = "doc_id int, page int, text string"
@@ -38,3 +39,14 @@ def test_empty_sides(spark):
 def test_current_hit_is_clamped(spark):
     df = spark.createDataFrame([(5, 3), (1, 3), (0, 0), (None, 3), (2, 3)], "current int, hits int")
     assert [r[0] for r in df.select(search.refreshed_hit(F.col("current"), F.col("hits"))).collect()] == [2, 1, None, None, 2]
+
+
+def test_kept_rows_are_dealt_by_the_texts(spark, sf, monkeypatch):
+    monkeypatch.setattr(catalog, "tasks_for", lambda texts, chars=0: 23)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = catalog.relayout_lines(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [line for line in plan.splitlines() if "Exchange hashpartitioning(doc_id" in line and ", page#" in line]
+    assert len(moved) >= 5 and all(", 23), " in line for line in moved)
