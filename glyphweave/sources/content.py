@@ -9,7 +9,7 @@ and the parts of a long one by as many tasks as it has parts.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import Any
 
 import numpy as np
@@ -322,11 +322,17 @@ def glyphs_of(ops: Iterator[tuple[int, str, list[Leaf]]], fonts: dict[str, Font]
         step, codes, chars, widths = font.decode(value)
         if not len(codes):
             return
-        space = np.where(codes == 32, t["Tw"] if step == 1 else 0.0, 0.0)
+        space = np.where(codes == 32, t["Tw"], 0.0) if t["Tw"] and step == 1 else 0.0
         forward = (widths / 1000 * size + t["Tc"] + space) * hs
-        e, f = (np.cumsum(np.concatenate([[tm[k + 4]], forward * tm[k]])) for k in (0, 1))
         whole = _times(tm, ctm)
-        x, y = (rise * whole[k + 2] + (e[:-1] * ctm[k] + f[:-1] * ctm[k + 2] + ctm[k + 4]) for k in (0, 1))
+        e = np.cumsum(np.concatenate([[tm[4]], forward * tm[0]]))
+        if tm[1] == 0 and ctm[1] == 0:  # a level line: all characters have one height
+            f = np.full(1, float(tm[5]))
+            y = np.full(len(codes), float(rise * whole[3] + (f[0] * ctm[3] + ctm[5])))
+            x = rise * whole[2] + (e[:-1] * ctm[0] + f[0] * ctm[2] + ctm[4])
+        else:
+            f = np.cumsum(np.concatenate([[tm[5]], forward * tm[1]]))
+            x, y = (rise * whole[k + 2] + (e[:-1] * ctm[k] + f[:-1] * ctm[k + 2] + ctm[k + 4]) for k in (0, 1))
         wide, high = float(np.hypot(size * hs * whole[0], size * hs * whole[1])), float(np.hypot(size * whole[2], size * whole[3]))
         tm = (*tm[:4], float(e[-1]), float(f[-1]))
         yield chars, codes, x, y, widths / 1000 * wide, high, t["res"], size, op_index, item, np.arange(len(codes)) * step, step
@@ -480,27 +486,111 @@ def extract_glyphs(ops: DataFrame, fonts: DataFrame, strict: bool = False, block
                 end = min(at + 2000, len(shown_))
                 while end < len(shown_) and shown_[end][8] == shown_[end - 1][8]:  # strings of an operation stay together
                     end += 1
-                yield rows(run.column("doc_id")[0].as_py(), run.column("page")[0].as_py(), shown_[at:end])
+                yield _glyph_rows([(run.column("doc_id")[0].as_py(), run.column("page")[0].as_py(), shown_[at:end])], names)
                 at = end
 
-    def rows(doc: int, page_: int, shown_: list[tuple]) -> pa.RecordBatch:
-        sizes = np.array([len(s[0]) for s in shown_], np.int64)
-        n = int(sizes.sum())
-        columns = []
-        for k in range(12):
-            values = [s[k] for s in shown_]
-            columns.append(np.concatenate(values) if isinstance(values[0], np.ndarray) else np.repeat(np.array(values, object if k == 6 else None), sizes))
-        op_index, item = columns[8].astype(np.int64), columns[9]
-        # strings of one operation follow each other: count on through all of them
-        place = np.arange(n) - np.maximum.accumulate(np.where(np.append(True, op_index[1:] != op_index[:-1]), np.arange(n), 0))
-        kinds = [pa.string(), pa.int32(), *[pa.float64()] * 4, pa.string(), pa.float64(), *[pa.int32()] * 4]
-        made = [pa.array(c.astype(np.int32) if t == pa.int32() else c, t, mask=(item < 0) if k == 9 else None) for k, (c, t) in enumerate(zip(columns, kinds, strict=True))]
-        keys = [pa.array(np.full(n, doc)), pa.array(np.full(n, page_, np.int32)), pa.array((op_index << 31) + place)]
-        return pa.RecordBatch.from_arrays([*keys, *made], names=names)
-
     return dealt.mapInArrow(fold, GLYPH_SCHEMA)
 
 
+def read_glyphs(pages: DataFrame, fonts: DataFrame, strict: bool = False, columns: Sequence[str] | None = None) -> DataFrame:
+    """extract_glyphs of all operations of `pages` (doc_id, page, content): a page is lexed and folded where its stream lies.
+
+    A page goes whole to one task, as with parse_operations' piece=None and extract_glyphs' block=None, but operations are no rows: if pages and fonts are
+    dealt by page alike, nothing is shuffled. Only `columns` of GLYPH_SCHEMA are made, if given.
+    """
+    page = ["doc_id", "page"]
+    known = fonts.groupBy(*page).agg(F.collect_list(F.struct(*(c for c in fonts.columns if c not in page))).alias("fonts"))
+    asked = pages.select(*page, "content").where("content is not null").join(known, page)
+    kinds = {f.split()[0]: f for f in GLYPH_SCHEMA.split(", ")}
+    names = list(columns or kinds)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, n = [], 0
+            said, known_, fonts_ = batch.column(3), None, {}
+            for k, ops in _streams(batch.column(2)):
+                doc, page_ = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                if said[k] != known_:
+                    known_ = said[k]
+                    fonts_ = {r["font_res"]: font_of(r) for r in known_.as_py()}
+                run = []
+                for string in glyphs_of(ops, fonts_, State(strict)):
+                    if n > 100_000 and not (run and run[-1][8] == string[8]):  # strings of an operation stay together
+                        yield _glyph_rows([*held, *([(doc, page_, run)] if run else [])], names)
+                        held, run, n = [], [], 0
+                    run.append(string)
+                    n += len(string[0])
+                if run:
+                    held.append((doc, page_, run))
+            if held:
+                yield _glyph_rows(held, names)
+
+    return asked.mapInArrow(fold, ", ".join(kinds[c] for c in names))
+
+
+def _streams(contents: pa.Array) -> Iterator[tuple[int, Iterator[tuple[int, str, list[Leaf]]]]]:
+    """The operations of each stream, with operands as leaves; many short streams are lexed at once."""
+    streams: list[bytes] = []
+    size = 0
+    for k, content in enumerate(contents):
+        streams.append(content.as_buffer().to_pybytes())
+        size += len(streams[-1])
+        if size < PIECE and k < len(contents) - 1:
+            continue
+        found, bounds = lexing.lex_all(streams)
+        at = found.offsets.tolist()
+        items = (None if i < 0 else i for i in found.item.tolist())
+        leaves = list(zip(found.arg.tolist(), items, lexing.KINDS[found.kind].tolist(), found.num.tolist(), found.raw, strict=True))
+        for j, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
+            yield k + 1 - len(streams) + j, ((n - a, found.names[n], leaves[at[n] : at[n + 1]]) for n in range(a, b))
+        streams, size = [], 0
+
+
+def _glyph_rows(held: list[tuple[int, int, list[tuple]]], names: Sequence[str]) -> pa.RecordBatch:
+    """Rows of the strings that pages (doc_id, page, strings) show, with the columns `names`."""
+    strings = [s for _, _, shown in held for s in shown]
+    sizes = np.array([len(s[0]) for s in strings], np.int64)
+    n = int(sizes.sum())
+    of = np.repeat(np.arange(len(held)), [len(shown) for _, _, shown in held])  # the page of each string
+    index = np.array([s[8] for s in strings], np.int64)
+    out: list[pa.Array] = []
+    for name in names:
+        if name in ("doc_id", "page"):
+            keys = np.array([h[name == "page"] for h in held], np.int64)[of]
+            out.append(pa.array(np.repeat(keys.astype(np.int32) if name == "page" else keys, sizes)))
+            continue
+        if name == "glyph_ord":
+            # strings of one operation follow each other: count on through all of them
+            op, at = np.repeat(index, sizes), np.repeat(of, sizes)
+            place = np.arange(n) - np.maximum.accumulate(np.where(np.append(True, (op[1:] != op[:-1]) | (at[1:] != at[:-1])), np.arange(n), 0))
+            out.append(pa.array((op << 31) + place))
+            continue
+        k, kind = _SHOWN[name]
+        values = [s[k] for s in strings]
+        if isinstance(values[0], np.ndarray):
+            column = np.concatenate(values)
+        elif kind == pa.string():
+            out.append(pa.array(values, kind).take(pa.array(np.repeat(np.arange(len(values)), sizes))))
+            continue
+        else:
+            column = np.repeat(np.array(values), sizes)
+        out.append(pa.array(column.astype(np.int32) if kind == pa.int32() else column, kind, mask=(column < 0) if name == "item_index" else None))
+    return pa.RecordBatch.from_arrays(out, names=list(names))
+
+
+#: Where glyphs_of has a column, and its type.
+_SHOWN = {
+    name: (k, kind)
+    for k, (name, kind) in enumerate(
+        zip(
+            ("unicode", "code", "x", "y", "width", "height", "font_res", "font_size", "op_index", "item_index", "byte_offset", "byte_length"),
+            (pa.string(), pa.int32(), *[pa.float64()] * 4, pa.string(), pa.float64(), *[pa.int32()] * 4),
+            strict=True,
+        )
+    )
+}
+
+
 def parse_cmap(data: bytes) -> dict[int, str]:
     """Code to text of a ToUnicode map: single codes, and ranges with a first text or a list of texts."""
     out: dict[int, str] = {}
