@@ -7,18 +7,19 @@ row of the result. Failures are values in `error`, never exceptions.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from glyphweave.operators import regions
 from glyphweave.operators.words import PAGE
-from glyphweave.sources.content import Font, font_of
+from glyphweave.sources.content import Font, font_of, lexed_lots
 from glyphweave.sources.lexing import values_of
 
 EDITED = "doc_id long, page int, content binary, n_edits int, error string"
@@ -27,6 +28,7 @@ EDIT = "doc_id long, page int, op_index int, item_index int, span_start int, spa
 #: (null: none), the font and size in use, and the step from line to line.
 REBUILT = "lines array<binary>, switch string, font_res string, font_size double, leading double"
 _ESCAPES = {40: rb"\(", 41: rb"\)", 92: rb"\\", 10: rb"\n", 13: rb"\r", 9: rb"\t", 8: rb"\b", 12: rb"\f"}
+_IN_STRING = [_ESCAPES.get(b) or (bytes([b]) if 32 <= b <= 126 else b"\\%03o" % b) for b in range(256)]
 _PLAIN_NAME = frozenset(range(0x22, 0x7F)) - frozenset(b"#()<>[]{}/%")
 
 
@@ -48,7 +50,7 @@ def value_bytes(value: Any) -> bytes:
         return b"[" + b" ".join(map(value_bytes, value)) + b"]"
     if "s" in value:
         raw = bytes.fromhex(value["s"])
-        return b"(" + b"".join(_ESCAPES.get(b) or (bytes([b]) if 32 <= b <= 126 else b"\\%03o" % b) for b in raw) + b")"
+        return b"(" + b"".join([_IN_STRING[b] for b in raw]) + b")"
     if "n" in value:
         return b"/" + b"".join(bytes([b]) if b in _PLAIN_NAME else b"#%02x" % b for b in value["n"].encode("latin-1", "replace"))
     return b"<<" + b" ".join(value_bytes({"n": k}) + b" " + value_bytes(v) for k, v in value["d"]) + b">>"
@@ -166,43 +168,94 @@ def rebuilt_operation(op: str, operands: list, inserts: list[Insert]) -> bytes:
     return b" ".join(parts)
 
 
-def apply_edits(pages: DataFrame, ops: DataFrame, edits: DataFrame, why: str | None = None) -> DataFrame:
+_DONE = "struct<content:binary,n_edits:int,error:string>"
+_DONE_TYPE = pa.struct([("content", pa.binary()), ("n_edits", pa.int32()), ("error", pa.string())])
+
+
+def _insert(change: dict) -> Insert:
+    place = change["item_index"], change["span_start"], change["span_end"]
+    if change.get("lines") is None:
+        return Insert(*place, change["replacement"] or b"")
+    return Insert(*place, b"", change["lines"], change["switch"], change["font_res"], change["font_size"], change["leading"])
+
+
+def _changed(content: bytes, changes: list[dict], why: str | None) -> dict:
+    """A page's content with edits made in it, each with its operation's op, values, start and end."""
+    failed = any(c.get("failed") for c in changes)
+    known = [c for c in changes if not c.get("failed") and c["start"] is not None]
+    by_operation: dict[tuple[int, int], list[dict]] = {}
+    for change in known:
+        by_operation.setdefault((change["start"], change["end"]), []).append(change)
+    parts, error = [], None
+    for (start, end), group in by_operation.items():
+        inserts = [_insert(c) for c in group]
+        op, values = group[0]["op"], group[0]["values"]
+        if any(i.lines is not None for i in inserts):
+            parts.append((start, end, rebuilt_operation(op, values, inserts)))
+        else:
+            parts.append((start, end, edited_operation(op, values, [(i.item, i.start, i.end, i.replacement) for i in inserts])))
+    try:
+        content = splice(content, parts)
+    except ValueError as broken:
+        error = str(broken)
+    return {"content": content, "n_edits": len(known), "error": error or (why if failed else None)}
+
+
+def _once(made: Callable[..., pa.Array], kind: str) -> Callable[..., Column]:
+    """A function of columns that a filter on its values must not have made a second time."""
+    return arrow_udf(made, kind).asNondeterministic()
+
+
+def _applied(content: Column, edits: Column, why: str | None = None) -> Column:
+    """Struct _DONE of pages and their edits (arrays of EDIT, and of REBUILT and `failed` if they have it); null edits give null.
+
+    Edits that hold op, operands, start and end are of operations as parsed; for others the stream is lexed where it lies.
+    """
+
+    def made(contents: pa.Array, edits_: pa.Array) -> pa.Array:
+        streams = [c or b"" for c in contents.to_pylist()]
+        asked = edits_.to_pylist()
+        parsed = "operands" in [f.name for f in edits_.type.value_type]
+        out: list[dict | None] = [None] * len(asked)
+        if parsed:
+            for k, changes in enumerate(asked):
+                for c in changes or ():
+                    c["values"] = values_of(c["operands"]) if c["start"] is not None else None
+                out[k] = None if changes is None else _changed(streams[k], changes, why)
+            return pa.array(out, _DONE_TYPE)
+        which = [k for k, changes in enumerate(asked) if changes is not None]
+        for first, lot, found, bounds in lexed_lots(streams[k] for k in which):
+            begins = np.cumsum([0, *(len(x) + 1 for x in lot)]).tolist()
+            for j, k in enumerate(which[first : first + len(lot)]):
+                for c in asked[k]:
+                    n = int(bounds[j]) + c["op_index"] if c["op_index"] is not None else -1
+                    there = bounds[j] <= n < bounds[j + 1]
+                    c |= {"op": found.names[n], "values": found.values(n), "start": int(found.starts[n]) - begins[j], "end": int(found.ends[n]) - begins[j]} if there else {"start": None}
+                out[k] = _changed(streams[k], asked[k], why)
+        return pa.array(out, _DONE_TYPE)
+
+    return _once(made, _DONE)(content, edits)
+
+
+def _by_page(rows: DataFrame, name: str) -> DataFrame:
+    """doc_id, page and a list of the other columns of rows."""
+    return rows.groupBy(*PAGE).agg(F.collect_list(F.struct(*(c for c in rows.columns if c not in PAGE))).alias(name))
+
+
+def _with_operations(edits: DataFrame, ops: DataFrame | None) -> DataFrame:
+    return edits if ops is None else edits.join(ops.select(*PAGE, "op_index", "op", "operands", "start", "end"), [*PAGE, "op_index"], "left")
+
+
+def apply_edits(pages: DataFrame, ops: DataFrame | None, edits: DataFrame, why: str | None = None) -> DataFrame:
     """EDITED rows of the pages that `edits` (EDIT, and REBUILT if they have it) name: `pages` (doc_id, page, content), `ops` as parsed from them.
 
-    Only named operations are carried along; pages without edits give no row. Edits that are marked as `failed`, if there is
-    such a column, change nothing and give `why` as the error. `edits` is read once.
+    Without `ops` a page with edits is lexed where it lies; otherwise only named operations are carried along. Pages without edits, and edits without their page, give no row;
+    further columns of `pages` stay. Edits that are marked as `failed`, if there is such a column, change nothing and give `why` as the error.
+    `edits` is read once.
     """
-    if "lines" not in edits.columns:
-        edits = edits.select("*", *(F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in REBUILT.split(", ")))
-    if "failed" not in edits.columns:
-        edits = edits.withColumn("failed", F.lit(False))
-    named = edits.join(ops.select(*PAGE, "op_index", "op", "operands", "start", "end"), [*PAGE, "op_index"], "left")
-
-    def fold(key: tuple, page: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
-        asked, failed = len(changes), changes["failed"].any()
-        changes = changes[~changes["failed"].astype(bool) & changes["start"].notna()]
-        content, error, parts = bytes(page["content"].iloc[0] or b"") if len(page) else b"", None, []
-        for (start, end), group in changes.groupby(["start", "end"]):
-            inserts = [
-                Insert(None if pd.isna(r.item_index) else int(r.item_index), int(r.span_start), int(r.span_end), bytes(r.replacement or b""))
-                if r.lines is None
-                else Insert(None if pd.isna(r.item_index) else int(r.item_index), int(r.span_start), int(r.span_end), b"", list(map(bytes, r.lines)), r.switch, r.font_res, r.font_size, r.leading)
-                for r in group.itertuples()
-            ]
-            first = group.iloc[0]
-            op, operands = first["op"], values_of(first["operands"])
-            if any(i.lines is not None for i in inserts):
-                parts.append((int(start), int(end), rebuilt_operation(op, operands, inserts)))
-            else:
-                parts.append((int(start), int(end), edited_operation(op, operands, [(i.item, i.start, i.end, i.replacement) for i in inserts])))
-        try:
-            content = splice(content, parts)
-        except ValueError as broken:
-            error = str(broken)
-        found = [(*key, content, len(changes), error or (why if failed else None))] if asked else []
-        return pd.DataFrame(found, columns=["doc_id", "page", "content", "n_edits", "error"])
-
-    return pages.select(*PAGE, "content").groupBy(*PAGE).cogroup(named.groupBy(*PAGE)).applyInPandas(fold, EDITED)
+    held = pages.join(_by_page(_with_operations(edits, ops), "edits"), PAGE)
+    more = [c for c in pages.columns if c not in (*PAGE, "content")]
+    return held.withColumn("done", _applied(F.col("content"), F.col("edits"), why)).select(*PAGE, "done.*", *more)
 
 
 def _rectangles() -> Column:
@@ -210,39 +263,39 @@ def _rectangles() -> Column:
     return F.array_join(F.transform("bars", lambda b: F.concat_ws(" ", *(F.format_string("%.3f", b[c]) for c in "xywh"), F.lit("re"))), " ")
 
 
-def _with_bars(changed: DataFrame, bars: DataFrame) -> DataFrame:
+def _page_bars(bars: DataFrame) -> DataFrame:
     order = F.array_sort(F.collect_list(F.struct("region_id", F.coalesce("line_ord", F.lit(-1)).alias("line_ord"), "x", "y", "w", "h")))
-    return changed.join(bars.groupBy(*PAGE).agg(order.alias("bars")), PAGE)
+    return bars.groupBy(*PAGE).agg(order.alias("bars"))
 
 
-def redact(pages: DataFrame, ops: DataFrame, glyphs: DataFrame, placed: DataFrame, areas: DataFrame) -> DataFrame:
+def redact(pages: DataFrame, ops: DataFrame | None, glyphs: DataFrame, placed: DataFrame, areas: DataFrame) -> DataFrame:
     """Delete the text under each region and draw black bars over its lines, or over the region where there is no text.
 
     Text bytes between the first and the last covered glyph of a string go too. The
-    page's own drawing is wrapped so that bars lie in plain page space. Returns doc_id,
-    page, content, n_removed, n_bars, error.
+    page's own drawing is wrapped so that bars lie in plain page space. `pages`, `glyphs` and `placed` are read once; without `ops` pages
+    are lexed where they lie. Returns doc_id, page, content, n_removed, n_bars, error, and further columns of `pages`.
     """
     hit = regions.touched(glyphs, areas).where(F.col("unicode") != "").dropDuplicates([*PAGE, "glyph_ord"])
-    spans = regions.source_groups(hit).withColumn("replacement", F.lit(b"").cast("binary"))
-    edited = apply_edits(pages, ops, spans.select(*(c.split()[0] for c in EDIT.split(", "))))
-    removed = hit.groupBy(*PAGE).agg(F.count("*").alias("n_removed"))
-    there = pages.select(*PAGE, "content").join(areas.select(*PAGE).distinct(), PAGE, "left_semi")
-    stripped = there.join(edited.select(*PAGE, F.col("content").alias("edited"), "error"), PAGE, "left").join(removed, PAGE, "left")
-    covered = _with_bars(stripped, regions.redaction_bars(placed, areas))
-    body = F.coalesce("edited", "content", F.lit(b"").cast("binary"))
+    spans = _with_operations(regions.source_groups(hit).withColumn("replacement", F.lit(b"").cast("binary")), ops)
+    fields = F.struct(*(c for c in spans.columns if c not in (*PAGE, "n_glyphs")))
+    stripped = spans.groupBy(*PAGE).agg(F.collect_list(fields).alias("edits"), F.sum("n_glyphs").alias("n_removed"))
+    asked = _page_bars(regions.redaction_bars(placed, areas)).join(stripped, PAGE, "left")
+    covered = pages.join(asked, PAGE).withColumn("done", _applied(F.col("content"), F.col("edits")))
+    body = F.coalesce("done.content", "content", F.lit(b"").cast("binary"))
     cover = F.concat(F.lit("\nQ\nq 0 0 0 rg "), _rectangles(), F.lit(" f Q\n"))
     return covered.select(
         *PAGE,
         F.concat(F.lit("q\n").cast("binary"), body, cover.cast("binary")).alias("content"),
         F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
         F.size("bars").alias("n_bars"),
-        "error",
+        F.col("done.error").alias("error"),
+        *(c for c in pages.columns if c not in (*PAGE, "content")),
     )
 
 
 def highlight(pages: DataFrame, placed: DataFrame, areas: DataFrame, color: tuple[float, float, float] = (1, 0.906, 0.31)) -> DataFrame:
     """Draw coloured bars under the lines that regions touch; pages without touched text give no row."""
-    under = _with_bars(pages.select(*PAGE, "content"), regions.line_bars(placed, areas))
+    under = pages.select(*PAGE, "content").join(_page_bars(regions.line_bars(placed, areas)), PAGE)
     paint = F.concat(F.lit(f"q {' '.join(f'{c:g}' for c in color)} rg "), _rectangles(), F.lit(" f Q\n"))
     return under.select(*PAGE, F.concat(paint.cast("binary"), F.coalesce("content", F.lit(b"").cast("binary"))).alias("content"), F.size("bars").alias("n_bars"))
 
@@ -264,48 +317,43 @@ def wrapped(text: str, measure: Callable[[str], float | None], limit: float | No
 STAND_IN = {"subtype": "Type1", "base_font": "Helvetica", "encoding": "WinAnsiEncoding"}
 
 
-def free_names(fonts: DataFrame, asked: DataFrame, stem: str = "A2FB") -> DataFrame:
-    """(doc_id, page, switch): for each page of `asked` the first name of stem, stem1, stem2 ... that none of its fonts has."""
-    number = F.regexp_extract("font_res", f"^{stem}([1-9][0-9]*)?$", 1)
-    taken = fonts.where(F.col("font_res").rlike(f"^{stem}([1-9][0-9]{{0,8}})?$")).select(*PAGE, F.when(number == "", 0).otherwise(number.cast("int")).alias("no")).distinct()
-    pages = asked.select(*PAGE).distinct()
-    open_ = pages.select(*PAGE, F.lit(0).alias("no")).unionByName(taken.join(pages, PAGE, "left_semi").select(*PAGE, (F.col("no") + 1).alias("no")))
-    least = open_.join(taken, [*PAGE, "no"], "left_anti").groupBy(*PAGE).agg(F.min("no").alias("no"))
-    return least.select(*PAGE, F.concat(F.lit(stem), F.when(F.col("no") > 0, F.col("no").cast("string")).otherwise(F.lit(""))).alias("switch"))
+def free_name(fonts: Column, stem: str = "A2FB") -> Column:
+    """The first name of stem, stem1, stem2 ... that none of a page's fonts has."""
+    names = F.transform(fonts, lambda f: f["font_res"])
+    tried = F.transform(F.sequence(F.lit(0), F.size(fonts)), lambda n: F.when(n == 0, F.lit(stem)).otherwise(F.concat(F.lit(stem), n.cast("string"))))
+    return F.get(F.filter(tried, lambda name: ~F.array_contains(names, name)), F.lit(0))
 
 
-def _coded(asked: DataFrame) -> DataFrame:
-    """`asked` (new_text, own, limit and more) with the lines to show and whether the stand-in font shows them; null lines if neither font can."""
-    shape = asked.drop("own").select("*", F.lit(None).cast("array<binary>").alias("lines"), F.lit(False).alias("other")).schema
+def _coded(asked: Column, fonts: Column) -> Column:
+    """For each run's string in `asked` (font_res, new_text, limit and more): the lines to show, and whether the stand-in font shows them; null lines if neither font can."""
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stand_in, last, coded = Font(STAND_IN), None, (None, False)
-        for batch in batches:
-            rows = []
-            for text, own, limit in zip(*(batch.column(c).to_pylist() for c in ("new_text", "own", "limit")), strict=True):
-                if (text, own, limit) != last:  # strings of a run follow each other
-                    font = font_of(own) if own else None
+    def code(asked_: pa.Array, fonts_: pa.Array) -> pa.Array:
+        stand_in, last, coded, out = Font(STAND_IN), None, {}, []
+        known, rows = None, {}
+        for k, runs in enumerate(asked_.to_pylist()):
+            if fonts_[k] != known:
+                known, rows = fonts_[k], {f["font_res"]: font_of(f) for f in fonts_[k].as_py() or ()}
+            found = []
+            for run in runs or ():
+                font, text, limit = rows.get(run["font_res"]), run["new_text"], run["limit"]
+                if (font, text, limit) != last:  # strings of a run follow each other
                     other = font is None or font.encode(text) is None
-                    font = stand_in if other else font
-                    lines = [font.encode(line) for line in wrapped(text, font.measure, limit)]
-                    last, coded = (text, own, limit), ((None, False) if None in lines else (lines, other))
-                rows.append(coded)
-            lines_, others = zip(*rows, strict=True) if rows else ((), ())
-            kept = [f.name for f in shape][:-2]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(lines_, pa.list_(pa.binary())), pa.array(others, pa.bool_())], names=[*kept, "lines", "other"])
+                    shows = stand_in if other else font
+                    lines = [shows.encode(line) for line in wrapped(text, shows.measure, limit)]
+                    last, coded = (font, text, limit), {"lines": None, "other": False} if None in lines else {"lines": lines, "other": other}
+                found.append(coded)
+            out.append(found)
+        return pa.array(out, pa.list_(pa.struct([("lines", pa.list_(pa.binary())), ("other", pa.bool_())])))
 
-    return asked.mapInArrow(code, shape)
+    return _once(code, "array<struct<lines:array<binary>,other:boolean>>")(asked, fonts)
 
 
-def _spans(glyphs: DataFrame, fonts: DataFrame, wanted: DataFrame, how: str = "inner") -> DataFrame:
-    """Strings that the runs of `wanted` (doc_id, page, run, run_end, font_res, font_size, new_text, max_width, leading) lie in, with the new lines; `leads` marks a run's first one.
+_RUN = ("run", "font_res", "font_size", "new_text", "max_width", "leading")
 
-    Glyphs, fonts and `wanted` are read once: a run's rows meet in windows, not in joins with themselves. With
-    `how` as left, a run without glyphs has a row without a string.
-    """
-    needed = glyphs.select(F.col("doc_id").alias("of_doc"), F.col("page").alias("of_page"), "glyph_ord", "op_index", "item_index", "byte_offset", "byte_length", "height")
-    runs = wanted.join(needed, F.expr("doc_id = of_doc and page = of_page and glyph_ord between run and run_end"), how)
-    strings = runs.groupBy(*PAGE, "run", "font_res", "font_size", "new_text", "max_width", "leading", "op_index", "item_index").agg(
+
+def _spans(runs: DataFrame) -> DataFrame:
+    """Strings that runs lie in, from rows of their glyphs, with `leads` for a run's first one, the width to wrap at and the step from line to line."""
+    strings = runs.groupBy(*PAGE, *_RUN, "op_index", "item_index").agg(
         F.min("byte_offset").alias("span_start"), F.max(F.col("byte_offset") + F.col("byte_length")).alias("span_end"), F.min(F.struct("glyph_ord", "height")).alias("begin")
     )
     place = F.struct("op_index", F.coalesce("item_index", F.lit(-1)).alias("item"))
@@ -314,12 +362,58 @@ def _spans(glyphs: DataFrame, fonts: DataFrame, wanted: DataFrame, how: str = "i
     scaled = placed.withColumn("scale", F.when(F.col("font_size") > 0, F.col("height") / F.col("font_size")).otherwise(F.lit(1.0)))
     limit = F.when((F.col("scale") > 0) & (F.col("font_size") > 0), F.col("max_width") / (F.col("font_size") * F.col("scale")) * 1000)
     step = F.coalesce(F.col("leading") / F.when(F.col("scale") == 0, 1.0).otherwise(F.col("scale")), F.col("font_size") * 1.25)
-    own = fonts.select(*PAGE, "font_res", F.struct(*(c for c in fonts.columns if c not in (*PAGE, "font_res"))).alias("own"))
-    asked = scaled.select("*", limit.alias("limit"), step.alias("step")).join(own, [*PAGE, "font_res"], "left")
-    return _coded(asked)
+    return scaled.select(*PAGE, "run", "font_res", "font_size", "new_text", "op_index", "item_index", "span_start", "span_end", "leads", limit.alias("limit"), step.alias("step"))
+
+
+def squeezed(text: Column) -> Column:
+    """A text with its white space squeezed."""
+    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+
 
+def rewrite_runs(pages: DataFrame, runs: DataFrame, ops: DataFrame | None = None, own_font: bool = False) -> DataFrame:
+    """rewrite_text where pages lie: `pages` hold their `fonts`, `runs` are rows of the glyphs of runs.
+
+    `runs`: doc_id, page, run, font_res, font_size, new_text (squeezed), max_width, leading, and a glyph's glyph_ord, op_index, item_index, byte_offset,
+    byte_length and height; a string's first and last glyph in the run are enough. Runs and pages are read once; without `ops` pages are lexed where they
+    lie. With `own_font` texts take the first string's place in their own font or fail. Returns EDITED columns of the pages with runs, `stand_in`, the
+    name of the font to add, and further columns of `pages`.
+    """
+    asked = _by_page(_with_operations(_spans(runs), ops), "asked")
+    held = pages.join(asked, PAGE).withColumn("coded", _coded(F.col("asked"), F.col("fonts")))
+    shown = held.withColumn("switch", F.coalesce(free_name(F.col("fonts")), F.lit("A2FB"))) if not own_font else held.withColumn("switch", F.lit(None).cast("string"))
+    nothing = F.lit(b"").cast("binary")
 
-def rewrite_text(pages: DataFrame, ops: DataFrame, glyphs: DataFrame, fonts: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    def edit(asked: Column, coded: Column) -> Column:
+        lines, other = coded["lines"], coded["other"]
+        apart = F.lit(False) if own_font else asked["leads"] & (other | (F.size(lines) > 1))
+        failed = lines.isNull() | other if own_font else lines.isNull()
+        given = [asked[c].alias(c) for c in ("op", "operands", "start", "end")] if ops is not None else []
+        return F.struct(
+            *(asked[c].alias(c) for c in ("op_index", "item_index", "span_start", "span_end", "font_res", "font_size")), *given,
+            F.when(asked["leads"] & ~apart, F.get(lines, F.lit(0))).otherwise(nothing).alias("replacement"),
+            F.when(apart, lines).alias("lines"), F.when(apart & other, F.col("switch")).alias("switch"), asked["step"].alias("leading"), failed.alias("failed"),
+        )
+
+    met = F.filter(F.zip_with("asked", "coded", edit), lambda e: e["failed"] | e["op_index"].isNotNull())
+    edited = shown.withColumn("edits", met).where(F.size("edits") > 0)
+    why = "text has characters that its font can't encode" if own_font else "text has characters that no font at hand can encode"
+    done = edited.withColumn("done", _applied(F.col("content"), F.col("edits"), why))
+    stand_in = F.when(F.exists("coded", lambda c: c["other"]), F.col("switch")).alias("stand_in")
+    return done.select(*PAGE, "done.*", stand_in, *(c for c in pages.columns if c not in (*PAGE, "content")))
+
+
+def _runs(glyphs: DataFrame, wanted: DataFrame, how: str = "inner") -> DataFrame:
+    """Rows of the glyphs of the runs of `wanted`; with `how` as left, a run without glyphs has a row without any."""
+    needed = glyphs.select(F.col("doc_id").alias("of_doc"), F.col("page").alias("of_page"), "glyph_ord", "op_index", "item_index", "byte_offset", "byte_length", "height")
+    return wanted.join(needed, F.expr("doc_id = of_doc and page = of_page and glyph_ord between run and run_end"), how)
+
+
+def _holding(pages: DataFrame, fonts: DataFrame) -> DataFrame:
+    """Pages with their fonts."""
+    return pages.select(*PAGE, "content").join(_by_page(fonts, "fonts"), PAGE, "left")
+
+
+def rewrite_text(pages: DataFrame, ops: DataFrame | None, glyphs: DataFrame, fonts: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Replace runs of glyphs by new text: in their own font, else in a stand-in one; wrapped, if a width is given.
 
     `targets`: doc_id, page, glyph_lo, glyph_hi, font_res, font_size, new_text (white space is squeezed, empty
@@ -334,37 +428,21 @@ def rewrite_text(pages: DataFrame, ops: DataFrame, glyphs: DataFrame, fonts: Dat
     """
     wanted = targets.select(
         *PAGE, F.col("glyph_lo").cast("long").alias("run"), F.col("glyph_hi").cast("long").alias("run_end"), "font_res", F.col("font_size").cast("double").alias("font_size"),
-        F.trim(F.regexp_replace("new_text", r"(?U)\s+", " ")).alias("new_text"), F.col("max_width").cast("double").alias("max_width"), F.col("leading").cast("double").alias("leading"),
+        squeezed(F.col("new_text")).alias("new_text"), F.col("max_width").cast("double").alias("max_width"), F.col("leading").cast("double").alias("leading"),
     ).where("new_text <> ''")
-    spans = _spans(glyphs, fonts, wanted)
-    # names from the fonts alone, so that spans are made once
-    named = spans.join(free_names(fonts, fonts), PAGE, "left").withColumn("switch", F.coalesce("switch", F.lit("A2FB")))
-    apart = F.col("leads") & (F.col("other") | (F.size("lines") > 1))
-    nothing = F.lit(b"").cast("binary")
-    edits = named.select(
-        *PAGE, "op_index", "item_index", "span_start", "span_end", F.when(F.col("leads") & ~apart, F.col("lines")[0]).otherwise(nothing).alias("replacement"),
-        F.when(apart, F.col("lines")).alias("lines"), F.when(apart & F.col("other"), F.col("switch")).alias("switch"), "font_res", "font_size", F.col("step").alias("leading"),
-        F.col("lines").isNull().alias("failed"),
-    )
-    rows = apply_edits(pages, ops, edits, "text has characters that no font at hand can encode")
-    names = free_names(fonts, spans.where("other"))
-    return rows, names.select(*PAGE, F.col("switch").alias("font_res"), *(F.lit(v).alias(k) for k, v in STAND_IN.items()))
+    rows = rewrite_runs(_holding(pages, fonts), _runs(glyphs, wanted), ops)
+    names = rows.where("stand_in is not null")
+    return rows.drop("stand_in", "fonts"), names.select(*PAGE, F.col("stand_in").alias("font_res"), *(F.lit(v).alias(k) for k, v in STAND_IN.items()))
 
 
-def replace_text(pages: DataFrame, ops: DataFrame, glyphs: DataFrame, fonts: DataFrame, targets: DataFrame) -> DataFrame:
+def replace_text(pages: DataFrame, ops: DataFrame | None, glyphs: DataFrame, fonts: DataFrame, targets: DataFrame) -> DataFrame:
     """rewrite_text of one line for each target (doc_id, page, glyph_lo, glyph_hi, font_res, new_text), in its own font only.
 
     A text that the font can't encode changes nothing and is named in `error`. Returns EDITED rows of the pages with targets.
     """
     missing = F.lit(None).cast("double")
-    new_text = F.trim(F.regexp_replace("new_text", r"(?U)\s+", " "))
     wanted = targets.select(
         *PAGE, F.col("glyph_lo").cast("long").alias("run"), F.col("glyph_hi").cast("long").alias("run_end"), "font_res",
-        missing.alias("font_size"), new_text.alias("new_text"), missing.alias("max_width"), missing.alias("leading"),
+        missing.alias("font_size"), squeezed(F.col("new_text")).alias("new_text"), missing.alias("max_width"), missing.alias("leading"),
     ).where("new_text <> ''")
-    spans = _spans(glyphs, fonts, wanted, "left").select(
-        *PAGE, "op_index", "item_index", "span_start", "span_end", F.when(F.col("leads"), F.col("lines")[0]).otherwise(F.lit(b"").cast("binary")).alias("replacement"),
-        (F.col("other") | F.col("lines").isNull()).alias("failed"),
-    )
-    edits = spans.where("failed or op_index is not null")
-    return apply_edits(pages, ops, edits, "text has characters that its font can't encode")
+    return rewrite_runs(_holding(pages, fonts), _runs(glyphs, wanted, "left"), ops, own_font=True).drop("stand_in", "fonts")

@@ -9,6 +9,7 @@ are folded, in one row for each page; columns of all its words are numbered and
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -19,7 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from glyphweave.operators.words import PAGE
+from glyphweave.operators.words import GLYPHS, PAGE, WORD_SCHEMA, words_of
+from glyphweave.sources.content import glyph_rows, shown_pages, with_fonts
 
 
 def first_fit(page: pd.DataFrame) -> pd.DataFrame:
@@ -219,6 +221,24 @@ def place_words(words: DataFrame) -> DataFrame:
     return place_pages(gathered(words))
 
 
+def read_placed(pages: DataFrame, fonts: DataFrame | None, kept: Callable[[pa.RecordBatch], np.ndarray] | None = None) -> DataFrame:
+    """place_words of what `pages` (doc_id, page, content) show: a page is read and its words placed where its stream lies.
+
+    Only words for which `kept` is true of a batch of them are rows; the others have told where their lines are.
+    """
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in shown_pages(batches, False, True):
+            found = words_of(glyph_rows(held, GLYPHS))
+            sizes = np.diff(np.append(np.flatnonzero(found.column("word_ord").to_numpy() == 0), len(found)))
+            places = word_places(listed(sizes, {c: found.column(c) for c in ("word_ord", "baseline", "font_size", "x")})).flatten()
+            for field in places.type:
+                found = found.append_column(field.name, places.field(field.name))
+            yield found if kept is None else found.filter(pa.array(kept(found)))
+
+    return with_fonts(pages, fonts).mapInArrow(placed, f"{WORD_SCHEMA}, {PLACES[13:-2]}")
+
+
 def page_lines(pages: DataFrame) -> DataFrame:
     """detect_lines of the placed words of pages, with block_ord and kind; words stay in the rows of their pages and lines.
 

@@ -9,13 +9,16 @@ and the parts of a long one by as many tasks as it has parts.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
-from typing import Any
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import islice
+from typing import Any, NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from glyphweave.functions.fontmetrics import glyph_name, standard, standard_width, win_ansi
 from glyphweave.sources import lexing
@@ -170,6 +173,7 @@ class Font:
         self.chars = simple | maps["to_unicode"]
         self.widths = maps["widths"]
         self.default = row.get("default_width") or (1000.0 if cid else 0.0)
+        self.moved: dict[tuple, tuple[np.ndarray, list[float]]] = {}
 
     def _look(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         chars = [self.chars.get(code, "") for code in codes.tolist()]
@@ -183,27 +187,42 @@ class Font:
             met, spot = np.unique(codes, return_inverse=True)
             chars, widths = self._look(met)
             return 2, codes, chars[spot], widths[spot]
+        codes = np.frombuffer(data, np.uint8).astype(np.int32)
+        chars, widths = self.narrow()
+        return 1, codes, chars[codes], widths[codes]
+
+    def narrow(self) -> tuple[np.ndarray, np.ndarray]:
+        """Characters and widths of the codes of a one-byte font."""
         if not hasattr(self, "bytes"):
             self.bytes = self._look(np.arange(256))
-        codes = np.frombuffer(data, np.uint8).astype(np.int32)
-        return 1, codes, self.bytes[0][codes], self.bytes[1][codes]
+        return self.bytes
+
+    def moves(self, size: float, spacing: float, between: float, scale: float) -> tuple[np.ndarray, list[float]]:
+        """How far each code of a one-byte font moves the text: as an array, and as a list for short strings."""
+        key = (size, spacing, between, scale)
+        if key not in self.moved:
+            if len(self.moved) >= 200:
+                self.moved.clear()
+            forward = (self.narrow()[1] / 1000 * size + spacing + np.where(np.arange(256) == 32, between, 0.0)) * scale
+            self.moved[key] = forward, forward.tolist()
+        return self.moved[key]
 
     def encode(self, text: str) -> bytes | None:
         """Codes of a text, the first code of each character; None if one has none."""
         if not hasattr(self, "codes"):
-            self.codes: dict[str, int] = {}
+            self.codes: dict[str, bytes] = {}
             for code, char in self.chars.items():
-                if len(char) == 1:
-                    self.codes.setdefault(char, code)
+                if len(char) == 1 and char not in self.codes:
+                    self.codes[char] = code.to_bytes(2 if self.wide else 1, "big")
         found = [self.codes.get(c) for c in text]
-        if None in found:
-            return None
-        return b"".join(c.to_bytes(2 if self.wide else 1, "big") for c in found)
+        return None if None in found else b"".join(found)
 
     def measure(self, text: str) -> float | None:
         """Width of a text in thousandths of an em; None if the font can't encode it."""
         coded = self.encode(text)
-        return None if coded is None else float(self.decode(coded)[3].sum())
+        if coded is None:
+            return None
+        return float((self.decode(coded)[3] if self.wide else self.narrow()[1][np.frombuffer(coded, np.uint8)]).sum())
 
 
 _FONTS: dict[str, Font] = {}
@@ -305,49 +324,75 @@ def effect_of(ops: Iterator[tuple[str, list[Leaf]]], strict: bool) -> dict:
     return {"matrix": matrix, "said": said, "pops": pops, "pushes": pushes}
 
 
-def glyphs_of(ops: Iterator[tuple[int, str, list[Leaf]]], fonts: dict[str, Font], state: State) -> Iterator[tuple]:
-    """Glyphs that operations show, string by string: each of GLYPH_SCHEMA's columns from `unicode` on.
+#: Strings of up to so many codes are walked code by code; longer ones as arrays.
+_SHORT = 16
+_SAYING = frozenset(("Tf", "TL", "Tc", "Tw", "Ts", "Tz", "TD", '"'))
 
-    Columns that hold for a whole string are single values; a string outside an array has
-    item -1. A string in an unknown font or at size 0 shows and moves nothing.
-    """
+
+class Shown(NamedTuple):
+    """A string as it is shown; its glyphs' columns are made for many strings at once."""
+
+    font: Font
+    value: bytes
+    along: np.ndarray | list[float]  # where each code begins on the line, and where the last one ends
+    across: np.ndarray | None  # the same across it; None on a level line, where it stays
+    tm: tuple
+    ctm: tuple
+    res: str
+    size: float
+    scale: float
+    rise: float
+    op_index: int
+    item: int  # -1 outside an array
+
+    @property
+    def n(self) -> int:
+        return len(self.along) - 1
+
+
+def strings_of(ops: Iterable[tuple[int, str, list[Leaf]]], fonts: dict[str, Font], state: State) -> Iterator[Shown]:
+    """Strings that operations show. One in an unknown font or at size 0 shows and moves nothing."""
     tm = line = _ONE
 
-    def show(value: bytes | None, op_index: int, item: int) -> Iterator[tuple]:
+    def show(value: bytes | None, op_index: int, item: int) -> Iterator[Shown]:
         nonlocal tm
         t, ctm = state.text, state.ctm
-        font, size, hs, rise = fonts.get(t["res"]), t["size"], t["Tz"], t["Ts"]
-        if not font or not size or value is None:
+        font, size = fonts.get(t["res"]), t["size"]
+        if not font or not size or not value or font.wide and len(value) < 2:
             return
-        step, codes, chars, widths = font.decode(value)
-        if not len(codes):
+        hs, across = t["Tz"], None
+        if font.wide:
+            forward = (font.decode(value)[3] / 1000 * size + t["Tc"] + 0.0) * hs
+        elif len(value) <= _SHORT and tm[1] == 0 and ctm[1] == 0:
+            each, at, along = font.moves(size, t["Tc"], t["Tw"], hs)[1], tm[4], [tm[4]]
+            for code in value:
+                at += each[code] * tm[0]
+                along.append(at)
+            yield Shown(font, value, along, None, tm, ctm, t["res"], size, hs, t["Ts"], op_index, item)
+            tm = (*tm[:4], at, tm[5])
             return
-        space = np.where(codes == 32, t["Tw"], 0.0) if t["Tw"] and step == 1 else 0.0
-        forward = (widths / 1000 * size + t["Tc"] + space) * hs
-        whole = _times(tm, ctm)
-        e = np.cumsum(np.concatenate([[tm[4]], forward * tm[0]]))
-        if tm[1] == 0 and ctm[1] == 0:  # a level line: all characters have one height
-            f = np.full(1, float(tm[5]))
-            y = np.full(len(codes), float(rise * whole[3] + (f[0] * ctm[3] + ctm[5])))
-            x = rise * whole[2] + (e[:-1] * ctm[0] + f[0] * ctm[2] + ctm[4])
         else:
-            f = np.cumsum(np.concatenate([[tm[5]], forward * tm[1]]))
-            x, y = (rise * whole[k + 2] + (e[:-1] * ctm[k] + f[:-1] * ctm[k + 2] + ctm[k + 4]) for k in (0, 1))
-        wide, high = float(np.hypot(size * hs * whole[0], size * hs * whole[1])), float(np.hypot(size * whole[2], size * whole[3]))
-        tm = (*tm[:4], float(e[-1]), float(f[-1]))
-        yield chars, codes, x, y, widths / 1000 * wide, high, t["res"], size, op_index, item, np.arange(len(codes)) * step, step
+            forward = font.moves(size, t["Tc"], t["Tw"], hs)[0][np.frombuffer(value, np.uint8)]
+        along = np.cumsum(np.concatenate([[tm[4]], forward * tm[0]]))
+        if tm[1] != 0 or ctm[1] != 0:  # else a level line: all characters have one height
+            across = np.cumsum(np.concatenate([[tm[5]], forward * tm[1]]))
+        yield Shown(font, value, along, across, tm, ctm, t["res"], size, hs, t["Ts"], op_index, item)
+        tm = (*tm[:4], float(along[-1]), tm[5] if across is None else float(across[-1]))
 
     for k, op, args in ops:
-        moved = None
-        if op in ("q", "Q", "cm"):
-            if op == "q":
-                state.saved.append((state.ctm, dict(state.text)))
-            elif op == "cm":
-                state.ctm = _times(_matrix(args), state.ctm)
-            else:
-                state.then({"pops": [{}], "pushes": [], "matrix": _ONE, "said": {}})
+        if op == "q":
+            state.saved.append((state.ctm, dict(state.text) if state.strict else TEXT_STATE))
+            continue
+        if op == "Q":
+            state.ctm, text = state.saved.pop() if state.saved else (_ONE, state.text)
+            state.text = dict(text) if state.strict else state.text
+            continue
+        if op == "cm":
+            state.ctm = _times(_matrix(args), state.ctm)
             continue
-        state.text |= said_by(op, args) or {}
+        moved = None
+        if op in _SAYING:
+            state.text |= said_by(op, args) or {}
         if op == "Tm":
             tm = line = _matrix(args)
         elif op == "BT":
@@ -373,6 +418,7 @@ def glyphs_of(ops: Iterator[tuple[int, str, list[Leaf]]], fonts: dict[str, Font]
 
 PLACING = ("q", "Q", "cm", "Tf", "TL", "Tc", "Tw", "Ts", "Tz", "TD", '"')
 SHOWING = (*PLACING, "BT", "Td", "Tm", "T*", "Tj", "'", "TJ")
+_SHOWING = frozenset(SHOWING)
 _KEY = ["doc_id", "page", "segment"]
 
 
@@ -480,115 +526,243 @@ def extract_glyphs(ops: DataFrame, fonts: DataFrame, strict: bool = False, block
             if not body.num_rows:
                 continue
             ops_ = zip(body.column("op_index").to_pylist(), body.column("op").to_pylist(), _leaves(body.column("operands")), strict=True)
-            shown_ = list(glyphs_of(ops_, fonts_, State(strict, entry)))
+            shown_ = list(strings_of(ops_, fonts_, State(strict, entry)))
             at = 0
             while at < len(shown_):
                 end = min(at + 2000, len(shown_))
-                while end < len(shown_) and shown_[end][8] == shown_[end - 1][8]:  # strings of an operation stay together
+                while end < len(shown_) and shown_[end].op_index == shown_[end - 1].op_index:  # strings of an operation stay together
                     end += 1
-                yield _glyph_rows([(run.column("doc_id")[0].as_py(), run.column("page")[0].as_py(), shown_[at:end])], names)
+                yield glyph_rows([(run.column("doc_id")[0].as_py(), run.column("page")[0].as_py(), shown_[at:end])], names)
                 at = end
 
     return dealt.mapInArrow(fold, GLYPH_SCHEMA)
 
 
-def read_glyphs(pages: DataFrame, fonts: DataFrame, strict: bool = False, columns: Sequence[str] | None = None) -> DataFrame:
+def with_fonts(pages: DataFrame, fonts: DataFrame | None) -> DataFrame:
+    """doc_id, page, content and the fonts of pages that have both. Nothing is shuffled if the two are dealt by page alike, or if `fonts` is null and pages hold theirs."""
+    page = ["doc_id", "page"]
+    if fonts is None:
+        return pages.select(*page, "content", "fonts").where("content is not null and fonts is not null")
+    known = fonts.groupBy(*page).agg(F.collect_list(F.struct(*(c for c in fonts.columns if c not in page))).alias("fonts"))
+    return pages.select(*page, "content").where("content is not null").join(known, page)
+
+
+Held = list[tuple[int, int, list[Shown]]]
+
+
+def count_glyphs(content: Column, fonts: Column) -> Column:
+    """How many glyphs a page's stream shows with its fonts."""
+
+    def counted(contents: pa.Array, fonts_: pa.Array) -> pa.Array:
+        known, have = None, {}
+        out = []
+        for k, ops in _streams(pc.fill_null(contents, b"")):
+            if fonts_[k] != known:
+                known = fonts_[k]
+                have = {r["font_res"]: font_of(r) for r in known.as_py() or ()}
+            out.append(sum(s.n for s in strings_of(ops, have, State(False))))
+        return pa.array(out, pa.int64())
+
+    return arrow_udf(counted, "long")(content, fonts)
+
+
+def shown_pages(batches: Iterator[pa.RecordBatch], strict: bool, whole: bool) -> Iterator[Held]:
+    """Strings of the pages of `with_fonts` (doc_id, page, strings), as many pages together as have 100,000 glyphs.
+
+    A page with more goes in several parts, but for `whole`; strings of an operation stay together.
+    """
+    for batch in batches:
+        held: Held = []
+        n = 0
+        said, known, fonts = batch.column(3), None, {}
+        for k, ops in _streams(batch.column(2)):
+            doc, page = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+            if said[k] != known:
+                known = said[k]
+                fonts = {r["font_res"]: font_of(r) for r in known.as_py()}
+            run: list[Shown] = []
+            for string in strings_of(ops, fonts, State(strict)):
+                if n > 100_000 and not whole and not (run and run[-1].op_index == string.op_index):
+                    yield [*held, *([(doc, page, run)] if run else [])]
+                    held, run, n = [], [], 0
+                run.append(string)
+                n += len(string.value)
+            if run:
+                held.append((doc, page, run))
+            if n > 100_000 and held:
+                yield held
+                held, n = [], 0
+        if held:
+            yield held
+
+
+def read_glyphs(pages: DataFrame, fonts: DataFrame | None, strict: bool = False, columns: Sequence[str] | None = None, kept: Callable[[pa.RecordBatch], np.ndarray] | None = None) -> DataFrame:
     """extract_glyphs of all operations of `pages` (doc_id, page, content): a page is lexed and folded where its stream lies.
 
     A page goes whole to one task, as with parse_operations' piece=None and extract_glyphs' block=None, but operations are no rows: if pages and fonts are
-    dealt by page alike, nothing is shuffled. Only `columns` of GLYPH_SCHEMA are made, if given.
+    dealt by page alike, nothing is shuffled. Only `columns` of GLYPH_SCHEMA are made, if given, and only the glyphs are rows for which `kept` is true
+    of a batch of all columns of the glyphs of whole pages.
     """
-    page = ["doc_id", "page"]
-    known = fonts.groupBy(*page).agg(F.collect_list(F.struct(*(c for c in fonts.columns if c not in page))).alias("fonts"))
-    asked = pages.select(*page, "content").where("content is not null").join(known, page)
     kinds = {f.split()[0]: f for f in GLYPH_SCHEMA.split(", ")}
     names = list(columns or kinds)
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held, n = [], 0
-            said, known_, fonts_ = batch.column(3), None, {}
-            for k, ops in _streams(batch.column(2)):
-                doc, page_ = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
-                if said[k] != known_:
-                    known_ = said[k]
-                    fonts_ = {r["font_res"]: font_of(r) for r in known_.as_py()}
-                run = []
-                for string in glyphs_of(ops, fonts_, State(strict)):
-                    if n > 100_000 and not (run and run[-1][8] == string[8]):  # strings of an operation stay together
-                        yield _glyph_rows([*held, *([(doc, page_, run)] if run else [])], names)
-                        held, run, n = [], [], 0
-                    run.append(string)
-                    n += len(string[0])
-                if run:
-                    held.append((doc, page_, run))
-            if held:
-                yield _glyph_rows(held, names)
-
-    return asked.mapInArrow(fold, ", ".join(kinds[c] for c in names))
+        for held in shown_pages(batches, strict, kept is not None):
+            if kept is None:
+                yield glyph_rows(held, names)
+            else:
+                rows = glyph_rows(held, list(kinds))
+                yield rows.select(names).filter(pa.array(kept(rows)))
 
+    return with_fonts(pages, fonts).mapInArrow(fold, ", ".join(kinds[c] for c in names))
 
-def _streams(contents: pa.Array) -> Iterator[tuple[int, Iterator[tuple[int, str, list[Leaf]]]]]:
-    """The operations of each stream, with operands as leaves; many short streams are lexed at once."""
+
+STRING_SCHEMA = (
+    "doc_id long, page int, op_index int, item_index int, glyph_lo long, glyph_hi long, text string, n_glyphs int, height double,"
+    " byte_length int, code_length int"
+)
+
+
+def read_strings(pages: DataFrame, fonts: DataFrame | None, strict: bool = False, ops: Sequence[int] | None = None) -> DataFrame:
+    """STRING_SCHEMA rows of the strings that pages show, those of some operations only if `ops` numbers them; read as read_glyphs does.
+
+    glyph_lo and glyph_hi are the first and last glyph_ord, byte_length the bytes of all codes, code_length those of one.
+    """
+    fields = [(f.split()[0], {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}[f.split()[1]]) for f in STRING_SCHEMA.split(", ")]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in shown_pages(batches, strict, False):
+            rows = []
+            for doc, page, strings in held:
+                last, at = None, 0
+                for s in strings:
+                    at = at if s.op_index == last else 0
+                    last, at = s.op_index, at + s.n
+                    if ops is None or s.op_index in ops:
+                        step = 2 if s.font.wide else 1
+                        high = float(np.hypot(*(s.size * w for w in _times(s.tm, s.ctm)[2:4])))
+                        first = (s.op_index << 31) + at - s.n
+                        rows.append((doc, page, s.op_index, None if s.item < 0 else s.item, first, first + s.n - 1, "".join(s.font.decode(s.value)[2]), s.n, high, s.n * step, step))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+    return with_fonts(pages, fonts).mapInArrow(fold, STRING_SCHEMA)
+
+
+_KINDS = lexing.KINDS.tolist()
+
+
+def lexed_lots(contents: Iterable[bytes]) -> Iterator[tuple[int, list[bytes], lexing.Lexed, np.ndarray]]:
+    """Streams that are lexed at once, PIECE bytes or one: the first one's number, the streams, what they hold, and where the operations of each begin and end."""
     streams: list[bytes] = []
-    size = 0
-    for k, content in enumerate(contents):
-        streams.append(content.as_buffer().to_pybytes())
-        size += len(streams[-1])
-        if size < PIECE and k < len(contents) - 1:
-            continue
-        found, bounds = lexing.lex_all(streams)
-        at = found.offsets.tolist()
+    first = size = 0
+    for content in contents:
+        streams.append(content)
+        size += len(content)
+        if size >= PIECE:
+            yield first, streams, *lexing.lex_all(streams)
+            first, streams, size = first + len(streams), [], 0
+    if streams:
+        yield first, streams, *lexing.lex_all(streams)
+
+
+def _streams(contents: pa.Array) -> Iterator[tuple[int, Iterator[tuple[int, str, list[Leaf]]]]]:
+    """The operations of each stream that show or move something, with operands as leaves; many short streams are lexed at once. Each must be read to its end, in order."""
+    for first, _, found, bounds in lexed_lots(content.as_buffer().to_pybytes() for content in contents):
+        counts, names = np.diff(found.offsets).tolist(), found.names
         items = (None if i < 0 else i for i in found.item.tolist())
-        leaves = list(zip(found.arg.tolist(), items, lexing.KINDS[found.kind].tolist(), found.num.tolist(), found.raw, strict=True))
+        leaves = zip(found.arg.tolist(), items, (_KINDS[c] for c in found.kind.tolist()), found.num.tolist(), found.raw, strict=True)
+
+        def operations_of(a: int, b: int, leaves: Iterator[Leaf] = leaves, counts: list[int] = counts, names: list[str] = names) -> Iterator[tuple[int, str, list[Leaf]]]:
+            for n in range(a, b):
+                args = list(islice(leaves, counts[n])) if counts[n] else []
+                if names[n] in _SHOWING:
+                    yield n - a, names[n], args
+
         for j, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-            yield k + 1 - len(streams) + j, ((n - a, found.names[n], leaves[at[n] : at[n + 1]]) for n in range(a, b))
-        streams, size = [], 0
+            yield first + j, operations_of(a, b)
 
 
-def _glyph_rows(held: list[tuple[int, int, list[tuple]]], names: Sequence[str]) -> pa.RecordBatch:
-    """Rows of the strings that pages (doc_id, page, strings) show, with the columns `names`."""
+def glyph_rows(held: Held, names: Sequence[str]) -> pa.RecordBatch:
+    """Rows of the glyphs of the strings that pages (doc_id, page, strings) show, with the columns `names` of GLYPH_SCHEMA."""
     strings = [s for _, _, shown in held for s in shown]
-    sizes = np.array([len(s[0]) for s in strings], np.int64)
-    n = int(sizes.sum())
+    sizes = np.array([s.n for s in strings], np.int64)
+    ends = np.cumsum(sizes)
+    n = int(ends[-1]) if len(ends) else 0
     of = np.repeat(np.arange(len(held)), [len(shown) for _, _, shown in held])  # the page of each string
-    index = np.array([s[8] for s in strings], np.int64)
-    out: list[pa.Array] = []
-    for name in names:
+    index = np.array([s.op_index for s in strings], np.int64)
+    tm, ctm = (np.array([getattr(s, c) for s in strings], np.float64).reshape(-1, 6).T for c in ("tm", "ctm"))
+    size, scale, rise = (np.array([getattr(s, c) for s in strings], np.float64) for c in ("size", "scale", "rise"))
+    whole = [tm[0] * ctm[0] + tm[1] * ctm[2], tm[0] * ctm[1] + tm[1] * ctm[3], tm[2] * ctm[0] + tm[3] * ctm[2], tm[2] * ctm[1] + tm[3] * ctm[3]]
+    tilted = [k for k, s in enumerate(strings) if s.across is not None]
+    wide = [k for k, s in enumerate(strings) if s.font.wide]
+    each = lambda column: np.repeat(column, sizes)
+
+    fonts = list({id(s.font): s.font for s in strings if not s.font.wide}.values())
+    nth = {id(f): k * 256 for k, f in enumerate(fonts)}
+    codes = np.frombuffer(b"".join([bytes(s.n) if s.font.wide else s.value for s in strings]), np.uint8).astype(np.int32)
+    spot = codes if len(fonts) < 2 else codes + each(np.array([nth.get(id(s.font), 0) for s in strings], np.int32))
+
+    def looked_up(k: int) -> np.ndarray:
+        """Characters (0) or widths (1) of all codes."""
+        table = np.concatenate([f.narrow()[k] for f in fonts]) if fonts else np.array([""], object) if k == 0 else np.zeros(1)
+        values = table[spot]
+        for w in wide:
+            values[ends[w] - sizes[w] : ends[w]] = strings[w].font.decode(strings[w].value)[2 + k]
+        return values
+
+    def placed(axis: int) -> np.ndarray:
+        """x or y of all glyphs: along the line, moved by the rise and by the page's matrix."""
+        lift = rise * whole[2 + axis]
+        if axis == 0 or tilted:
+            along = np.concatenate([s.along[:-1] for s in strings])
+            across = each(tm[5])
+            for t in tilted:
+                across[ends[t] - sizes[t] : ends[t]] = strings[t].across[:-1]
+            values = each(lift) + (along * each(ctm[axis]) + across * each(ctm[2 + axis]) + each(ctm[4 + axis]))
+        else:
+            values = each(lift + (tm[5] * ctm[3] + ctm[5]))
+        return values
+
+    def column(name: str) -> pa.Array:
         if name in ("doc_id", "page"):
             keys = np.array([h[name == "page"] for h in held], np.int64)[of]
-            out.append(pa.array(np.repeat(keys.astype(np.int32) if name == "page" else keys, sizes)))
-            continue
+            return pa.array(each(keys.astype(np.int32) if name == "page" else keys))
         if name == "glyph_ord":
             # strings of one operation follow each other: count on through all of them
-            op, at = np.repeat(index, sizes), np.repeat(of, sizes)
-            place = np.arange(n) - np.maximum.accumulate(np.where(np.append(True, (op[1:] != op[:-1]) | (at[1:] != at[:-1])), np.arange(n), 0))
-            out.append(pa.array((op << 31) + place))
-            continue
-        k, kind = _SHOWN[name]
-        values = [s[k] for s in strings]
-        if isinstance(values[0], np.ndarray):
-            column = np.concatenate(values)
-        elif kind == pa.string():
-            out.append(pa.array(values, kind).take(pa.array(np.repeat(np.arange(len(values)), sizes))))
-            continue
-        else:
-            column = np.repeat(np.array(values), sizes)
-        out.append(pa.array(column.astype(np.int32) if kind == pa.int32() else column, kind, mask=(column < 0) if name == "item_index" else None))
-    return pa.RecordBatch.from_arrays(out, names=list(names))
-
-
-#: Where glyphs_of has a column, and its type.
-_SHOWN = {
-    name: (k, kind)
-    for k, (name, kind) in enumerate(
-        zip(
-            ("unicode", "code", "x", "y", "width", "height", "font_res", "font_size", "op_index", "item_index", "byte_offset", "byte_length"),
-            (pa.string(), pa.int32(), *[pa.float64()] * 4, pa.string(), pa.float64(), *[pa.int32()] * 4),
-            strict=True,
-        )
-    )
-}
+            op, at = each(index), each(of)
+            place = np.arange(n) - np.maximum.accumulate(np.where(np.append(True, (op[1:] != op[:-1]) | (at[1:] != at[:-1]))[:n], np.arange(n), 0))
+            return pa.array((op << 31) + place)
+        if name == "unicode":
+            if wide or not fonts:
+                return pa.array(looked_up(0), pa.string())
+            return pa.array(np.concatenate([f.narrow()[0] for f in fonts]), pa.string()).take(pa.array(spot))
+        if name == "code":
+            values = codes.copy()
+            for w in wide:
+                values[ends[w] - sizes[w] : ends[w]] = strings[w].font.decode(strings[w].value)[1]
+            return pa.array(values)
+        if name in ("x", "y"):
+            return pa.array(placed(int(name == "y")))
+        if name == "width":
+            return pa.array(looked_up(1) / 1000 * each(np.hypot(size * scale * whole[0], size * scale * whole[1])))
+        if name == "height":
+            return pa.array(each(np.hypot(size * whole[2], size * whole[3])))
+        if name == "font_res":
+            return pa.array([s.res for s in strings], pa.string()).take(pa.array(each(np.arange(len(strings)))))
+        if name == "font_size":
+            return pa.array(each(size))
+        if name == "op_index":
+            return pa.array(each(index.astype(np.int32)))
+        if name == "item_index":
+            item = each(np.array([s.item for s in strings], np.int32))
+            return pa.array(item, mask=item < 0)
+        step = np.array([2 if s.font.wide else 1 for s in strings], np.int32)
+        if name == "byte_length":
+            return pa.array(each(step))
+        return pa.array(((np.arange(n) - each(ends - sizes)) * each(step)).astype(np.int32))
+
+    return pa.RecordBatch.from_arrays([column(name) for name in names], names=list(names))
 
 
 def parse_cmap(data: bytes) -> dict[int, str]:
