@@ -39,6 +39,8 @@ FONT_SCHEMA = (
 PIECE = 1 << 18
 #: Operations of a page that one task folds; longer pages are cut where a text object or an absolute place begins.
 BLOCK = 4096
+#: Bytes of a page that one task reads and folds where its stream lies; the pieces and blocks of longer pages go to several tasks.
+WHOLE = 1 << 21
 
 
 def parse_operations(pages: DataFrame, piece: int | None = PIECE) -> DataFrame:
@@ -326,7 +328,8 @@ def effect_of(ops: Iterator[tuple[str, list[Leaf]]], strict: bool) -> dict:
 
 #: Strings of up to so many codes are walked code by code; longer ones as arrays.
 _SHORT = 16
-_SAYING = frozenset(("Tf", "TL", "Tc", "Tw", "Ts", "Tz", "TD", '"'))
+_NUMBERS = frozenset(("TL", "Tc", "Tw", "Ts"))
+_SAYING = frozenset(("Tf", "Tz", "TD", '"'))
 
 
 class Shown(NamedTuple):
@@ -391,6 +394,9 @@ def strings_of(ops: Iterable[tuple[int, str, list[Leaf]]], fonts: dict[str, Font
             state.ctm = _times(_matrix(args), state.ctm)
             continue
         moved = None
+        if op in _NUMBERS:
+            state.text[op] = _num(args, 0)
+            continue
         if op in _SAYING:
             state.text |= said_by(op, args) or {}
         if op == "Tm":
@@ -617,6 +623,19 @@ def read_glyphs(pages: DataFrame, fonts: DataFrame | None, strict: bool = False,
     return with_fonts(pages, fonts).mapInArrow(fold, ", ".join(kinds[c] for c in names))
 
 
+def read_all_glyphs(pages: DataFrame, longest: int | None = None, whole: int = WHOLE) -> DataFrame:
+    """extract_glyphs of pages (doc_id, page, content, fonts) of any length: those of up to `whole` bytes are read where they lie, the parts of longer ones by several tasks.
+
+    `pages` is read several times then, and must be the same each time; once, if `longest`, the bytes of the longest page, is known and no page is longer.
+    """
+    if longest is not None and longest <= whole:
+        return read_glyphs(pages, None)
+    short = F.octet_length("content") <= whole
+    long = pages.where(~short)
+    fonts = long.select("doc_id", "page", F.inline("fonts"))
+    return read_glyphs(pages.where(short), None).unionByName(extract_glyphs(parse_operations(long), fonts, block=BLOCK))
+
+
 STRING_SCHEMA = (
     "doc_id long, page int, op_index int, item_index int, glyph_lo long, glyph_hi long, text string, n_glyphs int, height double,"
     " byte_length int, code_length int"
@@ -670,8 +689,8 @@ def _streams(contents: pa.Array) -> Iterator[tuple[int, Iterator[tuple[int, str,
     """The operations of each stream that show or move something, with operands as leaves; many short streams are lexed at once. Each must be read to its end, in order."""
     for first, _, found, bounds in lexed_lots(content.as_buffer().to_pybytes() for content in contents):
         counts, names = np.diff(found.offsets).tolist(), found.names
-        items = (None if i < 0 else i for i in found.item.tolist())
-        leaves = zip(found.arg.tolist(), items, (_KINDS[c] for c in found.kind.tolist()), found.num.tolist(), found.raw, strict=True)
+        items = np.where(found.item < 0, None, found.item).tolist()
+        leaves = zip(found.arg.tolist(), items, map(_KINDS.__getitem__, found.kind.tolist()), found.num.tolist(), found.raw, strict=True)
 
         def operations_of(a: int, b: int, leaves: Iterator[Leaf] = leaves, counts: list[int] = counts, names: list[str] = names) -> Iterator[tuple[int, str, list[Leaf]]]:
             for n in range(a, b):

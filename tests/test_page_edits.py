@@ -66,3 +66,17 @@ def test_edits_shuffle_neither_operations_nor_whole_pages_of_glyphs(spark, sf, n
     plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "operands" not in plan and "FlatMapCoGroups" not in plan
     assert plan.count("MapInArrow") + plan.count("ArrowEvalPython") <= 6
+
+
+def test_pages_of_any_length_are_read_alike(spark, parts):
+    """Where they lie up to a length, by pieces and blocks beyond it."""
+    pages, _, _, glyphs, held = parts
+    lengths = [len(s) for s in STREAMS]
+    assert min(lengths) < 60 < max(lengths)
+    assert rows(content.read_all_glyphs(held, max(lengths))) == rows(content.read_all_glyphs(held, None, whole=60)) == rows(content.read_all_glyphs(held, max(lengths), whole=60)) == rows(glyphs)
+
+
+def test_long_pages_are_read_once(spark, sf):
+    """Pages of labels were read three times to be cut, and their operations were rows."""
+    plan = catalog.content_long_glyphs(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "operands" not in plan and plan.count("MapInArrow") == 1 and plan.count("Exchange hashpartitioning") == 1
