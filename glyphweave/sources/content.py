@@ -263,6 +263,8 @@ def _num(args: list[Leaf], k: int, other: float = 0.0) -> float:
 
 
 def _matrix(args: list[Leaf]) -> tuple:
+    if len(args) == 6 and all([a[2] == "n" and a[1] is None for a in args]):
+        return tuple([a[3] for a in args])
     return _num(args, 0, 1.0), _num(args, 1), _num(args, 2), _num(args, 3, 1.0), _num(args, 4), _num(args, 5)
 
 
@@ -354,72 +356,70 @@ class Shown(NamedTuple):
 
 
 def strings_of(ops: Iterable[tuple[int, str, list[Leaf]]], fonts: dict[str, Font], state: State) -> Iterator[Shown]:
-    """Strings that operations show. One in an unknown font or at size 0 shows and moves nothing."""
+    """Strings that operations show from `state` on. One in an unknown font or at size 0 shows and moves nothing."""
     tm = line = _ONE
+    ctm, text, saved, strict = state.ctm, dict(state.text), list(state.saved), state.strict
 
-    def show(value: bytes | None, op_index: int, item: int) -> Iterator[Shown]:
+    def show(value: bytes | None, op_index: int, item: int) -> Shown | None:
         nonlocal tm
-        t, ctm = state.text, state.ctm
-        font, size = fonts.get(t["res"]), t["size"]
+        font, size = fonts.get(text["res"]), text["size"]
         if not font or not size or not value or font.wide and len(value) < 2:
-            return
-        hs, across = t["Tz"], None
+            return None
+        hs, across, before = text["Tz"], None, tm
         if font.wide:
-            forward = (font.decode(value)[3] / 1000 * size + t["Tc"] + 0.0) * hs
+            forward = (font.decode(value)[3] / 1000 * size + text["Tc"] + 0.0) * hs
         elif len(value) <= _SHORT and tm[1] == 0 and ctm[1] == 0:
-            each, at, along = font.moves(size, t["Tc"], t["Tw"], hs)[1], tm[4], [tm[4]]
+            wide, at = tm[0], tm[4]
+            each, along = font.moves(size, text["Tc"], text["Tw"], hs)[1], [at]
             for code in value:
-                at += each[code] * tm[0]
+                at += each[code] * wide
                 along.append(at)
-            yield Shown(font, value, along, None, tm, ctm, t["res"], size, hs, t["Ts"], op_index, item)
-            tm = (*tm[:4], at, tm[5])
-            return
+            tm = (wide, tm[1], tm[2], tm[3], at, tm[5])
+            return Shown(font, value, along, None, before, ctm, text["res"], size, hs, text["Ts"], op_index, item)
         else:
-            forward = font.moves(size, t["Tc"], t["Tw"], hs)[0][np.frombuffer(value, np.uint8)]
+            forward = font.moves(size, text["Tc"], text["Tw"], hs)[0][np.frombuffer(value, np.uint8)]
         along = np.cumsum(np.concatenate([[tm[4]], forward * tm[0]]))
         if tm[1] != 0 or ctm[1] != 0:  # else a level line: all characters have one height
             across = np.cumsum(np.concatenate([[tm[5]], forward * tm[1]]))
-        yield Shown(font, value, along, across, tm, ctm, t["res"], size, hs, t["Ts"], op_index, item)
         tm = (*tm[:4], float(along[-1]), tm[5] if across is None else float(across[-1]))
+        return Shown(font, value, along, across, before, ctm, text["res"], size, hs, text["Ts"], op_index, item)
 
     for k, op, args in ops:
-        if op == "q":
-            state.saved.append((state.ctm, dict(state.text) if state.strict else TEXT_STATE))
-            continue
-        if op == "Q":
-            state.ctm, text = state.saved.pop() if state.saved else (_ONE, state.text)
-            state.text = dict(text) if state.strict else state.text
-            continue
-        if op == "cm":
-            state.ctm = _times(_matrix(args), state.ctm)
-            continue
-        moved = None
         if op in _NUMBERS:
-            state.text[op] = _num(args, 0)
-            continue
-        if op in _SAYING:
-            state.text |= said_by(op, args) or {}
-        if op == "Tm":
+            text[op] = _num(args, 0)
+        elif op == "q":
+            saved.append((ctm, dict(text) if strict else text))
+        elif op == "Q":
+            ctm, before = saved.pop() if saved else (_ONE, text)
+            text = dict(before) if strict else text
+        elif op == "cm":
+            ctm = _times(_matrix(args), ctm)
+        elif op == "Tm":
             tm = line = _matrix(args)
         elif op == "BT":
             tm = line = _ONE
-        elif op in ("Td", "TD"):
-            moved = _num(args, 0), _num(args, 1)
-        elif op in ("T*", "'", '"'):
-            moved = 0.0, -state.text["TL"]
-        if moved:
-            tm = line = _times((1, 0, 0, 1, *moved), line)
-        if op in ("Tj", "'", '"'):
-            spot = 2 if op == '"' else 0
-            yield from show(next((x[4] for x in args if x[0] == spot and x[2] == "s"), None), k, -1)
-        elif op == "TJ" and args and args[0][2] == "[":
-            for _, item, kind, num, raw in args[1:]:
-                if item is None:
-                    break
-                if kind == "n":
-                    tm = _times((1, 0, 0, 1, -num / 1000 * state.text["size"] * state.text["Tz"], 0), tm)
-                elif kind == "s":
-                    yield from show(raw, k, item)
+        else:
+            if op in _SAYING:
+                text |= said_by(op, args) or {}
+            moved = None
+            if op in ("Td", "TD"):
+                moved = _num(args, 0), _num(args, 1)
+            elif op in ("T*", "'", '"'):
+                moved = 0.0, -text["TL"]
+            if moved:
+                tm = line = _times((1, 0, 0, 1, *moved), line)
+            if op in ("Tj", "'", '"'):
+                spot = 2 if op == '"' else 0
+                if shown := show(next((x[4] for x in args if x[0] == spot and x[2] == "s"), None), k, -1):
+                    yield shown
+            elif op == "TJ" and args and args[0][2] == "[":
+                for _, item, kind, num, raw in args[1:]:
+                    if item is None:
+                        break
+                    if kind == "n":
+                        tm = _times((1, 0, 0, 1, -num / 1000 * text["size"] * text["Tz"], 0), tm)
+                    elif kind == "s" and (shown := show(raw, k, item)):
+                        yield shown
 
 
 PLACING = ("q", "Q", "cm", "Tf", "TL", "Tc", "Tw", "Ts", "Tz", "TD", '"')
